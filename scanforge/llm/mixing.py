@@ -6,7 +6,7 @@ source should then appear ``target / size of the source`` times: a whole number
 a fraction.  The fractions are rounded dependently: of two documents, mass (in words) moves
 from one to the other, in the direction that a fair draw picks, until one of them holds none
 or all of its words.  Each draw keeps every expectation, each move keeps the source's total
-exactly, so a source ends within one document of its target.
+exactly, so a source ends within half a document of its target.
 
 The draws run as a reduction tree.  Documents are hashed into blocks of bounded size; a fold
 inside one row pairs a block's documents until one fractional document is left, and only that
@@ -116,8 +116,8 @@ def round_copies(items: DataFrame, seed: int = 0) -> DataFrame:
         most = counts.agg(F.max("_n")).first()[0] or 0
         if most == 0:
             return done
-        if most == 1:  # the roots: one document of each source is drawn with its own fraction
-            last = rows.select("source", "key", (_uniform(F.col("key"), F.lit(-1), F.lit(seed)) * F.col("size") < F.col("mass")).cast("int").alias("up"))
+        if most == 1:  # the roots: nothing is left to pair with, so each goes to its nearer end
+            last = rows.select("source", "key", (F.col("mass") * 2 > F.col("size")).cast("int").alias("up"))
             return done.unionByName(last)
         blocks = math.ceil(most / BLOCK)
         bucketed = rows.withColumn("_b", F.pmod(F.xxhash64("key", F.lit(level), F.lit(seed)), F.lit(blocks)))
