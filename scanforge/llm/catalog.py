@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from functools import partial
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scanforge.llm import mixing, quality, sharding, url_filter
+from scanforge.llm import byte_bpe, mixing, quality, sharding, token_files, url_filter
 from scanforge.llm.common import table
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PATTERN = public_tokenizers.PATTERN
+
 
 def _over(name: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: op(table(spark, sf_dir, name))
@@ -16,10 +23,12 @@ def _over(name: str, op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_files": _over("documents", partial(token_files.op1, tokenizer_path=TOKENIZER)),
         "op2_byte_shards": _over("documents", sharding.op2),
         "op3_quality_rules": _over("documents", quality.op3),
         "op4_mix_sources": _over("documents", mixing.op4),
         "op5_url_rules": _over("pages", url_filter.op5),
+        "op6_byte_bpe": _over("documents", partial(byte_bpe.op6, ranks_path=RANKS, pattern=PATTERN)),
     }
 
 
