@@ -9,7 +9,7 @@ from functools import partial
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scanforge.llm import byte_bpe, mixing, quality, sharding, token_files, url_filter
+from scanforge.llm import ann, byte_bpe, chat, mixing, quality, sharding, token_files, url_filter
 from scanforge.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -29,8 +29,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mix_sources": _over("documents", mixing.op4),
         "op5_url_rules": _over("pages", url_filter.op5),
         "op6_byte_bpe": _over("documents", partial(byte_bpe.op6, ranks_path=RANKS, pattern=PATTERN)),
+        "op7_additive_quantisation": _over("embeddings", ann.op7),
+        "op8_reply_trees": _over("conversations", chat.op8),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.ORACLE, "op5_url_rules": url_filter.ORACLE}
+    return {"op3_quality_rules": quality.ORACLE, "op5_url_rules": url_filter.ORACLE, "op8_reply_trees": chat.ORACLE}
