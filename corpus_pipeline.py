@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scanforge.llm import mixing, quality
+from scanforge.llm import byte_bpe, jaccard, mixing, quality
 from scanforge.llm.common import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,7 +23,23 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return mixing.mix(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", apply_quality_rules), ("mix_sources", mix_to_targets)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 5-word shingles at a similarity of 0.75 or more."""
+    return jaccard.keep_first(docs)
+
+
+def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with the digests of ids and decoded bytes."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return byte_bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, keep_ids=True)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", apply_quality_rules),
+    ("ngram_jaccard_join", drop_near_duplicates),
+    ("mix_sources", mix_to_targets),
+    ("byte_bpe", encode_tokens),
+]
 
 #: The mix's hash draws and the tokenizer's ranks have no SQL form; tests hold run() against brute force.
 ORACLE_SQL = None

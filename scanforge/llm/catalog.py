@@ -9,7 +9,7 @@ from functools import partial
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scanforge.llm import ann, byte_bpe, chat, jaccard, mixing, quality, sharding, token_files, url_filter
+from scanforge.llm import ann, byte_bpe, chat, jaccard, lm_score, mixing, quality, sharding, token_files, url_filter
 from scanforge.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": _over("documents", partial(byte_bpe.op6, ranks_path=RANKS, pattern=PATTERN)),
         "op7_additive_quantisation": _over("embeddings", ann.op7),
         "op8_reply_trees": _over("conversations", chat.op8),
+        "op9_backoff_lm": _over("documents", lm_score.op9),
         "op10_jaccard_join": _over("documents", jaccard.op10),
     }
 
