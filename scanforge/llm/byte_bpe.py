@@ -29,9 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanforge.llm.pieces import cut, slices
+from scanforge.llm.pieces import PieceEncoder, ranges, slices
 
-REMEMBERED = 500_000
 
 
 class PrefixBPE:
@@ -133,24 +132,21 @@ class PrefixBPE:
 
 
 class TextEncoder:
-    """Per distinct piece of text: its ids, their decimal form and the bytes they decode to."""
+    """Encodes texts by pattern matches, and renders ids."""
 
     def __init__(self, bpe: PrefixBPE, pattern: str) -> None:
         self.bpe, self.find = bpe, regex.compile(pattern).findall
-        self._clear()
+        self.texts = PieceEncoder(self.encode_many)
 
-    def _clear(self) -> None:
-        self.slots: dict[str, int] = {}
-        self.ids: list[list[int]] = []
-        self.decimal: list[str] = []
-        self.decoded: list[bytes] = []
+    @classmethod
+    @lru_cache(maxsize=1)
+    def load(cls, ranks_path: str, pattern: str) -> TextEncoder:
+        """The encoder of this worker, with what it remembers."""
+        return cls(PrefixBPE.load(ranks_path), pattern)
 
     def encode(self, text: str) -> list[int]:
         """Each match of the pattern by itself."""
-        out: list[int] = []
-        for match in self.find(text):
-            out += self.bpe.encode_piece(match.encode())
-        return out
+        return [i for match in self.find(text) for i in self.bpe.encode_piece(match.encode())]
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         """Encodes texts whose matches share prefixes, in sorted order, so that shared prefixes are tabled once."""
@@ -170,31 +166,23 @@ class TextEncoder:
             before = data
         return [[i for m in ms for i in made[m]] for ms in found]
 
-    def texts(self, column: pa.Array) -> tuple[list[np.ndarray], list[list[str]], list[list[bytes]], list[list[list[int]]]]:
-        pieces, codes, offsets = cut(column)
-        fresh = [p for p in dict.fromkeys(pieces) if p not in self.slots]
-        if self.slots and len(self.slots) + len(fresh) > REMEMBERED:
-            self._clear()
-            fresh = list(dict.fromkeys(pieces))
-        for p, ids in zip(fresh, self.encode_many(fresh), strict=True):
-            self.slots[p] = len(self.slots)
-            self.ids.append(ids)
-            self.decimal.append(" ".join(map(str, ids)))
-            self.decoded.append(self.bpe.decode(ids))
-        slots = [self.slots[p] for p in pieces]
-
-        def places(values: list) -> list:
-            return np.fromiter((values[s] for s in slots), dtype=object, count=len(slots))[codes].tolist()
-
-        ends = offsets.tolist()
-        split = lambda values: [values[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        lengths = np.fromiter((len(self.ids[s]) for s in slots), dtype=np.int64, count=len(slots))[codes]
-        return lengths, offsets, split(places(self.decimal)), split(places(self.decoded)), (split, places)
-
-
-def _counts(lengths: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    upto = np.concatenate([[0], np.cumsum(lengths)])
-    return np.diff(upto[offsets])
+    def digests(self, column: pa.Array) -> tuple[np.ndarray, list[str], list[str], tuple]:
+        """Per text: number of ids, sha256 of the decimal ids, sha256 of the bytes that the ids decode to."""
+        ids, bounds, codes, offsets = self.texts.pieces(column)
+        values, ends = ids.tolist(), bounds.tolist()
+        spans = list(zip(ends, ends[1:], strict=False))
+        decimals = np.empty(len(spans), dtype=object)
+        decimals[:] = [" ".join(map(str, values[a:b])) for a, b in spans]
+        decoded = np.empty(len(spans), dtype=object)
+        decoded[:] = [self.bpe.decode(values[a:b]) for a, b in spans]
+        lengths = np.diff(bounds)[codes]
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        hexed = lambda data: hashlib.sha256(data).hexdigest()
+        filled = codes[lengths > 0]  # an empty piece must not leave a space
+        places = np.concatenate([[0], np.cumsum(lengths > 0)])[offsets].tolist()
+        of_ids = [hexed(" ".join(decimals[filled[a:b]].tolist()).encode()) for a, b in zip(places, places[1:], strict=False)]
+        of_bytes = [hexed(b"".join(decoded[filled[a:b]].tolist())) for a, b in zip(places, places[1:], strict=False)]
+        return np.diff(upto[offsets]), of_ids, of_bytes, (ids, bounds, codes, lengths, upto[offsets])
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
@@ -208,18 +196,16 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
     schema = ", ".join([*(f"`{c}` {kind[c]}" for c in others), "n_tokens long, ids_sha256 string, decoded_sha256 string", *(["token_ids array<int>"] if keep_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(PrefixBPE.load(ranks_path), pattern)
-        hexed = lambda data: hashlib.sha256(data).hexdigest()
+        encoder = TextEncoder.load(ranks_path, pattern)
         for batch in batches:
             for part in slices(batch, "text"):
-                lengths, offsets, decimal, decoded, (split, places) = encoder.texts(part.column("text"))
+                counts, of_ids, of_bytes, (ids, bounds, codes, lengths, text_bounds) = encoder.digests(part.column("text"))
                 columns = {c: part.column(c) for c in others}
-                columns["n_tokens"] = pa.array(_counts(lengths, offsets), pa.int64())
-                columns["ids_sha256"] = [hexed(" ".join(filter(None, x)).encode()) for x in decimal]
-                columns["decoded_sha256"] = [hexed(b"".join(x)) for x in decoded]
+                columns |= {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_bytes, pa.string())}
                 if keep_ids:
-                    columns["token_ids"] = pa.array([[i for ids in x for i in ids] for x in split(places(encoder.ids))], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))
+                    flat = ids[ranges(bounds[:-1][codes], lengths)].astype(np.int32)
+                    columns["token_ids"] = pa.ListArray.from_arrays(pa.array(text_bounds, pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return docs.select(*[F.col(f"`{c}`") for c in others], "text").mapInArrow(run, schema)
 

@@ -6,6 +6,9 @@ space, but white space after other characters always starts a new match.  The pa
 ahead only from white space, so cutting a text before each space that follows a
 non-white-space character changes no match.  The pieces repeat far more often than texts do,
 so each distinct piece is encoded once and the ids of a text are gathered from its pieces.
+For the same reason a piece is cut again, before it is remembered, where an ASCII mark or a
+line end follows a letter or digit, and where a line end follows a mark: letters, digits and
+marks share no match in this order, and what follows is matched without looking back.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ import pyarrow.compute as pc
 _BLANKS = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 _SPACE_AFTER_BLANK = f"[{_BLANKS}] "
 _CUT = re.compile("(?<=[^" + re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", _BLANKS) + "])(?= )")
+_MARKS = r"!-/:-@\[-`{-~"
+_FINE = re.compile(rf"(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])(?=[{_MARKS}\n])|(?<=[{_MARKS}])(?=\n)")
 #: Texts are handled in slices of about so many bytes.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -91,12 +96,12 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class PieceEncoder:
-    """Ids of texts, each distinct piece encoded once for as long as it is remembered.
+    """Ids of texts, each distinct fine piece encoded once for as long as it is remembered.
 
-    ``encode``: from pieces to lists of ids.  At most ``limit`` pieces are remembered.
+    ``encode``: from pieces to lists of ids.  At most ``limit`` fine pieces are remembered.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 600_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 800_000) -> None:
         self._encode, self._limit = encode, limit
         self._clear()
 
@@ -107,31 +112,40 @@ class PieceEncoder:
     def _fresh(self, pieces: list[str]) -> list[str]:
         return [p for p in dict.fromkeys(pieces) if p not in self.slots]
 
-    def slots_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The slot of each place and the texts' ranges of places; fills ids and ends."""
-        pieces, codes, offsets = cut(texts)
-        fresh = self._fresh(pieces)
+    def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the distinct pieces and each piece's range in them; the piece of each place and each text's range of places."""
+        coarse, codes, offsets = cut(texts)
+        fine: list[str] = []
+        counts = np.ones(len(coarse), dtype=np.int64)
+        for k, piece in enumerate(coarse):
+            if piece[1:].isalnum():
+                fine.append(piece)
+            else:
+                parts = _FINE.split(piece)
+                fine += parts
+                counts[k] = len(parts)
+        fresh = self._fresh(fine)
         if self.slots and len(self.slots) + len(fresh) > self._limit:
             self._clear()
-            fresh = self._fresh(pieces)
-        slots = self.slots
+            fresh = self._fresh(fine)
         for p, ids in zip(fresh, self._encode(fresh) if fresh else [], strict=True):
-            slots[p] = len(slots)
+            self.slots[p] = len(self.slots)
             self.ids.extend(ids)
             self.ends.append(len(self.ids))
-        return np.fromiter(map(slots.__getitem__, pieces), dtype=np.int64, count=len(pieces))[codes], offsets
-
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids (uint32) and each text's range in them."""
-        places, offsets = self.slots_of(texts)
+        slots = np.fromiter(map(self.slots.__getitem__, fine), dtype=np.int64, count=len(fine))
         ends = np.frombuffer(self.ends, dtype=np.int64)
         ids = np.frombuffer(self.ids, dtype=np.uint32) if len(self.ids) else np.empty(0, dtype=np.uint32)
-        starts, lengths = ends[places], ends[places + 1] - ends[places]
-        out = ids[ranges(starts, lengths)]
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        bounds = upto[offsets]
+        starts, lengths = ends[slots], ends[slots + 1] - ends[slots]
+        own = ids[ranges(starts, lengths)]
+        bounds = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
         del ends, ids  # the arrays can't grow while they are viewed
-        return out, bounds
+        return own, bounds, codes, offsets
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids (uint32) and each text's range in them."""
+        ids, bounds, codes, offsets = self.pieces(texts)
+        lengths = np.diff(bounds)[codes]
+        return ids[ranges(bounds[:-1][codes], lengths)], np.concatenate([[0], np.cumsum(lengths)])[offsets]
 
 
 def words(texts: pa.Array, lower: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:

@@ -27,6 +27,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,8 +45,9 @@ END_ID = 2
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
+@lru_cache(maxsize=1)
 def tokenizer_encoder(tokenizer_path: str) -> tuple[PieceEncoder, int]:
-    """An encoder by the tokenizers library, and the size of its vocabulary."""
+    """This worker's encoder by the tokenizers library, with what it remembers, and the size of its vocabulary."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
