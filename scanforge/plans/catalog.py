@@ -4,13 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
+from scanforge.operators import decode, generate, geom, histogram, image, points, profile, raster, refine, sample, spatial
+from scanforge.plans import views
+from scanforge.plans.views import ANGLES, EVENTS, POINTS, VECTORS, pixel_sql
 
+Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
+KEY = ["ok", "ln", "pk", "sk"]
+KEYS = ", ".join(KEY)
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(fn: Query) -> Query:
+        _QUERIES[name] = fn
+        if sql:
+            _ORACLES[name] = sql
+        return fn
+
+    return register
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
@@ -18,3 +35,761 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+def r6(*names: str) -> list[Column]:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+def _pixels(s: SparkSession, d: str, height: int = 36, width: int = 72, res: float = 5.0) -> DataFrame:
+    return points.to_pixels(points.add_angles(views.points(s, d)), height, width, res, res)
+
+
+def _with_id(df: DataFrame) -> DataFrame:
+    """A number for each line item, from its key (the rows' order within equal keys can't matter)."""
+    return df.withColumn("point_id", F.col("ok") * 100 + F.col("ln"))
+
+
+# Points
+
+
+@query("p1_spherical_angles", f"WITH {ANGLES} SELECT {KEYS}, round(rng, 6) AS rangemeter, round(az, 6) AS azimuth, round(zen, 6) AS zenith, round(el, 6) AS elevation FROM va")
+def _p1(s, d):
+    return points.add_angles(views.points(s, d)).select(*KEY, *r6("rangemeter", "azimuth", "zenith", "elevation"))
+
+
+@query("p2_flip_upside_down", f"WITH {ANGLES} SELECT {KEYS}, round(-Z, 6) AS \"Z\", round(zen - 90, 6) AS elevation FROM va")
+def _p2(s, d):
+    return points.flip_upside_down(points.add_angles(views.points(s, d))).select(*KEY, *r6("Z", "elevation"))
+
+
+@query(
+    "p3_percentile_clean",
+    f"""WITH {ANGLES}, c AS (SELECT *, quantile_cont(rng, 0.98) OVER () AS rt, quantile_cont(Intensity, 0.98) OVER () AS it FROM va),
+    k AS (SELECT * FROM c WHERE rng BETWEEN 0.01 AND rt AND Intensity BETWEEN 0.001 AND it)
+    SELECT {KEYS}, round((Intensity - min(Intensity) OVER ()) / (max(Intensity) OVER () - min(Intensity) OVER ()), 6) AS \"Intensity\" FROM k""",
+)
+def _p3(s, d):
+    return points.clean(points.add_angles(views.points(s, d)), 2.0).select(*KEY, *r6("Intensity"))
+
+
+@query("p7_pixel_map", f"WITH {pixel_sql()} SELECT {KEYS}, xp AS x_pix, yp AS y_pix FROM vp")
+def _p7(s, d):
+    return _pixels(s, d).select(*KEY, "x_pix", "y_pix")
+
+
+@query(
+    "p9_normalise_invert",
+    f"""WITH {POINTS}, m AS (SELECT *, min(Z) OVER () AS a, max(Z) OVER () AS b, min(Intensity) OVER () AS i0, max(Intensity) OVER () AS i1 FROM v1)
+    SELECT {KEYS}, round(0.01 + 0.99 * ((a - Z) - (a - b)) / (0 - (a - b)), 6) AS \"Z\", round(0.01 + 0.99 * (Intensity - i0) / (i1 - i0), 6) AS \"Intensity\" FROM m""",
+)
+def _p9(s, d):
+    return points.invert_height(views.points(s, d)).select(*KEY, *r6("Z", "Intensity"))
+
+
+@query(
+    "p10_invalid_counts",
+    f"""WITH {ANGLES} SELECT count(*) FILTER (Intensity < 0 OR Intensity IS NULL) AS \"bad_Intensity\", count(*) FILTER (az < 0) AS bad_azimuth, count(*) FILTER (zen < 0) AS bad_zenith,
+    count(*) FILTER (rng < 0) AS bad_rangemeter FROM va""",
+)
+def _p10(s, d):
+    return points.invalid_counts(points.add_angles(views.points(s, d)))
+
+
+@query("p11_drop_class", f"WITH {pixel_sql()} SELECT {KEYS}, yp AS y_pix FROM vp WHERE class_id <> 7")
+def _p11(s, d):
+    return points.drop_class(_pixels(s, d)).select(*KEY, "y_pix")
+
+
+_UNIT = "sqrt(X * X + Y * Y + Z * Z)"
+
+
+@query(
+    "p13_normal_colour",
+    f"""WITH {VECTORS}, n AS (SELECT point_id, round(X / {_UNIT}, 5) AS nx, round(Y / {_UNIT}, 5) AS ny, round(Z / {_UNIT}, 5) AS nz FROM v2),
+    u AS (SELECT *, CASE WHEN avg(nz) OVER () < 0 THEN -nz ELSE nz END AS up FROM n),
+    h AS (SELECT point_id, (atan2(ny, nx) + pi()) / (2 * pi()) AS hue, 0.6::DOUBLE AS sat, (asin(up) + pi() / 2) / pi() AS v FROM u),
+    f AS (SELECT *, floor(hue * 6) AS i, hue * 6 - floor(hue * 6) AS f FROM h),
+    q AS (SELECT *, v * (1 - sat) AS p, v * (1 - sat * f) AS q, v * (1 - sat * (1 - f)) AS t, i::INT % 6 AS k FROM f)
+    SELECT point_id, round(CASE k WHEN 0 THEN v WHEN 1 THEN q WHEN 2 THEN p WHEN 3 THEN p WHEN 4 THEN t ELSE v END, 6) AS n_r,
+      round(CASE k WHEN 0 THEN t WHEN 1 THEN v WHEN 2 THEN v WHEN 3 THEN q WHEN 4 THEN p ELSE p END, 6) AS n_g,
+      round(CASE k WHEN 0 THEN p WHEN 1 THEN p WHEN 2 THEN t WHEN 3 THEN v WHEN 4 THEN v ELSE q END, 6) AS n_b FROM q""",
+)
+def _p13(s, d):
+    v = views.vectors(s, d)
+    length = F.sqrt(F.col("X") * F.col("X") + F.col("Y") * F.col("Y") + F.col("Z") * F.col("Z"))
+    v = v.select("point_id", *[(F.col(a) / length).alias(f"n{a.lower()}") for a in "XYZ"])
+    return points.normal_colours(v).select("point_id", *r6("n_r", "n_g", "n_b"))
+
+
+@query("p14_range_from_centroid", f"WITH {VECTORS}, c AS (SELECT *, avg(X) OVER () AS a, avg(Y) OVER () AS b, avg(Z) OVER () AS c FROM v2) SELECT point_id, round(sqrt((X - a) * (X - a) + (Y - b) * (Y - b) + (Z - c) * (Z - c)), 6) AS range FROM c")
+def _p14(s, d):
+    return points.range_from_centre(views.vectors(s, d)).select("point_id", *r6("range"))
+
+
+@query(
+    "p15_rotate_recentre",
+    f"""WITH {POINTS}, z AS (SELECT *, avg(Z) OVER () AS mz FROM v1), t(position_id, tx, ty) AS (VALUES (1, 0.5, 0.25), (2, -3.0, 7.5), (3, 10.0, 0.0))
+    SELECT {KEYS}, position_id, round((X * 0.6 - Y * 0.8) - tx, 6) AS \"X\", round((X * 0.8 + Y * 0.6) - ty, 6) AS \"Y\", round(Z - mz, 6) AS \"Z\" FROM z, t""",
+)
+def _p15(s, d):
+    where = s.sql("SELECT * FROM VALUES (1, 0.5D, 0.25D), (2, -3.0D, 7.5D), (3, 10.0D, 0.0D) AS t(position_id, tx, ty)")
+    return points.recentre(points.rotate_xy(views.points(s, d), ((0.6, -0.8), (0.8, 0.6))), where).select(*KEY, "position_id", *r6("X", "Y", "Z"))
+
+
+@query("p16_replace_ground", f"WITH {POINTS}, u AS (SELECT X, Y, class_id FROM v1 WHERE class_id <> 1 UNION ALL SELECT X, Y, class_id FROM v1 WHERE class_id = 1 AND ok % 10 = 0) SELECT class_id, count(*) AS n, round(sum(X * 0.6 - Y * 0.8), 3) AS sx FROM u GROUP BY 1")
+def _p16(s, d):
+    v = views.points(s, d)
+    out = points.replace_ground(v, v.where("class_id = 1 and ok % 10 = 0"), ((0.6, -0.8), (0.8, 0.6)))
+    return out.groupBy("class_id").agg(F.count("*").alias("n"), F.round(F.sum("X"), 3).alias("sx"))
+
+
+@query("p18_rescale_uint16", f"WITH {POINTS} SELECT {KEYS}, trunc(Intensity / 200000 * 65535)::INT AS \"Intensity\" FROM v1")
+def _p18(s, d):
+    v = views.points(s, d).withColumn("Intensity", F.col("Intensity") / 200000)
+    return points.to_uint16(v).select(*KEY, "Intensity")
+
+
+@query("p22_legacy_pixels", f"WITH {ANGLES} SELECT {KEYS}, least(greatest(trunc(az / 360 * 71)::INT, 0), 71) AS x_pix, least(greatest(trunc(35 - zen / 135 * 35)::INT, 0), 35) AS y_pix FROM va WHERE rng BETWEEN 5 AND 50")
+def _p22(s, d):
+    return points.to_pixels_legacy(points.add_angles(views.points(s, d)), 36, 72, True, 5.0, 50.0).select(*KEY, "x_pix", "y_pix")
+
+
+@query("p23_half_cylinder", f"WITH {POINTS} SELECT {KEYS}, round(sqrt(X * X + Y * Y), 6) AS rho, round(atan2(Y, X), 6) AS phi FROM v1 WHERE sqrt(X * X + Y * Y) <= 20 AND Y >= 0")
+def _p23(s, d):
+    return points.cylinder(views.points(s, d), 20.0, True).select(*KEY, *r6("rho", "phi"))
+
+
+@query("p24_first_returns", f"WITH {POINTS} SELECT {KEYS} FROM v1 WHERE class_id = 1 AND Intensity > 50 AND Intensity < 1000")
+def _p24(s, d):
+    return points.first_returns(views.points(s, d).withColumn("return_number", F.col("class_id"))).select(*KEY)
+
+
+@query(
+    "p25_column_profile",
+    f"""WITH {POINTS} SELECT 'X' AS "column", count(X) AS n, min(X) AS lowest, max(X) AS highest, round(avg(X), 6) AS mean FROM v1
+    UNION ALL SELECT 'Intensity', count(Intensity), min(Intensity), max(Intensity), round(avg(Intensity), 6) FROM v1 UNION ALL SELECT 'class_id', count(class_id), min(class_id), max(class_id), round(avg(class_id), 6) FROM v1""",
+)
+def _p25(s, d):
+    return points.column_profile(views.points(s, d), ["X", "Intensity", "class_id"]).select("column", "n", "lowest", "highest", *r6("mean"))
+
+
+# Pixels
+
+
+_NEAREST = f"""WITH {pixel_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY scan_id, yp, xp ORDER BY rng, {KEYS}) AS k, count(*) OVER (PARTITION BY scan_id, yp, xp) AS n FROM vp)"""
+
+
+@query("a1_nearest_per_pixel", _NEAREST + " SELECT scan_id, yp AS y_pix, xp AS x_pix, round(Intensity, 6) AS \"Intensity\", round(X, 6) AS \"X\", class_id FROM r WHERE k = 1")
+def _a1(s, d):
+    return raster.nearest_per_pixel(_pixels(s, d), ["Intensity", "X", "class_id"], KEY).select("scan_id", "y_pix", "x_pix", *r6("Intensity", "X"), "class_id")
+
+
+@query("a2_nearest_and_density", _NEAREST + " SELECT scan_id, yp AS y_pix, xp AS x_pix, n AS density, class_id, round(rng, 6) AS rangemeter FROM r WHERE k = 1")
+def _a2(s, d):
+    return raster.nearest_per_pixel(_pixels(s, d), ["class_id", "rangemeter"], KEY).select("scan_id", "y_pix", "x_pix", "density", "class_id", *r6("rangemeter"))
+
+
+@query(
+    "a3_pixel_mode_label",
+    f"""WITH {pixel_sql()}, c AS (SELECT scan_id, yp, xp, class_id, count(*) AS n FROM vp GROUP BY ALL),
+    k AS (SELECT *, row_number() OVER (PARTITION BY scan_id, yp, xp ORDER BY n DESC, class_id) AS k FROM c) SELECT scan_id, yp AS y_pix, xp AS x_pix, class_id FROM k WHERE k = 1""",
+)
+def _a3(s, d):
+    return raster.mode_per_pixel(_pixels(s, d), "class_id")
+
+
+@query("a4_pixel_mean", f"WITH {pixel_sql()} SELECT scan_id, yp AS y_pix, xp AS x_pix, round(avg(Intensity), 4) AS \"Intensity\", count(*) AS density FROM vp GROUP BY ALL")
+def _a4(s, d):
+    return raster.mean_per_pixel(_pixels(s, d), ["Intensity"]).withColumn("Intensity", F.round("Intensity", 4))
+
+
+@query("a4_last_writer", f"WITH {pixel_sql()} SELECT scan_id, yp AS y_pix, xp AS x_pix, round(arg_max(Intensity, ok::VARCHAR || '|' || ln || '|' || pk || '|' || sk), 6) AS \"Intensity\" FROM vp GROUP BY ALL")
+def _a4b(s, d):
+    df = _pixels(s, d).withColumn("o", F.concat_ws("|", *KEY))
+    return raster.last_writer_per_pixel(df, ["Intensity"], "o").withColumn("Intensity", F.round("Intensity", 6))
+
+
+@query("a5_wrapped_mean", f"WITH {pixel_sql()} SELECT ((yp - 1) % 36 + 36) % 36 AS y_pix, ((xp - 1) % 72 + 72) % 72 AS x_pix, round(avg(Intensity), 4) AS \"Intensity\" FROM vp GROUP BY 1, 2")
+def _a5(s, d):
+    return raster.wrapped_mean(_pixels(s, d), 36, 72).withColumn("Intensity", F.round("Intensity", 4))
+
+
+@query("p26_polar_pixels", f"WITH {ANGLES} SELECT {KEYS}, round_even(zen * cos(radians(az)) * 2 + 180, 0)::INT AS \"row\", round_even(zen * sin(radians(az)) * 2 + 180, 0)::INT AS \"column\" FROM va")
+def _p26(s, d):
+    return points.polar_pixels(points.add_angles(views.points(s, d))).select(*KEY, "row", "column")
+
+
+@query("a6_class_counts", f"WITH {POINTS} SELECT class_id, count(*) AS n FROM v1 GROUP BY 1")
+def _a6(s, d):
+    return histogram.class_counts(views.points(s, d), "class_id")
+
+
+@query("a7_class_share", f"WITH {POINTS} SELECT scan_id, class_id, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY scan_id), 6) AS share FROM v1 GROUP BY 1, 2")
+def _a7(s, d):
+    return histogram.class_shares(views.points(s, d), "class_id", ("scan_id",)).select("scan_id", "class_id", "n", *r6("share"))
+
+
+@query(
+    "a8_before_after",
+    """WITH b AS (SELECT quality AS label, count(*) AS n FROM labels GROUP BY 1), a AS (SELECT toxic AS label, count(*) AS n FROM labels GROUP BY 1),
+    j AS (SELECT label, coalesce(b.n, 0) AS original, coalesce(a.n, 0) AS refined FROM b FULL JOIN a USING (label))
+    SELECT label, original, refined, refined - original AS difference, round((refined - original) * 100 / nullif(original, 0), 6) AS percent FROM j""",
+)
+def _a8(s, d):
+    return histogram.before_after(views.read(s, d, "labels"), "quality", "toxic").select("label", "original", "refined", "difference", *r6("percent"))
+
+
+@query("a9_rare_major", f"WITH {POINTS} SELECT class_id, count(*) AS n, CASE WHEN count(*) / sum(count(*)) OVER () < 0.1428 THEN 'rare' ELSE 'major' END AS kind FROM v1 GROUP BY 1")
+def _a9(s, d):
+    return histogram.rare_and_major(views.points(s, d), "class_id", 0.1428).select("class_id", "n", "kind")
+
+
+def _hist_sql(cte: str, table: str, value: str, bins: int) -> str:
+    return f"""WITH {cte}, m AS (SELECT min({value})::DOUBLE AS lo, max({value})::DOUBLE AS hi FROM {table}),
+    b AS (SELECT least(floor(({value} - lo) / ((hi - lo) / {bins})), {bins - 1})::INT AS bin, count(*) AS n FROM {table}, m GROUP BY 1)
+    SELECT k::INT AS bin, round(lo + (hi - lo) * k / {bins}, 4) AS edge, coalesce(n, 0) AS n FROM range({bins}) r(k) CROSS JOIN m LEFT JOIN b ON b.bin = k"""
+
+
+@query("a10_histogram20", _hist_sql(POINTS, "v1", "Intensity", 20))
+def _a10(s, d):
+    return histogram.histogram(views.points(s, d), "Intensity", 20)
+
+
+@query("a11_exact_or_binned", f"WITH {POINTS} SELECT class_id::DOUBLE AS \"value\", count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM v1 GROUP BY 1")
+def _a11(s, d):
+    return histogram.exact_or_binned(views.points(s, d), "class_id").select("value", "n", *r6("share"))
+
+
+@query(
+    "a12_top9_other",
+    f"""WITH {POINTS}, c AS (SELECT (pk % 40)::VARCHAR AS v, count(*) AS n FROM v1 GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, v) AS k FROM c)
+    SELECT CASE WHEN k > 9 THEN 'Other' ELSE v END AS "value", sum(n)::BIGINT AS n FROM k GROUP BY 1""",
+)
+def _a12(s, d):
+    return histogram.top_and_other(views.points(s, d).withColumn("v", F.col("pk") % 40), "v")
+
+
+@query("a13_density_class", f"WITH {pixel_sql()}, p AS (SELECT scan_id, yp, xp, count(*) AS n FROM vp GROUP BY ALL) SELECT least(n, 3)::INT AS density_class, count(*) AS n FROM p GROUP BY 1")
+def _a13(s, d):
+    return histogram.density_classes(_pixels(s, d).groupBy(*raster.PIXEL).agg(F.count("*").alias("density")))
+
+
+@query("a14_column_histogram256", _hist_sql(EVENTS, "v3", "rangemeter", 256))
+def _a14(s, d):
+    return histogram.histogram(views.events(s, d), "rangemeter", 256)
+
+
+_GRID = f"""{POINTS}, m AS (SELECT min(X) AS x0, max(X) AS x1, min(Y) AS y0, max(Y) AS y1 FROM v1),
+    c AS (SELECT least(floor((X - x0) / ((x1 - x0) / 32)), 31)::INT AS gx, least(floor((Y - y0) / ((y1 - y0) / 32)), 31)::INT AS gy, count(*) AS n FROM v1, m GROUP BY 1, 2)"""
+
+
+@query("a15_grid_count", f"WITH {_GRID} SELECT gx, gy, n FROM c")
+def _a15(s, d):
+    return histogram.grid_counts(views.points(s, d), 32)
+
+
+@query(
+    "a16_grid_invert",
+    f"""WITH {_GRID}, f AS (SELECT x::INT AS gx, y::INT AS gy, coalesce(n, 0) AS n FROM range(32) a(x) CROSS JOIN range(32) b(y) LEFT JOIN c ON gx = x AND gy = y)
+    SELECT gx, gy, floor((max(n) OVER () - n) * 255::DOUBLE / (max(n) OVER () - min(n) OVER ()))::INT AS grey FROM f""",
+)
+def _a16(s, d):
+    return histogram.inverted_grid(histogram.grid_counts(views.points(s, d), 32), 32)
+
+
+_NTH = "SELECT a.{g}, a.point_id, a.k, sqrt((a.X-b.X)*(a.X-b.X)+(a.Y-b.Y)*(a.Y-b.Y)+(a.Z-b.Z)*(a.Z-b.Z)) AS dist, row_number() OVER (PARTITION BY a.{g}, a.point_id ORDER BY (a.X-b.X)*(a.X-b.X)+(a.Y-b.Y)*(a.Y-b.Y)+(a.Z-b.Z)*(a.Z-b.Z), b.point_id) AS rank FROM {a} a JOIN {b} b ON a.{g} = b.{g}"
+_DENSITY = "k / nullif(4 / 3::DOUBLE * pi() * dist * dist * dist, 0)"
+
+
+@query(
+    "a17_density_vs_range",
+    f"""WITH {VECTORS}, c AS (SELECT *, avg(X) OVER () AS a, avg(Y) OVER () AS b, avg(Z) OVER () AS c FROM v2),
+    r AS (SELECT *, sqrt((X - a) * (X - a) + (Y - b) * (Y - b) + (Z - c) * (Z - c)) AS rng FROM c), g AS (SELECT *, least(floor(rng / 0.1), 3)::INT AS bin FROM r),
+    n AS (SELECT *, count(*) OVER (PARTITION BY bin) AS n, least(50, floor(count(*) OVER (PARTITION BY bin) / 2))::INT AS k, row_number() OVER (PARTITION BY bin ORDER BY point_id) - 1 AS i FROM g),
+    q AS (SELECT * FROM n WHERE n >= 10 AND k >= 5), t AS (SELECT * FROM q WHERE i % greatest(1, floor(n / 100)) = 0),
+    e AS ({_NTH.format(g="bin", a="t", b="q")}), f AS (SELECT bin, {_DENSITY} AS density FROM e WHERE rank = k),
+    s AS (SELECT bin, quantile_cont(density, 0.5) AS median, quantile_cont(density, 0.25) AS q25, quantile_cont(density, 0.75) AS q75 FROM f GROUP BY bin),
+    p AS (SELECT bin, count(*) AS points FROM g GROUP BY bin)
+    SELECT p.bin, points, round(median, 4) AS median, round(q25, 4) AS q25, round(q75, 4) AS q75 FROM p LEFT JOIN s ON p.bin = s.bin""",
+)
+def _a17(s, d):
+    out = profile.density_by_range(views.vectors(s, d), 0.1, 0.3, 0.1)
+    return out.select("bin", "points", *[F.round(c, 4).alias(c) for c in ("median", "q25", "q75")])
+
+
+@query("a18_density_across_scans")
+def _a18(s, d):
+    v = views.vectors(s, d).withColumn("scan_id", (F.col("point_id") % 3).cast("string"))
+    return profile.density_across_scans(profile.density_by_range(v, 0.1, 0.3, 0.1, ("scan_id",)), "0")
+
+
+@query(
+    "a19_vertical_density",
+    f"""WITH {VECTORS}, z AS (SELECT *, min(Z) OVER () AS z0, floor((Z - min(Z) OVER ()) / 0.1)::INT AS bin FROM v2),
+    n AS (SELECT *, count(*) OVER (PARTITION BY bin) AS n, least(50, floor(count(*) OVER (PARTITION BY bin) / 2))::INT AS k FROM z), q AS (SELECT * FROM n WHERE n >= 10 AND k >= 5),
+    e AS ({_NTH.format(g="bin", a="q", b="q")}) SELECT e.bin, e.point_id, round({_DENSITY}, 4) AS density, printf('%.2fm', z0 + e.bin * 0.1) AS label FROM e JOIN (SELECT DISTINCT z0 FROM z) ON true WHERE rank = k""",
+)
+def _a19(s, d):
+    return profile.density_by_height(views.vectors(s, d), 0.1, 0.1).select("bin", "point_id", F.round("density", 4).alias("density"), "label")
+
+
+@query("a20_vertical_per_scan")
+def _a20(s, d):
+    v = views.vectors(s, d).withColumn("scan_id", (F.col("point_id") % 3).cast("string"))
+    return profile.density_by_height_sampled(v, 0.1)
+
+
+@query("a21_density_summary", "SELECT round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75, min(value) AS lowest, max(value) AS highest FROM events")
+def _a21(s, d):
+    return profile.density_summary(views.read(s, d, "events"), "value").select(*r6("median", "q25", "q75"), "lowest", "highest")
+
+
+@query(
+    "a22_stats_by_label",
+    f"""WITH {POINTS} SELECT scan_id, class_id, round(quantile_cont(Intensity, 0.5), 4) AS median, round(quantile_cont(Intensity, 0.75) - quantile_cont(Intensity, 0.25), 4) AS iqr,
+    round(quantile_cont(Intensity, 0.95), 4) AS p95, round(quantile_cont(Intensity, 0.25), 4) AS q25, round(quantile_cont(Intensity, 0.75), 4) AS q75, count(Intensity) AS valid, 0::BIGINT AS nan_count
+    FROM v1 GROUP BY GROUPING SETS ((scan_id, class_id), (class_id))""",
+)
+def _a22(s, d):
+    out = profile.value_by_label(views.points(s, d), "Intensity", "class_id", "scan_id")
+    return out.select("scan_id", "class_id", *[F.round(c, 4).alias(c) for c in ("median", "iqr", "p95", "q25", "q75")], "valid", "nan_count")
+
+
+@query("a23_minmax", f"WITH {VECTORS} SELECT point_id, round((X - min(X) OVER ()) / (max(X) OVER () - min(X) OVER () + 1e-8), 6) AS \"X\", round((Y - min(Y) OVER ()) / (max(Y) OVER () - min(Y) OVER () + 1e-8), 6) AS \"Y\" FROM v2")
+def _a23(s, d):
+    return image.min_max_scale(views.vectors(s, d), ["X", "Y"]).select("point_id", *r6("X", "Y"))
+
+
+@query("a24_zscore", f"WITH {VECTORS} SELECT point_id, round((X - avg(X) OVER ()) / stddev_pop(X) OVER (), 6) AS \"X\", round((Z - avg(Z) OVER ()) / stddev_pop(Z) OVER (), 6) AS \"Z\" FROM v2")
+def _a24(s, d):
+    return image.z_score(views.vectors(s, d), ["X", "Z"]).select("point_id", *r6("X", "Z"))
+
+
+@query("a25_corr_matrix", f"WITH {VECTORS} SELECT 'X' AS a, 'Y' AS b, round(corr(X, Y), 6) AS r FROM v2 UNION ALL SELECT 'X', 'Z', round(corr(X, Z), 6) FROM v2 UNION ALL SELECT 'Y', 'Z', round(corr(Y, Z), 6) FROM v2")
+def _a25(s, d):
+    return image.correlations(views.vectors(s, d), ["X", "Y", "Z"]).select("a", "b", *r6("r"))
+
+
+@query("a26_channel_values", f"WITH {POINTS} SELECT v AS \"value\", count(*) AS n FROM (SELECT unnest([pk % 256, sk % 256, ln]) AS v FROM v1) GROUP BY 1")
+def _a26(s, d):
+    v = views.points(s, d).select((F.col("pk") % 256).alias("r"), (F.col("sk") % 256).alias("g"), F.col("ln").cast("long").alias("b"))
+    return histogram.channel_values(v)
+
+
+@query("a27_colour_domain", f"WITH {POINTS} SELECT (greatest(max(class_id), 9) + 1)::BIGINT AS n_colours FROM v1")
+def _a27(s, d):
+    return histogram.colour_domain(views.points(s, d), "class_id", [0, 3, 9])
+
+
+@query("a28_changed_labels", "SELECT count(*) FILTER (quality IS DISTINCT FROM toxic) AS changed FROM labels")
+def _a28(s, d):
+    return views.read(s, d, "labels").agg(histogram.changed("quality", "toxic").alias("changed"))
+
+
+@query("a30_bounding_box", f"WITH {POINTS} SELECT scan_id, min(X) AS min_x, max(X) AS max_x, min(Y) AS min_y, max(Y) AS max_y, min(Z) AS min_z, max(Z) AS max_z FROM v1 GROUP BY 1")
+def _a30(s, d):
+    return histogram.bounding_box(views.points(s, d), ("scan_id",))
+
+
+@query("a31_adaptive_radius", f"WITH {VECTORS} SELECT count(*) AS n, round(pow(3.0 * 30 / (4 * pi()) * ((max(X) - min(X)) * (max(Y) - min(Y)) * (max(Z) - min(Z))) / count(*), 1.0::DOUBLE / 3), 6) AS radius FROM v2")
+def _a31(s, d):
+    return histogram.adaptive_radius(views.vectors(s, d)).select("n", *r6("radius"))
+
+
+@query("a32_counts_by_kind", "SELECT source, lang, count(*) AS n FROM documents GROUP BY CUBE (source, lang)")
+def _a32(s, d):
+    return histogram.counts_by_kind(views.read(s, d, "documents"), "source", "lang")
+
+
+# Joins
+
+
+@query("j1_attach_labels", "SELECT d.doc_id AS point_id, source AS scan_id, quality AS label FROM labels l JOIN documents d ON d.doc_id = l.doc_id")
+def _j1(s, d):
+    labels = views.read(s, d, "labels").join(views.read(s, d, "documents").select("doc_id", "source"), "doc_id")
+    labels = labels.select(F.col("doc_id").alias("point_id"), F.col("source").alias("scan_id"), F.col("quality").alias("label"))
+    return raster.attach_labels(labels.drop("label"), labels).select("point_id", "scan_id", "label")
+
+
+@query(
+    "j2_pixel_lookup",
+    f"""WITH {pixel_sql()}, r AS (SELECT scan_id, yp, xp, min(class_id) AS found FROM vp WHERE yp < 18 GROUP BY ALL)
+    SELECT {KEYS}, coalesce(found, 0) AS found FROM vp LEFT JOIN r USING (scan_id, yp, xp)""",
+)
+def _j2(s, d):
+    px = _pixels(s, d)
+    mask = px.where("y_pix < 18").groupBy(*raster.PIXEL).agg(F.min("class_id").alias("found"))
+    return raster.look_up_pixels(px, mask, {"found": 0}).select(*KEY, "found")
+
+
+@query("j3_class_names", f"WITH {POINTS} SELECT coalesce(r_name, 'Unknown') AS name, count(*) AS n FROM v1 LEFT JOIN region ON class_id = r_regionkey GROUP BY 1")
+def _j3(s, d):
+    names = views.read(s, d, "region").select(F.col("r_regionkey").alias("class_id"), F.col("r_name").alias("name"))
+    return raster.look_up_dimension(views.points(s, d), names, "class_id", {"name": "Unknown"}).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query(
+    "j4_palette_match",
+    f"""WITH {POINTS} SELECT {KEYS}, CASE WHEN abs(pk % 8 - 7) <= 3 AND abs(sk % 8 - 4) <= 3 AND abs(ln - 4) <= 3 THEN 3 WHEN abs(pk % 8 - 2) <= 3 AND abs(sk % 8 - 2) <= 3 AND abs(ln - 2) <= 3 THEN 2
+    WHEN abs(pk % 8) <= 3 AND abs(sk % 8) <= 3 AND abs(ln) <= 3 THEN 1 ELSE 0 END AS class_id FROM v1""",
+)
+def _j4(s, d):
+    px = views.points(s, d).select(*KEY, (F.col("pk") % 8).alias("r"), (F.col("sk") % 8).alias("g"), F.col("ln").alias("b"))
+    return raster.match_palette(px, [(0, 0, 0, 1), (2, 2, 2, 2), (7, 4, 4, 3)]).select(*KEY, "class_id")
+
+
+_PAIRS = "SELECT a.point_id, b.point_id AS nbr_id, b.X - a.X AS \"dX\", b.Y - a.Y AS \"dY\", b.Z - a.Z AS \"dZ\", sqrt((b.X-a.X)*(b.X-a.X)+(b.Y-a.Y)*(b.Y-a.Y)+(b.Z-a.Z)*(b.Z-a.Z)) AS dist FROM v2 a, v2 b"
+
+
+@query("j6_radius_pairs", f"WITH {VECTORS}, p AS ({_PAIRS}) SELECT point_id, nbr_id, round(dist, 6) AS dist FROM p WHERE dist <= 0.05")
+def _j6(s, d):
+    v = views.vectors(s, d)
+    return spatial.radius_pairs(v, v, 0.05).select("point_id", "nbr_id", *r6("dist"))
+
+
+_ADAPTIVE = f"""{VECTORS}, p AS ({_PAIRS}), k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist, nbr_id) AS k FROM p),
+    w AS (SELECT point_id, least(greatest(1.5 * max(dist) FILTER (k = 21), 0.05), 0.2) AS r FROM k GROUP BY 1), e AS (SELECT k.* FROM k JOIN w USING (point_id) WHERE dist <= r AND k <= 50)"""
+
+
+@query("j6_adaptive_count", f"WITH {_ADAPTIVE} SELECT point_id, count(*) AS n_nbrs FROM e GROUP BY 1")
+def _j6b(s, d):
+    return spatial.adaptive_neighbours(views.vectors(s, d), 0.05).groupBy("point_id").agg(F.count("*").alias("n_nbrs"))
+
+
+@query("j7_knn", f"WITH {VECTORS}, p AS ({_PAIRS}), k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist, nbr_id) AS rank FROM p) SELECT point_id, rank::INT AS rank, nbr_id, round(dist, 6) AS dist FROM k WHERE rank <= 8")
+def _j7(s, d):
+    v = views.vectors(s, d)
+    return spatial.knn(v, v, 8, 0.1).select("point_id", F.col("rank").cast("int").alias("rank"), "nbr_id", *r6("dist"))
+
+
+@query("j8_nearest_across", f"WITH {VECTORS}, p AS ({_PAIRS} WHERE a.point_id % 5 = 0 AND b.point_id % 5 <> 0), k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist, nbr_id) AS k FROM p) SELECT point_id, nbr_id, round(dist, 6) AS dist FROM k WHERE k = 1")
+def _j8(s, d):
+    v = views.vectors(s, d)
+    return spatial.knn(v.where("point_id % 5 = 0"), v.where("point_id % 5 <> 0"), 1, 0.1).select("point_id", "nbr_id", *r6("dist"))
+
+
+@query("j9_circle_regions", f"WITH {POINTS}, c(centre_id, cx, cy) AS (VALUES (1, 0.0, 0.0), (2, 3.0, 4.0), (3, -20.0, -40.0)) SELECT centre_id, count(*) AS n FROM v1, c WHERE sqrt((X - cx) * (X - cx) + (Y - cy) * (Y - cy)) <= 6 GROUP BY ROLLUP (centre_id)")
+def _j9(s, d):
+    centres = s.sql("SELECT * FROM VALUES (1, 0.0D, 0.0D), (2, 3.0D, 4.0D), (3, -20.0D, -40.0D) AS c(centre_id, cx, cy)")
+    return histogram.region_totals(spatial.in_circles(views.points(s, d), centres, 6.0), "centre_id")
+
+
+@query("j10_semi_core", f"WITH {VECTORS} SELECT point_id, class_id FROM v2 WHERE point_id IN (SELECT doc_id FROM labels)")
+def _j10(s, d):
+    return spatial.core_rows(views.vectors(s, d), views.read(s, d, "labels").select(F.col("doc_id").alias("point_id"))).select("point_id", "class_id")
+
+
+@query("j11_manifest", "SELECT split_part(split_part(url, '//', 2), '/', 2) AS lang, count(*) AS n, min(page_id) AS first_id FROM pages GROUP BY 1")
+def _j11(s, d):
+    host = F.split_part("url", F.lit("//"), F.lit(2))
+    return views.read(s, d, "pages").groupBy(F.split_part(host, F.lit("/"), F.lit(2)).alias("lang")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_id"))
+
+
+@query("j12_pairing", "SELECT DISTINCT d.source, replace(d.source, 'src', 'label') AS pair FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+def _j12(s, d):
+    paths = views.read(s, d, "documents").join(views.read(s, d, "labels").select("doc_id"), "doc_id", "left_semi").select("source").distinct()
+    return paths.withColumn("pair", F.regexp_replace("source", "src", "label"))
+
+
+# Geometry
+
+
+_COV = f"""{_ADAPTIVE}, c AS (SELECT point_id, count(*) AS n_nbrs, covar_samp("dX", "dX") AS a, covar_samp("dY", "dY") AS b, covar_samp("dZ", "dZ") AS c, covar_samp("dX", "dY") AS d, covar_samp("dY", "dZ") AS e, covar_samp("dX", "dZ") AS f FROM e GROUP BY 1),
+    m AS (SELECT *, (a + b + c) / 3 AS m FROM c), s AS (SELECT *, sqrt(((a-m)*(a-m)+(b-m)*(b-m)+(c-m)*(c-m)+2*(d*d+e*e+f*f))/6) AS s FROM m),
+    r AS (SELECT *, acos(greatest(-1, least(1, ((a-m)*((b-m)*(c-m)-e*e)-d*(d*(c-m)-e*f)+f*(d*e-(b-m)*f))/nullif(2*s*s*s, 0))))/3 AS phi FROM s),
+    g AS (SELECT *, CASE WHEN s > 0 THEN m+2*s*cos(phi) ELSE m END AS l3, CASE WHEN s > 0 THEN m+2*s*cos(phi+2*pi()/3) ELSE m END AS l1 FROM r), h AS (SELECT *, 3*m-l1-l3 AS l2 FROM g)"""
+
+
+@query(
+    "f1_geometric_features",
+    f"""WITH {_COV} SELECT point_id, n_nbrs, round(coalesce(l1 / nullif(l1 + l2 + l3, 0), 0), 6) AS curvature, round(coalesce((l3 - l2) / greatest(l3, 1e-9), 0), 6) AS anisotropy,
+    round(coalesce((l2 - l1) / greatest(l3, 1e-9), 0), 6) AS planarity, round(sqrt(greatest(l3, 0)), 6) AS roughness FROM h""",
+)
+def _f1(s, d):
+    out = geom.eigen_features(geom.covariances(spatial.adaptive_neighbours(views.vectors(s, d), 0.05)))
+    return out.select("point_id", "n_nbrs", *r6("curvature", "anisotropy", "planarity", "roughness"))
+
+
+@query(
+    "f4_normals",
+    f"""WITH {_COV}, x AS (SELECT *, [d*e-f*(b-l1), f*d-(a-l1)*e, (a-l1)*(b-l1)-d*d] AS u, [d*(c-l1)-f*e, f*f-(a-l1)*(c-l1), (a-l1)*e-d*f] AS v, [(b-l1)*(c-l1)-e*e, e*f-d*(c-l1), d*e-(b-l1)*f] AS w FROM h),
+    y AS (SELECT *, u[1]*u[1]+u[2]*u[2]+u[3]*u[3] AS su, v[1]*v[1]+v[2]*v[2]+v[3]*v[3] AS sv, w[1]*w[1]+w[2]*w[2]+w[3]*w[3] AS sw FROM x),
+    z AS (SELECT point_id, CASE WHEN su >= sv AND su >= sw THEN u WHEN sv >= sw THEN v ELSE w END AS n, sqrt(greatest(su, sv, sw)) AS len FROM y),
+    t AS (SELECT z.*, CASE WHEN n[1]*X + n[2]*Y + n[3]*Z > 0 THEN -1 ELSE 1 END AS sgn FROM z JOIN v2 USING (point_id))
+    SELECT point_id, round(sgn * n[1] / len, 5) AS nx, round(sgn * n[2] / len, 5) AS ny, round(sgn * n[3] / len, 5) AS nz FROM t""",
+)
+def _f4(s, d):
+    return geom.geometric_features(views.vectors(s, d)).select("point_id", *[F.round(c, 5).alias(c) for c in ("nx", "ny", "nz")])
+
+
+@query("f6_spatial_batches")
+def _f6(s, d):
+    return geom.spatial_batches(views.points(s, d), 5000).groupBy("batch_x", "batch_y", "batch_z").agg(F.count("*").alias("n"))
+
+
+@query(
+    "f7_angular_batches",
+    f"""WITH {ANGLES}, m AS (SELECT min(az) AS a0, max(az) AS a1, min(el) AS e0, max(el) AS e1 FROM va)
+    SELECT greatest(ceil((az - a0) / ((a1 - a0) / 8)) - 1, 0)::INT AS batch_az, greatest(ceil((el - e0) / ((e1 - e0) / 4)) - 1, 0)::INT AS batch_el, count(*) AS n FROM va, m GROUP BY 1, 2""",
+)
+def _f7(s, d):
+    return geom.angular_batches(points.add_angles(views.points(s, d)), 8, 4).groupBy("batch_az", "batch_el").agg(F.count("*").alias("n"))
+
+
+@query("f10_roughness")
+def _f10(s, d):
+    return geom.roughness(views.vectors(s, d))
+
+
+@query("f14_plot_rotation")
+def _f14(s, d):
+    return points.rotate_xy(views.vectors(s, d), geom.plot_rotation(views.vectors(s, d))).select("point_id", *r6("X", "Y"))
+
+
+# Images
+
+
+@query(
+    "i1_stretch",
+    """WITH q AS (SELECT quantile_cont(value, 0.02) FILTER (value <> 0) AS lo, quantile_cont(value, 0.98) FILTER (value <> 0) AS hi FROM events)
+    SELECT event_id, round(CASE WHEN value = 0 THEN value ELSE (least(greatest(value, lo), hi) - lo) / (hi - lo) END, 6) AS value FROM events, q""",
+)
+def _i1(s, d):
+    return image.stretch(views.read(s, d, "events"), "value", 2.0).select("event_id", *r6("value"))
+
+
+@query(
+    "i2_hist_equal",
+    """WITH m AS (SELECT min(value) AS lo, max(value) AS hi FROM events WHERE value <> 0),
+    b AS (SELECT least(floor((value - lo) / ((hi - lo) / 256)), 255)::INT AS bin, count(*) AS n FROM events, m WHERE value <> 0 GROUP BY 1),
+    f AS (SELECT k::INT AS bin, coalesce(n, 0) AS n FROM range(256) r(k) LEFT JOIN b ON bin = k), c AS (SELECT bin, sum(n) OVER (ORDER BY bin) / sum(n) OVER () AS cdf FROM f),
+    a AS (SELECT event_id, least(greatest((value - lo) / ((hi - lo) / 256) - 0.5, 0), 255) AS p FROM events, m), e AS (SELECT *, least(floor(p), 254)::INT AS k FROM a)
+    SELECT event_id, round(x.cdf + (y.cdf - x.cdf) * (p - k), 6) AS value FROM e JOIN c x ON x.bin = k JOIN c y ON y.bin = k + 1""",
+)
+def _i2(s, d):
+    return image.equalise(views.read(s, d, "events"), "value").select("event_id", *r6("value"))
+
+
+_MASK = _NEAREST + ", p AS (SELECT scan_id, yp, xp, class_id FROM r WHERE k = 1), a AS (SELECT s AS scan_id, y::INT AS y_pix, x::INT AS x_pix FROM (SELECT DISTINCT scan_id AS s FROM v1), range(36) u(y), range(72) v(x))"
+
+
+@query("i5_mask_fill", _MASK + " SELECT a.scan_id, y_pix, x_pix, coalesce(class_id, 9) AS class_id FROM a LEFT JOIN p ON p.scan_id = a.scan_id AND yp = y_pix AND xp = x_pix")
+def _i5(s, d):
+    return raster.densify(raster.nearest_per_pixel(_pixels(s, d), ["class_id"], KEY).drop("density"), 36, 72, {"class_id": 9})
+
+
+@query("u5_densify", f"WITH {pixel_sql()}, p AS (SELECT yp, xp, count(*) AS n FROM vp GROUP BY ALL) SELECT y::INT AS y_pix, x::INT AS x_pix, coalesce(n, 0) AS density FROM range(36) u(y) CROSS JOIN range(72) v(x) LEFT JOIN p ON yp = y AND xp = x")
+def _u5(s, d):
+    counts = _pixels(s, d).groupBy("y_pix", "x_pix").agg(F.count("*").alias("density"))
+    return raster.densify(counts, 36, 72, {"density": 0}, ())
+
+
+@query("i7_pca")
+def _i7(s, d):
+    return image.pca(_bands(s, d), BANDS).select("point_id", "PCA1", "PCA2", "PCA3")
+
+
+@query("i8_mnf")
+def _i8(s, d):
+    return image.mnf(_bands(s, d), BANDS).select("point_id", "MNF1", "MNF2", "MNF3")
+
+
+@query("i9_ica")
+def _i9(s, d):
+    return image.ica(_bands(s, d), BANDS).select("point_id", "ICA1", "ICA2", "ICA3")
+
+
+BANDS = [f"b{i}" for i in range(9)]
+
+
+def _bands(s: SparkSession, d: str) -> DataFrame:
+    v = views.vectors(s, d)
+    return v.select("point_id", (F.col("point_id") / 25).cast("int").alias("y_pix"), (F.col("point_id") % 25).cast("int").alias("x_pix"), *[F.get("embedding", i).cast("double").alias(b) for i, b in enumerate(BANDS)])
+
+
+@query("i11_sparkline")
+def _i11(s, d):
+    return image.channel_metadata(views.vectors(s, d), ["X", "Y", "Z"])
+
+
+@query("i12_pseudo_rgb", f"WITH {VECTORS} SELECT point_id, round((Z - min(Z) OVER ()) / (max(Z) OVER () - min(Z) OVER () + 1e-8), 6) AS red, round((X - min(X) OVER ()) / (max(X) OVER () - min(X) OVER () + 1e-8), 6) AS green, round((Y - min(Y) OVER ()) / (max(Y) OVER () - min(Y) OVER () + 1e-8), 6) AS blue FROM v2")
+def _i12(s, d):
+    return raster.pseudo_rgb(views.vectors(s, d), ("Z", "X", "Y")).select("point_id", *r6("red", "green", "blue"))
+
+
+@query("i16_mask_diff", f"WITH {pixel_sql()}, p AS (SELECT scan_id, yp, xp, min(class_id) AS a, max(class_id) AS b FROM vp GROUP BY ALL) SELECT scan_id, yp AS y_pix, xp AS x_pix, CASE WHEN a = b THEN 0 ELSE 255 END AS difference FROM p")
+def _i16(s, d):
+    grouped = _pixels(s, d).groupBy(*raster.PIXEL)
+    return raster.mask_difference(grouped.agg(F.min("class_id").alias("class_id")), grouped.agg(F.max("class_id").alias("class_id")))
+
+
+# Samples
+
+
+_DRAW = f"md5(concat_ws('|', '42', {KEYS}))"
+
+
+@query("t2_exact_sample", f"WITH {POINTS} SELECT {KEYS} FROM v1 ORDER BY {_DRAW}, {KEYS} LIMIT 500")
+def _t2(s, d):
+    return sample.exact_sample(views.points(s, d), 500, KEY).select(*KEY)
+
+
+@query(
+    "t3_stratified",
+    f"""WITH {POINTS}, n AS (SELECT class_id, count(*) / sum(count(*)) OVER () < 0.1428 AS rare FROM v1 GROUP BY 1), q AS (SELECT *, floor(200 / nullif(sum(rare::INT) OVER (), 0)) AS quota FROM n),
+    m AS (SELECT v1.*, rare, quota, {_DRAW} AS u FROM v1 JOIN q USING (class_id)), a AS (SELECT {KEYS}, class_id FROM (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY u, {KEYS}) AS k FROM m WHERE rare) WHERE k <= quota),
+    b AS (SELECT {KEYS}, class_id FROM (SELECT *, row_number() OVER (ORDER BY u, {KEYS}) AS k FROM m WHERE NOT rare) WHERE k <= 400 - (SELECT count(*) FROM a))
+    SELECT * FROM a UNION ALL SELECT * FROM b""",
+)
+def _t3(s, d):
+    return sample.stratified_sample(views.points(s, d), "class_id", 400, KEY, 0.1428).select(*KEY, "class_id")
+
+
+@query("t5_stride", f"WITH {POINTS} SELECT {KEYS} FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY {KEYS}) - 1 AS i FROM v1) WHERE i % 7 = 0")
+def _t5(s, d):
+    return sample.stride_sample(views.points(s, d), 7, KEY, ["scan_id"]).select(*KEY)
+
+
+@query("t4_voxel_means", f"WITH {VECTORS} SELECT floor(X / 0.1)::BIGINT AS vx, floor(Y / 0.1)::BIGINT AS vy, floor(Z / 0.1)::BIGINT AS vz, round(avg(X), 6) AS \"X\", round(avg(Y), 6) AS \"Y\", round(avg(Z), 6) AS \"Z\", count(*) AS n FROM v2 GROUP BY 1, 2, 3")
+def _t4(s, d):
+    return spatial.voxel_means(views.vectors(s, d), 0.1).select("vx", "vy", "vz", *r6("X", "Y", "Z"), "n")
+
+
+@query(
+    "t4_voxel",
+    f"""WITH {VECTORS}, g AS (SELECT floor(X / 0.1) AS vx, floor(Y / 0.1) AS vy, floor(Z / 0.1) AS vz, avg(X) AS X, avg(Y) AS Y, avg(Z) AS Z FROM v2 GROUP BY 1, 2, 3),
+    p AS (SELECT vx, vy, vz, b.point_id, row_number() OVER (PARTITION BY vx, vy, vz ORDER BY sqrt((g.X-b.X)*(g.X-b.X)+(g.Y-b.Y)*(g.Y-b.Y)+(g.Z-b.Z)*(g.Z-b.Z)), b.point_id) AS k FROM g, v2 b) SELECT DISTINCT point_id FROM p WHERE k = 1""",
+)
+def _t4b(s, d):
+    return spatial.voxel_sample(views.vectors(s, d), 0.1).select("point_id")
+
+
+@query("t6_weighted_resample")
+def _t6(s, d):
+    return sample.weighted_resample(views.read(s, d, "events"), "value", "value", 1000, "event_id", "sqrt")
+
+
+@query("t9_train_split", f"WITH {POINTS}, k AS (SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY {_DRAW}, {KEYS}) AS k, count(*) OVER (PARTITION BY class_id) AS n FROM v1) SELECT {KEYS}, k <= round(n * 0.8) AS is_train FROM k")
+def _t9(s, d):
+    return sample.train_split(views.points(s, d), "class_id", KEY).select(*KEY, "is_train")
+
+
+# Order-dependent
+
+
+_ENC = """n AS (SELECT event_id, floor(value * 7919)::BIGINT % 16384 AS encoder FROM events),
+    l AS (SELECT *, lag(encoder) OVER (ORDER BY event_id) AS b, row_number() OVER (ORDER BY event_id) AS k, count(*) OVER () AS c FROM n),
+    s AS (SELECT *, CASE WHEN b IS NULL THEN 0 WHEN encoder < b AND k > c - 5 THEN NULL WHEN encoder < b THEN 16383 - b + encoder ELSE encoder - b END AS st FROM l),
+    w AS (SELECT event_id, last_value(st IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS increment FROM s)"""
+
+
+def _encoder(s: SparkSession, d: str) -> DataFrame:
+    rows = views.read(s, d, "events").select("event_id", (F.floor(F.col("value") * 7919) % 16384).alias("encoder"), F.lit("a").alias("scan_id"))
+    return decode.encoder_steps(rows, "event_id")
+
+
+@query("w1_encoder_increment", f"WITH {_ENC} SELECT event_id, increment FROM w")
+def _w1(s, d):
+    return _encoder(s, d).select("event_id", "increment")
+
+
+@query("w2_running_azimuth", f"WITH {_ENC} SELECT event_id, round(sum(increment) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) * (1 / 250.0::DOUBLE), 4) AS turned FROM w")
+def _w2(s, d):
+    return decode.running_azimuth(_encoder(s, d), "event_id").select("event_id", F.round("turned", 4).alias("turned"))
+
+
+@query("w3_adjacent_noise", f"WITH {VECTORS}, p AS (SELECT *, lag(X) OVER (PARTITION BY (point_id / 25)::INT ORDER BY point_id) AS b FROM (SELECT *, point_id // 25 AS yy FROM v2)), q AS (SELECT X - lag(X) OVER (PARTITION BY yy ORDER BY point_id) AS dx FROM p) SELECT count(dx) AS n, round(sum(dx * dx), 6) AS energy FROM q")
+def _w3(s, d):
+    v = views.vectors(s, d).withColumns({"y_pix": F.floor(F.col("point_id") / 25), "x_pix": F.col("point_id") % 25})
+    return image.noise(v, ["X"]).agg(F.count("X").alias("n"), F.round(F.sum(F.col("X") * F.col("X")), 6).alias("energy"))
+
+
+@query("g_decode_scan")
+def _g(s, d):
+    return decode.decode(_raw_scans(s, d)).select("scan_id", "line", "pulse", "return_number", *r6("rangemeter", "azimuth", "zenith", "X", "Y", "Z"), "Intensity")
+
+
+@query("a29_scan_info")
+def _a29(s, d):
+    return decode.scan_info(decode.parse_lines(decode.scan_lines(_raw_scans(s, d))))
+
+
+def _raw_scans(s: SparkSession, d: str) -> DataFrame:
+    """Raw scanner text made of events: ten pulses a line, a file for each event type."""
+    e = views.read(s, d, "events").select("event_type", "event_id", F.hex(F.floor(F.col("value") * 100).cast("long")).alias("h"), (F.floor(F.col("event_id") / 10)).alias("line"))
+    lines = e.groupBy("event_type", "line").agg(F.sort_array(F.collect_list(F.struct("event_id", "h"))).alias("v"))
+    values = F.array_join(F.transform("v", lambda x: x["h"]), " ")
+    block = lambda name: F.concat(F.lit(f"{name} 3F800000 00000000 9C4 A "), values, F.lit(" "))
+    head = F.concat(F.array_join(F.array_repeat(F.lit("0"), 19), " "), F.lit(" "), F.hex(F.col("line") * 25 % 16384), F.lit(" "))
+    text = F.concat(head, block("DIST1"), block("RSSI1"), block("DIST2"), block("RSSI2"))
+    files = lines.select("event_type", F.struct("line", text.alias("t")).alias("l")).groupBy("event_type").agg(F.sort_array(F.collect_list("l")).alias("ls"))
+    return files.select(F.col("event_type").alias("scan_id"), F.array_join(F.transform("ls", lambda x: x["t"]), decode.RECORD_END).alias("value"))
+
+
+# Sets
+
+
+@query("u2_distinct_union", "SELECT doc_id FROM labels UNION SELECT vec_id FROM embeddings")
+def _u2(s, d):
+    return views.read(s, d, "labels").select("doc_id").union(views.read(s, d, "embeddings").select("vec_id")).distinct()
+
+
+@query("u3_label_domain", "SELECT quality AS label FROM labels UNION SELECT toxic FROM labels")
+def _u3(s, d):
+    lb = views.read(s, d, "labels")
+    return lb.select(F.col("quality").alias("label")).union(lb.select("toxic")).distinct()
+
+
+@query("u4_intersect", "SELECT doc_id FROM labels INTERSECT SELECT vec_id FROM embeddings")
+def _u4(s, d):
+    return views.read(s, d, "labels").select("doc_id").intersect(views.read(s, d, "embeddings").select("vec_id"))
+
+
+@query("u7_align_union", f"WITH {POINTS}, {VECTORS} SELECT 255::DOUBLE AS \"Intensity\", class_id, round(X, 6) AS \"X\" FROM v2 UNION ALL SELECT Intensity, class_id, round(X, 6) FROM v1")
+def _u7(s, d):
+    like = views.points(s, d).select("Intensity", F.col("class_id").cast("int").alias("class_id"), "X")
+    return raster.align(views.vectors(s, d), like, {"Intensity": 255, "class_id": 9}).unionByName(like).select("Intensity", "class_id", *r6("X"))
+
+
+# Refinement
+
+
+@query(
+    "m1_knn_vote",
+    f"""WITH {VECTORS}, p AS ({_PAIRS}), k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist, nbr_id) AS rank FROM p),
+    c AS (SELECT k.point_id, a.class_id AS label, b.class_id AS nl, count(*) AS n FROM k JOIN v2 a ON a.point_id = k.point_id JOIN v2 b ON b.point_id = nbr_id WHERE rank <= 15 GROUP BY ALL),
+    w AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY (nl = 0)::INT, n DESC, nl) AS o, sum(n) OVER (PARTITION BY point_id) AS al, sum(CASE WHEN nl = label THEN n ELSE 0 END) OVER (PARTITION BY point_id) AS own FROM c)
+    SELECT point_id, label, CASE WHEN nl <> 0 AND (label = 0 OR own / al < 0.8) THEN nl ELSE label END AS vote FROM w WHERE o = 1""",
+)
+def _m1(s, d):
+    return refine.vote(views.vectors(s, d), 15, 0.8, 0.2)
+
+
+@query("m2_forest_refine")
+def _m2(s, d):
+    v = views.vectors(s, d).select("*", *[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(6)])
+    return refine.refine(v, [f"e{i}" for i in range(6)], 15, 0.5, 0.85, 0.2, trees=20).select("point_id", "label", "vote", "label_refined")
+
+
+# Generators
+
+
+@query(
+    "n1_ball",
+    """WITH g AS (SELECT (i % 72) * 5::DOUBLE AS azimuth, (i // 72) * 5::DOUBLE AS zenith FROM range(72 * 37) r(i))
+    SELECT azimuth, zenith, round(sin(radians(zenith)) * cos(radians(azimuth)), 6) AS \"X\", round(sin(radians(zenith)) * sin(radians(azimuth)), 6) AS \"Y\", round(cos(radians(zenith)), 6) AS \"Z\",
+    CASE WHEN least(zenith % 30, 30 - zenith % 30) <= 0.2 THEN 255 ELSE 0 END AS r, 0 AS g, CASE WHEN least(azimuth % 30, 30 - azimuth % 30) <= 0.2 THEN 255 ELSE 0 END AS b FROM g""",
+)
+def _n1(s, d):
+    return generate.ball(s).select("azimuth", "zenith", *r6("X", "Y", "Z"), "r", "g", "b")
+
+
+@query(
+    "n2_cube",
+    """WITH f(axis, sgn, r, g, b) AS (VALUES (0, 1, 255, 0, 0), (0, -1, 0, 255, 0), (1, 1, 0, 0, 255), (1, -1, 255, 255, 0), (2, 1, 255, 0, 255), (2, -1, 0, 255, 255)),
+    p AS (SELECT -1 + (i % 10) * (2 / 9::DOUBLE) AS u, -1 + (i // 10) * (2 / 9::DOUBLE) AS v FROM range(100) t(i))
+    SELECT round(CASE WHEN axis = 0 THEN sgn ELSE u END, 6) AS \"X\", round(CASE axis WHEN 1 THEN sgn WHEN 0 THEN u ELSE v END, 6) AS \"Y\", round(CASE WHEN axis = 2 THEN sgn ELSE v END, 6) AS \"Z\", r, g, b FROM p, f""",
+)
+def _n2(s, d):
+    return generate.cube(s).select(*r6("X", "Y", "Z"), "r", "g", "b")
