@@ -84,7 +84,7 @@ def to_cartesian(df: DataFrame, rng: str) -> DataFrame:
 def returns(df: DataFrame) -> DataFrame:
     """A row for each return: the first always, the second where it has a range."""
     n = F.when(F.col("r2") > 0, 2).when(F.col("r1") > 0, 1).otherwise(0)
-    both = F.array(F.struct(F.lit(1).alias("return_number"), F.col("r1").alias("rangemeter"), F.col("i1").alias("Intensity")), F.struct(F.lit(2), F.col("r2"), F.col("i2")))
+    both = F.array(F.struct(F.lit(1).alias("return_number"), F.col("r1").alias("rangemeter"), F.col("i1").alias("Intensity")), F.struct(F.lit(2).alias("return_number"), F.col("r2").alias("rangemeter"), F.col("i2").alias("Intensity")))
     kept = F.filter(both, lambda x: (x["return_number"] == 1) | (x["rangemeter"] > 0))
     flat = df.withColumn("n_returns", n).withColumn("_r", F.explode(kept)).select("*", "_r.*").drop("_r", "r1", "r2", "i1", "i2")
     return to_cartesian(flat, "rangemeter")

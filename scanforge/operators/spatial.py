@@ -81,7 +81,7 @@ def adaptive_neighbours(points: DataFrame, base: float, most: float = 0.2, k: in
     total = points.groupBy(*by).agg(F.count("*").alias("_all")) if by else points.agg(F.count("*").alias("_all"))
     near = near.withColumn("_k", F.row_number().over(group.orderBy("dist", "nbr_id"))).withColumn("_nth", F.max(F.when(F.col("_k") == nth, F.col("dist"))).over(group))
     near = near.join(F.broadcast(total), list(by)) if by else near.crossJoin(F.broadcast(total))
-    radius = F.when(F.col("_all") < nth, F.lit(base)).otherwise(F.coalesce(F.least(F.greatest(factor * F.col("_nth"), F.lit(base)), F.lit(most)), F.lit(most)))
+    radius = F.when(F.col("_all") < nth, F.lit(base)).when(F.col("_nth").isNull(), F.lit(most)).otherwise(F.least(F.greatest(factor * F.col("_nth"), F.lit(base)), F.lit(most)))
     within = near.where(F.col("dist") <= radius)
     rank = F.col("_k") if cap == "distance" else F.row_number().over(group.orderBy("nbr_id"))
     return within.withColumn("_r", rank).where(F.col("_r") <= k).select(*by, "point_id", "nbr_id", "dist", "dX", "dY", "dZ")

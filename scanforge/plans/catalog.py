@@ -199,9 +199,9 @@ def _a3(s, d):
     return raster.mode_per_pixel(_pixels(s, d), "class_id")
 
 
-@query("a4_pixel_mean", f"WITH {pixel_sql()} SELECT scan_id, yp AS y_pix, xp AS x_pix, round(avg(Intensity), 4) AS \"Intensity\", count(*) AS density FROM vp GROUP BY ALL")
+@query("a4_pixel_mean", f"WITH {pixel_sql()} SELECT scan_id, yp AS y_pix, xp AS x_pix, round(avg(Intensity) / 7, 6) AS \"Intensity\", count(*) AS density FROM vp GROUP BY ALL")
 def _a4(s, d):
-    return raster.mean_per_pixel(_pixels(s, d), ["Intensity"]).withColumn("Intensity", F.round("Intensity", 4))
+    return raster.mean_per_pixel(_pixels(s, d), ["Intensity"]).withColumn("Intensity", F.round(F.col("Intensity") / 7, 6))
 
 
 @query("a4_last_writer", f"WITH {pixel_sql()} SELECT scan_id, yp AS y_pix, xp AS x_pix, round(arg_max(Intensity, ok::VARCHAR || '|' || ln || '|' || pk || '|' || sk), 6) AS \"Intensity\" FROM vp GROUP BY ALL")
@@ -210,9 +210,9 @@ def _a4b(s, d):
     return raster.last_writer_per_pixel(df, ["Intensity"], "o").withColumn("Intensity", F.round("Intensity", 6))
 
 
-@query("a5_wrapped_mean", f"WITH {pixel_sql()} SELECT ((yp - 1) % 36 + 36) % 36 AS y_pix, ((xp - 1) % 72 + 72) % 72 AS x_pix, round(avg(Intensity), 4) AS \"Intensity\" FROM vp GROUP BY 1, 2")
+@query("a5_wrapped_mean", f"WITH {pixel_sql()} SELECT ((yp - 1) % 36 + 36) % 36 AS y_pix, ((xp - 1) % 72 + 72) % 72 AS x_pix, round(avg(Intensity) / 7, 6) AS \"Intensity\" FROM vp GROUP BY 1, 2")
 def _a5(s, d):
-    return raster.wrapped_mean(_pixels(s, d), 36, 72).withColumn("Intensity", F.round("Intensity", 4))
+    return raster.wrapped_mean(_pixels(s, d), 36, 72).withColumn("Intensity", F.round(F.col("Intensity") / 7, 6))
 
 
 @query("p26_polar_pixels", f"WITH {ANGLES} SELECT {KEYS}, round_even(zen * cos(radians(az)) * 2 + 180, 0)::INT AS \"row\", round_even(zen * sin(radians(az)) * 2 + 180, 0)::INT AS \"column\" FROM va")
@@ -275,9 +275,9 @@ def _a13(s, d):
     return histogram.density_classes(_pixels(s, d).groupBy(*raster.PIXEL).agg(F.count("*").alias("density")))
 
 
-@query("a14_column_histogram256", _hist_sql(EVENTS, "v3", "rangemeter", 256))
+@query("a14_column_histogram256", f"SELECT bin, n FROM ({_hist_sql(EVENTS, 'v3', 'rangemeter', 256)})")
 def _a14(s, d):
-    return histogram.histogram(views.events(s, d), "rangemeter", 256)
+    return histogram.histogram(views.events(s, d), "rangemeter", 256).select("bin", "n")
 
 
 _GRID = f"""{POINTS}, m AS (SELECT min(X) AS x0, max(X) AS x1, min(Y) AS y0, max(Y) AS y1 FROM v1),
