@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from scanforge.operators import decode, generate, geom, histogram, image, points, profile, raster, refine, sample, spatial
 from scanforge.plans import views
 from scanforge.plans.views import ANGLES, EVENTS, POINTS, VECTORS, pixel_sql
+from scanforge.streaming import scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -772,6 +774,16 @@ def _m2(s, d):
     return refine.refine(v, [f"e{i}" for i in range(6)], 15, 0.5, 0.85, 0.2, trees=20).select("point_id", "label", "vote", "label_refined")
 
 
+# Streams
+
+
+@query("st_hourly_events", "SELECT date_trunc('hour', ts)::TIMESTAMP AS \"start\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def _st(s, d):
+    stream = s.readStream.schema(views.read(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    out = scans.drain(scans.windowed_counts(stream), "st_hourly_events_" + uuid.uuid4().hex[:8])
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 # Generators
 
 
