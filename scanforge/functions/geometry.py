@@ -78,4 +78,4 @@ def smallest_eigenvector(a: Column, b: Column, c: Column, d: Column, e: Column,
 def bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
     """Equal-width bin, the last one closed; bin 0 if all values are equal."""
     width = F.nullif((high - low) / bins, F.lit(0.0))
-    return F.coalesce(F.least(F.floor((value - low) / width), F.lit(bins - 1)), F.lit(0)).cast("int")
+    return F.when(width.isNull(), 0).otherwise(F.least(F.floor((value - low) / width), F.lit(bins - 1))).cast("int")

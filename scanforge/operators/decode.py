@@ -18,7 +18,7 @@ TAIL_ROWS = 5
 def scan_lines(files: DataFrame) -> DataFrame:
     """(scan_id, line, header, b1 .. b4) of the complete lines of files (scan_id, value).
 
-    Blocks stand in the file as DIST1, RSSI1, DIST2, RSSI2 here; a line without all four is left out.
+    The blocks stand in the order ranges 1, ranges 2, intensities 1, intensities 2; a line without all four is left out.
     """
     lines = files.select("scan_id", F.posexplode(F.split("value", RECORD_END)).alias("line", "text"))
     parts = lines.withColumn("p", F.split("text", BLOCKS)).where(F.size("p") == 5)
@@ -40,7 +40,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return lines.select(
         "scan_id", "line", _hex(F.get(head, ENCODER_TOKEN)).alias("encoder"), *[_hex(F.get(head, t)).alias(f"error{t}") for t in ERROR_TOKENS],
         (_hex(F.get(F.split(F.trim("b1"), r"\s+"), 3)) / 1e4).alias("step"),
-        _values("b1").alias("r1"), _values("b2").alias("i1"), _values("b3").alias("r2"), _values("b4").alias("i2"),
+        _values("b1").alias("r1"), _values("b2").alias("r2"), _values("b3").alias("i1"), _values("b4").alias("i2"),
     )
 
 
@@ -65,15 +65,20 @@ def running_azimuth(df: DataFrame, order: str = "line", by: tuple[str, ...] = ("
 
 def pulses(lines: DataFrame) -> DataFrame:
     """One row for each pulse, with ranges in metres; short arrays end a line's pulses, not the job."""
-    p = lines.select("scan_id", "line", "turned", "step", F.size("r1").alias("n_pulses"), F.posexplode(F.arrays_zip("r1", "i1", "r2", "i2")).alias("pulse", "v"))
-    return p.select("scan_id", "line", "turned", "step", "n_pulses", "pulse", *[(F.coalesce(F.col(f"v.r{k}"), F.lit(0)) / 1000.0).alias(f"r{k}") for k in (1, 2)], *[F.coalesce(F.col(f"v.i{k}"), F.lit(0)).alias(f"i{k}") for k in (1, 2)])
+    p = lines.select("scan_id", "line", "turned", "increment", "step", F.size("r1").alias("n_pulses"), F.posexplode(F.arrays_zip("r1", "i1", "r2", "i2")).alias("pulse", "v"))
+    return p.select("scan_id", "line", "turned", "increment", "step", "n_pulses", "pulse", *[(F.coalesce(F.col(f"v.r{k}"), F.lit(0)) / 1000.0).alias(f"r{k}") for k in (1, 2)], *[F.coalesce(F.col(f"v.i{k}"), F.lit(0)).alias(f"i{k}") for k in (1, 2)])
 
 
-def pulse_angles(df: DataFrame, half_turn: float = 270.0) -> DataFrame:
-    """Azimuth and zenith: pulses before the middle look backwards."""
-    from_middle = (F.col("pulse") - F.floor(F.col("n_pulses") / 2)) * F.col("step")
-    azimuth = F.when(from_middle < 0, F.col("turned") + 180).otherwise(F.col("turned"))
-    return df.withColumns({"zenith": F.abs(from_middle) * F.lit(1.0), "azimuth": F.pmod(azimuth, F.lit(360.0))})
+#: Middle pulse and degrees between pulses, by version of the scanner.
+VERSIONS = {1: (270, 0.5), 2: (540, 0.25)}
+
+
+def pulse_angles(df: DataFrame, version: int = 2) -> DataFrame:
+    """Azimuth in [0, 360) and zenith; the scanner turns on while its mirror sweeps, pulses before the middle look backwards."""
+    middle, spacing = VERSIONS[version]
+    turned = F.col("turned") + F.col("increment") * DEGREES_PER_COUNT / F.nullif(F.col("n_pulses"), F.lit(0)) * F.col("pulse")
+    back = F.when(F.col("pulse") < middle, 360).otherwise(180)
+    return df.withColumns({"zenith": F.abs(F.col("pulse") - middle) * F.lit(spacing), "azimuth": F.pmod(back - turned, F.lit(360.0))})
 
 
 def to_cartesian(df: DataFrame, rng: str) -> DataFrame:

@@ -722,9 +722,9 @@ def _raw_scans(s: SparkSession, d: str) -> DataFrame:
     e = views.read(s, d, "events").select("event_type", "event_id", F.hex(F.floor(F.col("value") * 100).cast("long")).alias("h"), (F.floor(F.col("event_id") / 10)).alias("line"))
     lines = e.groupBy("event_type", "line").agg(F.sort_array(F.collect_list(F.struct("event_id", "h"))).alias("v"))
     values = F.array_join(F.transform("v", lambda x: x["h"]), " ")
-    block = lambda name: F.concat(F.lit(f"{name} 3F800000 00000000 9C4 A "), values, F.lit(" "))
+    block = lambda name: F.concat(F.lit(f"{name} 3F800000 00000000 0 9C4 A "), values, F.lit(" "))
     head = F.concat(F.array_join(F.array_repeat(F.lit("0"), 19), " "), F.lit(" "), F.hex(F.col("line") * 25 % 16384), F.lit(" "))
-    text = F.concat(head, block("DIST1"), block("RSSI1"), block("DIST2"), block("RSSI2"))
+    text = F.concat(head, block("DIST1"), block("DIST2"), block("RSSI1"), block("RSSI2"))
     files = lines.select("event_type", F.struct("line", text.alias("t")).alias("l")).groupBy("event_type").agg(F.sort_array(F.collect_list("l")).alias("ls"))
     return files.select(F.col("event_type").alias("scan_id"), F.array_join(F.transform("ls", lambda x: x["t"]), decode.RECORD_END).alias("value"))
 

@@ -13,6 +13,7 @@ from scanforge.operators import geom, image, points, raster, refine
 from scanforge.schema import CANVASES, canvas_size
 from scanforge.session import session
 from scanforge.sources import text
+from scanforge.tables import written
 
 VOID = {"SEMANTIC3D": 9}
 
@@ -39,7 +40,9 @@ def spherical_projection(df: DataFrame, config: dict) -> DataFrame:
     adjusted = {"Intensity": "intensity_adjusted", "Z": "z_inv_adjusted", "rangemeter": "range_adjusted"}
     flat = flat.withColumns({n: F.col(c) for c, n in adjusted.items() if c in values})
     for name, percent in (("intensity_adjusted", 0.1), ("z_inv_adjusted", 0.0), ("range_adjusted", 0.0)):
-        flat = image.equalise(image.stretch(flat, name, percent), name)
+        # each contrast reads its image several times: written once, the plans don't multiply
+        flat = image.equalise(written(image.stretch(written(flat, "channels"), name, percent), "channels"), name)
+    flat = written(flat, "channels")
     return image.min_max_scale(flat, [c for c in ("curvature", "anisotropy", "planarity") if c in values])
 
 
