@@ -1,62 +1,21 @@
-"""What the operators share: intermediate tables, value binding and ASCII word rules."""
+"""What the operators share: value binding and ASCII word rules, and the tables of the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanforge.tables import new_path, remove, shared_dir, written
+
+__all__ = ["LOWER", "SPACES", "UPPER", "WORD", "let", "n_words_of", "new_path", "remove", "shared_dir", "table", "words_of", "written"]
+
 #: Java regular expression of the white space between words, and of a word.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the context's, else a new local one."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="scanforge-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder, removed when the process ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/scanforge/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_remove_all)
-    _made.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder through Spark's own file system layer."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _remove_all() -> None:
-    for spark, path in _made:
-        try:
-            remove(spark, path)
-        except Exception:  # the session may have ended first
-            return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written once to the shared folder: its lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, whatever the optimizer inlines."""
