@@ -2,26 +2,25 @@
 
 Model.  Words are lower-cased (A-Z); each text ends in an end token.  The unigram state gives a
 known word ``(1 - a) * c / N`` and every unknown word ``a``, the Good-Turing share of words
-seen once.  N-grams of frequent words become states: a state's arcs hold the discounted
-share of each continuation kept, and its failure arc the mass left over, which multiplies the next shorter
-state's probability.  Arcs are interpolated, so each state's probabilities sum to one.
-A text is scored in one traversal from left to right: the state after a word is the
-longest kept n-gram that ends there, which the last ORDER - 1 words decide, so all texts of a
-chunk step together as arrays.
-
-Bounds.  A word is frequent if it makes up WORD_SHARE of all training tokens, an arc is kept
-if it makes up ARC_SHARE of them (and occurs twice): so there are at most 1 / share of each,
-whatever the corpus, and these alone are broadcast.  All counts cover all training documents.
+seen once.  Every n-gram of up to ORDER words that occurs KEPT times in the training documents is an arc, and
+a state if arcs leave it: a state's arcs hold the discounted share of each continuation kept, and its failure
+arc the mass left over, which multiplies the next shorter state's probability.  Arcs are interpolated, so each
+state's probabilities sum to one.  KEPT is a plain count, so the model grows with the corpus.
 
 Plan.  One pass cuts the texts into chunks of at most CHUNK_BYTES: each is one row with its
-tokens as codes into its own dictionary of word hashes and their training counts.  The dictionaries are summed
-by word (pre-aggregated by chunk), joined back to the chunks that hold the word, and
-met with the chunk's tokens; no table of all words is ever in one place.  N-gram counts
-come from the coded chunks.
+tokens as codes into its own dictionary of word hashes and their training counts.  States and arcs are never in
+one place: chunks ask for them by hashed key in rounds.  In a round each chunk cuts its ascending distinct keys, with
+their counts in the chunk, into parts by key range; each part adds up what all chunks send and answers
+every chunk in the order of its keys.  Round 1 asks for the words, round k for the n-grams of order k; those
+with a shorter n-gram below KEPT cannot reach KEPT themselves and are not asked for.  Of the chunks that hold a
+kept n-gram one is told to own it: it alone adds the n-gram to the sums of its context, which the next round gathers in
+the same way.  Last, each chunk scores its texts from the answers.
+
+``fit`` gathers the same model as one automaton, for small corpora and for tests.
 
 Defined cases: null or empty texts are the end token alone; a null id hashes as an empty
 string; repeated rows count and are scored each; without training documents every word is
-unknown; further columns don't matter.  Words are told apart by 64-bit hashes.
+unknown; further columns don't matter.  Words and n-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -41,11 +40,11 @@ from scanforge.llm.common import written
 from scanforge.llm.pieces import slices, words
 
 ORDER = 3
-WORD_SHARE = 1e-4
-ARC_SHARE = 1e-6
+KEPT = 2
 DISCOUNT = 0.75
 FOLDS, HELD_FOLD = 7, 2
-CHUNK_BYTES = 48 << 20
+CHUNK_BYTES = 6 << 20
+PART_TOKENS, LEAST_PARTS, MOST_PARTS = 1_000_000, 32, 1 << 14
 END = np.uint64(xxhash.xxh64_intdigest(b" end of text"))  # no word holds a space
 
 
@@ -57,7 +56,7 @@ def held_out(doc_id: int | None) -> bool:
 class Automaton:
     """States and arcs as sorted arrays.
 
-    ``words``: ascending hashes of the frequent words; state of order 1 is a word's place there.
+    ``words``: ascending hashes of the words seen KEPT times; state of order 1 is a word's place there.
     ``arcs[k]``: ascending keys (state of order k + 1) * len(words) + word, their shares, and
     whether the n-gram so reached is a state of order k + 2 (its place in the keys).
     ``fail[k]``: the mass that each state of order k + 1 leaves to the shorter one.
@@ -76,7 +75,7 @@ class Automaton:
     def traverse(self, places: np.ndarray, first: np.ndarray, unigrams: np.ndarray) -> np.ndarray:
         """log10 probability of each token.
 
-        places: each token's place in ``words`` (-1: not frequent); first: starts of texts.
+        places: each token's place in ``words`` (-1: not there); first: starts of texts.
         """
         p = unigrams
         state = np.r_[-1, places[:-1]] if len(places) else places
@@ -145,8 +144,11 @@ def _coded(parts: list[pa.RecordBatch], chunk: int) -> pa.RecordBatch:
 
 
 def _tokens(row: dict) -> np.ndarray:
-    planes = [np.frombuffer(row[c], np.uint8).astype(np.int64) for c in ("low", "mid", "high")]
-    return planes[0] | planes[1] << 8 | planes[2] << 16
+    out = np.frombuffer(row["high"], np.uint8).astype(np.int32)
+    for c in ("mid", "low"):
+        out <<= 8
+        out |= np.frombuffer(row[c], np.uint8)
+    return out
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -155,8 +157,8 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
 
 
 def _ngram_counts(chunks: DataFrame, words_: np.ndarray, states: np.ndarray | None) -> DataFrame:
-    """(key, n) of the training n-grams that extend a state (order 2 if ``states`` is None) by a frequent word."""
-    shared = chunks.sparkSession.sparkContext.broadcast((words_, states))  # 1 / WORD_SHARE words, 1 / ARC_SHARE states
+    """(key, n) of the training n-grams that extend a state (order 2 if ``states`` is None) by a word of ``words_``."""
+    shared = chunks.sparkSession.sparkContext.broadcast((words_, states))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_words, own_states = shared.value
@@ -179,7 +181,7 @@ def _ngram_counts(chunks: DataFrame, words_: np.ndarray, states: np.ndarray | No
 
 
 def fit(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame, Automaton, int]:
-    """(chunks, word counts, automaton, distinct training words)."""
+    """(chunks, word counts, automaton, distinct training words); gathers the whole model, see ``score`` for large corpora."""
     chunks = _chunks(docs)
 
     def dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,14 +194,14 @@ def fit(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame, Auto
     counts = written(chunks.select("hashes", "counts").mapInArrow(dictionary, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "lm-counts")
     one = lambda k: F.coalesce(F.sum(F.when(F.col("c") == k, 1)), F.lit(0)).cast("long")
     total, distinct, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("long"), F.count("*"), one(1)).first()
-    frequent = counts.where(F.col("c") >= max(2, WORD_SHARE * total)).toArrow()  # 1 / WORD_SHARE rows at most
+    frequent = counts.where(F.col("c") >= KEPT).toArrow()
     hashes = frequent.column("h").to_numpy().astype(np.uint64)
     order_of = np.argsort(hashes)
     hashes, context = hashes[order_of], frequent.column("c").to_numpy()[order_of]
     arcs, shares, fails = [], [], []
     states = None
     for _ in range(order - 1):
-        rows = _ngram_counts(chunks, hashes, states).where(F.col("n") >= max(2, ARC_SHARE * total)).toArrow()  # 1 / ARC_SHARE rows at most
+        rows = _ngram_counts(chunks, hashes, states).where(F.col("n") >= KEPT).toArrow()
         keys = rows.column("key").to_numpy().astype(np.int64)
         by = np.argsort(keys)
         keys, n = keys[by], rows.column("n").to_numpy()[by]
@@ -215,42 +217,223 @@ def fit(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame, Auto
     return chunks, counts, Automaton(hashes, float(unknown), int(total), tuple(arcs), tuple(shares), tuple(fails)), int(distinct)
 
 
-def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    chunks, counts, model, distinct = fit(docs, order)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+#: A question or answer: what it is about, the part that answers, the chunk, keys and two columns of numbers.
+_TALK = "about int, part int, chunk long, keys binary, a binary, b binary"
+_NAMES = ["about", "part", "chunk", "keys", "a", "b"]
+_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+#: About order k: k; about the arcs that leave states of order k: _LEAVING + k; _TOTALS: sums over all words.
+_LEAVING, _TOTALS = 100, -1
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def _talk(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, _KINDS, strict=True)], names=_NAMES)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, of which most are zero."""
+    return np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Key of an n-gram from its context's key and its last word's hash."""
+    x = (left ^ left >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + (right ^ right >> np.uint64(29)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def _ask(about: int, chunk: int, parts: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> list[tuple]:
+    """The questions of one chunk, by part; ``keys`` ascend, and so do their parts."""
+    of = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    cuts = np.searchsorted(of, np.arange(parts + 1, dtype=np.uint64))
+    return [(about, k, chunk, _pack(np.diff(keys[i:j], prepend=np.uint64(0))), _pack(a[i:j]), None if b is None else _pack(b[i:j])) for k, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if i < j]
+
 
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _answer(questions: pa.Table) -> pa.Table:
+    """The answers of one part to all chunks about one matter.
+
+    About an order: twice the training count, plus one for the owner.  About leaving arcs: their number and their counts' sum.
+    """
+    about, part = questions.column("about")[0].as_py(), questions.column("part")[0].as_py()
+    chunks = questions.column("chunk").to_pylist()
+    each = [np.cumsum(_unpack(k.as_py())) for k in questions.column("keys")]
+    keys, first, place = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
+    ends = np.cumsum([len(x) for x in each])[:-1]
+
+    def summed(column: str) -> np.ndarray:
+        return np.bincount(place, weights=np.concatenate([_unpack(x.as_py()) for x in questions.column(column)])).astype(np.uint64)
+
+    a = summed("a")
+    if about > _LEAVING:
+        b = summed("b")
+        rows = [(about, part, c, None, _pack(x), _pack(y)) for c, x, y in zip(chunks, np.split(a[place], ends), np.split(b[place], ends), strict=True)]
+    else:
+        told = 2 * a[place]
+        told[first] += np.uint64(1)
+        rows = [(about, part, c, None, _pack(x), None) for c, x in zip(chunks, np.split(told, ends), strict=True)]
+        if about == 1:
+            rows.append((_TOTALS, part, -1, None, _pack(np.array([a.sum(), (a > 0).sum(), (a == 1).sum()], dtype=np.uint64)), None))
+    return pa.Table.from_batches([_talk(rows)])
+
+
+class _Level:
+    """The distinct n-grams of one order in a chunk that may be kept, and the answers about them.
+
+    ``place``: the n-gram that ends at each token, -1 if none; ``context``: each n-gram's place in the level before.
+    """
+
+    def __init__(self, keys: np.ndarray, place: np.ndarray, context: np.ndarray | None, own: np.ndarray) -> None:
+        self.keys, self.place, self.context, self.own = keys, place, context, own
+
+    def counted(self, told: np.ndarray) -> None:
+        self.n, self.owner = (told >> np.uint64(1)).astype(np.int64), (told & np.uint64(1)).astype(bool)
+        self.kept = self.n >= KEPT
+
+    def left(self, number: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """The mass that each kept n-gram's failure arc has, 1 for the others."""
+        out = np.ones(len(self.keys))
+        out[self.kept] -= (total.astype(np.float64) - DISCOUNT * number.astype(np.float64)) / self.n[self.kept]
+        return out
+
+
+class _Chunk:
+    """A chunk with all levels that its answers allow, the last of them without answers yet if there are none."""
+
+    def __init__(self, row: dict, answers: pa.Table | None, order: int) -> None:
+        self.row, self.chunk = row, row["chunk"]
+        self.bounds = np.frombuffer(row["bounds"], np.int64)
+        hashes, tokens = np.frombuffer(row["hashes"], np.uint64), _tokens(row)
+        self.train = np.repeat([not held_out(i) for i in row["ids"]], np.diff(self.bounds))
+        self.first = np.zeros(len(tokens), dtype=bool)
+        self.first[self.bounds[:-1]] = True
+        self.told: dict[int, list] = {}
+        if answers is not None:
+            rows = sorted(zip(answers.column("about").to_pylist(), answers.column("part").to_pylist(), answers.column("a"), answers.column("b"), strict=True), key=lambda r: r[:2])
+            for about, _, a, b in rows:
+                self.told.setdefault(about, []).append((_unpack(a.as_py()), b.as_py()))
+        by = np.argsort(hashes)
+        rank = np.empty(len(by), dtype=np.int32)
+        rank[by] = np.arange(len(by))
+        words_ = rank[tokens]
+        own = np.bincount(words_[self.train], minlength=len(by))
+        self.levels = [_Level(hashes[by], words_, None, own)]
+        while self._counted() and len(self.levels) < order:
+            self.levels.append(self._next(words_))
+
+    def _counted(self) -> bool:
+        level, k = self.levels[-1], len(self.levels)
+        if k not in self.told and len(level.keys):
+            return False
+        level.counted(np.concatenate([a for a, _ in self.told.get(k, [])] or [np.empty(0, np.uint64)]))
+        return True
+
+    def _next(self, words_: np.ndarray) -> _Level:
+        top, k = self.levels[-1], len(self.levels)
+        kept = (top.place >= 0) & top.kept[np.maximum(top.place, 0)] if len(top.keys) else np.zeros(len(words_), dtype=bool)
+        good = kept & np.r_[False, kept[:-1]] & ~self.first
+        at = np.flatnonzero(good)
+        context = top.place[at - 1]
+        keys, first, place = np.unique(_mix(top.keys[context], self.levels[0].keys[words_[at]]), return_index=True, return_inverse=True)
+        places = np.full(len(words_), -1, dtype=np.int32)
+        places[at] = place
+        return _Level(keys, places, context[first], np.bincount(place[self.train[at]], minlength=len(keys)))
+
+    def leaving(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers and the count sums of the arcs that leave the kept n-grams of order ``k``."""
+        told = self.told.get(_LEAVING + k, [])
+        join = lambda parts: np.concatenate(parts or [np.empty(0, np.uint64)])
+        return join([a for a, _ in told]), join([_unpack(b) for _, b in told])
+
+    def questions(self, k: int, order: int, parts: int) -> list[tuple]:
+        """Those of round ``k``: the n-grams of order k, and the arcs of those of order k - 2 by their owners."""
+        rows = []
+        if k <= order:
+            rows += _ask(k, self.chunk, parts, self.levels[k - 1].keys, self.levels[k - 1].own)
+        if k > 2:
+            state, arc = self.levels[k - 3], self.levels[k - 2]
+            mine = arc.kept & arc.owner
+            number = np.bincount(arc.context[mine], minlength=len(state.keys))
+            total = np.bincount(arc.context[mine], weights=arc.n[mine], minlength=len(state.keys)).astype(np.int64)
+            rows += _ask(_LEAVING + k - 2, self.chunk, parts, state.keys[state.kept], number[state.kept], total[state.kept])
+        return rows
+
+    def logs(self, unknown: float, n_tokens: int) -> np.ndarray:
+        """log10 probability of each token."""
+        words_ = self.levels[0]
+        c = words_.n[words_.place]
+        p = np.where(c > 0, (1 - unknown) * c / max(n_tokens, 1), unknown)
+        for k in range(1, len(self.levels)):
+            state, arc = self.levels[k - 1], self.levels[k]
+            before = np.r_[np.int32(-1), state.place[:-1]]
+            before[self.first] = -1
+            at = np.flatnonzero(before >= 0)
+            at = at[state.kept[before[at]]]
+            held = before[at]
+            p[at] *= state.left(*self.leaving(k))[held]
+            taken = arc.place[at]
+            has = taken >= 0
+            has[has] = arc.kept[taken[has]]
+            p[at[has]] += (arc.n[taken[has]] - DISCOUNT) / state.n[held[has]]
+        return np.log10(p)
+
+
+def _round(chunks: DataFrame, answers: DataFrame | None, k: int, order: int, parts: int) -> DataFrame:
+    """The answers of round ``k``."""
+    read = chunks.select("chunk", "ids", "bounds", "low", "mid", "high", "hashes")
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                hashes = np.frombuffer(row["hashes"], np.uint64).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(hashes), row["chunk"])), pa.array(np.arange(len(hashes), dtype=np.int32))], names=["h", "chunk", "code"])
+                yield _talk(_Chunk(row, None, order).questions(k, order, parts))
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_talk(_Chunk(row, right, order).questions(k, order, parts)) for batch in left.to_batches() for row in _rows(batch)] or [_talk([])])
+
+    asked = read.mapInArrow(mapped, _TALK) if answers is None else read.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(met, _TALK)
+    conf = chunks.sparkSession.conf
+    before = conf.get(_CLEAN)
+    conf.set(_CLEAN, "true")  # the round's shuffle files go with its end
+    try:
+        return written(asked.groupBy("about", "part").applyInArrow(_answer, _TALK), f"lm-round-{k}")
+    finally:
+        conf.set(_CLEAN, before)
+
 
-    known = chunks.select("chunk", "hashes").mapInArrow(places, "h long, chunk long, code int").join(counts, "h").select("chunk", "code", "c")
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    chunks = _chunks(docs)
+    tokens = chunks.agg(F.coalesce(F.sum(F.length("low")), F.lit(0))).first()[0]
+    parts = min(max(-(-tokens // PART_TOKENS), LEAST_PARTS), MOST_PARTS)
+    answers = _round(chunks, None, 1, order, parts)
+    totals = answers.where(F.col("about") == _TOTALS).select("a").toArrow().column("a")  # one row for each part
+    n_tokens, distinct, once = np.sum([_unpack(x.as_py()) for x in totals] or [[0, 0, 0]], axis=0).astype(np.int64).tolist()
+    answers = answers.where(F.col("about") != _TOTALS)
+    for k in range(2, order + 2 if order > 1 else 2):
+        answers = answers.unionAll(_round(chunks, answers, k, order, parts))
+    unknown = (once + 0.5) / (n_tokens + 1)
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        automaton = shared.value
         out = []
         for batch in left.to_batches():
             for row in _rows(batch):
-                hashes, tokens, bounds = np.frombuffer(row["hashes"], np.uint64), _tokens(row), np.frombuffer(row["bounds"], np.int64)
-                c = np.zeros(len(hashes), dtype=np.int64)
-                c[right.column("code").to_numpy()] = right.column("c").to_numpy()
-                first = np.zeros(len(tokens), dtype=bool)
-                first[bounds[:-1]] = True
-                base = np.log10((c + 1) / (automaton.n_tokens + distinct + 1))
-                logs = automaton.traverse(_place(automaton.words, hashes)[tokens], first, automaton.unigram(c)[tokens])
-                by_doc = lambda x: np.add.reduceat(x, bounds[:-1])
-                ids = row["ids"]
+                own = _Chunk(row, right, order)
+                words_, bounds, ids = own.levels[0], own.bounds, row["ids"]
+                c = words_.n[words_.place]
+                by_doc = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731, B023
                 out.append(pa.table({
-                    "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([held_out(i) for i in ids]), "n_tokens": pa.array(np.diff(bounds)), "n_known": pa.array(by_doc((c > 0)[tokens].astype(np.int64))),
-                    "train_tokens": pa.array(np.full(len(ids), automaton.n_tokens, dtype=np.int64)), "base_score": pa.array(by_doc(base[tokens])), "score": pa.array(by_doc(logs)),
+                    "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([held_out(i) for i in ids]), "n_tokens": pa.array(np.diff(bounds)), "n_known": pa.array(by_doc((c > 0).astype(np.int64))),
+                    "train_tokens": pa.array(np.full(len(ids), n_tokens, dtype=np.int64)), "base_score": pa.array(by_doc(np.log10((c + 1) / (n_tokens + distinct + 1)))), "score": pa.array(by_doc(own.logs(unknown, n_tokens))),
                 }))
         empty = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         return pa.concat_tables(out) if out else empty.empty_table()
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return chunks.drop("counts").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(scored, schema)
+    return chunks.drop("counts").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, schema)
 
 
 def op9(docs: DataFrame) -> DataFrame:

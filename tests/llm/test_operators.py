@@ -273,6 +273,39 @@ def test_automaton_is_a_distribution_and_a_plain_model(spark):
         assert total + model.unknown * np.prod([1.0]) > 0.999 and total < 1.0 + 1e-9
 
 
+def brute_scores(rows, held):
+    """The interpolated trigram model of all n-grams seen twice, in plain Python."""
+    toks = {i: [*lower_words(t), None] for i, t in rows}
+    grams = [Counter(tuple(t[k : k + m]) for i, t in toks.items() if not held(i) for k in range(len(t) - m + 1)) for m in (1, 2, 3)]
+    total, once = sum(grams[0].values()), sum(n == 1 for n in grams[0].values())
+    unknown = (once + 0.5) / (total + 1)
+    used = Counter()
+    for m in (1, 2):
+        for g, n in grams[m].items():
+            used[g[:-1]] += n - 0.75 if n >= 2 else 0
+
+    def p(g):
+        if len(g) == 1:
+            return (1 - unknown) * grams[0][g] / total if grams[0][g] else unknown
+        c, n = grams[len(g) - 2][g[:-1]], grams[len(g) - 1][g]
+        return p(g[1:]) if c < 2 else (1 - used[g[:-1]] / c) * p(g[1:]) + ((n - 0.75) / c if n >= 2 else 0)
+
+    return {i: sum(math.log10(p(tuple(t[max(0, k - 2) : k + 1]))) for k in range(len(t))) for i, t in toks.items()}
+
+
+def test_scores_use_every_ngram_seen_twice(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    # each rare word makes up less than 1e-4 of the tokens, its pairs are seen two to four times
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.3, 250) % 3000)) for i in range(150)]
+    rows += [(1000 + i, f"Rare{i % 40} pair{i % 40} follows{i % 40} w1") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 20_000)  # several chunks a task
+    got = {r.doc_id: r.score for r in lm_score.op9(df).collect()}
+    want = brute_scores(rows, lm_score.held_out)
+    assert got.keys() == want.keys()
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-6
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:
