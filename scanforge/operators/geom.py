@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scanforge.functions import geometry as g
 from scanforge.operators.points import with_stats
 from scanforge.operators.spatial import adaptive_neighbours
+from scanforge.tables import written
 
 
 def covariances(edges: DataFrame, by: tuple[str, ...] = (), ddof: int = 1) -> DataFrame:
@@ -59,18 +60,38 @@ def roughness(points: DataFrame, radius: float = 0.05, max_neighbours: int = 30,
     return eigen_features(covariances(edges, by), fill=False).select(*by, "point_id", "roughness")
 
 
-def spatial_batches(df: DataFrame, per_batch: int) -> DataFrame:
-    """batch_x, batch_y, batch_z: a grid whose axes are divided in proportion to their extents; half-open bins."""
-    box = df.agg(F.count("*").alias("n"), *[(F.max(a) - F.min(a)).alias(f"r{a}") for a in "XYZ"], *[F.min(a).alias(f"m{a}") for a in "XYZ"]).first()
-    target = max(1, math.ceil(box["n"] / per_batch))
-    mean = (box["rX"] * box["rY"] * box["rZ"]) ** (1 / 3) or 1.0
-    parts = {a: max(1, round(target ** (1 / 3) * box[f"r{a}"] / mean)) for a in "XYZ"}
-    whole = parts["X"] * parts["Y"] * parts["Z"]
-    if whole > 2 * target:
-        shrink = (whole / (2 * target)) ** (1 / 3)
-        parts = {a: max(1, int(p / shrink)) for a, p in parts.items()}
-    width = {a: (box[f"r{a}"] + 1e-6) / parts[a] for a in "XYZ"}
-    return df.withColumns({f"batch_{a.lower()}": F.floor((F.col(a) - F.lit(box[f"m{a}"])) / F.lit(width[a])).cast("int") for a in "XYZ"})
+def spatial_batches(df: DataFrame, per_batch: int, most: int = 12_000) -> DataFrame:
+    """batch_x, batch_y, batch_z: half-open bins of a grid divided in proportion to the extents; batch_path: the bins of further splits.
+
+    Batches of more than ``most`` points are divided again, level by level, until only points within 1e-6 share a larger one.
+    Where the scaling leaves such a batch whole, its widest axis is halved.
+    """
+    df = df.withColumn("_batch", F.array().cast("array<int>"))
+    level = 0
+    while True:
+        boxes = df.groupBy("_batch").agg(F.count("*").alias("_n"), *[(F.max(a) - F.min(a)).alias(f"_r{a}") for a in "XYZ"], *[F.min(a).alias(f"_m{a}") for a in "XYZ"])
+        total = F.col("_rX") + F.col("_rY") + F.col("_rZ")
+        if level:
+            boxes = boxes.where((F.col("_n") > most) & (F.greatest("_rX", "_rY", "_rZ") > 1e-6))
+        boxes = boxes.withColumn("_target", F.ceil(F.col("_n") / (max(1, most // 2) if level else per_batch)))
+        base = F.greatest(F.lit(1), F.ceil(F.pow("_target", F.lit(1 / 3))))
+        boxes = boxes.withColumns({f"_d{a}": F.coalesce(F.greatest(F.lit(1), F.ceil(base * (F.col(f"_r{a}") / F.nullif(total, F.lit(0.0))) * 3)), F.lit(1)) for a in "XYZ"})
+        whole = F.col("_dX") * F.col("_dY") * F.col("_dZ")
+        scale = F.when(whole > 2 * F.col("_target"), F.pow(2 * F.col("_target") / whole, F.lit(1 / 3))).otherwise(1.0)
+        boxes = boxes.withColumns({f"_d{a}": F.greatest(F.lit(1), F.floor(F.col(f"_d{a}") * scale)) for a in "XYZ"})
+        if level:
+            widest = F.greatest("_rX", "_rY", "_rZ")
+            kept = F.greatest("_dX", "_dY", "_dZ") > 1
+            boxes = boxes.withColumns({f"_d{a}": F.when(kept | (F.col(f"_r{a}") < widest), F.col(f"_d{a}")).otherwise(2) for a in "XYZ"})
+        boxes = written(boxes, "batch-boxes")
+        if level and boxes.isEmpty():
+            break
+        bins = [F.floor((F.col(a) - F.col(f"_m{a}")) / ((F.col(f"_r{a}") + 1e-6) / F.col(f"_d{a}"))).cast("int") for a in "XYZ"]
+        cell = F.when(F.col("_n").isNotNull(), F.concat("_batch", F.array(*bins))).otherwise(F.col("_batch"))
+        df = written(df.join(boxes, "_batch", "left").withColumn("_batch", cell).select(*df.columns), "batches")
+        level += 1
+    made = {f"batch_{a}": F.get("_batch", F.lit(k)) for k, a in enumerate("xyz")}
+    return df.withColumns(made | {"batch_path": F.slice("_batch", F.lit(4), F.greatest(F.size("_batch") - 3, F.lit(0)))}).drop("_batch")
 
 
 def angular_batches(df: DataFrame, n_azimuth: int, n_elevation: int) -> DataFrame:

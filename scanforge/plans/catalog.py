@@ -527,7 +527,7 @@ def _f4(s, d):
 
 @query("f6_spatial_batches")
 def _f6(s, d):
-    return geom.spatial_batches(views.points(s, d), 5000).groupBy("batch_x", "batch_y", "batch_z").agg(F.count("*").alias("n"))
+    return geom.spatial_batches(views.points(s, d), 5000).groupBy("batch_x", "batch_y", "batch_z", "batch_path").agg(F.count("*").alias("n"))
 
 
 @query(

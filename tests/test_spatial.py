@@ -140,3 +140,30 @@ def test_equalise_keeps_order_and_void(spark):
     df = spark.createDataFrame([(0.0,), (1.0,), (2.0,), (2.0,), (10.0,)], "v double")
     got = sorted(r.v for r in image.equalise(df, "v").collect())
     assert got[0] > 0 and got == sorted(got) and got[-1] == 1.0
+
+
+def test_spatial_batches_split_oversized_cells(spark):
+    import math
+
+    import numpy as np
+
+    from scanforge.operators import geom
+
+    def split(p, per, most, top=True):
+        low, span = p.min(0), p.max(0) - p.min(0)
+        if not top and (len(p) <= most or span.max() <= 1e-6):
+            return [len(p)]
+        target = math.ceil(len(p) / per)
+        div = [max(1, math.ceil(math.ceil(target ** (1 / 3)) * (r / span.sum()) * 3)) for r in span]
+        if math.prod(div) > 2 * target:
+            div = [max(1, int(d * (2 * target / math.prod(div)) ** (1 / 3))) for d in div]
+        if not top and max(div) == 1:
+            div = [2 if r == span.max() else 1 for r in span]
+        cells = np.floor((p - low) / ((span + 1e-6) / div)).astype(int)
+        return [n for c in np.unique(cells, axis=0) for n in split(p[(cells == c).all(1)], max(1, most // 2), most, False)]
+
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.random((400, 3)) * [20, 10, 3], rng.random((400, 3)) * 0.01 + 1])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(p)], "point_id long, X double, Y double, Z double")
+    got = [r.n for r in geom.spatial_batches(df, 100, 60).groupBy("batch_x", "batch_y", "batch_z", "batch_path").agg({"*": "count"}).toDF("x", "y", "z", "path", "n").collect()]
+    assert sorted(got) == sorted(split(p, 100, 60)) and max(got) <= 60 and sum(got) == len(p)
