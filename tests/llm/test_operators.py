@@ -3,12 +3,14 @@
 import hashlib
 import math
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from pyspark.sql import functions as F
 
@@ -127,6 +129,117 @@ def test_mix(spark, docs, empty):
     assert mixed.columns == docs.columns and mixed.select(F.sum(mixing.n_words_of(F.col("text")))).first()[0] == sum(r.taken for r in out)
 
 
+def spark_hash(*parts):
+    """The engine's xxhash64 of longs, ints (as bool), strings and nulls."""
+    h = 42
+    for x in parts:
+        if x is not None:
+            data = struct.pack("<i", x) if isinstance(x, bool) else x.encode() if isinstance(x, str) else struct.pack("<q", x)
+            h = xxhash.xxh64_intdigest(data, seed=h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def plain_targets(sizes):
+    """The contract's loop, source by source."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    stopped = set()
+    while True:
+        free = [s for s in names if s not in stopped]
+        left = 1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in stopped)
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 2 * sizes[s]}
+        if not over:
+            return share | {s: 2.0 * sizes[s] for s in stopped}
+        stopped |= over
+
+
+def plain_mix(rows, block=mixing.BLOCK):
+    """(doc_id, source, text): copies of all equal rows, by the same draws in one process."""
+    counted, sizes = Counter(rows), Counter()
+    for (_, s, t), m in counted.items():
+        sizes[s] += m * len(words(t))
+    targets, copies, level = plain_targets(sizes), {}, {}
+    for row, m in counted.items():
+        i, s, t = row
+        size = len(words(t))
+        wanted = m * targets[s] / sizes[s] if sizes[s] and size else 0.0
+        copies[row] = math.floor(wanted + 1e-9)
+        h = 42 if t is None else spark_hash(t)
+        key = spark_hash(i is None, i, s is None, s, False, size, False, h)
+        if size:
+            level.setdefault(s, []).append((size, max(0.0, (wanted - copies[row]) * size), key, row))
+    depth = 0
+    draw = lambda a, b, d: (xxhash.xxh64_intdigest(struct.pack("<i", 0), seed=xxhash.xxh64_intdigest(struct.pack("<i", d), seed=spark_hash(a, b) % (1 << 64)))) % (1 << 52) / (1 << 52)
+    while level:
+        still = {}
+        for s, items in level.items():
+            for size, mass, _, row in items:
+                if not 1e-6 < mass < size - 1e-6:
+                    copies[row] += mass > size / 2
+            if open_ := [x for x in items if 1e-6 < x[1] < x[0] - 1e-6]:
+                still[s] = open_
+        most = max(map(len, still.values()), default=0)
+        if most <= 1:
+            for (size, mass, _, row), in still.values():
+                copies[row] += mass * 2 > size
+            return copies, targets, sizes
+        blocks, level = math.ceil(most / block), {}
+        for s, items in still.items():
+            by = {}
+            for x in items:
+                h = xxhash.xxh64_intdigest(struct.pack("<i", 0), seed=xxhash.xxh64_intdigest(struct.pack("<i", depth), seed=spark_hash(x[2]) % (1 << 64)))
+                by.setdefault((h - (1 << 64) if h >= 1 << 63 else h) % blocks, []).append(x)
+            for group in by.values():
+                group.sort(key=lambda x: x[:3], reverse=True)
+                a = group[0]
+                for b in group[1:]:
+                    down, up = min(a[1], b[0] - b[1]), min(b[1], a[0] - a[1])
+                    if draw(a[2], b[2], depth) * (down + up) < up:
+                        if a[1] <= b[0] - b[1]:
+                            a = (b[0], a[1] + b[1], *b[2:])
+                        else:
+                            copies[b[3]] += 1
+                            a = (a[0], a[1] - (b[0] - b[1]), *a[2:])
+                    elif b[1] <= a[0] - a[1]:
+                        a = (a[0], a[1] + b[1], *a[2:])
+                    else:
+                        copies[a[3]] += 1
+                        a = (b[0], b[1] - (a[0] - a[1]), *b[2:])
+                level.setdefault(s, []).append(a)
+        depth += 1
+    return copies, targets, sizes
+
+
+def test_mix_equals_a_plain_run(spark):
+    rng = np.random.default_rng(5)
+    same = [(i, s, " ".join(["w"] * (1 + i * 13 % 40))) for i in range(300) for s in ("a", "b", "c")]  # the same documents in three sources
+    rows = same + [(int(i), None if i % 2 else "", "x " * int(rng.integers(0, 30))) for i in range(400)] + [(7, "a", "again and again")] * 45 + [(None, "d", None), (1, "d", "")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    copies, targets, sizes = plain_mix(rows)
+    got = mixing.op4(df.withColumn("_m", F.lit(1)).repartition(3)).collect()
+    taken, size = Counter(), Counter()
+    for r in mixing.mix(df).collect():
+        taken[r.doc_id, r.source, r.text] += 1
+    assert taken == Counter({k: n for k, n in copies.items() if n})
+    want = sorted((i or -1, len(words(t)), sizes[s], round(targets[s], 6)) for i, s, t in rows)
+    assert sorted((r.doc_id or -1, r["size"], r.source_size, round(r.target, 6)) for r in got) == want
+    assert all(r.taken <= 2 * r["size"] for r in got) and sum(r.taken for r in got) == sum(n * len(words(t)) for (_, _, t), n in copies.items())
+    for (_, s, t), n in copies.items():
+        size[s] += n * len(words(t))
+    assert all(abs(size[s] - t) <= 20 for s, t in targets.items())  # half of the largest document
+    again = [r.taken for r in got if r.doc_id == 7 and r["size"] == 3]
+    assert len(again) == 45 and max(again) - min(again) <= 3
+
+
+def test_mix_keeps_clashing_columns(spark):
+    rows = [(1, "s", "one two three", 5, 6), (1, "s", "one two three", 7, 8), (2, "s", "four", 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, m long, `_tie` long")
+    out = mixing.mix(df)
+    assert out.columns == df.columns and {tuple(r) for r in out.collect()} <= set(rows)
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
 def test_source_targets_share_again(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
