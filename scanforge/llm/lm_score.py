@@ -32,6 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,7 +115,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
         if held:
             yield _coded(held, (task << 24) + k)
 
-    return written(docs.select("doc_id", "text").mapInArrow(code, "chunk long, ids array<long>, bounds binary, low binary, mid binary, high binary, hashes binary, counts binary"), "lm-chunks")
+    return written(docs.select("doc_id", "text").mapInArrow(code, "chunk long, n_tokens long, ids array<long>, bounds binary, codes binary, hashes binary, counts binary"), "lm-chunks")
 
 
 def _coded(parts: list[pa.RecordBatch], chunk: int) -> pa.RecordBatch:
@@ -131,24 +132,30 @@ def _coded(parts: list[pa.RecordBatch], chunk: int) -> pa.RecordBatch:
     real[bounds[1:] - 1] = False
     tokens[real] = codes
     all_counts = np.bincount(tokens, minlength=len(hashes))
-    order = np.argsort(-all_counts, kind="stable")  # frequent words get small codes
+    order = np.lexsort((hashes, -all_counts))  # frequent words get small codes; equally frequent ones ascend, so that their differences are small
     rank = np.empty(len(order), dtype=np.int64)
     rank[order] = np.arange(len(order))
     tokens = rank[tokens]
     train = np.repeat([not held_out(i) for i in ids.to_pylist()], np.diff(bounds))
     counts = np.bincount(tokens[train], minlength=len(hashes))
-    planes = [((tokens >> s) & 255).astype(np.uint8).tobytes() for s in (0, 8, 16)]
-    row = [chunk, ids.to_pylist(), bounds.tobytes(), *planes, hashes[order].tobytes(), counts.astype("<i8").tobytes()]
-    kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 6]
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["chunk", "ids", "bounds", "low", "mid", "high", "hashes", "counts"])
+    row = [chunk, len(tokens), ids.to_pylist(), *map(_pack, (bounds, tokens, np.diff(hashes[order], prepend=np.uint64(0)), counts))]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["chunk", "n_tokens", "ids", "bounds", "codes", "hashes", "counts"])
 
 
-def _tokens(row: dict) -> np.ndarray:
-    out = np.frombuffer(row["high"], np.uint8).astype(np.int32)
-    for c in ("mid", "low"):
-        out <<= 8
-        out |= np.frombuffer(row[c], np.uint8)
-    return out
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, of which most are zero, compressed."""
+    planes = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
+
+
+def _hashes(row: dict) -> np.ndarray:
+    return np.cumsum(_unpack(row["hashes"]), dtype=np.uint64)
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -164,8 +171,8 @@ def _ngram_counts(chunks: DataFrame, words_: np.ndarray, states: np.ndarray | No
         own_words, own_states = shared.value
         for batch in batches:
             for row in _rows(batch):
-                place = _place(own_words, np.frombuffer(row["hashes"], np.uint64))[_tokens(row)]
-                bounds = np.frombuffer(row["bounds"], np.int64)
+                place = _place(own_words, _hashes(row))[_unpack(row["codes"]).astype(np.int64)]
+                bounds = _unpack(row["bounds"]).astype(np.int64)
                 start = np.zeros(len(place), dtype=bool)
                 start[bounds[:-1]] = True
                 train = np.repeat([not held_out(i) for i in row["ids"]], np.diff(bounds))
@@ -176,7 +183,7 @@ def _ngram_counts(chunks: DataFrame, words_: np.ndarray, states: np.ndarray | No
                 keys, n = np.unique((state * len(own_words) + place)[(state >= 0) & (place >= 0) & train], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
 
-    counted = chunks.select("ids", "bounds", "low", "mid", "high", "hashes").mapInArrow(count, "key long, n long")
+    counted = chunks.select("ids", "bounds", "codes", "hashes").mapInArrow(count, "key long, n long")
     return counted.groupBy("key").agg(F.sum("n").alias("n"))
 
 
@@ -187,9 +194,9 @@ def fit(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame, Auto
     def dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                counts = np.frombuffer(row["counts"], "<i8")
+                counts = _unpack(row["counts"]).astype(np.int64)
                 seen = counts > 0
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["hashes"], np.uint64)[seen].astype(np.int64)), pa.array(counts[seen])], names=["h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes(row)[seen].astype(np.int64)), pa.array(counts[seen])], names=["h", "n"])
 
     counts = written(chunks.select("hashes", "counts").mapInArrow(dictionary, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "lm-counts")
     one = lambda k: F.coalesce(F.sum(F.when(F.col("c") == k, 1)), F.lit(0)).cast("long")
@@ -223,22 +230,12 @@ _NAMES = ["about", "part", "chunk", "keys", "a", "b"]
 _KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 #: About order k: k; about the arcs that leave states of order k: _LEAVING + k; _TOTALS: sums over all words.
 _LEAVING, _TOTALS = 100, -1
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _talk(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, _KINDS, strict=True)], names=_NAMES)
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Whole numbers as planes of bytes, of which most are zero."""
-    return np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
-
-
 def _mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Key of an n-gram from its context's key and its last word's hash."""
     x = (left ^ left >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + (right ^ right >> np.uint64(29)) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -306,8 +303,8 @@ class _Chunk:
 
     def __init__(self, row: dict, answers: pa.Table | None, order: int) -> None:
         self.row, self.chunk = row, row["chunk"]
-        self.bounds = np.frombuffer(row["bounds"], np.int64)
-        hashes, tokens = np.frombuffer(row["hashes"], np.uint64), _tokens(row)
+        self.bounds = _unpack(row["bounds"]).astype(np.int64)
+        hashes, tokens = _hashes(row), _unpack(row["codes"]).astype(np.int32)
         self.train = np.repeat([not held_out(i) for i in row["ids"]], np.diff(self.bounds))
         self.first = np.zeros(len(tokens), dtype=bool)
         self.first[self.bounds[:-1]] = True
@@ -384,7 +381,7 @@ class _Chunk:
 
 def _round(chunks: DataFrame, answers: DataFrame | None, k: int, order: int, parts: int) -> DataFrame:
     """The answers of round ``k``."""
-    read = chunks.select("chunk", "ids", "bounds", "low", "mid", "high", "hashes")
+    read = chunks.select("chunk", "ids", "bounds", "codes", "hashes")
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -395,19 +392,13 @@ def _round(chunks: DataFrame, answers: DataFrame | None, k: int, order: int, par
         return pa.Table.from_batches([_talk(_Chunk(row, right, order).questions(k, order, parts)) for batch in left.to_batches() for row in _rows(batch)] or [_talk([])])
 
     asked = read.mapInArrow(mapped, _TALK) if answers is None else read.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(met, _TALK)
-    conf = chunks.sparkSession.conf
-    before = conf.get(_CLEAN)
-    conf.set(_CLEAN, "true")  # the round's shuffle files go with its end
-    try:
-        return written(asked.groupBy("about", "part").applyInArrow(_answer, _TALK), f"lm-round-{k}")
-    finally:
-        conf.set(_CLEAN, before)
+    return written(asked.groupBy("about", "part").applyInArrow(_answer, _TALK), f"lm-round-{k}")
 
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     chunks = _chunks(docs)
-    tokens = chunks.agg(F.coalesce(F.sum(F.length("low")), F.lit(0))).first()[0]
+    tokens = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     parts = min(max(-(-tokens // PART_TOKENS), LEAST_PARTS), MOST_PARTS)
     answers = _round(chunks, None, 1, order, parts)
     totals = answers.where(F.col("about") == _TOTALS).select("a").toArrow().column("a")  # one row for each part
@@ -433,7 +424,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
         return pa.concat_tables(out) if out else empty.empty_table()
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return chunks.drop("counts").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, schema)
+    return chunks.drop("counts", "n_tokens").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, schema)
 
 
 def op9(docs: DataFrame) -> DataFrame:
