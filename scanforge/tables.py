@@ -5,16 +5,20 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_paths: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, else the context's checkpoint folder, else a new local one."""
+    """spark.checkpoint.dir, else the context's checkpoint folder, else a new local one if the session itself is local."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="scanforge-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -43,9 +47,35 @@ def _remove_all() -> None:
             return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written once to the shared folder: its lineage is cut and lost executors cost nothing."""
+#: The shuffle files of a write go with its end; what is read later is the table.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """``df`` as a table written once to the shared folder: its lineage is cut and lost executors cost nothing.
+
+    ``batch``: the most rows of an Arrow batch while it is computed, for wide rows.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    settings = {_CLEAN: "true"} | ({_BATCH: str(batch)} if batch else {})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[id(table)] = path
+    weakref.finalize(table, _paths.pop, id(table), None)
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` returned and nothing will read again."""
+    for table in tables:
+        if path := _paths.pop(id(table), None):
+            remove(table.sparkSession, path)
