@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanforge.tables import new_path, remove, shared_dir, written
+from scanforge.tables import drop, new_path, remove, shared_dir, written
 
-__all__ = ["LOWER", "SPACES", "UPPER", "WORD", "let", "n_words_of", "new_path", "numbered", "remove", "shared_dir", "table", "words_of", "written"]
+__all__ = ["LOWER", "SPACES", "UPPER", "WORD", "drop", "let", "n_words_of", "new_path", "numbered", "remove", "shared_dir", "table", "words_of", "written"]
 
 #: Java regular expression of the white space between words, and of a word.
 SPACES = r"[\x20\x09-\x0D]+"
