@@ -13,7 +13,8 @@ piece is encoded once for as long as the worker remembers it (see ``pieces``).
 pass, no shuffle; a task holds one slice of text and the remembered pieces.
 
 Defined cases: a null or empty text has no ids; repeated rows are encoded one by one; an
-empty table gives an empty result.
+empty table gives an empty result; a very long text is a slice of its own; further columns pass
+through, and the operator's own columns replace any of the same name.
 """
 
 from __future__ import annotations
@@ -29,8 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanforge.llm.pieces import PieceEncoder, ranges, slices
-
+from scanforge.llm.pieces import CUT_PATTERN, PieceEncoder, ranges, slices
 
 
 class PrefixBPE:
@@ -136,7 +136,7 @@ class TextEncoder:
 
     def __init__(self, bpe: PrefixBPE, pattern: str) -> None:
         self.bpe, self.find = bpe, regex.compile(pattern).findall
-        self.texts = PieceEncoder(self.encode_many)
+        self.texts = PieceEncoder(self.encode_many, cuts=pattern == CUT_PATTERN)
 
     @classmethod
     @lru_cache(maxsize=1)

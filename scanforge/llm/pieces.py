@@ -9,6 +9,9 @@ so each distinct piece is encoded once and the ids of a text are gathered from i
 For the same reason a piece is cut again, before it is remembered, where an ASCII mark or a
 line end follows a letter or digit, and where a line end follows a mark: letters, digits and
 marks share no match in this order, and what follows is matched without looking back.
+
+This holds for CUT_PATTERN alone.  An encoder of any other pattern, or one that does more than match and
+merge, must say ``cuts=False``; then each distinct text is one piece and nothing is remembered.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ _SPACE_AFTER_BLANK = f"[{_BLANKS}] "
 _CUT = re.compile("(?<=[^" + re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", _BLANKS) + "])(?= )")
 _MARKS = r"!-/:-@\[-`{-~"
 _FINE = re.compile(rf"(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])(?=[{_MARKS}\n])|(?<=[{_MARKS}])(?=\n)")
+#: Fixed value: the one pattern that the cuts are right for.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts are handled in slices of about so many bytes.
 SLICE_BYTES = 8 << 20
 
@@ -99,12 +104,22 @@ class PieceEncoder:
     """Ids of texts, each distinct fine piece encoded once for as long as it is remembered.
 
     ``encode``: from pieces to lists of ids.  At most ``limit`` fine pieces are remembered.
+    ``whole``: strings that must not be cut; a text that holds one is a piece of its own and is not remembered.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 800_000) -> None:
-        self._encode, self._limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 800_000, cuts: bool = True, whole: tuple[str, ...] = ()) -> None:
+        self._encode, self._limit, self._cuts = encode, limit, cuts
+        self._whole = re.compile("|".join(map(re.escape, whole))) if whole else None
         self._clear()
 
+    def _uncut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``pieces`` with each distinct text as one piece."""
+        coded = _plain(texts).dictionary_encode()
+        found = self._encode(_strings(coded.dictionary)) if len(coded.dictionary) else []
+        ids = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=sum(map(len, found)))
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)]).astype(np.int64)
+        return ids, bounds, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.arange(len(texts) + 1)
+
     def _clear(self) -> None:
         self.slots: dict[str, int] = {}
         self.ids, self.ends = array("I"), array("q", [0])
@@ -114,6 +129,28 @@ class PieceEncoder:
 
     def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the distinct pieces and each piece's range in them; the piece of each place and each text's range of places."""
+        if not self._cuts:
+            return self._uncut(texts)
+        if self._whole and len(texts):
+            odd = pc.match_substring_regex(_plain(texts), self._whole.pattern).to_numpy(zero_copy_only=False)
+            if odd.any():
+                return self._mixed(texts, odd)
+        return self._cut(texts)
+
+    def _mixed(self, texts: pa.Array, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``pieces`` of texts of which those marked ``odd`` are not cut."""
+        some = [self._cut(texts.filter(pa.array(~odd))), self._uncut(texts.filter(pa.array(odd)))]
+        ids = np.concatenate([x[0] for x in some])
+        bounds = np.concatenate([some[0][1], some[1][1][1:] + len(some[0][0])])
+        places = np.empty(len(odd), dtype=np.int64)
+        n_even = len(some[0][3]) - 1
+        places[~odd], places[odd] = np.arange(n_even), n_even + np.arange(odd.sum())
+        offsets = np.concatenate([some[0][3], some[0][3][-1] + some[1][3][1:]])
+        codes = np.concatenate([some[0][2], some[1][2] + len(some[0][1]) - 1])
+        starts, lengths = offsets[:-1][places], np.diff(offsets)[places]
+        return ids, bounds, codes[ranges(starts, lengths)], np.concatenate([[0], np.cumsum(lengths)])
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         coarse, codes, offsets = cut(texts)
         fine: list[str] = []
         counts = np.ones(len(coarse), dtype=np.int64)

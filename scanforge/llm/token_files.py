@@ -14,14 +14,19 @@ row; only the rows of successful attempts count, so retries and lost executors l
 files, never wrong ones.  Offsets between files come from one total for each file.
 
 The tokenizers library encodes each distinct piece of text once for as long as the worker
-remembers it (see ``pieces`` for why that equals encoding whole texts).
+remembers it (see ``pieces`` for why that equals encoding whole texts).  A text that holds the string of an
+added token is encoded whole, so that the library finds the token there as it does by default.
+
+The files lie in the shared folder and are opened with Arrow, under the scheme that Spark gives the path.
 
 Defined cases: a null or empty text is the end id alone; null ids come first; equal ids are
-ordered by the text's hash and position; an empty table gives an empty result.
+ordered by the text's hash and position; an empty table gives an empty result; a very long text is a
+slice of its own; further columns don't matter.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -33,7 +38,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanforge.llm.common import new_path, written
@@ -42,27 +47,58 @@ from scanforge.llm.pieces import PieceEncoder, slices
 SEQUENCE = 2048
 BATCH_SEQUENCES = 64
 END_ID = 2
+LEAST_PART, MOST_PART = 4 << 20, 256 << 20
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-@lru_cache(maxsize=1)
-def tokenizer_encoder(tokenizer_path: str) -> tuple[PieceEncoder, int]:
-    """This worker's encoder by the tokenizers library, with what it remembers, and the size of its vocabulary."""
+@lru_cache(maxsize=2)
+def tokenizer_encoder(tokenizer_path: str, special_in_text: bool = True) -> tuple[PieceEncoder, int]:
+    """This worker's encoder by the tokenizers library, with what it remembers, and the size of its vocabulary.
+
+    ``special_in_text``: whether the string of a special token in a text is that token, as the library has it by
+    default, or ordinary text.
+    """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    tokenizer.encode_special_tokens = not special_in_text
+    parts = json.loads(tokenizer.to_str())
+    before = parts["pre_tokenizer"] or {}
+    cuts = not parts["normalizer"] and not parts["truncation"] and not parts["padding"] and before.get("type") == "ByteLevel" and before.get("use_regex") is True and not before.get("add_prefix_space")
+    whole = tuple(t["content"] for t in parts["added_tokens"] if special_in_text or not t["special"])
     batch = 2048
 
     def encode(texts: list[str]) -> list[list[int]]:
         return [e.ids for i in range(0, len(texts), batch) for e in tokenizer.encode_batch_fast(texts[i : i + batch], add_special_tokens=False)]
 
-    return PieceEncoder(encode), tokenizer.get_vocab_size()
+    return PieceEncoder(encode, cuts=cuts, whole=whole), tokenizer.get_vocab_size()
+
+
+#: Names that Hadoop has for stores which Arrow knows by another.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
 def _local(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
+    scheme, rest = uri.split(":", 1)
+    return pafs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark's default file system gives it; the files must be in a store that all executors share."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    uri = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    scheme, rest = uri.split(":", 1)
+    if scheme not in ("file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss", *_SCHEMES):
+        raise ValueError(f"Arrow opens no files under {scheme}://; give another folder as `out`")
+    return f"{scheme}://" + "/" * (scheme == "file") + rest.lstrip("/")
+
+
+def part_count(rows: DataFrame, size: Column) -> int:
+    """Partitions for rows of these sizes: the session's number, unless parts would be under LEAST_PART or over MOST_PART bytes."""
+    total = rows.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(n, -(-total // LEAST_PART)), -(-total // MOST_PART))
 
 
 class SequenceWriter:
@@ -165,18 +201,16 @@ class TokenDataset:
                             yield part
 
         files = self.manifest.select("file", "index", "base")
-        return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        return files.repartition(max(1, files.count())).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, length: int = SEQUENCE, out: str | None = None) -> TokenDataset:
+def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, length: int = SEQUENCE, out: str | None = None, special_in_text: bool = True) -> TokenDataset:
     """Encodes every text and writes the files under ``out`` (a new shared folder, if None)."""
     spark = docs.sparkSession
-    out = out or new_path(spark, "tokens")
-    uri = out if "://" in out or out.startswith("file:") else "file://" + out
-    uri = uri.replace("file:///", "file:/").replace("file:/", "file:///")
+    uri = _qualified(spark, out or new_path(spark, "tokens"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, vocab = tokenizer_encoder(tokenizer_path)
+        encoder, vocab = tokenizer_encoder(tokenizer_path, special_in_text)
         id_type = pa.uint16() if vocab <= 1 << 16 else pa.uint32()
         writer = index = None
         n_docs = n_tokens = 0
@@ -208,7 +242,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, len
 
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "file": [name + ".arrow"], "index": [name + ".index.arrow"], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = part_count(docs, F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
     keyed = docs.select("doc_id", "text").withColumn("_tie", F.monotonically_increasing_id())
     order = ["doc_id", F.xxhash64("text"), "_tie"]
     ranged = keyed.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
