@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_files": _over("documents", partial(token_files.op1, tokenizer_path=TOKENIZER)),
         "op2_byte_shards": _over("documents", sharding.op2),
         "op3_quality_rules": _over("documents", quality.op3),
+        "op3_rule_ablations": _over("documents", quality.ablation_report),
         "op4_mix_sources": _over("documents", mixing.op4),
         "op5_url_rules": _over("pages", url_filter.op5),
         "op6_byte_bpe": _over("documents", partial(byte_bpe.op6, ranks_path=RANKS, pattern=PATTERN)),
@@ -37,4 +38,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.ORACLE, "op5_url_rules": url_filter.ORACLE, "op8_reply_trees": chat.ORACLE, "op10_jaccard_join": jaccard.ORACLE}
+    return {"op3_quality_rules": quality.ORACLE, "op3_rule_ablations": quality.ABLATION_ORACLE, "op5_url_rules": url_filter.ORACLE, "op8_reply_trees": chat.ORACLE, "op10_jaccard_join": jaccard.ORACLE}

@@ -9,8 +9,9 @@ Plan: one projection over the scan, no shuffle, no Python.  The 5-word windows o
 hash-set distinct, so the sort is paid only where a window repeats.
 
 Defined cases: a null or empty text has no words and fails ``few_words``; rows are judged one
-by one, so repeated rows give repeated results; further columns, whatever their names, pass
-through ``ledger`` untouched and the ledger's own columns replace any of the same name.
+by one, so repeated rows give repeated results, ties there are none; an empty table gives an empty
+result; further columns, whatever their names, pass through ``ledger`` untouched and the ledger's
+own columns replace any of the same name.
 """
 
 from __future__ import annotations
@@ -18,19 +19,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanforge.llm.common import let, words_of
+from scanforge.llm.common import LOWER, UPPER, let, words_of
 
 WINDOW = 5
 
 #: Bit of each rule, in the order of evaluation.
-RULES = ("few_words", "repeated_windows", "word_length", "symbols", "duplicate_lines")
+RULES = ("few_words", "repeated_windows", "word_length", "symbols", "duplicate_lines", "few_letters", "few_stop_words", "bullet_lines", "ellipsis_lines", "unended_lines")
+
+#: Words that English prose cannot do without.
+STOP_WORDS = ("the", "be", "to", "of", "and", "that", "have", "with")
 
 #: Versioned policies: the rules whose failure rejects a document.
 POLICIES = {
     "base-1": ("few_words", "repeated_windows"),
     "standard-1": ("few_words", "repeated_windows", "word_length", "symbols", "duplicate_lines"),
+    # for any language; reject what is a list, cut off or not text
+    "strict-1": ("few_words", "repeated_windows", "word_length", "symbols", "duplicate_lines", "few_letters", "bullet_lines", "ellipsis_lines"),
+    # for English prose
+    "english-1": RULES,
 }
 
+#: What the ledger measures of each text.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_letter_words", "n_stop_words", "n_bullet_lines", "n_ellipsis_lines", "n_ended_lines")
+
 
 def mask_of(policy: str | tuple[str, ...]) -> int:
     """Bitmask of a policy's rules."""
@@ -66,6 +77,10 @@ def n_repeat_words(words: Column) -> Column:
     return let(words, of)
 
 
+def _count(lines: Column, pattern: str) -> Column:
+    return F.size(F.filter(lines, lambda line: line.rlike(pattern))).cast("long")
+
+
 def measurements(text: Column) -> Column:
     """One struct with all measurements of a text."""
     text = F.coalesce(text, F.lit(""))
@@ -79,6 +94,11 @@ def measurements(text: Column) -> Column:
             let(lines, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
             let(lines, F.size).cast("long").alias("n_lines"),
             n_repeat_words(ws).cast("long").alias("n_repeat_words"),
+            F.size(F.filter(ws, lambda w: w.rlike(r"[A-Za-z\x{80}-\x{10FFFF}]"))).cast("long").alias("n_letter_words"),
+            F.size(F.filter(ws, lambda w: F.translate(w, UPPER, LOWER).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
+            let(lines, lambda ls: _count(ls, r"^[ \t\x0B\f\r]*[\x{2022}*\-]")).alias("n_bullet_lines"),
+            let(lines, lambda ls: _count(ls, r"(\.\.\.|\x{2026})[ \t\x0B\f\r]*$")).alias("n_ellipsis_lines"),
+            let(lines, lambda ls: _count(ls, r"[.!?\"'\x{3002}][ \t\x0B\f\r]*$")).alias("n_ended_lines"),
         ),
     )
 
@@ -92,20 +112,23 @@ def failures() -> dict[str, Column]:
         "word_length": (m("word_chars") < 2 * m("n_words")) | (m("word_chars") > 14 * m("n_words")),
         "symbols": 10 * m("n_symbols") > 2 * m("n_words"),
         "duplicate_lines": 100 * m("n_dup_lines") > 40 * m("n_lines"),
+        "few_letters": 100 * m("n_letter_words") < 80 * m("n_words"),
+        "few_stop_words": m("n_stop_words") < 2,
+        "bullet_lines": 100 * m("n_bullet_lines") > 90 * m("n_lines"),
+        "ellipsis_lines": 100 * m("n_ellipsis_lines") > 30 * m("n_lines"),
+        "unended_lines": 100 * m("n_ended_lines") < 10 * m("n_lines"),
     }
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the measurements and ``failed_rules``, the bits of all rules that the document fails."""
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
-    measured = docs.withColumn("_m", measurements(F.col(text_col)))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (*names, "failed_rules")]
-    measured = measured.select(*kept, *[F.col(f"_m.{n}").alias(n) for n in names])
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (*MEASURES, "failed_rules")])
+    measured = docs.select(whole.alias("row"), measurements(F.col(text_col)).alias("m")).select("row", *[F.col(f"m.{n}").alias(n) for n in MEASURES])
     bits = [F.when(fails, F.lit(1 << RULES.index(rule))).otherwise(F.lit(0)) for rule, fails in failures().items()]
     mask = bits[0]
     for bit in bits[1:]:
         mask = mask.bitwiseOR(bit)
-    return measured.withColumn("failed_rules", mask.cast("int"))
+    return measured.select("row.*", *MEASURES, mask.cast("int").alias("failed_rules"))
 
 
 def passes(policy: str | tuple[str, ...]) -> Column:
@@ -143,6 +166,11 @@ def op3(docs: DataFrame) -> DataFrame:
     )
 
 
+def ablation_report(docs: DataFrame, policy: str = "strict-1") -> DataFrame:
+    """The policy's ablations over all documents."""
+    return ablations(ledger(docs.select("doc_id", "text")), policy)
+
+
 ORACLE = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -156,14 +184,31 @@ m AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines,
-         coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+         coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+         len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z\x{{80}}-\x{{10FFFF}}]'))) AS n_letter_words,
+         len(list_filter(w, lambda x: translate(x, '{UPPER}', '{LOWER}') IN {STOP_WORDS})) AS n_stop_words,
+         len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t\x0B\f\r]*[\x{{2022}}*\-]'))) AS n_bullet_lines,
+         len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|\x{{2026}})[ \t\x0B\f\r]*$'))) AS n_ellipsis_lines,
+         len(list_filter(lines, lambda x: regexp_matches(x, '[.!?"''\x{{3002}}][ \t\x0B\f\r]*$'))) AS n_ended_lines
   FROM d LEFT JOIN covered USING (rid)),
 f AS (
   SELECT *, (CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END)
     + (CASE WHEN word_chars < 2 * n_words OR word_chars > 14 * n_words THEN 4 ELSE 0 END)
-    + (CASE WHEN 10 * n_symbols > 2 * n_words THEN 8 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 40 * n_lines THEN 16 ELSE 0 END) AS bits
+    + (CASE WHEN 10 * n_symbols > 2 * n_words THEN 8 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 40 * n_lines THEN 16 ELSE 0 END)
+    + (CASE WHEN 100 * n_letter_words < 80 * n_words THEN 32 ELSE 0 END) + (CASE WHEN n_stop_words < 2 THEN 64 ELSE 0 END)
+    + (CASE WHEN 100 * n_bullet_lines > 90 * n_lines THEN 128 ELSE 0 END) + (CASE WHEN 100 * n_ellipsis_lines > 30 * n_lines THEN 256 ELSE 0 END)
+    + (CASE WHEN 100 * n_ended_lines < 10 * n_lines THEN 512 ELSE 0 END) AS bits
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) <> 0 AS base_failed,
-       bits = 0 AS kept, bits::INTEGER AS failed_rules
+       (bits & 31) = 0 AS kept, bits::INTEGER AS failed_rules
 FROM f
 """
+
+#: How many documents each rule of the strict policy rejects, rejects alone, and would be kept without it.
+ABLATION_ORACLE = ORACLE[: ORACLE.rindex("SELECT doc_id, n_words")] + f"""
+, r(rule, bit) AS (VALUES {", ".join(f"('{r}', {1 << RULES.index(r)})" for r in POLICIES["strict-1"])}),
+x AS (SELECT bits & {mask_of("strict-1")} AS mask FROM f)
+SELECT rule, (count(*) FILTER (mask & bit <> 0))::BIGINT AS failing, (count(*) FILTER (mask = bit))::BIGINT AS failing_alone,
+       (count(*) FILTER (mask & ~bit = 0))::BIGINT AS kept_without
+FROM r, x GROUP BY rule
+"""
