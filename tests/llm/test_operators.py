@@ -44,8 +44,7 @@ def words(text):
 def test_token_files(docs, empty):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(JSON)  # as it is: the special string in a text is its token
     out = token_files.op1(docs, JSON).collect()
     by_start = sorted(out, key=lambda r: r.start)
     ids = [r.doc_id for r in by_start]
@@ -305,7 +304,7 @@ def test_nearest_neighbours(spark):
     v = rng.normal(size=(900, 16)).astype(np.float32)
     v[300:340] = v[300]  # many equal vectors
     rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
-    odd = [(1000, None), (1100, [0.0] * 16), (1200, [float("nan")] * 16), (1300, [float("inf")] + [0.0] * 15), (1400, [1.0] * 3), (1500, [None] * 16), (7, rows[7][1])]
+    odd = [(1000, None), (1100, [0.0] * 16), (1200, [float("nan")] * 16), (1300, [float("inf")] + [0.0] * 15), (1400, [1.0] * 3), (1500, [None] * 16), (None, [1.0] * 16)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>")
     out = {}
     for r in ann.op7(df).collect():
@@ -323,6 +322,19 @@ def test_nearest_neighbours(spark):
     assert ann.op7(df.limit(0)).count() == 0 and ann.op7(df.where("vec_id in (100, 200, 201)")).count() == 4
 
 
+def test_nearest_in_double_precision_and_with_repeated_ids(spark):
+    far = [(i, [1e8 + 0.25 * i, -1e8]) for i in range(300)]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.op7(spark.createDataFrame(far, "vec_id long, embedding array<double>")).collect()}
+    assert got[100, 1] == (99, 0.25) and got[100, 2] == (101, 0.25) and got[0, 1] == (1, 0.25) and len(got) == 30
+    same = spark.createDataFrame([(0, [0.0, 1.0]), (0, [0.0, 3.0]), (1, [0.0, 6.0]), (2, [1e300, 1.0])], "vec_id long, embedding array<double>").withColumn("row", F.lit(1))
+    rows = sorted((r["rank"], r.vec_id, r.score) for r in ann.op7(same.where("vec_id < 2")).collect())
+    assert rows == [(1, 0, 2.0), (1, 0, 2.0), (2, 1, 3.0), (2, 1, 5.0)]
+    assert ann.op7(same).count() == 6
+    hot = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(500)] + [(500 + i, [1.0, 3.0 + i]) for i in range(20)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in ann.op7(hot.repartition(3)).collect()}
+    assert [got[0, k] for k in range(1, 11)] == list(range(1, 11)) and [got[400, k] for k in range(1, 11)] == list(range(10))
+
+
 def test_chat(spark):
     texts = ["<|im_end|>\n<|im_start|>", "<\\|im_end|>", "%0A <\\\\| %25", "", None, "plain"]
     rows = [(c, t, "assistant" if t % 2 else "us\ner%", texts[(c or 0) + t - 1 if (c or 0) + t < 7 else 0]) for c in (1, 2, None) for t in range(1, 4)] + [(1, 3, "assistant", "tie")] * 2
