@@ -6,16 +6,18 @@ each path prefix of a length that some rule has: all probes of a batch go throug
 vectorised binary search, and the stored string must equal the probe, so a digest collision
 never decides.  The longest rule wins, then the one with the longer host.
 
-The file is sent by ``SparkContext.addFile``, so executors map it from their own disk and
-share its pages between workers.  ``MOST_RULE_BYTES`` bounds it; the scan reads the id and
+The file lies in the shared folder and is sent by ``SparkContext.addFile``, so executors map it from
+their own disk and share its pages between workers.  ``MOST_RULE_BYTES`` bounds it; the scan reads the id and
 url columns alone and nothing is shuffled.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and fits no
-rule; repeated rows are judged one by one; an empty table gives an empty result.
+rule; repeated rows are judged one by one; of rules that fit and are equally long the one with the longer
+host wins; an empty table gives an empty result; further columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -25,10 +27,10 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanforge.llm.common import LOWER, UPPER
+from scanforge.llm.common import LOWER, UPPER, shared_dir
 
 #: (host, path, verdict)
 RULES = (
@@ -142,14 +144,25 @@ class DigestArray:
         return int(self.starts[i + 1] - self.starts[i]), int(self.host_bytes[i])
 
 
-def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, default: str = DEFAULT, url_col: str = "url") -> DataFrame:
-    """(host, path, rule, verdict) as a struct column ``_url`` added to ``pages``."""
-    spark = pages.sparkSession
-    handle, local = tempfile.mkstemp(prefix="url-rules-", suffix=".bin")
-    os.close(handle)
-    DigestArray.save(rules, local)
-    spark.sparkContext.addFile(local)
-    name = os.path.basename(local)
+def _shipped(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> str:
+    """Name of the rules' file, put into the shared folder, from where each executor fetches it once."""
+    with tempfile.TemporaryDirectory(prefix="url-rules-") as folder:
+        local = os.path.join(folder, "rules.bin")
+        DigestArray.save(rules, local)
+        with open(local, "rb") as f:
+            name = f"url-rules-{hashlib.sha256(f.read()).hexdigest()}.bin"  # equal rules are one file
+        jvm, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+        target = jvm.Path(f"{shared_dir(spark).rstrip('/')}/scanforge/{name}")
+        system = target.getFileSystem(conf)
+        if not system.exists(target):
+            system.copyFromLocalFile(False, True, jvm.Path(f"file://{local}"), target)
+        spark.sparkContext.addFile(system.makeQualified(target).toString())
+    return name
+
+
+def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, default: str = DEFAULT, url_col: str = "url", out: str = "judged") -> DataFrame:
+    """``pages`` with a struct column ``out`` (host, path, rule, verdict), which replaces one of that name."""
+    name = _shipped(pages.sparkSession, rules)
 
     @F.pandas_udf("rule string, verdict string")
     def judged(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -157,16 +170,17 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
         for hosts, paths in batches:
             yield index.judge(hosts, paths)
 
-    parts = pages.withColumn("_host", host_of(F.col(url_col))).withColumn("_path", path_of(F.col(url_col)))
-    parts = parts.withColumn("_j", judged("_host", "_path"))
-    verdict = F.coalesce(F.col("_j.verdict"), F.lit(default)).alias("verdict")
-    made = F.struct(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_j.rule").alias("rule"), verdict)
-    return parts.withColumn("_url", made).drop("_host", "_path", "_j")
+    url = F.col(f"`{url_col}`")
+    whole = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != out])
+    parts = pages.select(whole.alias("page"), host_of(url).alias("host"), path_of(url).alias("path"))
+    parts = parts.withColumn("found", judged("host", "path"))
+    verdict = F.coalesce(F.col("found.verdict"), F.lit(default)).alias("verdict")
+    return parts.select("page.*", F.struct("host", "path", F.col("found.rule").alias("rule"), verdict).alias(out))
 
 
 def op5(pages: DataFrame) -> DataFrame:
     """The contract's columns."""
-    return filter_urls(pages.select("page_id", "url")).select("page_id", "_url.host", "_url.path", "_url.rule", "_url.verdict")
+    return filter_urls(pages.select("page_id", "url")).select("page_id", "judged.host", "judged.path", "judged.rule", "judged.verdict")
 
 
 ORACLE = r"""
