@@ -1,24 +1,25 @@
 """Contiguous shards of nearly equal bytes from a global prefix sum.
 
 Only (doc_id, size, crc32) leave the scan; the texts are never shuffled.  The narrow rows are
-range-partitioned by document id and written once.  One total for each range (bounded by the
-number of shuffle partitions, not by the rows) is summed into offsets and joined back, so the
+range-partitioned by document id, as many to a range as one task holds, and written once.  One
+total for each range is summed into offsets and joined back, so the
 running byte position of each document needs a window over its own range only, never one over
 all rows.  A document goes to the shard in whose equal target interval its middle byte lies:
 shards are contiguous in id order and differ from the target by less than one document.
 
 Defined cases: a null text has size 1 (its end byte) and the crc32 of no bytes; rows with a
 null id sort first; equal ids are ordered by crc32, size and then position in the input, so
-repeated rows each get their own slot and one hot id is spread over ranges; an empty table
-gives an empty result.
+repeated rows each get their own slot and one hot id is spread over ranges; a text larger than
+a shard's target leaves a neighbouring shard empty; an empty table gives an empty result; further
+columns don't matter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanforge.llm.common import written
+from scanforge.llm.common import numbered, written
 
 
 def text_crc32(text: Column) -> Column:
@@ -34,31 +35,16 @@ def byte_size(text: Column) -> Column:
 def shard_by_bytes(rows: DataFrame, n_shards: int, order: list[str], size: str = "size") -> DataFrame:
     """Adds ``shard`` (0 .. n_shards-1) and ``slot`` (gapless from 0 in each shard).
 
-    ``rows`` should be narrow: it is shuffled by range once and written.  ``order`` must not
-    contain the names this function makes (``_part``, ``_start``, ``_row``).
+    ``rows`` should be narrow: it is shuffled by range once and written.
     """
-    ordered = rows.withColumn("_tie", F.monotonically_increasing_id())
-    keys = [*order, "_tie"]
-    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = written(ordered.repartitionByRange(n_parts, *keys).withColumn("_part", F.spark_partition_id()), "shard-ranges")
-    totals = ranged.groupBy("_part").agg(F.sum(size).alias("_bytes"), F.count("*").alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    totals = totals.select(
-        "_part",
-        F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_base"),
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_first"),
-        F.sum("_bytes").over(Window.partitionBy()).alias("_all"),
-    )
-    within = Window.partitionBy("_part").orderBy(*keys)
-    placed = (
-        ranged.join(F.broadcast(totals), "_part")
-        .withColumn("_start", F.col("_base") + F.sum(size).over(within) - F.col(size))
-        .withColumn("_row", F.col("_first") + F.row_number().over(within) - 1)
-        .withColumn("shard", F.least(F.lit(n_shards - 1), F.expr(f"((2 * _start + `{size}`) * {n_shards}) div (2 * _all)")).cast("int"))
-    )
-    placed = written(placed.select(*rows.columns, "shard", "_row"), "shard-rows")
-    firsts = placed.groupBy("shard").agg(F.min("_row").alias("_least"))  # n_shards rows
-    return placed.join(F.broadcast(firsts), "shard").select(*rows.columns, "shard", (F.col("_row") - F.col("_least")).alias("slot"))
+    names = [f"`{c}`" for c in rows.columns if c not in ("shard", "slot")]
+    placed = numbered(rows, order, {"__start": size}, row="__row")
+    whole = rows.agg(F.coalesce(F.sum(size), F.lit(1)).alias("__all"))
+    shard = F.least(F.lit(n_shards - 1), F.expr(f"((2 * __start + `{size}`) * {n_shards}) div (2 * __all)")).cast("int")
+    sharded = placed.crossJoin(F.broadcast(whole)).select(*names, "__row", shard.alias("shard"))  # one row
+    sharded = written(sharded, "shard-rows")
+    firsts = sharded.groupBy("shard").agg(F.min("__row").alias("__least"))  # n_shards rows
+    return sharded.join(F.broadcast(firsts), "shard").select(*names, "shard", (F.col("__row") - F.col("__least")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16) -> DataFrame:

@@ -84,6 +84,27 @@ def test_shards(docs, empty):
     assert sharding.op2(empty).count() == 0
 
 
+@pytest.mark.parametrize("n_shards", [1, 4, 16])
+def test_shards_equal_a_plain_run(spark, monkeypatch, n_shards):
+    from scanforge.llm import common
+
+    monkeypatch.setattr(common, "RANGE_ROWS", 40)  # several ranges
+    rng = np.random.default_rng(2)
+    rows = [(int(i), "é" * int(n)) for i, n in zip(rng.integers(0, 150, 300), rng.zipf(1.4, 300) % 5000, strict=True)] + [(None, None), (None, "z"), (3, "x" * 200_000), (3, "x" * 200_000)]
+    key = lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode()), len((r[1] or "").encode()) + 1)
+    at, want, slots = 0, [], Counter()
+    total = sum(key(r)[3] for r in rows)
+    for r in sorted(rows, key=key):
+        size = key(r)[3]
+        shard = min(n_shards - 1, (2 * at + size) * n_shards // (2 * total))
+        want.append((r[0], size, key(r)[2], shard, slots[shard]))
+        slots[shard] += 1
+        at += size
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("clash"))
+    got = [(r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in sharding.op2(df.repartition(3), n_shards).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def base(text):
     w = words(text)
     seen = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
@@ -101,9 +122,11 @@ def test_quality_ledger(docs, empty):
         assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and not (r.base_failed and r.kept)
     led = quality.ledger(docs)
     assert led.columns.count("n_words") == 1 and "key" in led.columns
-    masks = Counter(r.failed_rules for r in led.collect())
-    for r in quality.ablations(led).collect():
-        bit = 1 << quality.RULES.index(r.rule)
+    every = Counter(r.failed_rules for r in led.collect())
+    for policy, r in ((p, r) for p in quality.POLICIES for r in quality.ablations(led, p).collect()):
+        masks, bit = Counter(), 1 << quality.RULES.index(r.rule)
+        for m, n in every.items():
+            masks[m & quality.mask_of(policy)] += n  # the rules that the policy has
         assert r.failing == sum(n for m, n in masks.items() if m & bit) and r.failing_alone == masks.get(bit, 0)
         assert r.kept_without == sum(n for m, n in masks.items() if not m & ~bit)
     assert quality.op3(empty).count() == 0
@@ -256,6 +279,13 @@ def test_url_rules(spark):
     assert url_filter.op5(pages.limit(0)).count() == 0
 
 
+def test_url_rules_keep_rows_and_columns(spark):
+    rows = [(1, "http://a.com/", "h", 1), (1, "http://a.com/", "h", 1), (2, None, None, 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, _host string, found long")
+    out = url_filter.filter_urls(pages)
+    assert out.columns == [*pages.columns, "judged"] and sorted(tuple(r)[:4] for r in out.collect()) == rows
+
+
 def test_digest_collisions_are_confirmed(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda b: len(b))
     url_filter.DigestArray.save([("ab", "/", "block"), ("cd", "/", "allow")], str(tmp_path / "r"))
@@ -469,6 +499,74 @@ def test_jaccard_against_all_pairs(spark):
     assert kept == {i for i, (_, c) in got.items() if i == c}
 
 
+def brute_links(rows):
+    sets = {}
+    for i, t in rows:
+        w = lower_words(t)
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset({tuple(w)} if w else ())
+    different = sorted(set(sets.values()), key=sorted)
+    near = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
+    return {frozenset((x, y)) for k, x in enumerate(different) for y in different[k + 1 :] if x and y and near(x, y)}, sets
+
+
+def test_links_between_classes_are_complete(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    first, rows = list(rng.choice([f"w{i}" for i in range(500)], 120)), []
+    for k in range(45):  # a group of near copies, sizes from 60 to 120 words
+        own = [w if rng.random() > 0.015 else f"e{rng.integers(99)}" for w in first[: 60 + k]]
+        rows.append((len(rows), " ".join(own)))
+    rows += [(100, rows[3][1]), (101, rows[3][1].upper()), (None, rows[5][1]), (102, "a b"), (103, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, sets = brute_links([(k, t) for k, (_, t) in enumerate(rows)])
+    for hot in (2000, 5):  # plain tiles, and tiles dealt over salts
+        monkeypatch.setattr(jaccard, "HOT_ROWS", hot)
+        pairs, member = jaccard.links(df)
+        nodes = {}
+        for r, (i, t) in zip(sorted(member.collect(), key=lambda r: (r.doc_id is None, r.doc_id)), sorted(rows, key=lambda r: (r[0] is None, r[0])), strict=True):
+            nodes[r.node] = sets[rows.index((i, t))]
+        got = [frozenset((nodes[r.a], nodes[r.b])) for r in pairs.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.op10(df).collect()}
+        assert {i: c for i, c in found.items() if i is not None} == {i: c for i, c in brute_components([r for r in rows if r[0] is not None]).items()}
+
+
+def test_keep_first_keeps_unrelated_texts_and_clashing_columns(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
+    rows = [(1, one, 1), (1, two, 2), (2, three, 3), (3, three + " more", 4), (4, one, 5), (4, one, 5), (None, two + " x", 6), (None, None, 7), (None, None, 7), (5, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h int").withColumnRenamed("h", "_keep").withColumn("node", F.lit(0))
+    out = jaccard.keep_first(df.repartition(3))
+    kept = sorted(((r.doc_id, r.text, r._keep) for r in out.collect()), key=str)
+    assert out.columns == df.columns and kept == sorted([rows[0], rows[1], rows[2], rows[7], rows[8], rows[9]], key=str)
+    assert jaccard.keep_first(df.limit(0)).count() == 0
+    only_null = spark.createDataFrame([(None, one), (None, one + " x"), (None, one)], "doc_id long, text string")
+    assert jaccard.keep_first(only_null).count() == 1 and {r.component_id for r in jaccard.op10(only_null).collect()} == {None}
+
+
+def test_null_ids_link_others(spark):
+    words_ = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words_)), (None, " ".join(words_[12:])), (2, " ".join(words_[24:]))]
+    got = {r.doc_id: r.component_id for r in jaccard.op10(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, None: 1}
+
+
+def test_very_long_texts(spark):
+    """A text of some megabytes through every operator on documents."""
+    rng = np.random.default_rng(4)
+    long = " ".join(f"w{i}" for i in rng.integers(0, 5000, 400_000))
+    rows = [(0, long, "a"), (1, long + " end", "a"), (2, "x" * 2_000_000, "b"), (3, "short", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    ids = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in token_files.op1(df, JSON).collect()}
+    assert ids[0][0] > 400_000 and ids[1][0] > ids[0][0]
+    got = {r.doc_id: r for r in byte_bpe.op6(df, RANKS, public_tokenizers.PATTERN).collect()}
+    assert got[0].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest() and got[0].n_tokens == ids[0][0] - 1
+    assert got[2].decoded_sha256 == hashlib.sha256(rows[2][1].encode()).hexdigest()
+    assert {r.doc_id: r.n_words for r in quality.op3(df).collect()} == {0: 400_000, 1: 400_001, 2: 1, 3: 1}
+    assert {r.doc_id: r["size"] for r in sharding.op2(df).collect()}[2] == 2_000_001
+    assert {r.doc_id: r.n_tokens for r in lm_score.op9(df).collect()} == {0: 400_001, 1: 400_002, 2: 2, 3: 2}
+    assert {r.doc_id: r.component_id for r in jaccard.op10(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert sum(r.taken for r in mixing.op4(df).collect()) > 0
+
+
 def test_jaccard_edges(docs, empty):
     out = jaccard.op10(docs).collect()
     assert len(out) == docs.count()

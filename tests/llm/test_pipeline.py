@@ -31,3 +31,22 @@ def test_stages(spark, tmp_path):
     assert third.columns == df.columns and {r.doc_id for r in third.collect()} <= {r.doc_id for r in second.collect()}
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in third.collect()) and all(len(r.token_ids) == r.n_tokens for r in out)
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Null and repeated ids, ties, clashing names, very long and empty texts, empty tables."""
+    one, two = (" ".join(f"{c}{i * 7 % 90}" for i in range(90)) for c in "pq")
+    long = " ".join(f"w{i}" for i in range(300_000))
+    rows = [(1, one, None, 1), (1, one, None, 1), (1, two, "s", 2), (None, two + " z", "s", 3), (None, None, "s", 4), (2, "", None, 5), (3, long, "t", 6), (3, long + " end", "t", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_tokens long")
+    df = df.selectExpr("*", "1 AS item", "2 AS failed_rules", "3 AS h", "'x' AS whole")
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), str(tmp_path)).count() == 0
+        made = stage(spark, df, str(tmp_path))
+        if name != "byte_bpe":
+            assert sorted(made.columns) == sorted(df.columns)
+        sizes.append(made.count())
+    assert sizes[0] == 6 and sizes[1] == 5 and sizes[2] >= 6 and sizes[3] == 8
+    with_ids = dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, df, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), len(r.text or "")) for r in with_ids) == sorted([("1", len(one)), ("1", len(two)), ("None", 0), ("2", 0), ("3", len(long))])
