@@ -7,7 +7,8 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 _paths: dict[int, str] = {}
@@ -79,3 +80,47 @@ def drop(*tables: DataFrame) -> None:
     for table in tables:
         if path := _paths.pop(id(table), None):
             remove(table.sparkSession, path)
+
+
+#: Rows of one range where rows are numbered.
+RANGE_ROWS = 200_000
+
+
+def numbered(rows: DataFrame, order: list[str | Column], sums: dict[str, str] | None = None, row: str = "row") -> DataFrame:
+    """``rows`` with ``row`` (place in ``order``, from 0) and, for each of ``sums`` (name: column), the column's sum before the row.
+
+    The rows are dealt by range and written; one total for each range becomes the range's offset, so no window
+    holds more than a range.  Equal rows are told apart by their position; names with a leading ``__`` are the function's own.
+    """
+    sums = sums or {}
+    keys = [*order, F.col("__tie")]
+    tied = rows.withColumn("__tie", F.monotonically_increasing_id())
+    n_parts = max(1, -(-rows.count() // RANGE_ROWS))
+    ranged = written(tied.repartitionByRange(n_parts, *keys).withColumn("__range", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy("__range").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__of_{k}") for k, c in sums.items()])
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    offset = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    totals = totals.select("__range", offset("__n").alias("__n"), *[offset(f"__of_{k}").alias(f"__of_{k}") for k in sums])
+    within = Window.partitionBy("__range").orderBy(*keys)
+    placed = ranged.join(F.broadcast(totals), "__range").select(
+        *[f"`{c}`" for c in rows.columns],
+        (F.col("__n") + F.row_number().over(within) - 1).cast("long").alias(row),
+        *[(F.col(f"__of_{k}") + F.sum(c).over(within) - F.col(c)).alias(k) for k, c in sums.items()],
+    )
+    return placed
+
+
+def numbered_within(rows: DataFrame, by: list[str], order: list[str | Column], sums: dict[str, str] | None = None, row: str = "row") -> DataFrame:
+    """Like ``numbered``, but places and sums begin anew in each group; a group may span many ranges.
+
+    Also adds ``<row>_count``, the group's rows.
+    """
+    sums = sums or {}
+    placed = written(numbered(rows, [*by, *order], sums, "__place"), "placed")
+    totals = placed.groupBy(*by).agg(F.min("__place").alias("__first"), F.count("*").alias(f"{row}_count"), *[F.min_by(k, "__place").alias(f"__from_{k}") for k in sums])
+    on = F.lit(True)
+    for c in by:
+        on &= F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    joined = placed.alias("l").join(totals.alias("r"), on) if by else placed.alias("l").crossJoin(F.broadcast(totals).alias("r"))  # one row
+    names = [F.col(f"l.`{c}`") for c in rows.columns]
+    return joined.select(*names, (F.col("__place") - F.col("__first")).alias(row), f"{row}_count", *[(F.col(f"l.{k}") - F.col(f"__from_{k}")).alias(k) for k in sums])
