@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanforge.tables import drop, new_path, remove, shared_dir, written
+from scanforge.tables import drop, new_path, numbered, remove, shared_dir, written
 
 __all__ = ["LOWER", "SPACES", "UPPER", "WORD", "drop", "let", "n_words_of", "new_path", "numbered", "remove", "shared_dir", "table", "words_of", "written"]
 
@@ -34,31 +34,3 @@ def n_words_of(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-#: Rows of one range where rows are numbered.
-RANGE_ROWS = 200_000
-
-
-def numbered(rows: DataFrame, order: list[str | Column], sums: dict[str, str] | None = None, row: str = "row") -> DataFrame:
-    """``rows`` with ``row`` (place in ``order``, from 0) and, for each of ``sums`` (name: column), the column's sum before the row.
-
-    The rows are dealt by range and written; one total for each range becomes the range's offset, so no window
-    holds more than a range.  Equal rows are told apart by their position; names with a leading ``__`` are the function's own.
-    """
-    sums = sums or {}
-    keys = [*order, F.col("__tie")]
-    tied = rows.withColumn("__tie", F.monotonically_increasing_id())
-    n_parts = max(1, -(-rows.count() // RANGE_ROWS))
-    ranged = written(tied.repartitionByRange(n_parts, *keys).withColumn("__range", F.spark_partition_id()), "ranges")
-    totals = ranged.groupBy("__range").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__of_{k}") for k, c in sums.items()])
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    offset = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    totals = totals.select("__range", offset("__n").alias("__n"), *[offset(f"__of_{k}").alias(f"__of_{k}") for k in sums])
-    within = Window.partitionBy("__range").orderBy(*keys)
-    placed = ranged.join(F.broadcast(totals), "__range").select(
-        *[f"`{c}`" for c in rows.columns],
-        (F.col("__n") + F.row_number().over(within) - 1).cast("long").alias(row),
-        *[(F.col(f"__of_{k}") + F.sum(c).over(within) - F.col(c)).alias(k) for k, c in sums.items()],
-    )
-    return placed

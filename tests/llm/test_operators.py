@@ -86,9 +86,9 @@ def test_shards(docs, empty):
 
 @pytest.mark.parametrize("n_shards", [1, 4, 16])
 def test_shards_equal_a_plain_run(spark, monkeypatch, n_shards):
-    from scanforge.llm import common
+    from scanforge import tables
 
-    monkeypatch.setattr(common, "RANGE_ROWS", 40)  # several ranges
+    monkeypatch.setattr(tables, "RANGE_ROWS", 40)  # several ranges
     rng = np.random.default_rng(2)
     rows = [(int(i), "é" * int(n)) for i, n in zip(rng.integers(0, 150, 300), rng.zipf(1.4, 300) % 5000, strict=True)] + [(None, None), (None, "z"), (3, "x" * 200_000), (3, "x" * 200_000)]
     key = lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode()), len((r[1] or "").encode()) + 1)
