@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scanforge.functions import geometry as g
 from scanforge.operators.points import with_stats
-from scanforge.operators.spatial import adaptive_neighbours
+from scanforge.operators.spatial import hybrid_neighbours, neighbour_covariances
 from scanforge.tables import written
 
 
@@ -50,14 +50,24 @@ def normals(features: DataFrame, points: DataFrame, by: tuple[str, ...] = ()) ->
 
 
 def geometric_features(points: DataFrame, base_radius: float = 0.05, max_radius: float = 0.2, max_neighbours: int = 50, by: tuple[str, ...] = ()) -> DataFrame:
-    """All features and normals of every point; no batches, so no batch borders."""
-    edges = adaptive_neighbours(points, base_radius, max_radius, max_neighbours, by=by)
-    return normals(eigen_features(covariances(edges, by)), points, by)
+    """All features and normals of every point; tiles carry a halo, so there are no batch borders."""
+    return normals(eigen_features(neighbour_covariances(points, base_radius, max_radius, max_neighbours, by=by)), points, by)
+
+
+def hybrid_features(points: DataFrame, radius: float = 0.03, max_neighbours: int = 30, by: tuple[str, ...] = (), least: float = 1e-10) -> DataFrame:
+    """Curvature, anisotropy and planarity of an older search: the point itself left out, at least three neighbours or the nearest ten; 0 where the largest eigenvalue is below ``least``."""
+    features = eigen_features(covariances(hybrid_neighbours(points, radius, max_neighbours, by=by), by))
+    flat = (F.col("l3") <= least) | (F.col("n_nbrs") < 3)
+    return features.withColumns({c: F.when(flat, 0.0).otherwise(F.col(c)) for c in ("curvature", "anisotropy", "planarity")})
+
+
+def population_features(points: DataFrame, radius: float = 0.05, max_radius: float = 0.2, max_neighbours: int = 50, by: tuple[str, ...] = ()) -> DataFrame:
+    """Features whose covariances are divided by the number of neighbours, as another older variant has them."""
+    return eigen_features(neighbour_covariances(points, radius, max_radius, max_neighbours, by=by, ddof=0))
 
 
 def roughness(points: DataFrame, radius: float = 0.05, max_neighbours: int = 30, by: tuple[str, ...] = ()) -> DataFrame:
-    edges = adaptive_neighbours(points, radius, max(radius, 0.2), max_neighbours, by=by)
-    return eigen_features(covariances(edges, by), fill=False).select(*by, "point_id", "roughness")
+    return eigen_features(neighbour_covariances(points, radius, max(radius, 0.2), max_neighbours, by=by), fill=False).select(*by, "point_id", "roughness")
 
 
 def spatial_batches(df: DataFrame, per_batch: int, most: int = 12_000) -> DataFrame:

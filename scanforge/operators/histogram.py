@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scanforge.functions import geometry as g
 from scanforge.operators.points import with_stats
+from scanforge.tables import written
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -51,11 +52,14 @@ def exact_or_binned(df: DataFrame, value: str, most: int = 20) -> DataFrame:
 
 
 def top_and_other(df: DataFrame, value: str, top: int = 9) -> DataFrame:
-    """The most frequent values and "Other", if there are more than ``top`` + 1."""
-    counts = df.groupBy(F.col(value).cast("string").alias("value")).agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("k", F.row_number().over(Window.orderBy(F.col("n").desc(), "value"))).withColumn("all", F.count("*").over(Window.partitionBy()))
-    name = F.when((F.col("all") > top + 1) & (F.col("k") > top), "Other").otherwise(F.col("value"))
-    return ranked.groupBy(name.alias("value")).agg(F.sum("n").alias("n"))
+    """The most frequent values and "Other", if there are more than ``top`` + 1: a top-n and a subtraction, no ranking of all values."""
+    counts = written(df.groupBy(F.col(value).cast("string").alias("value")).agg(F.count("*").alias("n")), "value-counts")
+    few = counts.limit(top + 2).count() <= top + 1
+    if few:
+        return counts
+    best = counts.orderBy(F.col("n").desc(), "value").limit(top)
+    both = counts.agg(F.sum("n").alias("_n")).crossJoin(best.agg(F.sum("n").alias("_top")))  # one row each
+    return best.unionByName(both.select(F.lit("Other").alias("value"), (F.col("_n") - F.col("_top")).alias("n")))
 
 
 def density_classes(pixels: DataFrame, density: str = "density") -> DataFrame:
@@ -84,8 +88,11 @@ def channel_values(df: DataFrame, channels: tuple[str, ...] = ("r", "g", "b")) -
 
 
 def colour_domain(df: DataFrame, value: str, keys: list[int]) -> DataFrame:
-    """One row: number of colours needed for the image's values and the map's keys together."""
-    return df.agg((F.greatest(F.max(value), F.lit(max(keys))) + 1).cast("long").alias("n_colours"))
+    """(value, n, n_colours) for the image's values and the map's keys together, keys that do not occur with 0; n_colours is the size of the colour table."""
+    known = df.sparkSession.createDataFrame([(k,) for k in keys], "value long")
+    counts = df.groupBy(F.col(value).cast("long").alias("value")).agg(F.count("*").alias("n"))
+    both = known.join(counts, "value", "full").select("value", F.coalesce("n", F.lit(0)).alias("n"))
+    return both.crossJoin(F.broadcast(both.agg((F.max("value") + 1).alias("n_colours"))))  # one row
 
 
 def bounding_box(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -10,21 +10,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanforge.operators.histogram import histogram
-from scanforge.operators.points import with_stats
+from scanforge.operators.points import scans_of, with_stats
+from scanforge.operators.quantile import with_quantiles
+from scanforge.tables import written
 
 
-def min_max_scale(df: DataFrame, channels: list[str]) -> DataFrame:
-    """Each channel to 0-1 over the (dense) frame."""
+def min_max_scale(df: DataFrame, channels: list[str], by: str | None = "scan_id") -> DataFrame:
+    """Each channel to 0-1 over the scan's (dense) image."""
     stats = {f"_lo_{c}": F.min(c) for c in channels} | {f"_hi_{c}": F.max(c) for c in channels}
     scaled = {c: (F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}") + 1e-8) for c in channels}
-    return with_stats(df, **stats).withColumns(scaled).drop(*stats)
+    return with_stats(df, scans_of(df, by), **stats).withColumns(scaled).drop(*stats)
 
 
-def z_score(df: DataFrame, channels: list[str]) -> DataFrame:
-    """Population z-scores; a constant channel is divided by 1e-8."""
+def z_score(df: DataFrame, channels: list[str], by: str | None = "scan_id") -> DataFrame:
+    """Population z-scores of the scan's image; a constant channel is divided by 1e-8."""
     stats = {f"_m_{c}": F.avg(c) for c in channels} | {f"_s_{c}": F.stddev_pop(c) for c in channels}
     sd = lambda c: F.when(F.col(f"_s_{c}") == 0, 1e-8).otherwise(F.col(f"_s_{c}"))
-    return with_stats(df, **stats).withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / sd(c) for c in channels}).drop(*stats)
+    return with_stats(df, scans_of(df, by), **stats).withColumns({c: (F.col(c) - F.col(f"_m_{c}")) / sd(c) for c in channels}).drop(*stats)
 
 
 def correlations(df: DataFrame, channels: list[str]) -> DataFrame:
@@ -33,33 +35,76 @@ def correlations(df: DataFrame, channels: list[str]) -> DataFrame:
     return df.agg(F.array(*pairs).alias("p")).select(F.inline("p"))
 
 
-def stretch(df: DataFrame, value: str, percent: float, void: float = 0.0) -> DataFrame:
-    """Values that aren't void, clipped to two percentiles and scaled to 0-1; void stays."""
+def stretch(df: DataFrame, value: str, percent: float, void: float = 0.0, by: str | None = "scan_id") -> DataFrame:
+    """Values of the scan that aren't void, clipped to two percentiles and scaled to 0-1; void stays."""
+    scan = scans_of(df, by)
     seen = F.when(F.col(value) != void, F.col(value))
-    df = with_stats(df, _lo=F.percentile(seen, F.lit(percent / 100)), _hi=F.percentile(seen, F.lit(1 - percent / 100)))
+    df = with_quantiles(df, {"_lo": (seen, percent / 100), "_hi": (seen, 1 - percent / 100)}, (scan,) if scan else ())
     cut = F.least(F.greatest(F.col(value), F.col("_lo")), F.col("_hi"))
     scaled = (cut - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
     return df.withColumn(value, F.when(F.col(value) == void, F.col(value)).otherwise(F.coalesce(scaled, F.lit(0.0)))).drop("_lo", "_hi")
 
 
-def equalise(df: DataFrame, value: str, void: float = 0.0, bins: int = 256) -> DataFrame:
-    """Histogram equalisation: the cumulative share of non-void values, linear between bin centres.
+def equalise(df: DataFrame, value: str, void: float = 0.0, bins: int = 256, by: str | None = "scan_id") -> DataFrame:
+    """Histogram equalisation: the cumulative share of the scan's non-void values, linear between bin centres.
 
     Left of the first centre the first share holds, so void pixels get that share too.
-    The table of ``bins`` shares is one broadcast row.
+    A scan's table of ``bins`` shares is one row.
     """
+    scan = scans_of(df, by)
+    keys = [scan] if scan else []
     seen = df.where(F.col(value) != void)
-    span = seen.agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
-    counts = histogram(seen, value, bins)
-    running = counts.withColumn("cdf", F.sum("n").over(Window.orderBy("bin")) / F.sum("n").over(Window.partitionBy()))  # ``bins`` rows
-    shares = running.agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "cdf"))), lambda x: x["cdf"]).alias("_cdf"))
-    df = df.crossJoin(F.broadcast(span)).crossJoin(F.broadcast(shares))
+    counts = histogram(seen, value, bins, scan)
+    running = counts.withColumn("cdf", F.sum("n").over(Window.partitionBy(*keys).orderBy("bin")) / F.sum("n").over(Window.partitionBy(*keys)))  # ``bins`` rows a scan
+    shares = running.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "cdf"))), lambda x: x["cdf"]).alias("_cdf"))
+    span = seen.groupBy(*keys).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
+    df = df.join(span.join(shares, keys), keys, "left") if keys else df.crossJoin(F.broadcast(span)).crossJoin(F.broadcast(shares))
     width = F.nullif((F.col("_hi") - F.col("_lo")) / bins, F.lit(0.0))
     at = F.coalesce((F.col(value) - F.col("_lo")) / width - 0.5, F.lit(0.0))
     at = F.least(F.greatest(at, F.lit(0.0)), F.lit(bins - 1.0))
     below = F.least(F.floor(at), F.lit(bins - 2)).cast("int")
     left, right = F.get("_cdf", below), F.get("_cdf", below + 1)
-    return df.withColumn(value, left + (right - left) * (at - below)).drop("_lo", "_hi", "_cdf")
+    # a scan without any value that isn't void stays as it is
+    return df.withColumn(value, F.coalesce(left + (right - left) * (at - below), F.col(value).cast("double"))).drop("_lo", "_hi", "_cdf")
+
+
+def local_equalise(df: DataFrame, value: str, height: int, width: int, tiles: int = 8, clip: float = 0.01, bins: int = 256, void: float = 0.0, by: str | None = "scan_id") -> DataFrame:
+    """Contrast-limited equalisation by tiles: each tile's histogram of non-void values is cut at ``clip`` of its pixels (one at least), what is cut is spread over all bins, and a pixel's value is interpolated between the shares of the four tiles around it.
+
+    Values are first scaled to the scan's extremes.  A tile's shares are one row of ``bins`` numbers; void stays void.
+    """
+    scan = scans_of(df, by)
+    keys = [scan] if scan else []
+    seen = F.when(F.col(value) != void, F.col(value).cast("double"))
+    df = with_stats(df, scan, _lo=F.min(seen), _hi=F.max(seen))
+    level = F.when(seen.isNotNull(), F.least(F.floor((seen - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins), F.lit(bins - 1))).cast("int")
+    tile = lambda c, n: F.least(F.floor(F.col(c) * tiles / n), F.lit(tiles - 1)).cast("int")
+    df = df.withColumns({"_b": level, "_ty": tile("y_pix", height), "_tx": tile("x_pix", width)})
+    counts = df.where("_b IS NOT NULL").groupBy(*keys, "_ty", "_tx", "_b").agg(F.count("*").alias("n"))
+    rows = counts.groupBy(*keys, "_ty", "_tx").agg(F.map_from_entries(F.collect_list(F.struct("_b", "n"))).alias("m"), F.sum("n").alias("all"))  # ``bins`` entries at most
+    rows = rows.withColumn("most", F.greatest(F.lit(1.0), F.lit(clip) * F.col("all")))
+    each = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0)).cast("double"))
+    rows = rows.withColumn("h", each)
+    over = F.aggregate("h", F.lit(0.0), lambda a, x: a + F.greatest(x - F.col("most"), F.lit(0.0)))
+    rows = rows.withColumn("spread", over / bins)
+    share = F.transform("h", lambda x: (F.least(x, F.col("most")) + F.col("spread")) / F.col("all"))
+    running = F.aggregate(share, F.array().cast("array<double>"), lambda a, x: F.array_append(a, x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0))))
+    shares = rows.select(*keys, F.struct("_ty", "_tx").alias("t"), running.alias("cdf"))
+    tables = shares.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("t._ty") * tiles + F.col("t._tx"), "cdf"))).alias("_tables"))  # tiles x tiles rows
+    df = df.join(tables, keys, "left") if keys else df.crossJoin(F.broadcast(tables))  # one row
+    at = lambda c, n: (F.col(c) + 0.5) * tiles / n - 0.5
+    y, x = at("y_pix", height), at("x_pix", width)
+    clipped = lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(tiles - 1)).cast("int")
+    y0, x0 = F.floor(y), F.floor(x)
+    look = lambda ty, tx: F.get(F.try_element_at("_tables", clipped(ty) * tiles + clipped(tx)), F.col("_b"))
+    total = weight = F.lit(0.0)
+    for dy, wy in ((0, 1 - (y - y0)), (1, y - y0)):
+        for dx, wx in ((0, 1 - (x - x0)), (1, x - x0)):
+            found = look(y0 + dy, x0 + dx)  # a tile without values has no share
+            total = total + F.coalesce(found * wy * wx, F.lit(0.0))
+            weight = weight + F.when(found.isNotNull(), wy * wx).otherwise(F.lit(0.0))
+    made = F.least(total / F.nullif(weight, F.lit(0.0)), F.lit(1.0))
+    return df.withColumn(value, F.when(F.col("_b").isNull(), F.lit(void)).otherwise(F.coalesce(made, F.lit(0.0)))).drop("_lo", "_hi", "_b", "_ty", "_tx", "_tables")
 
 
 def log_contrast(df: DataFrame, value: str) -> DataFrame:
@@ -122,7 +167,8 @@ def ica(df: DataFrame, channels: list[str], k: int = 3, rounds: int = 30, seed:
     values, vectors = np.linalg.eigh(covariance(scaled, channels))
     top = values.argsort()[::-1][:k]
     names = [f"_w{i}" for i in range(k)]
-    white = _projected(scaled, channels, vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-12)), names).persist()
+    white = _projected(scaled, channels, vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-12)), names)
+    white = written(white, "ica-white")  # each round reads it
     unmix = np.linalg.qr(np.random.default_rng(seed).normal(size=(k, k)))[0]
     for _ in range(rounds):
         outputs = [sum((F.lit(float(unmix[i, j])) * F.col(names[j]) for j in range(1, k)), F.lit(float(unmix[i, 0])) * F.col(names[0])) for i in range(k)]
@@ -140,30 +186,68 @@ def ica(df: DataFrame, channels: list[str], k: int = 3, rounds: int = 30, seed:
     return out
 
 
+#: The image cube's channels in order; colours come first where there are any.
+RAW, FEATURES, NORMALS = ("intensity", "z_inv", "range"), ("intensity_adjusted", "z_inv_adjusted", "range_adjusted", "curvature", "anisotropy", "planarity"), ("n_r", "n_g", "n_b")
+
+
 def channel_order(true_rgb: bool = False) -> list[str]:
-    """The image cube's channels in order."""
-    raw = ["r", "g", "b"] if true_rgb else []
-    feature = ["intensity_adjusted", "z_inv_adjusted", "range_adjusted", "intensity", "z_inv", "range", "curvature", "anisotropy", "planarity"]
-    return [*raw, *feature, "n_r", "n_g", "n_b", *[f"{p}{i}" for p in ("PCA", "MNF", "ICA") for i in (1, 2, 3)]]
+    """The image cube's channels in order: 21, or 24 with colours."""
+    return [*(("r", "g", "b") if true_rgb else ()), *RAW, *FEATURES, *NORMALS, *[f"{p}{i}" for p in ("PCA", "MNF", "ICA") for i in (1, 2, 3)]]
+
+
+def assemble_cube(channels: DataFrame, keys: tuple[str, ...] = ("scan_id", "y_pix", "x_pix"), k: int = 3) -> DataFrame:
+    """keys and the cube's channels in order, from dense channels: components of the features and normals are added.
+
+    Components are fitted to each scan's own image; scans are counted, not pixels, so the loop over them is a driver's.
+    """
+    scan = scans_of(channels, keys[0])
+    true_rgb = all(c in channels.columns for c in "rgb")
+    bands = [*FEATURES, *NORMALS]
+    images = [channels] if scan is None else [channels.where(F.col(scan).eqNullSafe(F.lit(r[0]))) for r in channels.select(scan).distinct().orderBy(scan).collect()]
+    out = None
+    for image in images:
+        made = image
+        for fit in (pca, lambda f, b, n: mnf(f, b, n, by=(scan,) if scan else ()), ica):
+            parts = fit(image.select(*[c for c in keys if c in image.columns], *bands), bands, k)
+            names = [c for c in parts.columns if c[:3] in ("PCA", "MNF", "ICA")]
+            on = [c for c in keys if c in image.columns]
+            made = made.join(parts.select(*on, *names), on)
+        out = made if out is None else out.unionByName(made)
+    if out is None:
+        out = channels.withColumns({c: F.lit(0.0) for c in channel_order()[12:]})
+    return out.select(*[c for c in keys if c in out.columns], *channel_order(true_rgb))
+
+
+#: Notes on channels by what their names hold, the first that fits.
+NOTES = (
+    ("intensity", "strength of the return"), ("z_inv", "depth under the scan's lowest point"), ("range", "distance to the scanner"), ("curvature", "share of the least eigenvalue"),
+    ("anisotropy", "share of the greatest eigenvalue over the middle one"), ("planarity", "share of the middle eigenvalue over the least"), ("n_", "normal as colour"),
+    ("PCA", "principal component"), ("MNF", "component by signal to noise"), ("ICA", "independent component"),
+)
 
 
 def channel_metadata(df: DataFrame, channels: list[str], bins: int = 20) -> DataFrame:
-    """channel, counts of its histogram and a sparkline of them."""
+    """channel, place, type, note, counts of its histogram and a sparkline of them: one pass for the spans, one for all counts."""
     marks = "▁▂▃▄▅▆▇█"
-    out = None
-    for c in channels:
-        counts = histogram(df, c, bins)
-        rows = counts.agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "n"))), lambda x: x["n"]).alias("counts"))
-        level = lambda x: F.least(F.floor(x * len(marks) / F.nullif(F.array_max("counts"), F.lit(0))), F.lit(len(marks) - 1)).cast("int")
-        line = F.array_join(F.transform("counts", lambda x: F.substr(F.lit(marks), level(x) + 1, F.lit(1))), "")
-        rows = rows.select(F.lit(c).alias("channel"), "counts", line.alias("sparkline"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    kinds = dict(df.dtypes)
+    note = {c: next((text for part, text in NOTES if part in c), "") for c in channels}
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("value")) for c in channels])).alias("x")
+    counts = histogram(df.select(each).select("x.*"), "value", bins, "channel")
+    rows = counts.groupBy("channel").agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "n"))), lambda x: x["n"]).alias("counts"))
+    level = lambda x: F.least(F.floor(x * len(marks) / F.nullif(F.array_max("counts"), F.lit(0))), F.lit(len(marks) - 1)).cast("int")
+    line = F.array_join(F.transform("counts", lambda x: F.substr(F.lit(marks), level(x) + 1, F.lit(1))), "")
+    known = df.sparkSession.createDataFrame([(c, k, kinds[c], note[c]) for k, c in enumerate(channels)], "channel string, place int, type string, note string")
+    return known.join(rows, "channel").select("channel", "place", "type", "note", "counts", line.alias("sparkline"))
+
+
+#: The two triples that are always shown.
+FIXED_TRIPLES = (("intensity_adjusted", "z_inv_adjusted", "range_adjusted"), ("curvature", "anisotropy", "planarity"))
 
 
-def rgb_combinations(channels: list[str], n: int = 3, seed: int = 617) -> list[tuple[str, str, str]]:
-    """``n`` seeded draws from all ordered triples of channels."""
-    return random.Random(seed).sample(list(permutations(channels, 3)), n)
+def rgb_combinations(channels: list[str], n: int = 3, seed: int = 617, fixed: tuple[tuple[str, str, str], ...] = FIXED_TRIPLES) -> list[tuple[str, str, str]]:
+    """``n`` seeded draws from all ordered triples of channels, and the fixed triples that the channels allow."""
+    drawn = random.Random(seed).sample(list(permutations(channels, 3)), n)
+    return [*drawn, *[t for t in fixed if set(t) <= set(channels)]]
 
 
 def component_permutations(prefix: str) -> list[tuple[str, ...]]:

@@ -1,7 +1,7 @@
 """Operators on point tables: angles, cleaning, pixels, colours, rigid motions.
 
-Statistics of a whole frame (minima, percentiles, means) are one aggregate each, joined back as
-one broadcast row; with ``by`` they are taken for each scan.
+A frame holds one scan or many.  Minima, percentiles and means that belong to a scan are taken for each
+value of ``by`` (scan_id where the frame has one), by one aggregate, and joined back.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanforge.functions import geometry as g
+from scanforge.operators.quantile import with_quantiles
 
 ANGLES = ("azimuth", "zenith", "elevation", "rangemeter")
 
@@ -24,6 +25,11 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def scans_of(df: DataFrame, by: str | None = "scan_id") -> str | None:
+    """``by``, if the frame has such a column."""
+    return by if by in df.columns else None
+
+
 def with_stats(df: DataFrame, by: str | None = None, **stats: Column) -> DataFrame:
     """Adds aggregates of the whole frame, or of each ``by`` group, as columns."""
     aggs = [c.alias(n) for n, c in stats.items()]
@@ -50,18 +56,19 @@ def flip_upside_down(df: DataFrame, flip: bool = True) -> DataFrame:
     return df.withColumns({"Z": -F.col("Z"), "elevation": F.col("zenith") - 90})
 
 
-def cut_outliers(df: DataFrame, cut_percent: float, lows: dict[str, float] | None = None) -> DataFrame:
-    """Rows with every named column between its low and its upper percentile of the uncut frame, both included."""
+def cut_outliers(df: DataFrame, cut_percent: float, lows: dict[str, float] | None = None, by: str | None = "scan_id") -> DataFrame:
+    """Rows with every named column between its low and its upper percentile of the uncut scan, both included."""
     lows = lows or {"rangemeter": 0.01, "Intensity": 0.001}
-    tops = {f"_top_{c}": F.percentile(c, F.lit(1 - cut_percent / 100)) for c in lows}
+    scan = scans_of(df, by)
+    tops = {f"_top_{c}": (F.col(c), 1 - cut_percent / 100) for c in lows}
     keep = reduce(lambda a, b: a & b, [F.col(c).between(F.lit(low), F.col(f"_top_{c}")) for c, low in lows.items()])
-    return with_stats(df, **tops).where(keep).drop(*tops)
+    return with_quantiles(df, tops, (scan,) if scan else ()).where(keep).drop(*tops)
 
 
-def normalise_intensity(df: DataFrame, col: str = "Intensity") -> DataFrame:
-    """Min-max over the rows that are not missing."""
+def normalise_intensity(df: DataFrame, col: str = "Intensity", by: str | None = "scan_id") -> DataFrame:
+    """Min-max over the scan's rows that are not missing."""
     value = F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
-    df = with_stats(df.withColumn(col, value), _lo=F.min(col), _hi=F.max(col))
+    df = with_stats(df.withColumn(col, value), scans_of(df, by), _lo=F.min(col), _hi=F.max(col))
     return df.withColumn(col, g.min_max(F.col(col), F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
@@ -72,9 +79,15 @@ def drop_incomplete(df: DataFrame) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, [~F.isnan(c) for c in numbers])) if numbers else df
 
 
-def clean(df: DataFrame, cut_percent: float) -> DataFrame:
-    """Outlier cut, return number dropped, intensity to 0-1, incomplete rows dropped."""
-    return df.transform(cut_outliers, cut_percent).drop("Return Number").transform(normalise_intensity).transform(drop_incomplete)
+def to_float(df: DataFrame) -> DataFrame:
+    """Measured columns in single precision, as older exports have them; computing stays in double precision before."""
+    return df.withColumns({c: F.col(c).cast("float") for c, t in df.dtypes if t == "double"})
+
+
+def clean(df: DataFrame, cut_percent: float, by: str | None = "scan_id") -> DataFrame:
+    """Outlier cut, return number dropped, intensity to 0-1, incomplete rows dropped; each scan by its own statistics."""
+    kept = cut_outliers(df, cut_percent, by=by).drop("Return Number", "return_number")
+    return kept.transform(normalise_intensity, by=by).transform(drop_incomplete)
 
 
 def to_pixels(df: DataFrame, height: int, width: int, v_res: float, h_res: float, by: str | None = "scan_id") -> DataFrame:
@@ -98,9 +111,9 @@ def polar_pixels(df: DataFrame) -> DataFrame:
     return df.withColumns({"row": F.bround(F.col("zenith") * F.cos(az) * 2 + 180).cast("int"), "column": F.bround(F.col("zenith") * F.sin(az) * 2 + 180).cast("int")})
 
 
-def invert_height(df: DataFrame, floor: float = 0.01) -> DataFrame:
-    """Z becomes its depth under the lowest point's height; then Z and Intensity are scaled to floor .. 1."""
-    df = with_stats(df, _z0=F.min("Z"), _z1=F.max("Z"), _i0=F.min("Intensity"), _i1=F.max("Intensity"))
+def invert_height(df: DataFrame, floor: float = 0.01, by: str | None = "scan_id") -> DataFrame:
+    """Z becomes its depth under the scan's lowest point; then Z and Intensity are scaled to floor .. 1."""
+    df = with_stats(df, scans_of(df, by), _z0=F.min("Z"), _z1=F.max("Z"), _i0=F.min("Intensity"), _i1=F.max("Intensity"))
     depth = F.col("_z0") - F.col("Z")  # its extremes follow from those of Z, so one pass serves
     z = floor + (1 - floor) * g.min_max(depth, F.col("_z0") - F.col("_z1"), F.lit(0.0))
     i = floor + (1 - floor) * g.min_max(F.col("Intensity"), F.col("_i0"), F.col("_i1"))
@@ -130,10 +143,10 @@ def unit_rgb(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c) / 255 for c in "rgb"})
 
 
-def normal_colours(df: DataFrame, by: str | None = None) -> DataFrame:
-    """n_r, n_g, n_b from nx, ny, nz: direction as hue, tilt as value; the frame is flipped if its mean nz is negative."""
+def normal_colours(df: DataFrame, by: str | None = "scan_id") -> DataFrame:
+    """n_r, n_g, n_b from nx, ny, nz: direction as hue, tilt as value; a scan is flipped if its mean nz is negative."""
     rounded = df.withColumns({c: F.round(c, 5) for c in ("nx", "ny", "nz")})
-    rounded = with_stats(rounded, by, _up=F.avg("nz"))
+    rounded = with_stats(rounded, scans_of(df, by), _up=F.avg("nz"))
     nz = F.when(F.col("_up") < 0, -F.col("nz")).otherwise(F.col("nz"))
     hue = (F.atan2("ny", "nx") + g.PI) / (2 * g.PI)
     value = (F.asin(nz) + g.PI / 2) / g.PI
@@ -149,10 +162,10 @@ def check_normals(df: DataFrame) -> DataFrame:
     return df
 
 
-def range_from_centre(df: DataFrame, centre: tuple[float, float, float] | None = None) -> DataFrame:
-    """``range`` to a point, by default the centroid."""
+def range_from_centre(df: DataFrame, centre: tuple[float, float, float] | None = None, by: str | None = "scan_id") -> DataFrame:
+    """``range`` to a point, by default the scan's centroid."""
     if centre is None:
-        df = with_stats(df, _x=F.avg("X"), _y=F.avg("Y"), _z=F.avg("Z"))
+        df = with_stats(df, scans_of(df, by), _x=F.avg("X"), _y=F.avg("Y"), _z=F.avg("Z"))
         c = (F.col("_x"), F.col("_y"), F.col("_z"))
     else:
         c = tuple(map(F.lit, centre))
@@ -170,7 +183,7 @@ def replace_ground(df: DataFrame, ground: DataFrame, matrix: tuple, ground_class
     return rotate_xy(df.where(F.col(col) != ground_class).unionByName(ground, allowMissingColumns=True), matrix)
 
 
-def recentre(df: DataFrame, positions: DataFrame, z_shift: float | None = None) -> DataFrame:
+def recentre(df: DataFrame, positions: DataFrame, z_shift: float | None = None, by: str | None = None) -> DataFrame:
     """A copy of the frame around each position (position_id, tx, ty); Z from its mean, or by ``z_shift``.
 
     Scanner positions are a handful; more than 10 000 are refused rather than broadcast.
@@ -178,14 +191,14 @@ def recentre(df: DataFrame, positions: DataFrame, z_shift: float | None = None)
     if positions.limit(10_001).count() > 10_000:
         raise ValueError("more than 10 000 positions")
     shift = F.lit(z_shift) if z_shift is not None else F.col("_z")
-    frame = df if z_shift is not None else with_stats(df, _z=F.avg("Z"))
+    frame = df if z_shift is not None else with_stats(df, by, _z=F.avg("Z"))
     moved = frame.crossJoin(F.broadcast(positions))
     return moved.withColumns({"X": F.col("X") - F.col("tx"), "Y": F.col("Y") - F.col("ty"), "Z": F.col("Z") - shift}).drop("tx", "ty", "_z")
 
 
-def to_uint16(df: DataFrame, col: str = "Intensity") -> DataFrame:
-    """Integer intensity, times 65535 if none exceeds 1."""
-    df = with_stats(df, _top=F.max(col))
+def to_uint16(df: DataFrame, col: str = "Intensity", by: str | None = "scan_id") -> DataFrame:
+    """Integer intensity, times 65535 in scans where none exceeds 1."""
+    df = with_stats(df, scans_of(df, by), _top=F.max(col))
     return df.withColumn(col, F.when(F.col("_top") <= 1, F.col(col) * 65535).otherwise(F.col(col)).cast("int")).drop("_top")
 
 
@@ -227,6 +240,17 @@ def column_profile(df: DataFrame, names: list[str]) -> DataFrame:
     return df.agg(F.array(*stats).alias("s")).select(F.inline("s"))
 
 
+def spherical(df: DataFrame) -> DataFrame:
+    """rho, theta (radians from the plane Z = 0) and phi of Cartesian points, as older scripts have them."""
+    flat = F.col("X") * F.col("X") + F.col("Y") * F.col("Y")
+    return df.withColumns({"rho": F.sqrt(flat + F.col("Z") * F.col("Z")), "theta": F.atan2(F.col("Z"), F.sqrt(flat)), "phi": F.atan2("Y", "X")})
+
+
+def polar_cut(df: DataFrame, radius: float) -> DataFrame:
+    """``spherical`` points within a distance of the scanner."""
+    return spherical(df).where(F.col("rho") <= radius)
+
+
 def cylinder(df: DataFrame, radius: float, half: bool = False) -> DataFrame:
     """Cylindrical coordinates rho, phi within a radius; with ``half``, of Y >= 0."""
     df = df.withColumns({"rho": F.sqrt(F.col("X") * F.col("X") + F.col("Y") * F.col("Y")), "phi": F.atan2("Y", "X")})

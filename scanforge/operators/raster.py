@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanforge.operators.points import with_stats
+from scanforge.operators.points import scans_of, with_stats
 
 PIXEL = ("scan_id", "y_pix", "x_pix")
 
@@ -105,22 +107,54 @@ def median_blur(df: DataFrame, value: str, radius: int = 2, keys: tuple[str, ...
     return medians.join(df.select(*keys, "y_pix", "x_pix"), [*keys, "y_pix", "x_pix"], "left_semi")
 
 
-def fill_from_nearest(pixels: DataFrame, label: str = "class_id") -> DataFrame:
-    """NULL labels take the label of the nearest labelled pixel, found through growing square rings."""
-    known, open_, radius = pixels.where(F.col(label).isNotNull()), pixels.where(F.col(label).isNull()), 1
-    done = known
-    while not open_.isEmpty() and radius < 1 << 14:
-        steps = F.sequence(F.lit(-radius), F.lit(radius))
-        asked = open_.drop(label).withColumnsRenamed({"y_pix": "_y", "x_pix": "_x"})
-        asked = asked.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps))
-        asked = asked.withColumns({"y_pix": F.col("_y") + F.col("_dy"), "x_pix": F.col("_x") + F.col("_dx")})
-        met = asked.join(known.select("y_pix", "x_pix", label), ["y_pix", "x_pix"])
-        square = F.col("_dy") * F.col("_dy") + F.col("_dx") * F.col("_dx")
-        found = met.where(square <= radius * radius).groupBy("_y", "_x").agg(F.min_by(label, F.struct(square, "y_pix", "x_pix")).alias(label))
-        done = done.unionByName(found.select(F.col("_y").alias("y_pix"), F.col("_x").alias("x_pix"), label), allowMissingColumns=True)
-        open_ = open_.join(found.select(F.col("_y").alias("y_pix"), F.col("_x").alias("x_pix")), ["y_pix", "x_pix"], "left_anti")
-        radius *= 2
-    return done
+def fill_from_nearest(pixels: DataFrame, label: str = "class_id", by: tuple[str, ...] = ("scan_id",)) -> DataFrame:
+    """NULL labels take the label of the scan's nearest labelled pixel, the upper left one on a tie; a scan without labels keeps NULL."""
+    from scanforge.operators.spatial import knn
+
+    keys = [c for c in by if c in pixels.columns]
+    known, open_ = pixels.where(F.col(label).isNotNull()), pixels.where(F.col(label).isNull())
+    numbered = lambda df: df.select(*keys, (F.col("y_pix").cast("long") * (1 << 31) + F.col("x_pix")).alias("point_id"), F.col("x_pix").cast("double").alias("X"), F.col("y_pix").cast("double").alias("Y"))
+    asked = numbered(open_)
+    if keys:  # a scan without any label has nobody to ask
+        asked = asked.join(known.select(*keys).distinct(), keys, "left_semi")
+    near = knn(asked, numbered(known), 1, 2.0, tuple(keys), ("X", "Y")).select(*keys, F.col("point_id").alias("_p"), F.col("nbr_id").alias("_n"))
+    place = F.col("y_pix").cast("long") * (1 << 31) + F.col("x_pix")
+    labels = known.select(*keys, place.alias("_n"), F.col(label).alias("_found"))
+    found = near.join(labels, [*keys, "_n"]).drop("_n")
+    filled = open_.withColumn("_p", place).join(found, [*keys, "_p"], "left")
+    return known.unionByName(filled.withColumn(label, F.col("_found")).select(*pixels.columns))
+
+
+def resample(raster: DataFrame, height: int, width: int, new_height: int, new_width: int, values: list[str], keys: tuple[str, ...] = ("scan_id",)) -> DataFrame:
+    """A dense raster on another canvas: each new pixel takes the old one under its centre."""
+    have = [k for k in keys if k in raster.columns]
+    spots = canvas(raster, new_height, new_width, tuple(have)).withColumnsRenamed({"y_pix": "_y", "x_pix": "_x"})
+    at = lambda c, n, m: F.least(F.floor((F.col(c) + 0.5) * n / m), F.lit(n - 1)).cast("int")
+    asked = spots.withColumns({"y_pix": at("_y", height, new_height), "x_pix": at("_x", width, new_width)})
+    joined = asked.join(raster.select(*have, "y_pix", "x_pix", *values), [*have, "y_pix", "x_pix"], "left")
+    return joined.select(*have, F.col("_y").alias("y_pix"), F.col("_x").alias("x_pix"), *values)
+
+
+def unit_image(raster: DataFrame, values: list[str]) -> DataFrame:
+    """An image's values in 0-1: bytes by 255, anything else by the image's own extremes where they lie outside."""
+    kinds = dict(raster.dtypes)
+    if all(kinds[v] in ("tinyint", "smallint", "int", "bigint") for v in values):
+        return raster.withColumns({v: F.col(v) / 255 for v in values})
+    both = raster.agg(F.min(F.least(*values) if len(values) > 1 else F.col(values[0])).alias("_lo"), F.max(F.greatest(*values) if len(values) > 1 else F.col(values[0])).alias("_hi"))
+    spread = raster.crossJoin(F.broadcast(both))  # one row
+    outside = (F.col("_lo") < 0) | (F.col("_hi") > 1)
+    return spread.withColumns({v: F.when(outside, (F.col(v) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))).otherwise(F.col(v)) for v in values}).drop("_lo", "_hi")
+
+
+def colour_ball(ball: DataFrame, image: DataFrame, height: int, width: int, zenith: tuple[float, float] = (0.0, 135.0), step: float = 0.5, upside_down: bool = False) -> DataFrame:
+    """A ball's points (azimuth, zenith) with r, g, b of an image that is laid over it; ``image`` is dense, of ``height`` x ``width``."""
+    h, w = math.ceil((zenith[1] - zenith[0]) / step), math.ceil(360 / step)
+    sized = unit_image(resample(image, height, width, h, w, ["r", "g", "b"], ()), ["r", "g", "b"])
+    low = ball.agg(F.min("zenith").alias("_low"))
+    row = F.least(F.greatest(((F.col("zenith") - F.col("_low")) / step).cast("int"), F.lit(0)), F.lit(h - 1))
+    placed = ball.drop("r", "g", "b").crossJoin(F.broadcast(low))  # one row
+    placed = placed.withColumns({"y_pix": F.lit(h - 1) - row if upside_down else row, "x_pix": F.least(F.greatest((F.col("azimuth") / step).cast("int"), F.lit(0)), F.lit(w - 1))})
+    return placed.join(sized, ["y_pix", "x_pix"], "left").drop("y_pix", "x_pix", "_low")
 
 
 def align(foreign: DataFrame, like: DataFrame, defaults: dict[str, object]) -> DataFrame:
@@ -129,12 +163,8 @@ def align(foreign: DataFrame, like: DataFrame, defaults: dict[str, object]) -> D
     return foreign.select(*[(F.col(c) if c in have else F.lit(defaults.get(c, 0))).cast(t).alias(c) for c, t in like.dtypes])
 
 
-def pseudo_rgb(df: DataFrame, channels: tuple[str, str, str]) -> DataFrame:
-    """Three channels, each scaled to 0-1 over the frame."""
+def pseudo_rgb(df: DataFrame, channels: tuple[str, str, str], by: str | None = "scan_id") -> DataFrame:
+    """Three channels, each scaled to 0-1 over the scan's image."""
     stats = {f"_{k}{i}": fn(c) for i, c in enumerate(channels) for k, fn in (("lo", F.min), ("hi", F.max))}
     scaled = {n: (F.col(c) - F.col(f"_lo{i}")) / (F.col(f"_hi{i}") - F.col(f"_lo{i}") + 1e-8) for i, (n, c) in enumerate(zip(("red", "green", "blue"), channels, strict=True))}
-    return with_stats(df, **stats).withColumns(scaled).drop(*stats)
-
-
-def ranked_window(by: tuple[str, ...], *order: Column | str) -> Column:
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return with_stats(df, scans_of(df, by), **stats).withColumns(scaled).drop(*stats)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanforge.operators.points import with_stats
+from scanforge.operators.quantile import with_quantiles
+from scanforge.tables import numbered_within, written
 
 
 def draw(seed: int, *keys: str) -> Column:
@@ -35,8 +36,8 @@ def stratified_sample(df: DataFrame, label: str, keep: int, keys: list[str], rar
 
 
 def stride_sample(df: DataFrame, stride: int, order: list[str], by: list[str]) -> DataFrame:
-    """Every n-th row of each group."""
-    return df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).where(F.col("_i") % stride == 0).drop("_i")
+    """Every n-th row of each group; groups are numbered by range and prefix sums."""
+    return numbered_within(df, by, order, row="_i").where(F.col("_i") % stride == 0).select(*df.columns)
 
 
 def uniform(seed: int, index: Column) -> Column:
@@ -50,19 +51,28 @@ def weighted_resample(df: DataFrame, weight: str, value: str, n: int, key: str,
     Draws are bucketed like the cumulative weights, so the range join is an equi-join on 1024 buckets.
     """
     change = {"none": lambda c: c, "log1p": F.log1p, "sqrt": F.sqrt}[transform]
-    df = with_stats(df, _q=F.percentile(weight, F.lit(quantile)))
-    df = df.withColumn("_w", change(F.least(F.col(weight), F.col("_q"))))
-    ordered = Window.orderBy(key) if by is None else Window.partitionBy(by).orderBy(key)
-    whole = Window.partitionBy() if by is None else Window.partitionBy(by)
-    df = df.withColumns({"_to": F.sum("_w").over(ordered) / F.sum("_w").over(whole), "_from": (F.sum("_w").over(ordered) - F.col("_w")) / F.sum("_w").over(whole)})
+    keys = [by] if by else []
+    cut = with_quantiles(df, {"_q": (F.col(weight), quantile)}, tuple(keys))
+    cut = cut.withColumn("_w", change(F.least(F.col(weight), F.col("_q")))).select(*keys, key, value, "_w")
+    cut = written(cut, "weights")
+    placed = numbered_within(cut, keys, [key], {"_before": "_w"}, row="_i")
+    totals = cut.groupBy(*keys).agg(F.sum("_w").alias("_all")) if by else cut.agg(F.sum("_w").alias("_all"))
+    placed = placed.join(totals, keys) if by else placed.crossJoin(F.broadcast(totals))  # one row
+    last = F.col("_i") == F.col("_i_count") - 1
+    placed = placed.withColumns({"_from": F.col("_before") / F.col("_all"), "_to": F.when(last, 1.0).otherwise((F.col("_before") + F.col("_w")) / F.col("_all"))})
     buckets = 1024
-    spread = df.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_from") * buckets), F.least(F.floor(F.col("_to") * buckets), F.lit(buckets).cast("long")))))
+    spread = placed.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_from") * buckets), F.least(F.floor(F.col("_to") * buckets), F.lit(buckets).cast("long")))))
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), uniform(seed, F.col("id")).alias("_u")).withColumn("_b", F.floor(F.col("_u") * buckets))
-    return spread.join(draws, "_b").where("_u >= _from and _u < _to").select(*([by] if by else []), "draw", key, value)
+    return spread.join(draws, "_b").where("_u >= _from and _u < _to").select(*keys, "draw", key, value)
 
 
 def train_split(df: DataFrame, label: str, keys: list[str], share: float = 0.8, seed: int = 42) -> DataFrame:
-    """is_train: the first ``share`` of each class by draw."""
-    ranked = Window.partitionBy(label).orderBy(draw(seed, *keys), *keys)
-    place, size = F.row_number().over(ranked), F.count("*").over(Window.partitionBy(label))
-    return df.withColumn("is_train", place <= F.round(size * share))
+    """is_train: the first ``share`` of each class by draw; classes are numbered by range and prefix sums."""
+    drawn = df.withColumn("_u", draw(seed, *keys))
+    placed = numbered_within(drawn, [label], ["_u", *keys], row="_i")
+    return placed.withColumn("is_train", F.col("_i") < F.round(F.col("_i_count") * share)).select(*df.columns, "is_train")
+
+
+def head(df: DataFrame, n: int = 5) -> DataFrame:
+    """The first rows, to look at."""
+    return df.limit(n)

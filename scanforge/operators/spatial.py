@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanforge.operators import tiles
 from scanforge.tables import written
 
 AXES = ("X", "Y", "Z")
@@ -39,11 +40,11 @@ def radius_pairs(queries: DataFrame, points: DataFrame, radius: float, by: tuple
     return met.withColumn("dist", F.sqrt(square)).where(F.col("dist") <= radius).select(*by, "point_id", "nbr_id", "dist", *deltas)
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, cell: float, by: tuple[str, ...] = (), axes: tuple[str, ...] = AXES) -> DataFrame:
+def knn(queries: DataFrame, points: DataFrame, k: int, cell: float, by: tuple[str, ...] = (), axes: tuple[str, ...] = AXES, longest: float | None = None) -> DataFrame:
     """(by.., point_id, rank, nbr_id, dist): the k nearest points of each query, ties to the smaller id, a point itself included.
 
     Exact: a query is finished once its k-th neighbour lies within the searched radius.  The rest
-    goes on with twice the radius, until the radius spans all points.
+    goes on with twice the radius, until the radius spans all points or is ``longest``, beyond which no point counts.
     """
     spans = points.agg(*[F.max(a).alias(f"hi{a}") for a in axes], *[F.min(a).alias(f"lo{a}") for a in axes])
     reach = queries.agg(*[F.max(a).alias(f"qhi{a}") for a in axes], *[F.min(a).alias(f"qlo{a}") for a in axes]).crossJoin(spans).first()
@@ -53,7 +54,8 @@ def knn(queries: DataFrame, points: DataFrame, k: int, cell: float, by: tuple[st
     extent = sum((max(reach[f"hi{a}"], reach[f"qhi{a}"]) - min(reach[f"lo{a}"], reach[f"qlo{a}"])) ** 2 for a in axes) ** 0.5
     found, radius, open_ = None, cell, queries.select(*by, "point_id", *axes)
     while True:
-        last = radius > extent
+        radius = radius if longest is None else min(radius, longest)
+        last = radius > extent or radius == longest
         near = radius_pairs(open_, points, radius, by, axes)
         order = Window.partitionBy(*by, "point_id").orderBy("dist", "nbr_id")
         ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*by, "point_id", "rank", "nbr_id", "dist")
@@ -69,24 +71,96 @@ def knn(queries: DataFrame, points: DataFrame, k: int, cell: float, by: tuple[st
         radius *= 2
 
 
-def adaptive_neighbours(points: DataFrame, base: float, most: float = 0.2, k: int = 50, nth: int = 21, factor: float = 1.5, by: tuple[str, ...] = (), cap: str = "distance") -> DataFrame:
-    """(by.., point_id, nbr_id, dist, dX, dY, dZ): neighbours within clamp(factor * distance of the nth, base, most), at most k.
+def _few(points: DataFrame, nth: int, by: tuple[str, ...]) -> DataFrame | None:
+    """The groups that hold fewer than ``nth`` points; None if no group does."""
+    sizes = points.groupBy(*by).agg(F.count("*").alias("n")) if by else points.agg(F.count("*").alias("n"))
+    small = sizes.where(F.col("n") < nth)
+    return None if small.isEmpty() else small
 
-    The radius never exceeds ``most``, so one grid join of that radius gives both the nth distance
-    and the neighbours.  With fewer than ``nth`` points in reach the radius is ``base`` if fewer
-    exist at all, else ``most``.  ``cap``: keep the k nearest, or the first k by id.
-    """
-    near = radius_pairs(points, points, most, by)
+
+def _radius_of(points: DataFrame, edges: DataFrame, base: float, most: float, k: int, nth: int, factor: float, by: tuple[str, ...], cap: str) -> DataFrame:
+    """The edges within each point's radius, at most k of them."""
     group = Window.partitionBy(*by, "point_id")
     total = points.groupBy(*by).agg(F.count("*").alias("_all")) if by else points.agg(F.count("*").alias("_all"))
-    near = near.withColumn("_k", F.row_number().over(group.orderBy("dist", "nbr_id"))).withColumn("_nth", F.max(F.when(F.col("_k") == nth, F.col("dist"))).over(group))
-    near = near.join(F.broadcast(total), list(by)) if by else near.crossJoin(F.broadcast(total))
+    near = edges.withColumn("_k", F.row_number().over(group.orderBy("dist", "nbr_id"))).withColumn("_nth", F.max(F.when(F.col("_k") == nth, F.col("dist"))).over(group))
+    near = near.join(total, list(by)) if by else near.crossJoin(F.broadcast(total))  # one row
     radius = F.when(F.col("_all") < nth, F.lit(base)).when(F.col("_nth").isNull(), F.lit(most)).otherwise(F.least(F.greatest(factor * F.col("_nth"), F.lit(base)), F.lit(most)))
     within = near.where(F.col("dist") <= radius)
     rank = F.col("_k") if cap == "distance" else F.row_number().over(group.orderBy("nbr_id"))
     return within.withColumn("_r", rank).where(F.col("_r") <= k).select(*by, "point_id", "nbr_id", "dist", "dX", "dY", "dZ")
 
 
+def _knn_edges(asking: DataFrame, points: DataFrame, k: int, most: float, by: tuple[str, ...]) -> DataFrame:
+    """(by.., point_id, nbr_id, dist, dX, dY, dZ): the k nearest within ``most`` of a few asking points, through growing radii."""
+    near = knn(asking, points, k, most / 64, by, longest=most)
+    q = points.select(*by, "point_id", *AXES)
+    p = points.select(*by, F.col("point_id").alias("nbr_id"), *[F.col(a).alias(f"n{a}") for a in AXES])
+    met = near.join(q, [*by, "point_id"]).join(p, [*by, "nbr_id"])
+    return met.select(*by, "point_id", "nbr_id", "dist", *[(F.col(f"n{a}") - F.col(a)).alias(f"d{a}") for a in AXES])
+
+
+def adaptive_neighbours(points: DataFrame, base: float, most: float = 0.2, k: int = 50, nth: int = 21, factor: float = 1.5, by: tuple[str, ...] = (), cap: str = "distance") -> DataFrame:
+    """(by.., point_id, nbr_id, dist, dX, dY, dZ): neighbours within clamp(factor * distance of the nth, base, most), at most k.
+
+    The radius never exceeds ``most``.  With fewer than ``nth`` points in reach it is ``base`` if fewer exist at all, else
+    ``most``.  ``cap``: keep the k nearest, or the first k by id.  The k nearest come from tiles, so a dense cloud costs
+    no more pairs than are kept; the first k by id need every pair within ``most``.
+    """
+    small = _few(points, nth, by)
+    if cap != "distance" or small is not None:
+        return _radius_of(points, radius_pairs(points, points, most, by), base, most, k, nth, factor, by, cap)
+
+    def made(ids, xyz, own, found, far):  # noqa: ANN001, ANN202
+        reach = far <= tiles.adaptive_radius_of(far, base, most, nth, factor, False)[:, None]
+        reach[:, k:] = False
+        return tiles.edge_rows(ids, xyz, own, found, far, reach)
+
+    rows, open_ = tiles.by_tiles(points, max(k, nth), most, made, tiles.EDGES, by)
+    if open_.isEmpty():
+        return rows
+    rest = _radius_of(points, _knn_edges(open_, points, max(k, nth), most, by), base, most, k, nth, factor, by, cap)
+    return rows.unionByName(rest)
+
+
+def neighbour_covariances(points: DataFrame, base: float, most: float = 0.2, k: int = 50, nth: int = 21, factor: float = 1.5, by: tuple[str, ...] = (), ddof: int = 1) -> DataFrame:
+    """(by.., point_id, n_nbrs, covariances) of ``adaptive_neighbours``, summed up within the tiles: no edge leaves a task."""
+    from scanforge.operators.geom import covariances
+
+    if _few(points, nth, by) is not None:
+        return covariances(adaptive_neighbours(points, base, most, k, nth, factor, by), by, ddof)
+
+    def made(ids, xyz, own, found, far):  # noqa: ANN001, ANN202
+        reach = far <= tiles.adaptive_radius_of(far, base, most, nth, factor, False)[:, None]
+        reach[:, k:] = False
+        return tiles.covariance_rows(ids, xyz, own, found, reach, ddof)
+
+    rows, open_ = tiles.by_tiles(points, max(k, nth), most, made, tiles.COVARIANCES, by)
+    if open_.isEmpty():
+        return rows
+    rest = _radius_of(points, _knn_edges(open_, points, max(k, nth), most, by), base, most, k, nth, factor, by, "distance")
+    return rows.unionByName(covariances(rest, by, ddof))
+
+
+def hybrid_neighbours(points: DataFrame, radius: float, k: int = 30, least: int = 3, fallback: int = 10, by: tuple[str, ...] = (), include_self: bool = False) -> DataFrame:
+    """Edges to the k - 1 nearest others within the radius; a point with fewer than ``least`` such takes its ``fallback`` - 1 nearest, however far.
+
+    Counts include the point itself, as the older search does.
+    """
+    rows, open_ = tiles.by_tiles(points, k, radius, lambda ids, xyz, own, found, far: tiles.edge_rows(ids, xyz, own, found, far, found >= 0), tiles.EDGES, by)
+    near = rows if open_.isEmpty() else rows.unionByName(_knn_edges(open_, points, k, radius, by))
+    near = written(near, "hybrid")
+    enough = near.groupBy(*by, "point_id").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    whole = near.join(enough, [*by, "point_id"], "left_semi")
+    lonely = points.join(enough, [*by, "point_id"], "left_anti")
+    if not lonely.isEmpty():
+        nearest = knn(lonely, points, fallback, radius, by)
+        q = points.select(*by, "point_id", *AXES)
+        p = points.select(*by, F.col("point_id").alias("nbr_id"), *[F.col(a).alias(f"n{a}") for a in AXES])
+        met = nearest.join(q, [*by, "point_id"]).join(p, [*by, "nbr_id"])
+        whole = whole.unionByName(met.select(*by, "point_id", "nbr_id", "dist", *[(F.col(f"n{a}") - F.col(a)).alias(f"d{a}") for a in AXES]))
+    return whole if include_self else whole.where("point_id <> nbr_id")
+
+
 def in_circles(points: DataFrame, centres: DataFrame, radius: float) -> DataFrame:
     """Points with each centre (centre_id, cx, cy) within a planar radius; regions may overlap."""
     c = centres.select("centre_id", "cx", "cy", F.col("cx").alias("X"), F.col("cy").alias("Y"))
@@ -115,3 +189,13 @@ def voxel_sample(points: DataFrame, size: float, anchor: str = "origin", by: tup
 
 def core_rows(batch: DataFrame, core: DataFrame, keys: tuple[str, ...] = ("point_id",)) -> DataFrame:
     return batch.join(core.select(*keys), list(keys), "left_semi")
+
+
+def buffered_batch(points: DataFrame, core: DataFrame, k: int = 30, cell: float = 0.2, by: tuple[str, ...] = ()) -> DataFrame:
+    """The points of a batch with its buffer: its own (``core``: by.., point_id) and the k nearest of each of them; ``is_core`` tells them apart."""
+    keys = [*by, "point_id"]
+    own = points.join(core.select(*keys).distinct(), keys, "left_semi")
+    near = knn(own, points, k, cell, by).select(*by, F.col("nbr_id").alias("point_id"))
+    marked = core.select(*keys).distinct().withColumn("is_core", F.lit(True))
+    wanted = near.unionByName(core.select(*keys)).distinct().join(marked, keys, "left").withColumn("is_core", F.coalesce("is_core", F.lit(False)))
+    return points.join(wanted, keys)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanforge.operators import decode, generate, geom, histogram, image, points, profile, raster, refine, sample, spatial
+from scanforge.operators import blobs, decode, files, generate, geom, histogram, image, points, profile, raster, refine, sample, spatial
 from scanforge.plans import views
 from scanforge.plans.views import ANGLES, EVENTS, POINTS, VECTORS, pixel_sql
 from scanforge.streaming import scans
@@ -67,12 +67,12 @@ def _p2(s, d):
 
 @query(
     "p3_percentile_clean",
-    f"""WITH {ANGLES}, c AS (SELECT *, quantile_cont(rng, 0.98) OVER () AS rt, quantile_cont(Intensity, 0.98) OVER () AS it FROM va),
+    f"""WITH {ANGLES}, c AS (SELECT *, quantile_cont(rng, 0.98) OVER s AS rt, quantile_cont(Intensity, 0.98) OVER s AS it FROM va WINDOW s AS (PARTITION BY scan_id)),
     k AS (SELECT * FROM c WHERE rng BETWEEN 0.01 AND rt AND Intensity BETWEEN 0.001 AND it)
-    SELECT {KEYS}, round((Intensity - min(Intensity) OVER ()) / (max(Intensity) OVER () - min(Intensity) OVER ()), 6) AS \"Intensity\" FROM k""",
+    SELECT {KEYS}, scan_id, round((Intensity - min(Intensity) OVER s) / (max(Intensity) OVER s - min(Intensity) OVER s), 6) AS \"Intensity\" FROM k WINDOW s AS (PARTITION BY scan_id)""",
 )
 def _p3(s, d):
-    return points.clean(points.add_angles(views.points(s, d)), 2.0).select(*KEY, *r6("Intensity"))
+    return points.clean(points.add_angles(views.points(s, d)), 2.0).select(*KEY, "scan_id", *r6("Intensity"))
 
 
 @query("p7_pixel_map", f"WITH {pixel_sql()} SELECT {KEYS}, xp AS x_pix, yp AS y_pix FROM vp")
@@ -82,7 +82,7 @@ def _p7(s, d):
 
 @query(
     "p9_normalise_invert",
-    f"""WITH {POINTS}, m AS (SELECT *, min(Z) OVER () AS a, max(Z) OVER () AS b, min(Intensity) OVER () AS i0, max(Intensity) OVER () AS i1 FROM v1)
+    f"""WITH {POINTS}, m AS (SELECT *, min(Z) OVER s AS a, max(Z) OVER s AS b, min(Intensity) OVER s AS i0, max(Intensity) OVER s AS i1 FROM v1 WINDOW s AS (PARTITION BY scan_id))
     SELECT {KEYS}, round(0.01 + 0.99 * ((a - Z) - (a - b)) / (0 - (a - b)), 6) AS \"Z\", round(0.01 + 0.99 * (Intensity - i0) / (i1 - i0), 6) AS \"Intensity\" FROM m""",
 )
 def _p9(s, d):
@@ -139,10 +139,11 @@ def _p15(s, d):
     return points.recentre(points.rotate_xy(views.points(s, d), ((0.6, -0.8), (0.8, 0.6))), where).select(*KEY, "position_id", *r6("X", "Y", "Z"))
 
 
-@query("p16_replace_ground", f"WITH {POINTS}, u AS (SELECT X, Y, class_id FROM v1 WHERE class_id <> 1 UNION ALL SELECT X, Y, class_id FROM v1 WHERE class_id = 1 AND ok % 10 = 0) SELECT class_id, count(*) AS n, round(sum(X * 0.6 - Y * 0.8), 3) AS sx FROM u GROUP BY 1")
+@query("p16_replace_ground", f"WITH {POINTS}, u AS (SELECT X, Y, class_id FROM v1 WHERE class_id <> 1 UNION ALL (SELECT X, Y, class_id FROM v1 WHERE class_id = 1 ORDER BY md5(concat_ws('|', '42', {KEYS})), {KEYS} LIMIT (SELECT round_even(count(*) * 0.1, 0)::BIGINT FROM v1 WHERE class_id = 1))) SELECT class_id, count(*) AS n, round(sum(X * 0.6 - Y * 0.8), 3) AS sx FROM u GROUP BY 1")
 def _p16(s, d):
     v = views.points(s, d)
-    out = points.replace_ground(v, v.where("class_id = 1 and ok % 10 = 0"), ((0.6, -0.8), (0.8, 0.6)))
+    ground = sample.fraction_sample(v.where("class_id = 1"), 0.1, KEY)
+    out = points.replace_ground(v, ground, ((0.6, -0.8), (0.8, 0.6)))
     return out.groupBy("class_id").agg(F.count("*").alias("n"), F.round(F.sum("X"), 3).alias("sx"))
 
 
@@ -162,6 +163,11 @@ def _p23(s, d):
     return points.cylinder(views.points(s, d), 20.0, True).select(*KEY, *r6("rho", "phi"))
 
 
+@query("p23_polar_cut", f"WITH {POINTS} SELECT {KEYS}, round({_UNIT}, 6) AS rho, round(atan2(Z, sqrt(X * X + Y * Y)), 6) AS theta, round(atan2(Y, X), 6) AS phi FROM v1 WHERE {_UNIT} <= 30")
+def _p23b(s, d):
+    return points.polar_cut(views.points(s, d), 30.0).select(*KEY, *r6("rho", "theta", "phi"))
+
+
 @query("p24_first_returns", f"WITH {POINTS} SELECT {KEYS} FROM v1 WHERE class_id = 1 AND Intensity > 50 AND Intensity < 1000")
 def _p24(s, d):
     return points.first_returns(views.points(s, d).withColumn("return_number", F.col("class_id"))).select(*KEY)
@@ -283,21 +289,21 @@ def _a14(s, d):
 
 
 _GRID = f"""{POINTS}, m AS (SELECT min(X) AS x0, max(X) AS x1, min(Y) AS y0, max(Y) AS y1 FROM v1),
-    c AS (SELECT least(floor((X - x0) / ((x1 - x0) / 32)), 31)::INT AS gx, least(floor((Y - y0) / ((y1 - y0) / 32)), 31)::INT AS gy, count(*) AS n FROM v1, m GROUP BY 1, 2)"""
+    c AS (SELECT least(floor((X - x0) / ((x1 - x0) / 512)), 511)::INT AS gx, least(floor((Y - y0) / ((y1 - y0) / 512)), 511)::INT AS gy, count(*) AS n FROM v1, m GROUP BY 1, 2)"""
 
 
 @query("a15_grid_count", f"WITH {_GRID} SELECT gx, gy, n FROM c")
 def _a15(s, d):
-    return histogram.grid_counts(views.points(s, d), 32)
+    return histogram.grid_counts(views.points(s, d), 512)
 
 
 @query(
     "a16_grid_invert",
-    f"""WITH {_GRID}, f AS (SELECT x::INT AS gx, y::INT AS gy, coalesce(n, 0) AS n FROM range(32) a(x) CROSS JOIN range(32) b(y) LEFT JOIN c ON gx = x AND gy = y)
+    f"""WITH {_GRID}, f AS (SELECT x::INT AS gx, y::INT AS gy, coalesce(n, 0) AS n FROM range(512) a(x) CROSS JOIN range(512) b(y) LEFT JOIN c ON gx = x AND gy = y)
     SELECT gx, gy, floor((max(n) OVER () - n) * 255::DOUBLE / (max(n) OVER () - min(n) OVER ()))::INT AS grey FROM f""",
 )
 def _a16(s, d):
-    return histogram.inverted_grid(histogram.grid_counts(views.points(s, d), 32), 32)
+    return histogram.inverted_grid(histogram.grid_counts(views.points(s, d), 512), 512)
 
 
 _NTH = "SELECT a.{g}, a.point_id, a.k, sqrt((a.X-b.X)*(a.X-b.X)+(a.Y-b.Y)*(a.Y-b.Y)+(a.Z-b.Z)*(a.Z-b.Z)) AS dist, row_number() OVER (PARTITION BY a.{g}, a.point_id ORDER BY (a.X-b.X)*(a.X-b.X)+(a.Y-b.Y)*(a.Y-b.Y)+(a.Z-b.Z)*(a.Z-b.Z), b.point_id) AS rank FROM {a} a JOIN {b} b ON a.{g} = b.{g}"
@@ -320,10 +326,21 @@ def _a17(s, d):
     return out.select("bin", "points", *[F.round(c, 4).alias(c) for c in ("median", "q25", "q75")])
 
 
-@query("a18_density_across_scans")
+@query(
+    "a18_density_across_scans",
+    f"""WITH {VECTORS}, w AS (SELECT *, (point_id % 3)::VARCHAR AS scan_id FROM v2), c AS (SELECT *, avg(X) OVER s AS a, avg(Y) OVER s AS b, avg(Z) OVER s AS c FROM w WINDOW s AS (PARTITION BY scan_id)),
+    g AS (SELECT *, least(floor(sqrt((X - a) * (X - a) + (Y - b) * (Y - b) + (Z - c) * (Z - c)) / 0.1), 3)::INT AS bin FROM c), h AS (SELECT *, scan_id || '|' || bin AS grp FROM g),
+    n AS (SELECT *, count(*) OVER (PARTITION BY grp) AS n, least(50, floor(count(*) OVER (PARTITION BY grp) / 2))::INT AS k, row_number() OVER (PARTITION BY grp ORDER BY point_id) - 1 AS i FROM h),
+    q AS (SELECT * FROM n WHERE n >= 10 AND k >= 5), t AS (SELECT * FROM q WHERE i % greatest(1, floor(n / 100)) = 0),
+    e AS ({_NTH.format(g="grp", a="t", b="q")}), f AS (SELECT grp, quantile_cont({_DENSITY}, 0.5) AS median FROM e WHERE rank = k GROUP BY 1),
+    p AS (SELECT bin, grp, count(*) AS points FROM h GROUP BY 1, 2)
+    SELECT bin, round(quantile_cont(median, 0.5), 4) AS median, round(quantile_cont(median, 0.25), 4) AS q25, round(quantile_cont(median, 0.75), 4) AS q75, quantile_cont(points, 0.5) AS points
+    FROM p LEFT JOIN f USING (grp) WHERE bin IN (SELECT bin FROM h WHERE scan_id = '0') GROUP BY 1""",
+)
 def _a18(s, d):
     v = views.vectors(s, d).withColumn("scan_id", (F.col("point_id") % 3).cast("string"))
-    return profile.density_across_scans(profile.density_by_range(v, 0.1, 0.3, 0.1, ("scan_id",)), "0")
+    out = profile.density_across_scans(profile.density_by_range(v, 0.1, 0.3, 0.1, ("scan_id",)), "0")
+    return out.select("bin", *[F.round(c, 4).alias(c) for c in ("median", "q25", "q75")], "points")
 
 
 @query(
@@ -336,10 +353,16 @@ def _a19(s, d):
     return profile.density_by_height(views.vectors(s, d), 0.1, 0.1).select("bin", "point_id", F.round("density", 4).alias("density"), "label")
 
 
-@query("a20_vertical_per_scan")
+@query(
+    "a20_vertical_per_scan",
+    f"""WITH {VECTORS}, w AS (SELECT *, (point_id % 3)::VARCHAR AS scan_id FROM v2),
+    n AS (SELECT *, count(*) OVER s AS n, least(50, floor(count(*) OVER s / 20))::INT AS k, row_number() OVER (PARTITION BY scan_id ORDER BY point_id) - 1 AS i FROM w WINDOW s AS (PARTITION BY scan_id)),
+    q AS (SELECT * FROM n WHERE n >= 10 AND k >= 5), t AS (SELECT * FROM q WHERE i % greatest(1, floor(n / 50000)) = 0), e AS ({_NTH.format(g="scan_id", a="t", b="q")})
+    SELECT scan_id, e.point_id, round({_DENSITY}, 4) AS density, Z AS "Z" FROM e JOIN v2 USING (point_id) WHERE rank = k""",
+)
 def _a20(s, d):
     v = views.vectors(s, d).withColumn("scan_id", (F.col("point_id") % 3).cast("string"))
-    return profile.density_by_height_sampled(v, 0.1)
+    return profile.density_by_height_sampled(v, 0.1).select("scan_id", "point_id", F.round("density", 4).alias("density"), "Z")
 
 
 @query("a21_density_summary", "SELECT round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75, min(value) AS lowest, max(value) AS highest FROM events")
@@ -379,7 +402,7 @@ def _a26(s, d):
     return histogram.channel_values(v)
 
 
-@query("a27_colour_domain", f"WITH {POINTS} SELECT (greatest(max(class_id), 9) + 1)::BIGINT AS n_colours FROM v1")
+@query("a27_colour_domain", f"WITH {POINTS}, u AS (SELECT class_id AS v, 1 AS n FROM v1 UNION ALL SELECT x, 0 FROM (VALUES (0), (3), (9)) t(x)) SELECT v::BIGINT AS \"value\", sum(n)::BIGINT AS n, (max(max(v)) OVER () + 1)::BIGINT AS n_colours FROM u GROUP BY v")
 def _a27(s, d):
     return histogram.colour_domain(views.points(s, d), "class_id", [0, 3, 9])
 
@@ -407,11 +430,11 @@ def _a32(s, d):
 # Joins
 
 
-@query("j1_attach_labels", "SELECT d.doc_id AS point_id, source AS scan_id, quality AS label FROM labels l JOIN documents d ON d.doc_id = l.doc_id")
+@query("j1_attach_labels", "SELECT doc_id AS point_id, source AS scan_id, n_chars, quality AS label FROM documents JOIN labels USING (doc_id)")
 def _j1(s, d):
-    labels = views.read(s, d, "labels").join(views.read(s, d, "documents").select("doc_id", "source"), "doc_id")
-    labels = labels.select(F.col("doc_id").alias("point_id"), F.col("source").alias("scan_id"), F.col("quality").alias("label"))
-    return raster.attach_labels(labels.drop("label"), labels).select("point_id", "scan_id", "label")
+    labels = views.read(s, d, "labels").select(F.col("doc_id").alias("point_id"), F.col("quality").alias("label"))
+    frame = views.read(s, d, "documents").select(F.col("doc_id").alias("point_id"), F.col("source").alias("scan_id"), "n_chars")
+    return raster.attach_labels(frame.join(labels, "point_id", "left_semi"), labels, ("point_id",)).select("point_id", "scan_id", "n_chars", "label")
 
 
 @query(
@@ -465,10 +488,16 @@ def _j7(s, d):
     return spatial.knn(v, v, 8, 0.1).select("point_id", F.col("rank").cast("int").alias("rank"), "nbr_id", *r6("dist"))
 
 
-@query("j8_nearest_across", f"WITH {VECTORS}, p AS ({_PAIRS} WHERE a.point_id % 5 = 0 AND b.point_id % 5 <> 0), k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist, nbr_id) AS k FROM p) SELECT point_id, nbr_id, round(dist, 6) AS dist FROM k WHERE k = 1")
+@query(
+    "j8_nearest_across",
+    f"""WITH {VECTORS}, g AS (SELECT floor(X / 0.1)::BIGINT AS vx, floor(Y / 0.1)::BIGINT AS vy, floor(Z / 0.1)::BIGINT AS vz, avg(X) AS X, avg(Y) AS Y, avg(Z) AS Z FROM v2 GROUP BY 1, 2, 3),
+    p AS (SELECT vx, vy, vz, b.point_id AS nbr_id, sqrt((g.X-b.X)*(g.X-b.X)+(g.Y-b.Y)*(g.Y-b.Y)+(g.Z-b.Z)*(g.Z-b.Z)) AS dist FROM g, v2 b)
+    SELECT vx, vy, vz, arg_min(nbr_id, (round(dist, 9), nbr_id)) AS nbr_id, round(min(dist), 6) AS dist FROM p GROUP BY 1, 2, 3""",
+)
 def _j8(s, d):
     v = views.vectors(s, d)
-    return spatial.knn(v.where("point_id % 5 = 0"), v.where("point_id % 5 <> 0"), 1, 0.1).select("point_id", "nbr_id", *r6("dist"))
+    means = spatial.voxel_means(v, 0.1).withColumn("point_id", F.xxhash64("vx", "vy", "vz"))
+    return spatial.knn(means, v, 1, 0.1).join(means.select("point_id", "vx", "vy", "vz"), "point_id").select("vx", "vy", "vz", "nbr_id", *r6("dist"))
 
 
 @query("j9_circle_regions", f"WITH {POINTS}, c(centre_id, cx, cy) AS (VALUES (1, 0.0, 0.0), (2, 3.0, 4.0), (3, -20.0, -40.0)) SELECT centre_id, count(*) AS n FROM v1, c WHERE sqrt((X - cx) * (X - cx) + (Y - cy) * (Y - cy)) <= 6 GROUP BY ROLLUP (centre_id)")
@@ -482,16 +511,45 @@ def _j10(s, d):
     return spatial.core_rows(views.vectors(s, d), views.read(s, d, "labels").select(F.col("doc_id").alias("point_id"))).select("point_id", "class_id")
 
 
-@query("j11_manifest", "SELECT split_part(split_part(url, '//', 2), '/', 2) AS lang, count(*) AS n, min(page_id) AS first_id FROM pages GROUP BY 1")
+_ID = "lpad(doc_id::VARCHAR, 4, '0') || '_'"
+_FILES = "'/data/' || source || '/{0}/scan' || " + _ID + " || '{1}'"
+
+
+@query(
+    "j11_manifest",
+    f"""WITH f AS (SELECT 'img' AS kind, doc_id, {_FILES.format("img", "image.npy")} AS path FROM documents UNION ALL SELECT 'img_metadata', doc_id, {_FILES.format("img", "image.yaml")} FROM documents
+      UNION ALL SELECT 'mask', doc_id, {_FILES.format("img", "mask.png")} FROM documents WHERE source <> 'src1' UNION ALL SELECT 'pcd', doc_id, {_FILES.format("pcd", "color.csv")} FROM documents WHERE lang = 'en')
+    SELECT kind, CASE WHEN quality = 1 THEN 'train' WHEN toxic = 1 THEN 'val' ELSE 'test' END AS split, doc_id AS place, {_ID} AS id, path FROM f JOIN labels USING (doc_id)""",
+)
 def _j11(s, d):
-    host = F.split_part("url", F.lit("//"), F.lit(2))
-    return views.read(s, d, "pages").groupBy(F.split_part(host, F.lit("/"), F.lit(2)).alias("lang")).agg(F.count("*").alias("n"), F.min("page_id").alias("first_id"))
+    docs, labels = views.read(s, d, "documents"), views.read(s, d, "labels")
+    number = F.concat(F.lpad(F.col("doc_id").cast("string"), 4, "0"), F.lit("_"))
+    path = lambda folder, tail: F.concat(F.lit("/data/"), F.col("source"), F.lit(f"/{folder}/scan"), number, F.lit(tail)).alias("path")
+    listed = docs.select(path("img", "image.npy")).union(docs.select(path("img", "image.yaml"))).union(docs.where("source <> 'src1'").select(path("img", "mask.png"))).union(docs.where("lang = 'en'").select(path("pcd", "color.csv")))
+    split = F.when(F.col("quality") == 1, "train").when(F.col("toxic") == 1, "val").otherwise("test")
+    return files.split_manifest(listed, labels.select(split.alias("split"), F.col("doc_id").alias("place"), number.alias("id")))
 
 
-@query("j12_pairing", "SELECT DISTINCT d.source, replace(d.source, 'src', 'label') AS pair FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+@query(
+    "j12_pairing",
+    """SELECT '/data/' || source || '/pcd/' || doc_id || '_color.csv' AS path, '/data/' || source || '/label/' || doc_id || '_refined.label' AS label_path FROM documents JOIN labels USING (doc_id)""",
+)
 def _j12(s, d):
-    paths = views.read(s, d, "documents").join(views.read(s, d, "labels").select("doc_id"), "doc_id", "left_semi").select("source").distinct()
-    return paths.withColumn("pair", F.regexp_replace("source", "src", "label"))
+    docs, labels = views.read(s, d, "documents"), views.read(s, d, "labels")
+    path = lambda folder, tail: F.concat(F.lit("/data/"), F.col("source"), F.lit(f"/{folder}/"), F.col("doc_id").cast("string"), F.lit(tail)).alias("path")
+    return files.pair_files(docs.select(path("pcd", "_color.csv")), docs.join(labels, "doc_id", "left_semi").select(path("label", "_refined.label")))
+
+
+@query(
+    "j13_nearest_fill",
+    f"""WITH {pixel_sql(12, 24, 15.0)}, p AS (SELECT scan_id, yp, xp, min(class_id) AS k FROM vp GROUP BY ALL), a AS (SELECT scan_id, y::INT AS y, x::INT AS x FROM (SELECT DISTINCT scan_id FROM v1), range(12) u(y), range(24) v(x)),
+    m AS (SELECT a.scan_id, y, x, k, row_number() OVER (PARTITION BY a.scan_id, y, x ORDER BY (y - yp) * (y - yp) + (x - xp) * (x - xp), yp, xp) AS r FROM a JOIN p ON p.scan_id = a.scan_id)
+    SELECT scan_id, y AS y_pix, x AS x_pix, k AS class_id FROM m WHERE r = 1""",
+)
+def _j13(s, d):
+    seen = _pixels(s, d, 12, 24, 15.0).groupBy(*raster.PIXEL).agg(F.min("class_id").alias("class_id"))
+    dense = raster.canvas(seen, 12, 24, ("scan_id",)).join(seen, list(raster.PIXEL), "left")
+    return raster.fill_from_nearest(dense).select("scan_id", "y_pix", "x_pix", "class_id")
 
 
 # Geometry
@@ -539,9 +597,41 @@ def _f7(s, d):
     return geom.angular_batches(points.add_angles(views.points(s, d)), 8, 4).groupBy("batch_az", "batch_el").agg(F.count("*").alias("n"))
 
 
-@query("f10_roughness")
+@query("f10_roughness", f"WITH {_COV.replace('k <= 50', 'k <= 30')} SELECT point_id, round(sqrt(greatest(l3, 0)), 6) AS roughness FROM h")
 def _f10(s, d):
-    return geom.roughness(views.vectors(s, d))
+    return geom.roughness(views.vectors(s, d)).select("point_id", *r6("roughness"))
+
+
+_HYBRID = _COV.replace(_COV[_COV.index("w AS (") : _COV.index("c AS (SELECT point_id")], "o AS (SELECT point_id, count(*) AS o FROM k WHERE dist <= 0.1 AND k <= 30 GROUP BY 1), e AS (SELECT k.* FROM k JOIN o USING (point_id) WHERE point_id <> nbr_id AND CASE WHEN o > 3 THEN dist <= 0.1 AND k <= 30 ELSE k <= 10 END), ")
+
+
+@query(
+    "f11_hybrid_features",
+    f"""WITH {_HYBRID} SELECT point_id, n_nbrs, round(CASE WHEN l3 <= 1e-10 OR n_nbrs < 3 THEN 0 ELSE coalesce(l1 / nullif(l1 + l2 + l3, 0), 0) END, 6) AS curvature,
+    round(CASE WHEN l3 <= 1e-10 OR n_nbrs < 3 THEN 0 ELSE coalesce((l3 - l2) / greatest(l3, 1e-9), 0) END, 6) AS anisotropy, round(CASE WHEN l3 <= 1e-10 OR n_nbrs < 3 THEN 0 ELSE coalesce((l2 - l1) / greatest(l3, 1e-9), 0) END, 6) AS planarity FROM h""",
+)
+def _f11(s, d):
+    return geom.hybrid_features(views.vectors(s, d), 0.1, 30).select("point_id", "n_nbrs", *r6("curvature", "anisotropy", "planarity"))
+
+
+@query("f12_population_features", f"WITH {_COV.replace('covar_samp', 'covar_pop')} SELECT point_id, n_nbrs, round(coalesce(l1 / nullif(l1 + l2 + l3, 0), 0), 6) AS curvature, round(sqrt(greatest(l3, 0)), 6) AS roughness FROM h")
+def _f12(s, d):
+    return geom.population_features(views.vectors(s, d)).select("point_id", "n_nbrs", *r6("curvature", "roughness"))
+
+
+@query(
+    "t7_buffered_batch",
+    f"""WITH {VECTORS}, p AS ({_PAIRS}), k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist, nbr_id) AS k FROM p), c AS (SELECT point_id FROM v2 WHERE class_id = 2),
+    u AS (SELECT nbr_id AS point_id FROM k JOIN c USING (point_id) WHERE k <= 10 UNION SELECT point_id FROM c) SELECT point_id, point_id IN (SELECT point_id FROM c) AS is_core FROM u""",
+)
+def _t7(s, d):
+    v = views.vectors(s, d)
+    return spatial.buffered_batch(v, v.where("class_id = 2"), 10, 0.1).select("point_id", "is_core")
+
+
+@query("f15_scanner_positions")
+def _f15(s, d):
+    return blobs.scanner_positions(views.points(s, d)).select("position_id", *r6("X", "Y"), F.round("sigma", 4).alias("sigma"))
 
 
 @query("f14_plot_rotation")
@@ -554,23 +644,60 @@ def _f14(s, d):
 
 @query(
     "i1_stretch",
-    """WITH q AS (SELECT quantile_cont(value, 0.02) FILTER (value <> 0) AS lo, quantile_cont(value, 0.98) FILTER (value <> 0) AS hi FROM events)
-    SELECT event_id, round(CASE WHEN value = 0 THEN value ELSE (least(greatest(value, lo), hi) - lo) / (hi - lo) END, 6) AS value FROM events, q""",
+    """WITH q AS (SELECT event_type, quantile_cont(value, 0.02) FILTER (value <> 0) AS lo, quantile_cont(value, 0.98) FILTER (value <> 0) AS hi FROM events GROUP BY 1)
+    SELECT event_id, round(CASE WHEN value = 0 THEN value ELSE (least(greatest(value, lo), hi) - lo) / (hi - lo) END, 6) AS value FROM events JOIN q USING (event_type)""",
 )
 def _i1(s, d):
-    return image.stretch(views.read(s, d, "events"), "value", 2.0).select("event_id", *r6("value"))
+    return image.stretch(views.read(s, d, "events"), "value", 2.0, by="event_type").select("event_id", *r6("value"))
 
 
 @query(
     "i2_hist_equal",
-    """WITH m AS (SELECT min(value) AS lo, max(value) AS hi FROM events WHERE value <> 0),
-    b AS (SELECT least(floor((value - lo) / ((hi - lo) / 256)), 255)::INT AS bin, count(*) AS n FROM events, m WHERE value <> 0 GROUP BY 1),
-    f AS (SELECT k::INT AS bin, coalesce(n, 0) AS n FROM range(256) r(k) LEFT JOIN b ON bin = k), c AS (SELECT bin, sum(n) OVER (ORDER BY bin) / sum(n) OVER () AS cdf FROM f),
-    a AS (SELECT event_id, least(greatest((value - lo) / ((hi - lo) / 256) - 0.5, 0), 255) AS p FROM events, m), e AS (SELECT *, least(floor(p), 254)::INT AS k FROM a)
-    SELECT event_id, round(x.cdf + (y.cdf - x.cdf) * (p - k), 6) AS value FROM e JOIN c x ON x.bin = k JOIN c y ON y.bin = k + 1""",
+    """WITH m AS (SELECT event_type, min(value) AS lo, max(value) AS hi FROM events WHERE value <> 0 GROUP BY 1),
+    b AS (SELECT event_type, least(floor((value - lo) / ((hi - lo) / 256)), 255)::INT AS bin, count(*) AS n FROM events JOIN m USING (event_type) WHERE value <> 0 GROUP BY 1, 2),
+    f AS (SELECT m.event_type, k::INT AS bin, coalesce(n, 0) AS n FROM m CROSS JOIN range(256) r(k) LEFT JOIN b ON bin = k AND b.event_type = m.event_type),
+    c AS (SELECT event_type, bin, sum(n) OVER (PARTITION BY event_type ORDER BY bin) / sum(n) OVER (PARTITION BY event_type) AS cdf FROM f),
+    a AS (SELECT event_id, event_type, least(greatest((value - lo) / ((hi - lo) / 256) - 0.5, 0), 255) AS p FROM events JOIN m USING (event_type)), e AS (SELECT *, least(floor(p), 254)::INT AS k FROM a)
+    SELECT event_id, round(x.cdf + (y.cdf - x.cdf) * (p - k), 6) AS value FROM e JOIN c x ON x.bin = k AND x.event_type = e.event_type JOIN c y ON y.bin = k + 1 AND y.event_type = e.event_type""",
 )
 def _i2(s, d):
-    return image.equalise(views.read(s, d, "events"), "value").select("event_id", *r6("value"))
+    return image.equalise(views.read(s, d, "events"), "value", by="event_type").select("event_id", *r6("value"))
+
+
+@query("i2_local_equalise")
+def _i2b(s, d):
+    dense = raster.densify(raster.nearest_per_pixel(_pixels(s, d), ["Intensity"], KEY).drop("density"), 36, 72, {"Intensity": 0.0})
+    return image.local_equalise(dense, "Intensity", 36, 72, 4).select("scan_id", "y_pix", "x_pix", *r6("Intensity"))
+
+
+@query(
+    "i13_resample",
+    f"WITH {pixel_sql()}, p AS (SELECT scan_id, yp, xp, min(class_id) AS k FROM vp GROUP BY ALL), a AS (SELECT scan_id, y::INT AS y, x::INT AS x FROM (SELECT DISTINCT scan_id FROM v1), range(10) u(y), range(20) v(x)) SELECT a.scan_id, y AS y_pix, x AS x_pix, k AS class_id FROM a LEFT JOIN p ON p.scan_id = a.scan_id AND yp = floor((y + 0.5::DOUBLE) * 36 / 10) AND xp = floor((x + 0.5::DOUBLE) * 72 / 20)",
+)
+def _i13(s, d):
+    seen = _pixels(s, d).groupBy(*raster.PIXEL).agg(F.min("class_id").alias("class_id"))
+    return raster.resample(seen, 36, 72, 10, 20, ["class_id"]).select("scan_id", "y_pix", "x_pix", "class_id")
+
+
+@query(
+    "i14_colour_ball",
+    """WITH g AS (SELECT (i % 72) * 5::DOUBLE AS azimuth, (i // 72) * 5::DOUBLE AS zenith FROM range(72 * 37) r(i)),
+    k AS (SELECT azimuth, zenith, least(floor((35 - least(trunc(zenith / 5), 35) + 0.5::DOUBLE) * 25 / 36), 24) * 20 + least(floor((trunc(azimuth / 5) + 0.5::DOUBLE) * 20 / 72), 19) AS id FROM g)
+    SELECT azimuth, zenith, round((v.vec_id % 256) / 255, 6) AS r, round((v.label % 256) / 255, 6) AS g, round((v.vec_id * 7 % 256) / 255, 6) AS b FROM k LEFT JOIN embeddings v ON v.vec_id = k.id""",
+)
+def _i14(s, d):
+    v = views.read(s, d, "embeddings").select(F.floor(F.col("vec_id") / 20).cast("int").alias("y_pix"), (F.col("vec_id") % 20).cast("int").alias("x_pix"), (F.col("vec_id") % 256).alias("r"), (F.col("label") % 256).alias("g"), (F.col("vec_id") * 7 % 256).alias("b"))
+    out = raster.colour_ball(generate.ball(s), v.where("y_pix < 25"), 25, 20, (0.0, 180.0), 5.0, True)
+    return out.select("azimuth", "zenith", *r6("r", "g", "b"))
+
+
+@query(
+    "i15_median_blur",
+    f"WITH {pixel_sql(18, 36, 10.0)}, p AS (SELECT scan_id, yp, xp, max(Intensity) AS v FROM vp GROUP BY ALL) SELECT a.scan_id, a.yp AS y_pix, a.xp AS x_pix, round(median(b.v), 6) AS \"Intensity\" FROM p a JOIN p b ON a.scan_id = b.scan_id AND abs(a.yp - b.yp) <= 2 AND abs(a.xp - b.xp) <= 2 GROUP BY ALL",
+)
+def _i15(s, d):
+    seen = _pixels(s, d, 18, 36, 10.0).groupBy(*raster.PIXEL).agg(F.max("Intensity").alias("Intensity"))
+    return raster.median_blur(seen, "Intensity", 2, ("scan_id",)).select("scan_id", "y_pix", "x_pix", *r6("Intensity"))
 
 
 _MASK = _NEAREST + ", p AS (SELECT scan_id, yp, xp, class_id FROM r WHERE k = 1), a AS (SELECT s AS scan_id, y::INT AS y_pix, x::INT AS x_pix FROM (SELECT DISTINCT scan_id AS s FROM v1), range(36) u(y), range(72) v(x))"
@@ -610,9 +737,15 @@ def _bands(s: SparkSession, d: str) -> DataFrame:
     return v.select("point_id", (F.col("point_id") / 25).cast("int").alias("y_pix"), (F.col("point_id") % 25).cast("int").alias("x_pix"), *[F.get("embedding", i).cast("double").alias(b) for i, b in enumerate(BANDS)])
 
 
-@query("i11_sparkline")
+def _spark_sql(channel: str, place: int) -> str:
+    counts = f"SELECT list(n ORDER BY bin) AS c FROM ({_hist_sql(VECTORS, 'v2', channel, 20)})"
+    return f"SELECT '{channel}' AS channel, {place} AS place, array_to_string(c, ',') AS counts, array_to_string(list_transform(c, lambda x: substr('▁▂▃▄▅▆▇█', least(floor(x * 8 / list_max(c)), 7)::INT + 1, 1)), '') AS sparkline FROM ({counts})"
+
+
+@query("i11_sparkline", " UNION ALL ".join(_spark_sql(c, k) for k, c in enumerate("XYZ")))
 def _i11(s, d):
-    return image.channel_metadata(views.vectors(s, d), ["X", "Y", "Z"])
+    out = image.channel_metadata(views.vectors(s, d), ["X", "Y", "Z"])
+    return out.select("channel", "place", F.array_join(F.transform("counts", lambda x: x.cast("string")), ",").alias("counts"), "sparkline")
 
 
 @query("i12_pseudo_rgb", f"WITH {VECTORS} SELECT point_id, round((Z - min(Z) OVER ()) / (max(Z) OVER () - min(Z) OVER () + 1e-8), 6) AS red, round((X - min(X) OVER ()) / (max(X) OVER () - min(X) OVER () + 1e-8), 6) AS green, round((Y - min(Y) OVER ()) / (max(Y) OVER () - min(Y) OVER () + 1e-8), 6) AS blue FROM v2")
@@ -667,7 +800,12 @@ def _t4b(s, d):
     return spatial.voxel_sample(views.vectors(s, d), 0.1).select("point_id")
 
 
-@query("t6_weighted_resample")
+@query(
+    "t6_weighted_resample",
+    """WITH q AS (SELECT quantile_cont(value, 0.99) AS q FROM events), w AS (SELECT event_id, value, sqrt(least(value, q)) AS w FROM events, q),
+    c AS (SELECT *, sum(w) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS upto, sum(w) OVER () AS total FROM w), r AS (SELECT *, coalesce(lag(upto) OVER (ORDER BY event_id), 0) / total AS f, upto / total AS t FROM c),
+    u AS (SELECT i AS draw, ('0x' || substr(md5('0|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM range(1000) x(i)) SELECT draw, event_id, value FROM u JOIN r ON u >= f AND u < t""",
+)
 def _t6(s, d):
     return sample.weighted_resample(views.read(s, d, "events"), "value", "value", 1000, "event_id", "sqrt")
 
@@ -707,12 +845,26 @@ def _w3(s, d):
     return image.noise(v, ["X"]).agg(F.count("X").alias("n"), F.round(F.sum(F.col("X") * F.col("X")), 6).alias("energy"))
 
 
-@query("g_decode_scan")
+_RAW = """e AS (SELECT event_type, event_id // 10 AS ten, event_id, floor(value * 100)::BIGINT AS h FROM events),
+    l AS (SELECT event_type, ten, count(*) AS n_pulses, ten * 25 % 16384 AS enc, row_number() OVER (PARTITION BY event_type ORDER BY ten) - 1 AS line FROM e GROUP BY 1, 2)"""
+
+
+@query(
+    "g_decode_scan",
+    f"""WITH {_RAW}, b AS (SELECT *, lag(enc) OVER (PARTITION BY event_type ORDER BY line) AS b, count(*) OVER (PARTITION BY event_type) AS c FROM l),
+    s AS (SELECT *, CASE WHEN b IS NULL THEN 0 WHEN enc < b AND line >= c - 5 THEN NULL WHEN enc < b THEN 16383 - b + enc ELSE enc - b END AS st FROM b),
+    w AS (SELECT *, last_value(st IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY line ROWS UNBOUNDED PRECEDING) AS inc FROM s), t AS (SELECT *, sum(inc) OVER (PARTITION BY event_type ORDER BY line ROWS UNBOUNDED PRECEDING) / 250::DOUBLE AS turned FROM w),
+    p AS (SELECT t.*, h, row_number() OVER (PARTITION BY e.event_type, e.ten ORDER BY event_id) - 1 AS pulse FROM t JOIN e ON e.event_type = t.event_type AND e.ten = t.ten),
+    a AS (SELECT *, abs(pulse - 540) * 0.25::DOUBLE AS zen, CASE WHEN pulse < 540 THEN 360 ELSE 180 END - (turned + inc / 250::DOUBLE / n_pulses * pulse) AS raw, h / 1000::DOUBLE AS r FROM p), z AS (SELECT *, raw - 360 * floor(raw / 360) AS az FROM a),
+    x AS (SELECT *, unnest(CASE WHEN h > 0 THEN [1, 2] ELSE [1] END) AS return_number FROM z)
+    SELECT event_type AS scan_id, line::INT AS line, pulse::INT AS pulse, return_number, round(r, 6) AS rangemeter, round(az, 6) AS azimuth, round(zen, 6) AS zenith, round(-r * sin(radians(zen)) * cos(radians(az)), 6) AS "X",
+    round(r * sin(radians(zen)) * sin(radians(az)), 6) AS "Y", round(r * cos(radians(zen)), 6) AS "Z", h AS "Intensity" FROM x""",
+)
 def _g(s, d):
     return decode.decode(_raw_scans(s, d)).select("scan_id", "line", "pulse", "return_number", *r6("rangemeter", "azimuth", "zenith", "X", "Y", "Z"), "Intensity")
 
 
-@query("a29_scan_info")
+@query("a29_scan_info", f"WITH {_RAW} SELECT event_type AS scan_id, count(DISTINCT ten) AS n_lines, max(k)::INT AS most_pulses, sum(1)::BIGINT AS n_pulses, count(*) FILTER (h > 0) AS n_valid FROM (SELECT *, count(*) OVER (PARTITION BY event_type, ten) AS k FROM e) GROUP BY 1")
 def _a29(s, d):
     return decode.scan_info(decode.parse_lines(decode.scan_lines(_raw_scans(s, d))))
 
@@ -760,18 +912,18 @@ def _u7(s, d):
 @query(
     "m1_knn_vote",
     f"""WITH {VECTORS}, p AS ({_PAIRS}), k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist, nbr_id) AS rank FROM p),
-    c AS (SELECT k.point_id, a.class_id AS label, b.class_id AS nl, count(*) AS n FROM k JOIN v2 a ON a.point_id = k.point_id JOIN v2 b ON b.point_id = nbr_id WHERE rank <= 15 GROUP BY ALL),
+    c AS (SELECT k.point_id, a.class_id AS label, b.class_id AS nl, count(*) AS n FROM k JOIN v2 a ON a.point_id = k.point_id JOIN v2 b ON b.point_id = nbr_id WHERE rank <= 50 GROUP BY ALL),
     w AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY (nl = 0)::INT, n DESC, nl) AS o, sum(n) OVER (PARTITION BY point_id) AS al, sum(CASE WHEN nl = label THEN n ELSE 0 END) OVER (PARTITION BY point_id) AS own FROM c)
     SELECT point_id, label, CASE WHEN nl <> 0 AND (label = 0 OR own / al < 0.8) THEN nl ELSE label END AS vote FROM w WHERE o = 1""",
 )
 def _m1(s, d):
-    return refine.vote(views.vectors(s, d), 15, 0.8, 0.2)
+    return refine.vote(views.vectors(s, d), 50, 0.8, 0.2)
 
 
 @query("m2_forest_refine")
 def _m2(s, d):
-    v = views.vectors(s, d).select("*", *[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(6)])
-    return refine.refine(v, [f"e{i}" for i in range(6)], 15, 0.5, 0.85, 0.2, trees=20).select("point_id", "label", "vote", "label_refined")
+    v = views.vectors(s, d).select("*", *[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(9)])
+    return refine.refine(v, [f"e{i}" for i in range(9)], cell=0.2).select("point_id", "label", "vote", "label_refined")
 
 
 # Streams
