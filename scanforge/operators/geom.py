@@ -61,6 +61,12 @@ def hybrid_features(points: DataFrame, radius: float = 0.03, max_neighbours: int
     return features.withColumns({c: F.when(flat, 0.0).otherwise(F.col(c)) for c in ("curvature", "anisotropy", "planarity")})
 
 
+def hybrid_normals(points: DataFrame, radius: float = 0.1, max_neighbours: int = 30, by: tuple[str, ...] = ()) -> DataFrame:
+    """point_id, nx, ny, nz of the nearest ``max_neighbours`` within a radius, the point itself included; turned towards the origin, so any layout of the data gives the same signs."""
+    features = eigen_features(covariances(hybrid_neighbours(points, radius, max_neighbours, least=2, by=by, include_self=True), by))
+    return normals(features, points, by).select(*by, "point_id", "nx", "ny", "nz")
+
+
 def population_features(points: DataFrame, radius: float = 0.05, max_radius: float = 0.2, max_neighbours: int = 50, by: tuple[str, ...] = ()) -> DataFrame:
     """Features whose covariances are divided by the number of neighbours, as another older variant has them."""
     return eigen_features(neighbour_covariances(points, radius, max_radius, max_neighbours, by=by, ddof=0))

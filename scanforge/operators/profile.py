@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanforge.functions.geometry import PI
 from scanforge.operators.points import range_from_centre, with_stats
-from scanforge.operators.spatial import knn
-from scanforge.tables import written
+from scanforge.operators.quantile import quantiles
+from scanforge.operators.spatial import knn_among
+from scanforge.tables import numbered_within, written
 
 
 def local_density(k: Column, radius: Column, volumetric: bool = True) -> Column:
@@ -36,18 +37,22 @@ def binned_density(df: DataFrame, groups: tuple[str, ...], cell: float, k: Colum
     """
     sized = df.select(*groups, "point_id", "X", "Y", "Z").join(df.groupBy(*groups).agg(F.count("*").alias("n")), list(groups))
     sized = sized.withColumn("k", k.cast("int")).where((F.col("n") >= least_points) & (F.col("k") >= least_k))
-    sized = written(sized.withColumn("i", F.row_number().over(Window.partitionBy(*groups).orderBy("point_id")) - 1), "density-bins")
-    sampled = sized if stride is None else sized.where(F.col("i") % stride == 0)
+    placed = numbered_within(sized, list(groups), ["point_id"], row="i")
+    sampled = F.lit(True) if stride is None else F.col("i") % stride == 0
+    sized = written(placed.select(*groups, "point_id", "X", "Y", "Z", "n", "k", sampled.alias("sampled")), "density-bins")
     most = sized.agg(F.max("k")).first()[0]
     if most is None:
         return df.select(*groups, "point_id", F.lit(0.0).alias("density")).limit(0)
-    near = knn(sampled, sized, most, cell, groups)
+    near = knn_among(sized, most, cell, groups, "sampled")
     met = near.join(sized.select(*groups, "point_id", "k"), [*groups, "point_id"]).where(F.col("rank") == F.col("k"))
     return met.select(*groups, "point_id", local_density(F.col("k"), F.col("dist"), volumetric).alias("density"))
 
 
+QUARTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75}
+
+
 def _quartiles(density: DataFrame, groups: tuple[str, ...]) -> DataFrame:
-    return density.groupBy(*groups).agg(*[F.percentile("density", F.lit(p)).alias(n) for n, p in (("median", 0.5), ("q25", 0.25), ("q75", 0.75))])
+    return quantiles(density, {n: (F.col("density"), p) for n, p in QUARTILES.items()}, groups)
 
 
 def density_by_range(df: DataFrame, width: float, merge: float, cell: float, by: tuple[str, ...] = (), volumetric: bool = True, centre: tuple[float, float, float] | None = None) -> DataFrame:
@@ -63,8 +68,8 @@ def density_by_range(df: DataFrame, width: float, merge: float, cell: float, by:
 def density_across_scans(per_scan: DataFrame, first_scan: str, scan: str = "scan_id") -> DataFrame:
     """Median and quartiles over scans of their medians, for the bins of the first scan."""
     bins = per_scan.where(F.col(scan) == first_scan).select("bin").distinct()
-    stats = [F.percentile("median", F.lit(p)).alias(n) for n, p in (("median", 0.5), ("q25", 0.25), ("q75", 0.75))]
-    return per_scan.join(bins, "bin", "left_semi").groupBy("bin").agg(*stats, F.percentile("points", F.lit(0.5)).alias("points"))
+    wanted = {n: (F.col("median"), p) for n, p in QUARTILES.items()} | {"points": (F.col("points"), 0.5)}
+    return quantiles(per_scan.join(bins, "bin", "left_semi"), wanted, ("bin",))
 
 
 def density_by_height(df: DataFrame, width: float, cell: float, by: tuple[str, ...] = (), volumetric: bool = True) -> DataFrame:
@@ -85,16 +90,23 @@ def density_by_height_sampled(df: DataFrame, cell: float, sample: int = 50_000,
 
 
 def density_summary(df: DataFrame, density: str = "density") -> DataFrame:
-    known = F.nanvl(F.col(density), F.lit(None).cast("double"))
-    stats = [F.percentile("_d", F.lit(p)).alias(n) for n, p in (("median", 0.5), ("q25", 0.25), ("q75", 0.75))]
-    return df.select(known.alias("_d")).agg(*stats, F.min("_d").alias("lowest"), F.max("_d").alias("highest"))
+    """One row: quartiles and extremes of the values that are there."""
+    known = df.select(F.nanvl(F.col(density).cast("double"), F.lit(None).cast("double")).alias("_d"))
+    spans = known.agg(F.min("_d").alias("lowest"), F.max("_d").alias("highest"))
+    return quantiles(known, {n: (F.col("_d"), p) for n, p in QUARTILES.items()}).crossJoin(spans)  # one row each
 
 
 def value_by_label(df: DataFrame, value: str, label: str, scan: str) -> DataFrame:
     """Quartiles, IQR, p95, valid and NaN counts by label, for each scan and over all scans (NULL scan)."""
     known = df.select(scan, label, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("_v"), F.isnan(F.col(value).cast("double")).alias("_nan"))
-    twice = known.select(F.explode(F.array(F.col(scan).cast("string"), F.lit(None).cast("string"))).alias(scan), label, "_v", "_nan")
-    p = F.percentile("_v", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.95))))
-    stats = twice.groupBy(scan, label).agg(p.alias("_p"), F.count("_v").alias("valid"), F.count_if("_nan").alias("nan_count"))
-    q = [F.get("_p", i) for i in range(4)]
-    return stats.select(scan, label, q[1].alias("median"), (q[2] - q[0]).alias("iqr"), q[3].alias("p95"), q[0].alias("q25"), q[2].alias("q75"), "valid", "nan_count")
+    wanted = {n: (F.col("_v"), p) for n, p in (QUARTILES | {"p95": 0.95}).items()}
+    out = None
+    for keys in ((scan, label), (label,)):
+        counts = known.groupBy(*keys).agg(F.count("_v").alias("valid"), F.count_if("_nan").alias("nan_count"))
+        q = quantiles(known, wanted, keys)
+        on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys]
+        both = counts.alias("l").join(q.alias("r"), on, "left")
+        name = F.col("l." + scan).cast("string") if scan in keys else F.lit(None).cast("string")
+        rows = both.select(name.alias(scan), F.col("l." + label).alias(label), "median", (F.col("q75") - F.col("q25")).alias("iqr"), "p95", "q25", "q75", "valid", "nan_count")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanforge.operators.sample import train_split
-from scanforge.operators.spatial import knn
+from scanforge.operators.spatial import knn_among
 
 
 def vote(points: DataFrame, k: int = 50, threshold: float = 0.8, cell: float = 0.1, label: str = "class_id", by: tuple[str, ...] = ()) -> DataFrame:
@@ -15,7 +15,7 @@ def vote(points: DataFrame, k: int = 50, threshold: float = 0.8, cell: float = 0
     Dominant: the most frequent class but 0, the least on a tie.  A point of class 0 takes it if
     there is one; another point takes it if its own share is below the threshold.
     """
-    near = knn(points, points, k, cell, by)
+    near = knn_among(points, k, cell, by)
     own = points.select(*by, "point_id", F.col(label).alias("label"))
     nbr = points.select(*by, F.col("point_id").alias("nbr_id"), F.col(label).alias("nbr_label"))
     labelled = near.join(nbr, [*by, "nbr_id"]).join(own, [*by, "point_id"])

@@ -71,6 +71,22 @@ def knn(queries: DataFrame, points: DataFrame, k: int, cell: float, by: tuple[st
         radius *= 2
 
 
+def knn_among(points: DataFrame, k: int, cell: float, by: tuple[str, ...] = (), asking: str | None = None) -> DataFrame:
+    """``knn`` of a cloud's own points (those with ``asking``, a boolean column) among all of them.
+
+    Tiles answer for all that have k points within four cells; the others go on with growing radii.
+    """
+    most = 4 * cell
+    rows, open_ = tiles.by_tiles(points, k, most, lambda ids, xyz, own, found, far: tiles.edge_rows(ids, xyz, own, found, far, found >= 0), tiles.EDGES, by, asking)
+    order = Window.partitionBy(*by, "point_id").orderBy("dist", "nbr_id")  # k rows
+    ranked = rows.withColumn("rank", F.row_number().over(order)).select(*by, "point_id", "rank", "nbr_id", "dist")
+    whole = ranked.where(F.col("rank") == k).select(*by, "point_id")
+    asks = points if asking is None else points.where(asking)
+    left = written(asks.select(*by, "point_id", *AXES).join(whole, [*by, "point_id"], "left_anti"), "knn-left")
+    done = ranked.join(whole, [*by, "point_id"], "left_semi")
+    return done if left.isEmpty() else done.unionByName(knn(left, points, k, most, by))
+
+
 def _few(points: DataFrame, nth: int, by: tuple[str, ...]) -> DataFrame | None:
     """The groups that hold fewer than ``nth`` points; None if no group does."""
     sizes = points.groupBy(*by).agg(F.count("*").alias("n")) if by else points.agg(F.count("*").alias("n"))

@@ -105,14 +105,14 @@ def _levels(points: DataFrame, by: tuple[str, ...], side: float) -> DataFrame:
         level += 1
 
 
-def by_tiles(points: DataFrame, k: int, most: float, made: Callable, schema: str, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(rows, open): what ``made`` returns for every point, and the points whose neighbours a tile could not tell.
+def by_tiles(points: DataFrame, k: int, most: float, made: Callable, schema: str, by: tuple[str, ...] = (), asking: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, open): what ``made`` returns for every point (those with ``asking``, a boolean column), and the points whose neighbours a tile could not tell.
 
     ``made(ids, xyz, own, found, far)`` gives a table of ``schema`` without the ``by`` columns; ``own`` are the asking points'
     places in ``ids`` and ``xyz``, ``found`` and ``far`` their at most k nearest places (-1: none) and distances within ``most``.
     """
     side = SIDE * most
-    narrow = points.select(*by, F.col("point_id").cast("long").alias("point_id"), *[F.col(a).cast("double").alias(a) for a in AXES]).where("X = X AND Y = Y AND Z = Z")
+    narrow = points.select(*by, F.col("point_id").cast("long").alias("point_id"), *[F.col(a).cast("double").alias(a) for a in AXES], (F.col(asking) if asking else F.lit(True)).alias("_asks")).where("X = X AND Y = Y AND Z = Z")
     levelled = written(_levels(narrow, by, side), "tile-points")
     present = sorted(r[0] for r in levelled.select("_level").distinct().collect())  # MOST_LEVELS at most
     sent = None
@@ -123,7 +123,7 @@ def by_tiles(points: DataFrame, k: int, most: float, made: Callable, schema: str
         spread = levelled
         for a in AXES:
             spread = spread.withColumn(f"_t{a}", F.explode(F.sequence(F.floor((F.col(a) - halo) / width), F.floor((F.col(a) + halo) / width))))
-        core = (F.col("_level") == level) & (F.col("_tX") == own[0]) & (F.col("_tY") == own[1]) & (F.col("_tZ") == own[2])
+        core = F.col("_asks") & (F.col("_level") == level) & (F.col("_tX") == own[0]) & (F.col("_tY") == own[1]) & (F.col("_tZ") == own[2])
         spread = spread.select(*by, "point_id", *AXES, F.lit(level).alias("level"), "_tX", "_tY", "_tZ", core.alias("core"))
         if len(present) > 1:  # only to tiles that there are at this level
             tiles = levelled.where(F.col("_level") == level).select(*by, *[c.alias(f"_t{a}") for a, c in zip(AXES, own, strict=True)]).distinct()
@@ -159,7 +159,7 @@ def by_tiles(points: DataFrame, k: int, most: float, made: Callable, schema: str
     rows = written(sent.groupBy(*keys).applyInArrow(handled, full), "tile-rows")
     drop(levelled)
     left = rows.where("open").select(*by, "point_id")
-    return rows.where("not open").drop("open"), narrow.join(left, [*by, "point_id"], "left_semi")
+    return rows.where("not open").drop("open"), narrow.drop("_asks").join(left, [*by, "point_id"], "left_semi")
 
 
 def _marked(table: pa.Table, open_: bool) -> pa.Table:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanforge.operators import blobs, decode, files, generate, geom, histogram, image, points, profile, raster, refine, sample, spatial
+from scanforge.operators import blobs, decode, files, generate, geom, histogram, image, points, profile, raster, refine, sample, segments, spatial
 from scanforge.plans import views
 from scanforge.plans.views import ANGLES, EVENTS, POINTS, VECTORS, pixel_sql
 from scanforge.streaming import scans
@@ -485,7 +485,7 @@ def _j6b(s, d):
 @query("j7_knn", f"WITH {VECTORS}, p AS ({_PAIRS}), k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist, nbr_id) AS rank FROM p) SELECT point_id, rank::INT AS rank, nbr_id, round(dist, 6) AS dist FROM k WHERE rank <= 8")
 def _j7(s, d):
     v = views.vectors(s, d)
-    return spatial.knn(v, v, 8, 0.1).select("point_id", F.col("rank").cast("int").alias("rank"), "nbr_id", *r6("dist"))
+    return spatial.knn_among(v, 8, 0.1).select("point_id", F.col("rank").cast("int").alias("rank"), "nbr_id", *r6("dist"))
 
 
 @query(
@@ -619,6 +619,26 @@ def _f12(s, d):
     return geom.population_features(views.vectors(s, d)).select("point_id", "n_nbrs", *r6("curvature", "roughness"))
 
 
+@query("f13_hybrid_normals")
+def _f13(s, d):
+    return geom.hybrid_normals(views.vectors(s, d)).select("point_id", *[F.round(c, 5).alias(c) for c in ("nx", "ny", "nz")])
+
+
+@query("f16_planes")
+def _f16(s, d):
+    return segments.planes(views.vectors(s, d), 3, 0.02, 100).groupBy("plane").agg(F.count("*").alias("n"))
+
+
+@query(
+    "f16_clusters",
+    f"""WITH RECURSIVE {VECTORS}, p AS ({_PAIRS}), n AS (SELECT * FROM p WHERE dist <= 0.12), c AS (SELECT point_id FROM n GROUP BY 1 HAVING count(*) >= 10), e AS (SELECT point_id AS a, nbr_id AS b FROM n WHERE point_id IN (FROM c) AND nbr_id IN (FROM c)),
+    r AS (SELECT point_id AS a, point_id AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.a), k AS (SELECT a, min(root) AS root FROM r GROUP BY 1),
+    m AS (SELECT point_id, arg_min(nbr_id, (dist, nbr_id)) AS nbr_id FROM n WHERE nbr_id IN (FROM c) GROUP BY 1) SELECT v2.point_id, coalesce(k.root, -1) AS cluster FROM v2 LEFT JOIN m USING (point_id) LEFT JOIN k ON k.a = m.nbr_id""",
+)
+def _f16b(s, d):
+    return segments.clusters(views.vectors(s, d), 0.12, 10).select("point_id", "cluster")
+
+
 @query(
     "t7_buffered_batch",
     f"""WITH {VECTORS}, p AS ({_PAIRS}), k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist, nbr_id) AS k FROM p), c AS (SELECT point_id FROM v2 WHERE class_id = 2),

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from scanforge.tables import new_path
+
 
 def scan_stream(spark: SparkSession, path: str, schema: str, header: bool = True, files_per_batch: int = 1) -> DataFrame:
     """Comma-separated scans as they arrive, a few files a micro-batch."""
@@ -26,7 +28,22 @@ def windowed_counts(events: DataFrame, time: str = "ts", width: str = "1 hour",
 
 
 def drain(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what there is now, to its end, and returns its result table."""
-    query: StreamingQuery = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs a stream over what there is now, to its end, and returns its result as a table in the shared folder.
+
+    Every batch writes a folder of its own: in complete mode the last one is the result, else all of them; a batch that is run again
+    replaces its folder.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    batches: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batches.append(number)
+
+    query: StreamingQuery = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    if not batches:
+        return spark.createDataFrame([], df.schema)
+    wanted = batches[-1:] if mode == "complete" else sorted(set(batches))
+    return spark.read.schema(df.schema).parquet(*[f"{path}/batch={k}" for k in wanted])

@@ -86,17 +86,19 @@ def drop(*tables: DataFrame) -> None:
 RANGE_ROWS = 200_000
 
 
-def numbered(rows: DataFrame, order: list[str | Column], sums: dict[str, str] | None = None, row: str = "row") -> DataFrame:
+def numbered(rows: DataFrame, order: list[str | Column], sums: dict[str, str] | None = None, row: str = "row", deal: list[str | Column] | None = None) -> DataFrame:
     """``rows`` with ``row`` (place in ``order``, from 0) and, for each of ``sums`` (name: column), the column's sum before the row.
 
     The rows are dealt by range and written; one total for each range becomes the range's offset, so no window
     holds more than a range.  Equal rows are told apart by their position; names with a leading ``__`` are the function's own.
+    ``deal``: what the ranges are cut by, if that is less than the whole order (long texts would go to the driver as bounds);
+    it must never decrease along the order.
     """
     sums = sums or {}
     keys = [*order, F.col("__tie")]
     tied = rows.withColumn("__tie", F.monotonically_increasing_id())
     n_parts = max(1, -(-rows.count() // RANGE_ROWS))
-    ranged = written(tied.repartitionByRange(n_parts, *keys).withColumn("__range", F.spark_partition_id()), "ranges")
+    ranged = written(tied.repartitionByRange(n_parts, *(deal or keys)).withColumn("__range", F.spark_partition_id()), "ranges")
     totals = ranged.groupBy("__range").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__of_{k}") for k, c in sums.items()])
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     offset = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
