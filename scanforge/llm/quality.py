@@ -77,8 +77,10 @@ def n_repeat_words(words: Column) -> Column:
     return let(words, of)
 
 
-def _count(lines: Column, pattern: str) -> Column:
-    return F.size(F.filter(lines, lambda line: line.rlike(pattern))).cast("long")
+#: One pass over the text each: a word without letters, a stop word, the blanks at a line's start and end.
+_LETTERLESS = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0DA-Za-z\x{80}-\x{10FFFF}]++(?![^\x20\x09-\x0D])"
+_STOPS = rf"(?i)(?<![^\x20\x09-\x0D])(?:{'|'.join(STOP_WORDS)})(?![^\x20\x09-\x0D])"
+_LINE_START, _LINE_END = r"(?<![^\n])[ \t\x0B\f\r]*+", r"[ \t\x0B\f\r]*+(?![^\n])"
 
 
 def measurements(text: Column) -> Column:
@@ -94,11 +96,11 @@ def measurements(text: Column) -> Column:
             let(lines, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
             let(lines, F.size).cast("long").alias("n_lines"),
             n_repeat_words(ws).cast("long").alias("n_repeat_words"),
-            F.size(F.filter(ws, lambda w: w.rlike(r"[A-Za-z\x{80}-\x{10FFFF}]"))).cast("long").alias("n_letter_words"),
-            F.size(F.filter(ws, lambda w: F.translate(w, UPPER, LOWER).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
-            let(lines, lambda ls: _count(ls, r"^[ \t\x0B\f\r]*[\x{2022}*\-]")).alias("n_bullet_lines"),
-            let(lines, lambda ls: _count(ls, r"(\.\.\.|\x{2026})[ \t\x0B\f\r]*$")).alias("n_ellipsis_lines"),
-            let(lines, lambda ls: _count(ls, r"[.!?\"'\x{3002}][ \t\x0B\f\r]*$")).alias("n_ended_lines"),
+            (F.size(ws) - F.regexp_count(text, F.lit(_LETTERLESS))).cast("long").alias("n_letter_words"),
+            F.regexp_count(text, F.lit(_STOPS)).cast("long").alias("n_stop_words"),
+            F.regexp_count(text, F.lit(rf"{_LINE_START}[\x{{2022}}*\-]")).cast("long").alias("n_bullet_lines"),
+            F.regexp_count(text, F.lit(rf"(?:\.\.\.|\x{{2026}}){_LINE_END}")).cast("long").alias("n_ellipsis_lines"),
+            F.regexp_count(text, F.lit(rf"[.!?\"'\x{{3002}}]{_LINE_END}")).cast("long").alias("n_ended_lines"),
         ),
     )
 
