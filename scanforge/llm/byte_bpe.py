@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scanforge.llm.pieces import CUT_PATTERN, PieceEncoder, ranges, slices
+from scanforge.llm.pieces import CUT_PATTERN, PieceEncoder, ranges, release, slices
 
 
 class PrefixBPE:
@@ -39,7 +39,8 @@ class PrefixBPE:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        #: Whether a token may follow another, by (first + 1) << 32 | second.
+        self._pairs: dict[int, bool] = {}
         #: Token id of each suffix of a token, or -1 if the suffix is none itself.
         self._suffixes: dict[bytes, int] = {}
         for token in ranks:
@@ -65,10 +66,10 @@ class PrefixBPE:
         return [self.ranks[p] for p in parts]
 
     def may_follow(self, first: int, second: int) -> bool:
-        key = (first, second)
+        key = (first + 1) << 32 | second
         found = self._pairs.get(key)
         if found is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > 1_000_000:
                 self._pairs.clear()
             # first < 0: the start, where a token must be its own encoding
             joined = self.bytes_of[second] if first < 0 else self.bytes_of[first] + self.bytes_of[second]
@@ -87,7 +88,7 @@ class PrefixBPE:
                 start -= 1
             for start, token in reversed(fits):  # the longest is most often right
                 first = last[start - 1] if start else -1
-                fine = pairs((first, token))
+                fine = pairs((first + 1) << 32 | token)
                 if follow(first, token) if fine is None else fine:
                     last.append(token)
                     break
@@ -136,7 +137,7 @@ class TextEncoder:
 
     def __init__(self, bpe: PrefixBPE, pattern: str) -> None:
         self.bpe, self.find = bpe, regex.compile(pattern).findall
-        self.texts = PieceEncoder(self.encode_many, cuts=pattern == CUT_PATTERN)
+        self.texts = PieceEncoder(self.encode_many, limit=400_000, cuts=pattern == CUT_PATTERN)
 
     @classmethod
     @lru_cache(maxsize=1)
@@ -206,6 +207,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
                     flat = ids[ranges(bounds[:-1][codes], lengths)].astype(np.int32)
                     columns["token_ids"] = pa.ListArray.from_arrays(pa.array(text_bounds, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+        release()
 
     return docs.select(*[F.col(f"`{c}`") for c in others], "text").mapInArrow(run, schema)
 

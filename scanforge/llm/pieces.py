@@ -16,6 +16,7 @@ merge, must say ``cuts=False``; then each distinct text is one piece and nothing
 
 from __future__ import annotations
 
+import ctypes
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -33,7 +34,7 @@ _FINE = re.compile(rf"(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])(?=[{_MARKS}\n])|(?<=[{_MAR
 #: Fixed value: the one pattern that the cuts are right for.
 CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts are handled in slices of about so many bytes.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -48,6 +49,14 @@ def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES) -> It
         at = to
 
 
+def release() -> None:
+    """Gives a worker's freed memory back at a task's end, since it may stay idle beside other work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def _plain(column: pa.Array) -> pa.Array:
     return pc.fill_null(column, "")
 

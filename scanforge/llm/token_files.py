@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanforge.llm.common import new_path, written
-from scanforge.llm.pieces import PieceEncoder, slices
+from scanforge.llm.pieces import PieceEncoder, release, slices
 
 SEQUENCE = 2048
 BATCH_SEQUENCES = 64
@@ -233,6 +233,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, len
                 writer.append(closed)
                 index.write_batch(pa.record_batch([part.column("doc_id").cast(pa.int64()), pa.array(n_tokens + ends - counts), pa.array(counts)], schema=INDEX))
                 n_docs, n_tokens = n_docs + part.num_rows, n_tokens + int(ends[-1])
+        release()
         if writer is not None:
             writer.close()
             index.close()
