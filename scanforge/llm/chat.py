@@ -5,7 +5,8 @@ each round give every message its distance to the root and the summed score of i
 a path of length n takes log2(n) rounds.  Leaves are the ends of root-to-leaf paths; paths are
 ranked within their tree by mean score.  The chosen leaves then collect their ancestors
 through the same jumps, each ancestor once.  Every join is on (tree, message) with narrow
-rows, so one huge tree is spread over all tasks; texts join once, at the end.
+rows, so one huge tree is spread over all tasks; texts join once, at the end, where each path becomes one
+row and so one task's.
 
 Template: each turn is ``<|im_start|>role\\ntext<|im_end|>\\n``.  Inside texts ``<|`` never
 occurs: of every run ``<``, n backslashes, ``|`` the escape makes n + 1 backslashes, and the
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanforge.llm.common import written
+from scanforge.llm.common import numbered, written
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -46,10 +47,17 @@ def unescape_role(role: Column) -> Column:
 
 
 def chain_messages(rows: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """Linear conversations as trees: each row answers the one before it by turn."""
-    ordered = Window.partitionBy(conv).orderBy(turn, "role", "text")
-    numbered = rows.select(F.col(conv).alias("tree"), F.row_number().over(ordered).cast("long").alias("id"), "role", "text")
-    return numbered.select("tree", "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    """Linear conversations as trees: each row answers the one before it by turn, then by role and text.
+
+    Rows are numbered by ranges, so a conversation of any length is spread; ids meet the texts by a unique key.
+    """
+    kept = written(rows.select(F.col(conv).alias("tree"), F.col(turn).alias("turn"), "role", "text", F.monotonically_increasing_id().alias("key")), "chat-rows")
+    placed = numbered(kept, ["tree", "turn", "role", "text"], row="place", deal=["tree", "turn", "role", F.left("text", F.lit(64))])
+    narrow = written(placed.select("tree", "key", "place"), "chat-places")
+    firsts = narrow.groupBy("tree").agg(F.min("place").alias("first")).withColumnRenamed("tree", "t")
+    ids = narrow.join(firsts, F.col("tree").eqNullSafe(F.col("t"))).select("key", (F.col("place") - F.col("first") + 1).alias("id"))
+    numbered_rows = kept.join(ids, "key")
+    return numbered_rows.select("tree", "id", F.when(F.col("id") > 1, F.col("id") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
 def _climb(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:

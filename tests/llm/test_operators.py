@@ -379,6 +379,17 @@ def test_chat(spark):
     assert chat.op8(df.limit(0)).count() == 1
 
 
+def test_a_long_conversation_is_numbered_over_ranges(spark, monkeypatch):
+    from scanforge import tables
+
+    monkeypatch.setattr(tables, "RANGE_ROWS", 300)
+    rows = [(7, (i * 7919) % 3000, "assistant" if i % 2 else "user", f"text {i % 11} " + "x" * (i % 90)) for i in range(3000)] + [(i, 1, "user", "hi") for i in range(200)]
+    got = {r.conv_id: r for r in chat.op8(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).collect()}
+    turns = sorted((t, r, x) for c, t, r, x in rows if c == 7)
+    assert len(got) == 201 and got[7].n_turns == len(turns) == 3001
+    assert got[7].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
+
+
 def test_reply_trees(spark):
     rows = [("t", 1, None, "user", "a", 0.0), ("t", 2, 1, "assistant", "b", 1.0), ("t", 3, 1, "assistant", "c", 5.0), ("t", 4, 2, "user", "d", 9.0), ("t", 5, 99, "user", "orphan", 0.0), ("t", 6, 7, "user", "loop", 0.0), ("t", 7, 6, "user", "loop", 0.0)]
     rows += [("long", i, i - 1 if i else None, "user", str(i), 0.0) for i in range(40)]
