@@ -10,7 +10,7 @@ MANIFEST_KINDS = {"img": (".npy", "img", "image"), "img_metadata": (".yaml", "im
 
 
 def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """(path) of all files below a folder; their contents are not read."""
+    """(path) of all files below a folder that hold anything; their contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
     return files.select("path")
 

@@ -254,7 +254,8 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     """(kind, split, place, path) as one document {kind: {split: [paths in order]}}, JSON and so YAML too."""
     lists = manifest.groupBy("kind", "split").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("paths"))
     kinds = lists.groupBy("kind").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("split", "paths")))).alias("splits"))
-    whole = kinds.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "splits")))).alias("m"))
+    by_kind = lambda a, b: F.when(a["kind"] < b["kind"], -1).otherwise(1)  # noqa: E731 - maps have no order of their own
+    whole = kinds.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "splits")), by_kind)).alias("m"))
     whole.select(F.to_json("m").alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 

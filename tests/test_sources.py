@@ -84,9 +84,9 @@ def test_text_sinks(spark, tmp_path):
     text.write_ascii_pcd(df, str(tmp_path / "pcd"))
     first = sorted((tmp_path / "pcd").glob("part-*"))[0].read_text()
     assert first.startswith("# .PCD") and "POINTS 100" in first
-    text.write_profile(df.select("scan_id", "X"), str(tmp_path / "profile"), {"k": 5})
-    back, meta = text.read_profile(spark, str(tmp_path / "profile"), "scan_id string, X double")
-    assert back.count() == 100 and meta == {"k": 5}
+    text.write_profile(str(tmp_path / "profile"), df.select("scan_id", "X"), k=5)
+    back, meta = text.read_profile(spark, str(tmp_path / "profile"))
+    assert back["density_vs_range"].count() == 100 and meta["k"] == 5 and meta["mode"] == "single"
 
 
 def test_label_and_colour_maps(spark, tmp_path):
@@ -116,15 +116,6 @@ def test_running_stats_equal_batch(spark, tmp_path):
     assert out == {0: (15, 5.0), 1: (15, 6.0)}
 
 
-def test_steps_end_to_end(spark, tmp_path):
-    rng = np.random.default_rng(0)
-    rows = "".join(f"{x:.4f},{y:.4f},{z:.4f},{int(i)},{int(c)}\n" for x, y, z, i, c in zip(rng.random(300), rng.random(300), rng.random(300), rng.integers(1, 99, 300), rng.integers(1, 4, 300), strict=True))
-    (tmp_path / "scan.csv").write_text("X,Y,Z,Intensity,Classification\n" + rows)
-    df = text.read_points(spark, str(tmp_path / "scan.csv"), "FORESTSEMANTIC").withColumnRenamed("Classification", "class_id").withColumn("point_id", F.monotonically_increasing_id())
-    config = {"dataset": "FORESTSEMANTIC", "calc_geom_feature": {"max_radius": 0.3, "base_radius": 0.1}}
-    features = steps.calc_geom_feature(df, config).persist()
-    channels = steps.spherical_projection(features, config).persist()
-    assert channels.count() <= features.count() and set(channels.columns) >= {"intensity_adjusted", "curvature", "n_r", "density"}
-    assert steps.back_projection(features, channels, config).where("range_adjusted is null").count() == 0
+def test_unknown_steps_are_refused(spark):
     with pytest.raises(ValueError, match="unknown steps"):
-        steps.run(spark, config, ["nope"])
+        steps.run(spark, {"dataset": "FORESTSEMANTIC"}, ["nope"])
