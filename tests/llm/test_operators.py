@@ -469,7 +469,7 @@ def test_scores_use_every_ngram_seen_twice(spark, monkeypatch):
     got = {r.doc_id: r.score for r in lm_score.op9(df).collect()}
     want = brute_scores(rows, lm_score.held_out)
     assert got.keys() == want.keys()
-    assert max(abs(got[i] - want[i]) for i in want) < 1e-6
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-9
 
 
 def brute_components(rows):
