@@ -53,7 +53,7 @@ def weighted_resample(df: DataFrame, weight: str, value: str, n: int, key: str,
     change = {"none": lambda c: c, "log1p": F.log1p, "sqrt": F.sqrt}[transform]
     keys = [by] if by else []
     cut = with_quantiles(df, {"_q": (F.col(weight), quantile)}, tuple(keys))
-    cut = cut.withColumn("_w", change(F.least(F.col(weight), F.col("_q")))).select(*keys, key, value, "_w")
+    cut = cut.withColumn("_w", change(F.least(F.col(weight), F.col("_q")))).select(*dict.fromkeys([*keys, key, value]), "_w")
     cut = written(cut, "weights")
     placed = numbered_within(cut, keys, [key], {"_before": "_w"}, row="_i")
     totals = cut.groupBy(*keys).agg(F.sum("_w").alias("_all")) if by else cut.agg(F.sum("_w").alias("_all"))
@@ -63,7 +63,7 @@ def weighted_resample(df: DataFrame, weight: str, value: str, n: int, key: str,
     buckets = 1024
     spread = placed.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_from") * buckets), F.least(F.floor(F.col("_to") * buckets), F.lit(buckets).cast("long")))))
     draws = df.sparkSession.range(n).select(F.col("id").alias("draw"), uniform(seed, F.col("id")).alias("_u")).withColumn("_b", F.floor(F.col("_u") * buckets))
-    return spread.join(draws, "_b").where("_u >= _from and _u < _to").select(*keys, "draw", key, value)
+    return spread.join(draws, "_b").where("_u >= _from and _u < _to").select(*keys, "draw", *dict.fromkeys([key, value]))
 
 
 def train_split(df: DataFrame, label: str, keys: list[str], share: float = 0.8, seed: int = 42) -> DataFrame:
