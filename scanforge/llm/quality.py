@@ -77,8 +77,8 @@ def n_repeat_words(words: Column) -> Column:
     return let(words, of)
 
 
-#: One pass over the text each: a word without letters, a stop word, the blanks at a line's start and end.
-_LETTERLESS = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0DA-Za-z\x{80}-\x{10FFFF}]++(?![^\x20\x09-\x0D])"
+#: One pass over the text each: a word from its first letter on, a stop word, the blanks at a line's start and end.
+_LETTERS = r"[A-Za-z\x{80}-\x{10FFFF}][^\x20\x09-\x0D]*+"
 _STOPS = rf"(?i)(?<![^\x20\x09-\x0D])(?:{'|'.join(STOP_WORDS)})(?![^\x20\x09-\x0D])"
 _LINE_START, _LINE_END = r"(?<![^\n])[ \t\x0B\f\r]*+", r"[ \t\x0B\f\r]*+(?![^\n])"
 
@@ -96,7 +96,7 @@ def measurements(text: Column) -> Column:
             let(lines, lambda ls: F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
             let(lines, F.size).cast("long").alias("n_lines"),
             n_repeat_words(ws).cast("long").alias("n_repeat_words"),
-            (F.size(ws) - F.regexp_count(text, F.lit(_LETTERLESS))).cast("long").alias("n_letter_words"),
+            F.regexp_count(text, F.lit(_LETTERS)).cast("long").alias("n_letter_words"),
             F.regexp_count(text, F.lit(_STOPS)).cast("long").alias("n_stop_words"),
             F.regexp_count(text, F.lit(rf"{_LINE_START}[\x{{2022}}*\-]")).cast("long").alias("n_bullet_lines"),
             F.regexp_count(text, F.lit(rf"(?:\.\.\.|\x{{2026}}){_LINE_END}")).cast("long").alias("n_ellipsis_lines"),
