@@ -137,7 +137,7 @@ class TextEncoder:
 
     def __init__(self, bpe: PrefixBPE, pattern: str) -> None:
         self.bpe, self.find = bpe, regex.compile(pattern).findall
-        self.texts = PieceEncoder(self.encode_many, limit=400_000, cuts=pattern == CUT_PATTERN)
+        self.texts = PieceEncoder(self.encode_many, limit=500_000, cuts=pattern == CUT_PATTERN)
 
     @classmethod
     @lru_cache(maxsize=1)

@@ -34,7 +34,7 @@ _FINE = re.compile(rf"(?<=[A-Za-z0-9À-ÖØ-öø-ÿ])(?=[{_MARKS}\n])|(?<=[{_MAR
 #: Fixed value: the one pattern that the cuts are right for.
 CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts are handled in slices of about so many bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 6 << 20
 
 
 def slices(batch: pa.RecordBatch, text_col: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
