@@ -48,6 +48,8 @@ SEQUENCE = 2048
 BATCH_SEQUENCES = 64
 END_ID = 2
 LEAST_PART, MOST_PART = 4 << 20, 256 << 20
+#: Texts are encoded in slices of about so many bytes: the larger, the more pieces are shared.
+ENCODED_BYTES = 8 << 20
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -216,7 +218,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, len
         n_docs = n_tokens = 0
         name = f"{uri}/{uuid.uuid4().hex}"
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", ENCODED_BYTES):
                 if writer is None:
                     system, base = _local(name)
                     system.create_dir(os.path.dirname(base), recursive=True)
