@@ -35,7 +35,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -97,8 +96,15 @@ def _qualified(spark: SparkSession, path: str) -> str:
 
 
 def part_count(rows: DataFrame, size: Column) -> int:
-    """Partitions for rows of these sizes: the session's number, unless parts would be under LEAST_PART or over MOST_PART bytes."""
-    total = rows.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+    """Partitions for rows of these sizes: the session's number, unless parts would be under LEAST_PART or over MOST_PART bytes.
+
+    Of a single table the planner's size is near enough; anything else is added up.
+    """
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    if plan.collectLeaves().size() == 1:
+        total = int(str(plan.stats().sizeInBytes()))
+    else:
+        total = rows.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(1, min(n, -(-total // LEAST_PART)), -(-total // MOST_PART))
 
@@ -190,20 +196,21 @@ class TokenDataset:
     def documents(self) -> DataFrame:
         """doc_id, start, n_tokens and ids_crc32 of every document, read from the files."""
 
-        def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for file, index, base in zip(frame["file"], frame["index"], frame["base"], strict=True):
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for file, index, base in zip(*(batch.column(c).to_pylist() for c in ("file", "index", "base")), strict=True):
                     tokens = TokenFile(file)
                     system, path = _local(index)
                     with pa.ipc.open_file(system.open_input_file(path)) as rows:
                         for k in range(rows.num_record_batches):
-                            part = rows.get_batch(k).to_pandas(integer_object_nulls=True)
-                            part["ids_crc32"] = [zlib.crc32(tokens.span(s, n).astype("<u4").tobytes()) for s, n in zip(part["start"], part["n_tokens"], strict=True)]
-                            part["start"] += base
-                            yield part
+                            part = rows.get_batch(k)
+                            starts, counts = part.column("start").to_numpy(), part.column("n_tokens").to_numpy()
+                            crcs = [zlib.crc32(tokens.span(s, n).astype("<u4").data) for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
+                            columns = [part.column("doc_id"), pa.array(starts + base), part.column("n_tokens"), pa.array(crcs, pa.int64())]
+                            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
         files = self.manifest.select("file", "index", "base")
-        return files.repartition(max(1, files.count())).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        return files.repartition(max(1, files.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, length: int = SEQUENCE, out: str | None = None, special_in_text: bool = True) -> TokenDataset:
