@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable, Iterator
 from itertools import combinations, permutations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,14 +113,17 @@ def log_contrast(df: DataFrame, value: str) -> DataFrame:
     return df.withColumn(value, F.log1p(value))
 
 
-def covariance(df: DataFrame, channels: list[str]) -> np.ndarray:
-    """The channels' covariance matrix from one aggregate."""
-    pairs = [(i, j) for i in range(len(channels)) for j in range(i, len(channels))]
-    row = df.agg(*[F.covar_samp(channels[i], channels[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    out = np.zeros((len(channels),) * 2)
-    for i, j in pairs:
-        out[i, j] = out[j, i] = row[f"c{i}_{j}"] or 0.0
-    return out
+def _keyed(df: DataFrame, by: str | None) -> DataFrame:
+    """``df`` with the image it belongs to as ``_image``, never NULL."""
+    scan = scans_of(df, by)
+    return df.withColumn("_image", F.coalesce(F.to_json(F.struct(F.col(scan))), F.lit("")) if scan else F.lit(""))
+
+
+def covariances(df: DataFrame, channels: list[str]) -> DataFrame:
+    """(_image, cov): the channels' covariance matrix of each image, row by row, from one aggregate."""
+    n = len(channels)
+    upper = {(i, j): F.coalesce(F.covar_samp(channels[i], channels[j]), F.lit(0.0)) for i in range(n) for j in range(i, n)}
+    return df.groupBy("_image").agg(F.array(*[upper[min(i, j), max(i, j)] for i in range(n) for j in range(n)]).alias("cov"))
 
 
 def _oriented(vectors: np.ndarray) -> np.ndarray:
@@ -126,64 +131,96 @@ def _oriented(vectors: np.ndarray) -> np.ndarray:
     return vectors * np.sign(vectors[np.abs(vectors).argmax(0), range(vectors.shape[1])])
 
 
-def _projected(df: DataFrame, channels: list[str], vectors: np.ndarray, names: list[str]) -> DataFrame:
-    centred = with_stats(df, **{f"_m_{c}": F.avg(c) for c in channels})
+def _solved(rows: DataFrame, columns: list[str], solve: Callable[..., np.ndarray]) -> DataFrame:
+    """(_image, weights): ``solve`` of each image's square matrices, a small row each."""
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            matrices = [[np.reshape(v, (int(len(v) ** 0.5), -1)) for v in frame[c]] for c in columns]
+            yield pd.DataFrame({"_image": frame["_image"], "weights": [np.asarray(solve(*m), dtype=np.float64).ravel().tolist() for m in zip(*matrices, strict=True)]})
+
+    return rows.select("_image", *columns).mapInPandas(each, "_image string, weights array<double>")
 
-    def component(weights: np.ndarray) -> Column:
-        terms = [F.lit(float(w)) * (F.col(c) - F.col(f"_m_{c}")) for w, c in zip(weights, channels, strict=True)]
+
+def _projected(df: DataFrame, channels: list[str], weights: DataFrame, names: list[str]) -> DataFrame:
+    """``names`` as weighted sums of the channels; ``weights`` hold a row of channels x names for each image."""
+
+    def component(k: int) -> Column:
+        terms = [F.get("weights", i * len(names) + k) * F.col(c) for i, c in enumerate(channels)]
         out = terms[0]
         for t in terms[1:]:
             out = out + t
         return out
 
-    return centred.withColumns({n: component(vectors[:, k]) for k, n in enumerate(names)}).drop(*[f"_m_{c}" for c in channels])
+    return df.join(weights, "_image").withColumns({n: component(k) for k, n in enumerate(names)}).drop("weights")
 
 
-def pca(df: DataFrame, channels: list[str], k: int = 3) -> DataFrame:
-    """PCA1 .. PCAk of z-scored channels; signs make the largest loading positive."""
-    scaled = z_score(df, channels)
-    values, vectors = np.linalg.eigh(covariance(scaled, channels))
-    return _projected(scaled, channels, _oriented(vectors[:, values.argsort()[::-1][:k]]), [f"PCA{i + 1}" for i in range(k)])
+def _principal(cov: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    values, vectors = np.linalg.eigh(cov)
+    top = values.argsort()[::-1][:k]
+    return values[top], vectors[:, top]
+
+
+def pca(df: DataFrame, channels: list[str], k: int = 3, by: str | None = "scan_id") -> DataFrame:
+    """PCA1 .. PCAk of each image's z-scored channels; signs make the largest loading positive."""
+    scaled = _keyed(z_score(df, channels, by), by)
+    weights = _solved(covariances(scaled, channels), ["cov"], lambda cov: _oriented(_principal(cov, k)[1]))
+    return _projected(scaled, channels, weights, [f"PCA{i + 1}" for i in range(k)]).drop("_image")
 
 
 def noise(df: DataFrame, channels: list[str], order: tuple[str, ...] = ("y_pix", "x_pix"), by: tuple[str, ...] = ()) -> DataFrame:
     """Differences of neighbours in raster order, within rows so that no window holds a whole image."""
     window = Window.partitionBy(*by, *order[:-1]).orderBy(order[-1])
-    return df.select(*[(F.col(c) - F.lag(c).over(window)).alias(c) for c in channels]).where(F.col(channels[0]).isNotNull())
+    return df.select(*by, *[(F.col(c) - F.lag(c).over(window)).alias(c) for c in channels]).where(F.col(channels[0]).isNotNull())
 
 
-def mnf(df: DataFrame, channels: list[str], k: int = 3, order: tuple[str, ...] = ("y_pix", "x_pix"), by: tuple[str, ...] = ()) -> DataFrame:
-    """MNF1 .. MNFk: directions of greatest signal to noise, the symmetric generalised eigenproblem."""
-    scaled = z_score(df, channels)
-    signal, rest = covariance(scaled, channels), covariance(noise(scaled, channels, order, by), channels)
-    root = np.linalg.inv(np.linalg.cholesky(rest + 1e-9 * np.eye(len(channels))))
-    values, vectors = np.linalg.eigh(root @ signal @ root.T)
-    return _projected(scaled, channels, _oriented(root.T @ vectors[:, values.argsort()[::-1][:k]]), [f"MNF{i + 1}" for i in range(k)])
+def mnf(df: DataFrame, channels: list[str], k: int = 3, order: tuple[str, ...] = ("y_pix", "x_pix"), by: str | None = "scan_id") -> DataFrame:
+    """MNF1 .. MNFk: each image's directions of greatest signal to noise, the symmetric generalised eigenproblem."""
+    scaled = _keyed(z_score(df, channels, by), by)
+    both = covariances(scaled, channels).join(covariances(noise(scaled, channels, order, ("_image",)), channels).withColumnRenamed("cov", "rest"), "_image")
 
+    def solve(signal: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        root = np.linalg.inv(np.linalg.cholesky(rest + 1e-9 * np.eye(len(channels))))
+        return _oriented(root.T @ _principal(root @ signal @ root.T, k)[1])
 
-def ica(df: DataFrame, channels: list[str], k: int = 3, rounds: int = 30, seed: int = 0, tolerance: float = 1e-5) -> DataFrame:
-    """ICA1 .. ICAk by the fixed point with tanh: each round is one aggregate over whitened components."""
-    scaled = z_score(df, channels)
-    values, vectors = np.linalg.eigh(covariance(scaled, channels))
-    top = values.argsort()[::-1][:k]
+    return _projected(scaled, channels, _solved(both, ["cov", "rest"], solve), [f"MNF{i + 1}" for i in range(k)]).drop("_image")
+
+
+def ica(df: DataFrame, channels: list[str], k: int = 3, rounds: int = 30, seed: int = 0, tolerance: float = 1e-5, by: str | None = "scan_id") -> DataFrame:
+    """ICA1 .. ICAk of each image by the fixed point with tanh: each round is one aggregate over the whitened components of all images at once."""
+    scaled = _keyed(z_score(df, channels, by), by)
     names = [f"_w{i}" for i in range(k)]
-    white = _projected(scaled, channels, vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-12)), names)
-    white = written(white, "ica-white")  # each round reads it
-    unmix = np.linalg.qr(np.random.default_rng(seed).normal(size=(k, k)))[0]
+
+    def whiten(cov: np.ndarray) -> np.ndarray:
+        values, vectors = _principal(cov, k)
+        return vectors / np.sqrt(np.maximum(values, 1e-12))
+
+    white = written(_projected(scaled, channels, _solved(covariances(scaled, channels), ["cov"], whiten), names), "ica-white")  # each round reads it
+    first = np.linalg.qr(np.random.default_rng(seed).normal(size=(k, k)))[0]
+    unmix = written(white.select("_image").distinct().select("_image", F.array(*map(F.lit, map(float, first.ravel()))).alias("unmix")), "ica-unmix")
+
+    def step(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out, moved = [], []
+            for old, moments in zip(frame["unmix"], frame["moments"], strict=True):
+                old, m = np.reshape(old, (k, k)), np.asarray(moments)
+                u, _, v = np.linalg.svd(m[: k * k].reshape(k, k) - m[k * k :][:, None] * old)
+                out.append((u @ v).ravel().tolist())
+                moved.append(float(np.abs(np.abs(np.einsum("ij,ij->i", u @ v, old)) - 1).max()))
+            yield pd.DataFrame({"_image": frame["_image"], "unmix": out, "moved": moved})
+
     for _ in range(rounds):
-        outputs = [sum((F.lit(float(unmix[i, j])) * F.col(names[j]) for j in range(1, k)), F.lit(float(unmix[i, 0])) * F.col(names[0])) for i in range(k)]
+        mixed = white.select("_image", *names).join(unmix.select("_image", "unmix"), "_image")
+        outputs = [sum((F.get("unmix", i * k + j) * F.col(names[j]) for j in range(1, k)), F.get("unmix", i * k) * F.col(names[0])) for i in range(k)]
         tanh = [F.tanh(o) for o in outputs]
-        moments = [F.avg(t * F.col(n)) for t in tanh for n in names] + [F.avg(1 - t * t) for t in tanh]
-        row = list(white.agg(*[m.alias(f"m{i}") for i, m in enumerate(moments)]).first())
-        fresh = np.array(row[: k * k]).reshape(k, k) - np.array(row[k * k :])[:, None] * unmix
-        u, _, v = np.linalg.svd(fresh)
-        fresh = u @ v
-        moved = np.abs(np.abs(np.einsum("ij,ij->i", fresh, unmix)) - 1).max()
-        unmix = fresh
-        if moved < tolerance:
+        moments = F.array(*[F.avg(t * F.col(n)) for t in tanh for n in names], *[F.avg(1 - t * t) for t in tanh])
+        sums = mixed.groupBy("_image").agg(F.first("unmix").alias("unmix"), moments.alias("moments"))
+        unmix = written(sums.mapInPandas(step, "_image string, unmix array<double>, moved double"), "ica-unmix")
+        if (unmix.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
             break
-    out = _projected(white, names, unmix.T, [f"ICA{i + 1}" for i in range(k)]).drop(*names)
-    return out
+    turned = F.transform(F.sequence(F.lit(0), F.lit(k * k - 1)), lambda i: F.get("unmix", (i % k) * k + F.floor(i / k).cast("int")))
+    weights = unmix.select("_image", turned.alias("weights"))
+    return _projected(white, names, weights, [f"ICA{i + 1}" for i in range(k)]).drop("_image", *names)
 
 
 #: The image cube's channels in order; colours come first where there are any.
@@ -198,24 +235,16 @@ def channel_order(true_rgb: bool = False) -> list[str]:
 def assemble_cube(channels: DataFrame, keys: tuple[str, ...] = ("scan_id", "y_pix", "x_pix"), k: int = 3) -> DataFrame:
     """keys and the cube's channels in order, from dense channels: components of the features and normals are added.
 
-    Components are fitted to each scan's own image; scans are counted, not pixels, so the loop over them is a driver's.
+    Components are fitted to each scan's own image, all scans in the same passes.
     """
-    scan = scans_of(channels, keys[0])
+    on = [c for c in keys if c in channels.columns]
     true_rgb = all(c in channels.columns for c in "rgb")
     bands = [*FEATURES, *NORMALS]
-    images = [channels] if scan is None else [channels.where(F.col(scan).eqNullSafe(F.lit(r[0]))) for r in channels.select(scan).distinct().orderBy(scan).collect()]
-    out = None
-    for image in images:
-        made = image
-        for fit in (pca, lambda f, b, n: mnf(f, b, n, by=(scan,) if scan else ()), ica):
-            parts = fit(image.select(*[c for c in keys if c in image.columns], *bands), bands, k)
-            names = [c for c in parts.columns if c[:3] in ("PCA", "MNF", "ICA")]
-            on = [c for c in keys if c in image.columns]
-            made = made.join(parts.select(*on, *names), on)
-        out = made if out is None else out.unionByName(made)
-    if out is None:
-        out = channels.withColumns({c: F.lit(0.0) for c in channel_order()[12:]})
-    return out.select(*[c for c in keys if c in out.columns], *channel_order(true_rgb))
+    narrow, made = channels.select(*on, *bands), channels
+    for fit in (pca, mnf, ica):
+        parts = fit(narrow, bands, k)
+        made = made.join(parts.select(*on, *[c for c in parts.columns if c[:3] in ("PCA", "MNF", "ICA")]), on)
+    return made.select(*on, *channel_order(true_rgb))
 
 
 #: Notes on channels by what their names hold, the first that fits.

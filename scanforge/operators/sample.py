@@ -26,11 +26,13 @@ def fraction_sample(df: DataFrame, fraction: float, keys: list[str], seed: int =
 def stratified_sample(df: DataFrame, label: str, keep: int, keys: list[str], rare_below: float = 0.05, boost: float = 0.5, seed: int = 42) -> DataFrame:
     """keep rows: of each rare class up to an equal quota of ``boost`` of them, the rest from all major classes."""
     shares = df.groupBy(label).agg(F.count("*").alias("_n"))
-    shares = shares.withColumn("_rare", F.col("_n") / F.sum("_n").over(Window.partitionBy()) < rare_below)
-    shares = shares.withColumn("_quota", F.floor(F.lit(int(keep * boost)) / F.nullif(F.sum(F.col("_rare").cast("int")).over(Window.partitionBy()), F.lit(0))))
-    marked = df.join(F.broadcast(shares), label).withColumn("_u", draw(seed, *keys))
+    shares = written(shares.withColumn("_rare", F.col("_n") / F.sum("_n").over(Window.partitionBy()) < rare_below), "class-shares")  # one row a class
+    n_rare = shares.where("_rare").count()
+    quota = int(keep * boost) // n_rare if n_rare else 0
+    marked = df.join(shares.drop("_n"), label).withColumn("_u", draw(seed, *keys))
+    # a fixed limit, so that each task keeps no more than the quota of a class before rows meet
     ranked = marked.where("_rare").withColumn("_k", F.row_number().over(Window.partitionBy(label).orderBy("_u", *keys)))
-    rare = ranked.where("_k <= _quota").select(df.columns)
+    rare = written(ranked.where(F.col("_k") <= quota).select(df.columns), "rare-sample")
     left = max(0, keep - rare.count())
     return rare.unionByName(marked.where("not _rare").orderBy("_u", *keys).limit(left).select(df.columns))
 

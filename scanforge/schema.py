@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Explicit schemas; nothing is inferred.
+#: The columns of each data set, in the order of its files; nothing is inferred.
 SCHEMAS = {
     "MANGROVE": "X double, Y double, Z double, zenith double, azimuth double, rangemeter double, Intensity int, `Return Number` int",
     "FORESTSEMANTIC": "X double, Y double, Z double, Intensity int, Classification int",
@@ -14,7 +14,7 @@ SCHEMAS = {
     "INLUT3D": "X double, Y double, Z double, r int, g int, b int, class_id int, instance_id int",
 }
 
-#: (vertical field of view, horizontal field of view, vertical and horizontal resolution) in degrees.
+#: Fixed values: (vertical field of view, horizontal field of view, vertical and horizontal resolution) in degrees.
 CANVASES = {
     "MANGROVE": ((0.0, 135.0), (0.0, 360.0), 0.25, 0.25),
     "FORESTSEMANTIC": ((10.0, 178.0), (0.0, 360.0), 0.2, 0.1),
