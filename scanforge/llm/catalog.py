@@ -9,7 +9,7 @@ from functools import partial
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from scanforge.llm import ann, byte_bpe, chat, importance, jaccard, lm_score, mixing, quality, sharding, token_files, url_filter
+from scanforge.llm import ann, byte_bpe, chat, importance, jaccard, lm_score, mixing, quality, search, sharding, simhash, token_files, url_filter
 from scanforge.llm.common import table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,8 +35,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_backoff_lm": _over("documents", lm_score.op9),
         "op10_jaccard_join": _over("documents", jaccard.op10),
         "op11_importance_resampling": lambda spark, sf_dir: importance.op11(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+        "op12_lexical_search": lambda spark, sf_dir: search.op12(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+        "op13_simhash_anchors": _over("documents", simhash.op13),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.ORACLE, "op3_rule_ablations": quality.ABLATION_ORACLE, "op5_url_rules": url_filter.ORACLE, "op8_reply_trees": chat.ORACLE, "op10_jaccard_join": jaccard.ORACLE, "op11_importance_resampling": importance.ORACLE}
+    return {
+        "op3_quality_rules": quality.ORACLE,
+        "op3_rule_ablations": quality.ABLATION_ORACLE,
+        "op5_url_rules": url_filter.ORACLE,
+        "op8_reply_trees": chat.ORACLE,
+        "op10_jaccard_join": jaccard.ORACLE,
+        "op11_importance_resampling": importance.ORACLE,
+        "op12_lexical_search": search.ORACLE,
+    }

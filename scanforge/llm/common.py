@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scanforge.tables import drop, new_path, numbered, remove, shared_dir, written
 
-__all__ = ["LOWER", "SPACES", "UPPER", "WORD", "drop", "let", "n_words_of", "new_path", "numbered", "remove", "shared_dir", "table", "words_of", "written"]
+__all__ = ["LOWER", "SPACES", "UPPER", "WORD", "bitmap_of", "drop", "let", "n_words_of", "new_path", "numbered", "remove", "shared_dir", "table", "words_of", "written"]
 
 #: Java regular expression of the white space between words, and of a word.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -34,3 +34,14 @@ def n_words_of(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bitmap_of(cells: DataFrame, bits: int) -> bytes:
+    """A bitmap of 2**bits bits with those of the only column's values set, lowest bit of a byte first."""
+    (cell,) = cells.columns
+    placed = cells.selectExpr(f"bitmap_bucket_number(`{cell}` + 1) - 1 AS b", f"bitmap_bit_position(`{cell}` + 1) AS p")  # the functions count from 1
+    rows = placed.groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).toLocalIterator()  # 4 kB each, 2**bits bits in all
+    out = bytearray(((1 << bits) >> 3) + 4096)
+    for row in rows:
+        out[row["b"] * 4096 : (row["b"] + 1) * 4096] = row["bits"]
+    return bytes(out)
