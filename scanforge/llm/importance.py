@@ -41,11 +41,13 @@ def _hashed(feature: Column, n_buckets: int) -> Column:
 
 def buckets_of(words: Column, max_n: int = 1, n_buckets: int = BUCKETS) -> Column:
     """The bucket of each run of 1 to ``max_n`` consecutive words, repeats included."""
-    found = F.transform(words, lambda w: _hashed(w, n_buckets))
-    for n in range(2, max_n + 1):
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i, n=n: i <= F.size(words) - n + 1)
-        found = F.concat(found, F.transform(starts, lambda i, n=n: _hashed(F.array_join(F.slice(words, i, n), " "), n_buckets)))
-    return found
+
+    def runs(n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: i <= F.size(words) - n + 1)
+        return F.transform(starts, lambda i: _hashed(F.array_join(F.slice(words, i, n), " "), n_buckets))
+
+    single = F.transform(words, lambda w: _hashed(w, n_buckets))
+    return F.concat(single, *map(runs, range(2, max_n + 1))) if max_n > 1 else single
 
 
 def bucket_counts(texts: DataFrame, max_n: int = 1, n_buckets: int = BUCKETS, text_col: str = "text") -> DataFrame:

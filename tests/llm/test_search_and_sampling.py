@@ -6,7 +6,6 @@ import random
 import re
 import zlib
 from collections import Counter
-from functools import partial
 
 import numpy as np
 import pytest
@@ -14,8 +13,8 @@ import xxhash
 
 pytest.importorskip("public_tokenizers")
 
+from scanforge import tables  # noqa: E402
 from scanforge.llm import importance, search, simhash  # noqa: E402
-from scanforge.llm import common  # noqa: E402
 
 LONG = "alpha Beta gamma-delta epsilon 42 zeta eta theta iota kappa " * 400
 TEXTS = [None, "", " \n.,", "One two", "one TWO", LONG, LONG, "Ünï çode 漢字 x1 y2", LONG + "tail", "a b c d e f g h i j k l m n o p q r s t u", "rare words only here"]
@@ -67,7 +66,7 @@ def test_importance(docs, items, percent, max_n, n_buckets):
 
 
 def test_importance_draws_across_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(importance, "numbered", partial(common.numbered, **{}))
+    monkeypatch.setattr(tables, "RANGE_ROWS", 20)
     rng = random.Random(3)
     rows = [(rng.choice([k, 7]), " ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(15, 30)))) for k in range(500)]  # a third of all rows have one id
     target = ["a b aa"]
