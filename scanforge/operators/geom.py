@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scanforge.functions import geometry as g
 from scanforge.operators.points import with_stats
 from scanforge.operators.spatial import hybrid_neighbours, neighbour_covariances
-from scanforge.tables import written
+from scanforge.tables import join_on, written
 
 
 def covariances(edges: DataFrame, by: tuple[str, ...] = (), ddof: int = 1) -> DataFrame:
@@ -76,8 +76,8 @@ def roughness(points: DataFrame, radius: float = 0.05, max_neighbours: int = 30,
     return eigen_features(neighbour_covariances(points, radius, max(radius, 0.2), max_neighbours, by=by), fill=False).select(*by, "point_id", "roughness")
 
 
-def spatial_batches(df: DataFrame, per_batch: int, most: int = 12_000) -> DataFrame:
-    """batch_x, batch_y, batch_z: half-open bins of a grid divided in proportion to the extents; batch_path: the bins of further splits.
+def spatial_batches(df: DataFrame, per_batch: int, most: int = 12_000, by: tuple[str, ...] = ()) -> DataFrame:
+    """batch_x, batch_y, batch_z: half-open bins of a grid divided in proportion to the scan's extents; batch_path: the bins of further splits.
 
     Batches of more than ``most`` points are divided again, level by level, until only points within 1e-6 share a larger one.
     Where the scaling leaves such a batch whole, its widest axis is halved.
@@ -85,7 +85,7 @@ def spatial_batches(df: DataFrame, per_batch: int, most: int = 12_000) -> DataFr
     df = df.withColumn("_batch", F.array().cast("array<int>"))
     level = 0
     while True:
-        boxes = df.groupBy("_batch").agg(F.count("*").alias("_n"), *[(F.max(a) - F.min(a)).alias(f"_r{a}") for a in "XYZ"], *[F.min(a).alias(f"_m{a}") for a in "XYZ"])
+        boxes = df.groupBy(*by, "_batch").agg(F.count("*").alias("_n"), *[(F.max(a) - F.min(a)).alias(f"_r{a}") for a in "XYZ"], *[F.min(a).alias(f"_m{a}") for a in "XYZ"])
         total = F.col("_rX") + F.col("_rY") + F.col("_rZ")
         if level:
             boxes = boxes.where((F.col("_n") > most) & (F.greatest("_rX", "_rY", "_rZ") > 1e-6))
@@ -104,15 +104,15 @@ def spatial_batches(df: DataFrame, per_batch: int, most: int = 12_000) -> DataFr
             break
         bins = [F.floor((F.col(a) - F.col(f"_m{a}")) / ((F.col(f"_r{a}") + 1e-6) / F.col(f"_d{a}"))).cast("int") for a in "XYZ"]
         cell = F.when(F.col("_n").isNotNull(), F.concat("_batch", F.array(*bins))).otherwise(F.col("_batch"))
-        df = written(df.join(boxes, "_batch", "left").withColumn("_batch", cell).select(*df.columns), "batches")
+        df = written(join_on(df, boxes, [*by, "_batch"], "left").withColumn("_batch", cell).select(*df.columns), "batches")
         level += 1
     made = {f"batch_{a}": F.get("_batch", F.lit(k)) for k, a in enumerate("xyz")}
     return df.withColumns(made | {"batch_path": F.slice("_batch", F.lit(4), F.greatest(F.size("_batch") - 3, F.lit(0)))}).drop("_batch")
 
 
-def angular_batches(df: DataFrame, n_azimuth: int, n_elevation: int) -> DataFrame:
-    """batch_az, batch_el: right-closed equal-width bins; the lowest value falls in the first."""
-    df = with_stats(df, _a0=F.min("azimuth"), _a1=F.max("azimuth"), _e0=F.min("elevation"), _e1=F.max("elevation"))
+def angular_batches(df: DataFrame, n_azimuth: int, n_elevation: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """batch_az, batch_el: right-closed equal-width bins of the scan's extents; the lowest value falls in the first."""
+    df = with_stats(df, by, _a0=F.min("azimuth"), _a1=F.max("azimuth"), _e0=F.min("elevation"), _e1=F.max("elevation"))
     closed = lambda v, lo, hi, k: F.greatest(F.ceil((F.col(v) - F.col(lo)) / F.nullif((F.col(hi) - F.col(lo)) / k, F.lit(0.0))) - 1, F.lit(0)).cast("int")
     return df.withColumns({"batch_az": closed("azimuth", "_a0", "_a1", n_azimuth), "batch_el": closed("elevation", "_e0", "_e1", n_elevation)}).drop("_a0", "_a1", "_e0", "_e1")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scanforge.functions import geometry as g
 from scanforge.operators.points import with_stats
-from scanforge.tables import written
+from scanforge.tables import join_on, written
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:
@@ -67,19 +67,21 @@ def density_classes(pixels: DataFrame, density: str = "density") -> DataFrame:
     return pixels.groupBy(F.least(F.col(density), F.lit(3)).cast("int").alias("density_class")).agg(F.count("*").alias("n"))
 
 
-def grid_counts(df: DataFrame, bins: int = 512, x: str = "X", y: str = "Y") -> DataFrame:
-    """Counts on a square grid of equal-width bins over the frame's extent."""
-    df = with_stats(df, _x0=F.min(x), _x1=F.max(x), _y0=F.min(y), _y1=F.max(y))
-    return df.groupBy(g.bin_of(F.col(x), F.col("_x0"), F.col("_x1"), bins).alias("gx"), g.bin_of(F.col(y), F.col("_y0"), F.col("_y1"), bins).alias("gy")).agg(F.count("*").alias("n"))
+def grid_counts(df: DataFrame, bins: int = 512, x: str = "X", y: str = "Y", by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts on a square grid of equal-width bins over the extent of the frame, or of each group."""
+    df = with_stats(df, by, _x0=F.min(x), _x1=F.max(x), _y0=F.min(y), _y1=F.max(y))
+    return df.groupBy(*by, g.bin_of(F.col(x), F.col("_x0"), F.col("_x1"), bins).alias("gx"), g.bin_of(F.col(y), F.col("_y0"), F.col("_y1"), bins).alias("gy")).agg(F.count("*").alias("n"))
 
 
-def inverted_grid(counts: DataFrame, bins: int) -> DataFrame:
-    """The dense grid inverted and scaled to 0-255: empty cells are brightest."""
+def inverted_grid(counts: DataFrame, bins: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """The dense grid (of each group) inverted and scaled to 0-255: empty cells are brightest."""
     cells = counts.sparkSession.range(bins * bins).select((F.col("id") / bins).cast("int").alias("gx"), (F.col("id") % bins).cast("int").alias("gy"))
-    dense = cells.join(counts, ["gx", "gy"], "left").select("gx", "gy", F.coalesce("n", F.lit(0)).alias("n"))
-    dense = with_stats(dense, _hi=F.max("n"), _lo=F.min("n"))
+    if by:
+        cells = counts.select(*by).distinct().crossJoin(F.broadcast(cells))  # bins * bins rows for each group, as wanted
+    dense = join_on(cells, counts, [*by, "gx", "gy"], "left").select(*by, "gx", "gy", F.coalesce("n", F.lit(0)).alias("n"))
+    dense = with_stats(dense, by, _hi=F.max("n"), _lo=F.min("n"))
     grey = F.floor((F.col("_hi") - F.col("n")) * 255 / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0)))
-    return dense.select("gx", "gy", F.coalesce(grey, F.lit(0)).cast("int").alias("grey"))
+    return dense.select(*by, "gx", "gy", F.coalesce(grey, F.lit(0)).cast("int").alias("grey"))
 
 
 def channel_values(df: DataFrame, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import warnings
 from collections.abc import Callable, Iterator
 from itertools import combinations, permutations
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from scanforge.operators.histogram import histogram
 from scanforge.operators.points import scans_of, with_stats
 from scanforge.operators.quantile import with_quantiles
-from scanforge.tables import written
+from scanforge.tables import join_on, written
 
 
 def min_max_scale(df: DataFrame, channels: list[str], by: str | None = "scan_id") -> DataFrame:
@@ -169,9 +170,15 @@ def pca(df: DataFrame, channels: list[str], k: int = 3, by: str | None = "scan_i
 
 
 def noise(df: DataFrame, channels: list[str], order: tuple[str, ...] = ("y_pix", "x_pix"), by: tuple[str, ...] = ()) -> DataFrame:
-    """Differences of neighbours in raster order, within rows so that no window holds a whole image."""
-    window = Window.partitionBy(*by, *order[:-1]).orderBy(order[-1])
-    return df.select(*by, *[(F.col(c) - F.lag(c).over(window)).alias(c) for c in channels]).where(F.col(channels[0]).isNotNull())
+    """Differences of neighbours in raster order, H * W - 1 of an image; a window holds one image row, and each row hands its last pixel on to the next."""
+    *outer, inner = order
+    lines = [*by, *outer]
+    pixel = F.struct(*[F.col(c).cast("double").alias(c) for c in channels])
+    last = df.groupBy(*lines).agg(F.max_by(pixel, inner).alias("_last"))
+    carried = last.select(*lines, F.lag("_last").over(Window.partitionBy(*by).orderBy(*outer)).alias("_carried"))  # one row an image row
+    inside = df.select(*lines, pixel.alias("_own"), F.lag(pixel).over(Window.partitionBy(*lines).orderBy(inner)).alias("_prior"))
+    both = join_on(inside, carried, lines).withColumn("_prior", F.coalesce("_prior", "_carried")).where("_prior is not null")
+    return both.select(*by, *[(F.col("_own")[c] - F.col("_prior")[c]).alias(c) for c in channels])
 
 
 def mnf(df: DataFrame, channels: list[str], k: int = 3, order: tuple[str, ...] = ("y_pix", "x_pix"), by: str | None = "scan_id") -> DataFrame:
@@ -186,8 +193,11 @@ def mnf(df: DataFrame, channels: list[str], k: int = 3, order: tuple[str, ...] =
     return _projected(scaled, channels, _solved(both, ["cov", "rest"], solve), [f"MNF{i + 1}" for i in range(k)]).drop("_image")
 
 
-def ica(df: DataFrame, channels: list[str], k: int = 3, rounds: int = 30, seed: int = 0, tolerance: float = 1e-5, by: str | None = "scan_id") -> DataFrame:
-    """ICA1 .. ICAk of each image by the fixed point with tanh: each round is one aggregate over the whitened components of all images at once."""
+def ica(df: DataFrame, channels: list[str], k: int = 3, rounds: int = 200, seed: int = 0, tolerance: float = 1e-4, by: str | None = "scan_id") -> DataFrame:
+    """ICA1 .. ICAk of each image by the fixed point with tanh: each round is one aggregate over the whitened components of all images at once.
+
+    Rounds end when no direction turns by more than the tolerance (of its cosine).  A warning says so if some images still move after the last.
+    """
     scaled = _keyed(z_score(df, channels, by), by)
     names = [f"_w{i}" for i in range(k)]
 
@@ -218,6 +228,8 @@ def ica(df: DataFrame, channels: list[str], k: int = 3, rounds: int = 30, seed:
         unmix = written(sums.mapInPandas(step, "_image string, unmix array<double>, moved double"), "ica-unmix")
         if (unmix.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
             break
+    else:
+        warnings.warn(f"ICA: {unmix.where(F.col('moved') >= tolerance).count()} image(s) still move after {rounds} rounds", stacklevel=2)
     turned = F.transform(F.sequence(F.lit(0), F.lit(k * k - 1)), lambda i: F.get("unmix", (i % k) * k + F.floor(i / k).cast("int")))
     weights = unmix.select("_image", turned.alias("weights"))
     return _projected(white, names, weights, [f"ICA{i + 1}" for i in range(k)]).drop("_image", *names)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scanforge.functions import geometry as g
 from scanforge.operators.quantile import with_quantiles
+from scanforge.tables import join_on
 
 ANGLES = ("azimuth", "zenith", "elevation", "rangemeter")
 
@@ -30,12 +31,13 @@ def scans_of(df: DataFrame, by: str | None = "scan_id") -> str | None:
     return by if by in df.columns else None
 
 
-def with_stats(df: DataFrame, by: str | None = None, **stats: Column) -> DataFrame:
-    """Adds aggregates of the whole frame, or of each ``by`` group, as columns."""
+def with_stats(df: DataFrame, by: str | tuple[str, ...] | None = None, **stats: Column) -> DataFrame:
+    """Adds aggregates of the whole frame, or of each ``by`` group (NULL is one), as columns."""
     aggs = [c.alias(n) for n, c in stats.items()]
-    if by is None:
+    keys = [by] if isinstance(by, str) else list(by or ())
+    if not keys:
         return df.crossJoin(F.broadcast(df.agg(*aggs)))  # one row
-    return df.join(df.groupBy(by).agg(*aggs), by)
+    return join_on(df, df.groupBy(*keys).agg(*aggs), keys)
 
 
 def add_angles(df: DataFrame) -> DataFrame:
@@ -162,10 +164,10 @@ def check_normals(df: DataFrame) -> DataFrame:
     return df
 
 
-def range_from_centre(df: DataFrame, centre: tuple[float, float, float] | None = None, by: str | None = "scan_id") -> DataFrame:
+def range_from_centre(df: DataFrame, centre: tuple[float, float, float] | None = None, by: str | tuple[str, ...] | None = "scan_id") -> DataFrame:
     """``range`` to a point, by default the scan's centroid."""
     if centre is None:
-        df = with_stats(df, scans_of(df, by), _x=F.avg("X"), _y=F.avg("Y"), _z=F.avg("Z"))
+        df = with_stats(df, scans_of(df, by) if isinstance(by, str) else by, _x=F.avg("X"), _y=F.avg("Y"), _z=F.avg("Z"))
         c = (F.col("_x"), F.col("_y"), F.col("_z"))
     else:
         c = tuple(map(F.lit, centre))

@@ -9,7 +9,7 @@ from scanforge.functions.geometry import PI
 from scanforge.operators.points import range_from_centre, with_stats
 from scanforge.operators.quantile import quantiles
 from scanforge.operators.spatial import knn_among
-from scanforge.tables import numbered_within, written
+from scanforge.tables import join_on, numbered_within, written
 
 
 def local_density(k: Column, radius: Column, volumetric: bool = True) -> Column:
@@ -18,13 +18,13 @@ def local_density(k: Column, radius: Column, volumetric: bool = True) -> Column:
     return k / F.nullif(space, F.lit(0.0))
 
 
-def range_bins(df: DataFrame, width: float, merge: float, value: str = "range") -> DataFrame:
-    """bin and bin_centre: equal bins up to ``merge`` (a multiple of the width), one for all beyond."""
+def range_bins(df: DataFrame, width: float, merge: float, value: str = "range", by: tuple[str, ...] = ()) -> DataFrame:
+    """bin and bin_centre: equal bins up to ``merge`` (a multiple of the width), one for all beyond, which ends at the scan's greatest value."""
     if abs(merge / width - round(merge / width)) > 1e-9:
         raise ValueError("the merge threshold must be a multiple of the bin width")
     last = round(merge / width)
     bin_ = F.least(F.floor(F.col(value) / width), F.lit(last)).cast("int")
-    df = with_stats(df.withColumn("bin", bin_), _top=F.max(value))
+    df = with_stats(df.withColumn("bin", bin_), by, _top=F.max(value))
     centre = F.when(F.col("bin") == last, (merge + F.col("_top")) / 2).otherwise((F.col("bin") + 0.5) * width)
     return df.withColumn("bin_centre", centre).drop("_top")
 
@@ -35,7 +35,7 @@ def binned_density(df: DataFrame, groups: tuple[str, ...], cell: float, k: Colum
     ``k`` and ``stride`` are expressions of ``n``, the group's size.  Points are numbered by id within
     their group; those whose number is divisible by the stride are sampled.
     """
-    sized = df.select(*groups, "point_id", "X", "Y", "Z").join(df.groupBy(*groups).agg(F.count("*").alias("n")), list(groups))
+    sized = join_on(df.select(*groups, "point_id", "X", "Y", "Z"), df.groupBy(*groups).agg(F.count("*").alias("n")), list(groups))
     sized = sized.withColumn("k", k.cast("int")).where((F.col("n") >= least_points) & (F.col("k") >= least_k))
     placed = numbered_within(sized, list(groups), ["point_id"], row="i")
     sampled = F.lit(True) if stride is None else F.col("i") % stride == 0
@@ -44,7 +44,7 @@ def binned_density(df: DataFrame, groups: tuple[str, ...], cell: float, k: Colum
     if most is None:
         return df.select(*groups, "point_id", F.lit(0.0).alias("density")).limit(0)
     near = knn_among(sized, most, cell, groups, "sampled")
-    met = near.join(sized.select(*groups, "point_id", "k"), [*groups, "point_id"]).where(F.col("rank") == F.col("k"))
+    met = join_on(near, sized.select(*groups, "point_id", "k"), [*groups, "point_id"]).where(F.col("rank") == F.col("k"))
     return met.select(*groups, "point_id", local_density(F.col("k"), F.col("dist"), volumetric).alias("density"))
 
 
@@ -57,29 +57,30 @@ def _quartiles(density: DataFrame, groups: tuple[str, ...]) -> DataFrame:
 
 def density_by_range(df: DataFrame, width: float, merge: float, cell: float, by: tuple[str, ...] = (), volumetric: bool = True, centre: tuple[float, float, float] | None = None) -> DataFrame:
     """median, q25, q75 of local density and the number of points in each range bin; NULL where bins are too small."""
-    binned = range_bins(range_from_centre(df, centre), width, merge)
+    binned = range_bins(range_from_centre(df, centre, by), width, merge, by=by)
     groups = (*by, "bin")
     n = F.col("n")
     density = binned_density(binned, groups, cell, F.least(F.lit(50), F.floor(n / 2)), stride=F.greatest(F.lit(1), F.floor(n / 100)), volumetric=volumetric)
     counts = binned.groupBy(*groups).agg(F.count("*").alias("points"), F.max("bin_centre").alias("bin_centre"))
-    return counts.join(_quartiles(density, groups), list(groups), "left")
+    return join_on(counts, _quartiles(density, groups), list(groups), "left")
 
 
 def density_across_scans(per_scan: DataFrame, first_scan: str, scan: str = "scan_id") -> DataFrame:
-    """Median and quartiles over scans of their medians, for the bins of the first scan."""
-    bins = per_scan.where(F.col(scan) == first_scan).select("bin").distinct()
+    """Median and quartiles over scans of their medians, for the bins of the first scan and with their centres."""
+    bins = per_scan.where(F.col(scan) == first_scan).select("bin", "bin_centre").distinct()
     wanted = {n: (F.col("median"), p) for n, p in QUARTILES.items()} | {"points": (F.col("points"), 0.5)}
-    return quantiles(per_scan.join(bins, "bin", "left_semi"), wanted, ("bin",))
+    return quantiles(per_scan.join(bins, "bin", "left_semi"), wanted, ("bin",)).join(bins, "bin")
 
 
 def density_by_height(df: DataFrame, width: float, cell: float, by: tuple[str, ...] = (), volumetric: bool = True) -> DataFrame:
-    """point_id, bin, label ("0.50m") and density of every point; bins start at the least Z."""
-    df = with_stats(df, _z=F.min("Z"))
+    """by.., point_id, bin, label ("0.50m") and density of every point; bins start at the scan's least Z."""
+    df = with_stats(df, by, _z=F.min("Z"))
     df = df.withColumn("bin", F.floor((F.col("Z") - F.col("_z")) / width).cast("int"))
     label = F.format_string("%.2fm", F.col("_z") + F.col("bin") * width)
-    labels = df.select("bin", label.alias("label")).distinct()
+    labels = df.select(*by, "bin", label.alias("label")).distinct()
     n = F.col("n")
-    return binned_density(df, (*by, "bin"), cell, F.least(F.lit(50), F.floor(n / 2)), volumetric=volumetric).join(labels, "bin")
+    density = binned_density(df, (*by, "bin"), cell, F.least(F.lit(50), F.floor(n / 2)), volumetric=volumetric)
+    return join_on(density, labels, [*by, "bin"])
 
 
 def density_by_height_sampled(df: DataFrame, cell: float, sample: int = 50_000, by: tuple[str, ...] = ("scan_id",)) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scanforge.operators import raster_tiles
 from scanforge.operators.points import scans_of, with_stats
 
 PIXEL = ("scan_id", "y_pix", "x_pix")
@@ -99,12 +100,8 @@ def refined_pixels(points: DataFrame, keys: tuple[str, ...] = PIXEL) -> DataFram
 
 
 def median_blur(df: DataFrame, value: str, radius: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Median over a square neighbourhood of a dense raster: each pixel is sent to its neighbours, then aggregated."""
-    steps = F.sequence(F.lit(-radius), F.lit(radius))
-    spread = df.withColumn("_dy", F.explode(steps)).withColumn("_dx", F.explode(steps))
-    moved = spread.select(*keys, (F.col("y_pix") + F.col("_dy")).alias("y_pix"), (F.col("x_pix") + F.col("_dx")).alias("x_pix"), value)
-    medians = moved.groupBy(*keys, "y_pix", "x_pix").agg(F.median(value).alias(value))
-    return medians.join(df.select(*keys, "y_pix", "x_pix"), [*keys, "y_pix", "x_pix"], "left_semi")
+    """Median over a square neighbourhood of each pixel, of the pixels that are there."""
+    return raster_tiles.median(df, value, radius, keys)
 
 
 def fill_from_nearest(pixels: DataFrame, label: str = "class_id", by: tuple[str, ...] = ("scan_id",)) -> DataFrame:
@@ -135,6 +132,41 @@ def resample(raster: DataFrame, height: int, width: int, new_height: int, new_wi
     return joined.select(*have, F.col("_y").alias("y_pix"), F.col("_x").alias("x_pix"), *values)
 
 
+#: Of each filter: how far it reaches in old (or if they are finer, new) pixels, and its weight at a distance.
+FILTERS = {
+    "bilinear": (1.0, lambda x: F.greatest(F.lit(0.0), 1 - x)),
+    "bicubic": (2.0, lambda x: F.when(x < 1, 1 + x * x * (1.5 * x - 2.5)).when(x < 2, 2 + x * (-4 + x * (2.5 - 0.5 * x))).otherwise(0.0)),
+}
+
+
+def filter_weights(spark: SparkSession, old: int, new: int, kind: str = "bilinear") -> DataFrame:
+    """(place, source, weight): how much each old pixel of a line adds to each new one; a new pixel's weights add up to 1."""
+    support, weight = FILTERS[kind]
+    scale = old / new
+    wide = max(1.0, scale)
+    centre = (F.col("id") + 0.5) * scale
+    first, last = F.greatest(F.floor(centre - support * wide + 0.5), F.lit(0)), F.least(F.floor(centre + support * wide + 0.5), F.lit(old)) - 1
+    rows = spark.range(new).select(F.col("id").cast("int").alias("place"), centre.alias("c"), F.explode(F.sequence(first, last)).alias("source"))
+    rows = rows.select("place", F.col("source").cast("int").alias("source"), weight(F.abs((F.col("source") + 0.5 - F.col("c")) / wide)).alias("w"))
+    return rows.select("place", "source", (F.col("w") / F.sum("w").over(Window.partitionBy("place"))).alias("weight"))  # a window holds one pixel's sources
+
+
+def resize(raster: DataFrame, height: int, width: int, new_height: int, new_width: int, values: list[str], keys: tuple[str, ...] = ("scan_id",), kind: str = "bilinear", as_bytes: bool = False) -> DataFrame:
+    """A dense raster on another canvas, smoothed by a separable filter as wide as the coarser pixels: rows first, then columns, one aggregate each.
+
+    ``as_bytes``: round to 0-255 after each of the two, as images of bytes do.
+    """
+    have = [k for k in keys if k in raster.columns]
+    out = raster.select(*have, "y_pix", "x_pix", *[F.col(v).cast("double").alias(v) for v in values])
+    for line, kept, old, new in (("x_pix", "y_pix", width, new_width), ("y_pix", "x_pix", height, new_height)):
+        weights = filter_weights(raster.sparkSession, old, new, kind)
+        joined = out.join(F.broadcast(weights) if new + old < 100_000 else weights, F.col(line) == F.col("source"))  # some pixels of one line
+        total = lambda v: F.sum(F.col(v) * F.col("weight"))
+        made = (lambda v: F.least(F.greatest(F.floor(total(v) + 0.5), F.lit(0)), F.lit(255)).cast("double")) if as_bytes else total
+        out = joined.groupBy(*have, kept, "place").agg(*[made(v).alias(v) for v in values]).withColumnRenamed("place", line)
+    return out.select(*have, "y_pix", "x_pix", *values)
+
+
 def unit_image(raster: DataFrame, values: list[str]) -> DataFrame:
     """An image's values in 0-1: bytes by 255, anything else by the image's own extremes where they lie outside."""
     kinds = dict(raster.dtypes)
@@ -147,9 +179,15 @@ def unit_image(raster: DataFrame, values: list[str]) -> DataFrame:
 
 
 def colour_ball(ball: DataFrame, image: DataFrame, height: int, width: int, zenith: tuple[float, float] = (0.0, 135.0), step: float = 0.5, upside_down: bool = False) -> DataFrame:
-    """A ball's points (azimuth, zenith) with r, g, b of an image that is laid over it; ``image`` is dense, of ``height`` x ``width``."""
+    """A ball's points (azimuth, zenith) with r, g, b in 0-1 of an image that is laid over it; ``image`` is dense, of ``height`` x ``width``.
+
+    Images of bytes are resized by the bilinear filter; others are brought to 0-1, made bytes and resized by the bicubic one.
+    """
     h, w = math.ceil((zenith[1] - zenith[0]) / step), math.ceil(360 / step)
-    sized = unit_image(resample(image, height, width, h, w, ["r", "g", "b"], ()), ["r", "g", "b"])
+    rgb, kinds = ["r", "g", "b"], dict(image.dtypes)
+    whole = all(kinds[c] in ("tinyint", "smallint", "int", "bigint") for c in rgb)
+    data = image if whole else unit_image(image, rgb).withColumns({c: F.floor(F.col(c) * 255) for c in rgb})
+    sized = resize(data, height, width, h, w, rgb, (), "bilinear" if whole else "bicubic", True).withColumns({c: F.col(c) / 255 for c in rgb})
     low = ball.agg(F.min("zenith").alias("_low"))
     row = F.least(F.greatest(((F.col("zenith") - F.col("_low")) / step).cast("int"), F.lit(0)), F.lit(h - 1))
     placed = ball.drop("r", "g", "b").crossJoin(F.broadcast(low))  # one row

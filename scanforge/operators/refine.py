@@ -26,11 +26,12 @@ def vote(points: DataFrame, k: int = 50, threshold: float = 0.8, cell: float = 0
     return sums.select(*by, "point_id", "label", F.when(unsure & F.col("dominant").isNotNull(), F.col("dominant")).otherwise(F.col("label")).alias("vote"))
 
 
-def forest(voted: DataFrame, features: list[str], trees: int = 200, seed: int = 42) -> tuple[DataFrame, float]:
+def forest(voted: DataFrame, features: list[str], trees: int = 200, seed: int = 42, depth: int = 30, bins: int = 128) -> tuple[DataFrame, float]:
     """``voted`` with rf_label and rf_confidence, and the accuracy on held-out reliable points.
 
     Reliable points keep their label under the vote and aren't of class 0; classes are weighted
-    equally; a fifth of each class is held out.
+    equally; a fifth of each class is held out.  Trees grow until leaves are pure, up to ``depth`` levels (30 is the most that
+    Spark ML grows), and split at ``bins`` quantiles of a feature.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -42,7 +43,7 @@ def forest(voted: DataFrame, features: list[str], trees: int = 200, seed: int =
     classes = reliable.groupBy("label").agg(F.count("*").alias("_n"))
     classes = classes.withColumn("_w", F.sum("_n").over(whole) / (F.count("*").over(whole) * F.col("_n"))).drop("_n")
     split = train_split(reliable.join(F.broadcast(classes), "label"), "label", ["point_id"], seed=seed)
-    model = RandomForestClassifier(featuresCol="_x", labelCol="label", weightCol="_w", numTrees=trees, seed=seed, predictionCol="_p", probabilityCol="_pr", rawPredictionCol="_raw").fit(split.where("is_train"))
+    model = RandomForestClassifier(featuresCol="_x", labelCol="label", weightCol="_w", numTrees=trees, seed=seed, maxDepth=depth, maxBins=bins, minInstancesPerNode=1, predictionCol="_p", probabilityCol="_pr", rawPredictionCol="_raw").fit(split.where("is_train"))
     held = model.transform(split.where("not is_train")).agg(F.avg((F.col("_p") == F.col("label")).cast("double"))).first()[0]
     scored = model.transform(vectors)
     out = scored.withColumns({"rf_label": F.col("_p").cast("int"), "rf_confidence": F.array_max(vector_to_array("_pr"))})

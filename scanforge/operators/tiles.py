@@ -5,19 +5,20 @@ points.  Tiles are cubes; one with more than ``MOST_POINTS`` points is divided i
 level, and its halo shrinks with it.  Within a tile the points are cut by medians into leaves of
 ``LEAF``; a leaf's points are measured against the leaves near enough to hold their nearest ones.  So
 the work is about points times neighbours wanted, however dense the cloud, and no pair is shuffled.
-A point whose neighbours may lie beyond a shrunken halo is left open for a growing-radius search.
+The points that ask and those that are found may be two clouds.  A point whose neighbours may lie beyond a shrunken halo is left open for a growing-radius search.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanforge.tables import drop, written
+from scanforge.tables import join_on, written
 
 AXES = ("X", "Y", "Z")
 MOST_POINTS, MOST_LEVELS = 60_000, 16
@@ -43,16 +44,30 @@ def leaves(xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.array(sorted(bounds)).reshape(-1, 2)
 
 
-def nearest_by_leaves(xyz: np.ndarray, ids: np.ndarray, asks: np.ndarray, k: int, most: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(asking points, their nearest points, distances) leaf by leaf: at most k within ``most``, by distance and then id; -1 and infinity where there are fewer."""
-    order, bounds = leaves(xyz)
+def nearest_by_leaves(xyz: np.ndarray, ids: np.ndarray, asks: np.ndarray, k: int, most: float, there: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(asking points, their nearest points, distances) leaf by leaf: at most k within ``most``, by distance and then id; -1 and infinity where there are fewer.
+
+    ``there``: the points that can be found, where that isn't all.
+    """
+    held = np.arange(len(xyz)) if there is None else np.flatnonzero(there)
+    order, bounds = leaves(xyz[held])
+    order = held[order]
+    if there is None:
+        groups = [order[a:b][asks[order[a:b]]] for a, b in bounds]
+    else:
+        asking = np.flatnonzero(asks)
+        own_order, own_bounds = leaves(xyz[asking])
+        groups = [asking[own_order[a:b]] for a, b in own_bounds]
+    if not len(held):
+        for queries in groups:
+            yield queries, np.full((len(queries), k), -1), np.full((len(queries), k), np.inf)
+        return
     lows = np.array([xyz[order[a:b]].min(0) for a, b in bounds])
     highs = np.array([xyz[order[a:b]].max(0) for a, b in bounds])
-    for leaf, (a, b) in enumerate(bounds):
-        queries = order[a:b][asks[order[a:b]]]
+    for queries in groups:
         if not len(queries):
             continue
-        gap = np.maximum(0, np.maximum(lows - highs[leaf], lows[leaf] - highs))
+        gap = np.maximum(0, np.maximum(lows - xyz[queries].max(0), xyz[queries].min(0) - highs))
         away = np.sqrt((gap * gap).sum(1))
         near_first = np.argsort(away, kind="stable")
         sizes = np.cumsum((bounds[:, 1] - bounds[:, 0])[near_first])
@@ -60,8 +75,8 @@ def nearest_by_leaves(xyz: np.ndarray, ids: np.ndarray, asks: np.ndarray, k: int
         reach = away[near_first[min(int(np.searchsorted(sizes, k)), len(near_first) - 1)]]
         while len(queries):
             chosen = near_first[: int(np.searchsorted(away[near_first], min(reach, most), side="right"))]
-            others = np.concatenate([order[bounds[c, 0] : bounds[c, 1]] for c in chosen])
-            step = max(1, 2_000_000 // len(others))
+            others = np.concatenate([order[bounds[c, 0] : bounds[c, 1]] for c in chosen]) if len(chosen) else held[:0]
+            step = max(1, 2_000_000 // max(len(others), 1))
             undone, farthest = [], 0.0
             for i in range(0, len(queries), step):
                 own = queries[i : i + step]
@@ -88,46 +103,54 @@ def nearest_by_leaves(xyz: np.ndarray, ids: np.ndarray, asks: np.ndarray, k: int
             reach = min(most, max(farthest, 2 * reach) if np.isfinite(farthest) else most)
 
 
-def _levels(points: DataFrame, by: tuple[str, ...], side: float) -> DataFrame:
-    """``points`` with the level of their tile."""
-    done, rest, level = None, points, 0
+def _levels(points: DataFrame, by: tuple[str, ...], side: float) -> list[tuple[int, DataFrame]]:
+    """The rows by the level of their tile: those of crowded tiles go one level down."""
+    done, rest, level = [], points, 0
     while True:
-        cells = [F.floor(F.col(a) / (side / 2**level)).alias(f"_c{a}") for a in AXES]
         names = [*by, *[f"_c{a}" for a in AXES]]
-        placed = rest.select("*", *cells)
-        crowded = written(placed.groupBy(*names).agg(F.count("*").alias("n")).where(F.col("n") > MOST_POINTS).drop("n"), "crowded")
+        placed = rest.select("*", *[F.floor(F.col(a) / (side / 2**level)).alias(f"_c{a}") for a in AXES])
+        crowded = placed.groupBy(*names).agg(F.count("*").alias("n")).where(F.col("n") > MOST_POINTS).drop("n")
         if level == MOST_LEVELS or crowded.isEmpty():
-            here = rest.withColumn("_level", F.lit(level))
-            return here if done is None else done.unionByName(here)
-        here = placed.join(crowded, names, "left_anti").select(*points.columns).withColumn("_level", F.lit(level))
-        done = here if done is None else done.unionByName(here)
-        rest = written(placed.join(crowded, names, "left_semi").select(*points.columns), "crowded-points")
+            return [*done, (level, rest)]
+        crowded = written(crowded, "crowded")
+        done.append((level, join_on(placed, crowded, names, "left_anti").select(*points.columns)))
+        rest = written(join_on(placed, crowded, names, "left_semi").select(*points.columns), "crowded-points")
         level += 1
 
 
-def by_tiles(points: DataFrame, k: int, most: float, made: Callable, schema: str, by: tuple[str, ...] = (), asking: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, open): what ``made`` returns for every point (those with ``asking``, a boolean column), and the points whose neighbours a tile could not tell.
+def by_tiles(points: DataFrame, k: int, most: float, made: Callable, schema: str, by: tuple[str, ...] = (), asking: str | None = None, queries: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """(rows, open): what ``made`` returns for every point (those with ``asking``, a boolean column), and the points whose neighbours a tile could not tell (None: none).
 
+    With ``queries``, a frame of its own with ids of its own, its points ask and those of ``points`` are found; only tiles with queries get points.
     ``made(ids, xyz, own, found, far)`` gives a table of ``schema`` without the ``by`` columns; ``own`` are the asking points'
     places in ``ids`` and ``xyz``, ``found`` and ``far`` their at most k nearest places (-1: none) and distances within ``most``.
     """
-    side = SIDE * most
-    narrow = points.select(*by, F.col("point_id").cast("long").alias("point_id"), *[F.col(a).cast("double").alias(a) for a in AXES], (F.col(asking) if asking else F.lit(True)).alias("_asks")).where("X = X AND Y = Y AND Z = Z")
-    levelled = written(_levels(narrow, by, side), "tile-points")
-    present = sorted(r[0] for r in levelled.select("_level").distinct().collect())  # MOST_LEVELS at most
+    side, apart = SIDE * most, queries is not None
+
+    def narrowed(df: DataFrame, asks: Column, there: bool) -> DataFrame:
+        places = [F.col(a).cast("double").alias(a) for a in AXES]
+        return df.select(*by, F.col("point_id").cast("long").alias("point_id"), *places, asks.alias("_asks"), F.lit(there).alias("_there")).where("X = X AND Y = Y AND Z = Z")
+
+    narrow = narrowed(points, F.col(asking) if asking else F.lit(not apart), True)
+    if apart:
+        narrow = narrow.unionByName(narrowed(queries, F.lit(True), False))
+    narrow = written(narrow, "tile-points")
+    levels = _levels(narrow, by, side)
+    every = reduce(DataFrame.unionByName, [rows.withColumn("_at", F.lit(level)) for level, rows in levels])
     sent = None
-    for level in present:
+    for level, rows in levels:
         width = side / 2**level
         halo = min(most, width / 2)
         own = [F.floor(F.col(a) / width) for a in AXES]
-        spread = levelled
+        reach = F.when(F.col("_there"), halo).otherwise(0.0)  # what only asks stays in its tile
+        spread = every
         for a in AXES:
-            spread = spread.withColumn(f"_t{a}", F.explode(F.sequence(F.floor((F.col(a) - halo) / width), F.floor((F.col(a) + halo) / width))))
-        core = F.col("_asks") & (F.col("_level") == level) & (F.col("_tX") == own[0]) & (F.col("_tY") == own[1]) & (F.col("_tZ") == own[2])
-        spread = spread.select(*by, "point_id", *AXES, F.lit(level).alias("level"), "_tX", "_tY", "_tZ", core.alias("core"))
-        if len(present) > 1:  # only to tiles that there are at this level
-            tiles = levelled.where(F.col("_level") == level).select(*by, *[c.alias(f"_t{a}") for a, c in zip(AXES, own, strict=True)]).distinct()
-            spread = spread.join(tiles, [*by, "_tX", "_tY", "_tZ"], "left_semi")
+            spread = spread.withColumn(f"_t{a}", F.explode(F.sequence(F.floor((F.col(a) - reach) / width), F.floor((F.col(a) + reach) / width))))
+        mine = (F.col("_at") == level) & (F.col("_tX") == own[0]) & (F.col("_tY") == own[1]) & (F.col("_tZ") == own[2])  # a point asks at its own level only
+        spread = spread.select(*by, "point_id", *AXES, "_there", F.lit(level).alias("level"), "_tX", "_tY", "_tZ", (F.col("_asks") & mine).alias("core"))
+        if len(levels) > 1 or apart:  # only tiles that are asked at this level
+            asked = rows.where("_asks").select(*by, *[c.alias(f"_t{a}") for a, c in zip(AXES, own, strict=True)]).distinct()
+            spread = join_on(spread, asked, [*by, "_tX", "_tY", "_tZ"], "left_semi").where("_there or core")
         sent = spread if sent is None else sent.unionByName(spread)
     keys = [*by, "level", "_tX", "_tY", "_tZ"]
 
@@ -137,11 +160,12 @@ def by_tiles(points: DataFrame, k: int, most: float, made: Callable, schema: str
         halo = min(most, width / 2)
         corner = np.array([table.column(f"_t{a}")[0].as_py() for a in AXES]) * width
         ids, asks = table.column("point_id").to_numpy(), table.column("core").to_numpy(zero_copy_only=False)
+        there = table.column("_there").to_numpy(zero_copy_only=False) if apart else None
         xyz = np.stack([table.column(a).to_numpy() for a in AXES], axis=1)
         out = []
         if asks.any():
             border = np.minimum(xyz - (corner - halo), corner + width + halo - xyz).min(1)
-            for own, found, far in nearest_by_leaves(xyz, ids, asks, k, most):
+            for own, found, far in nearest_by_leaves(xyz, ids, asks, k, most, there):
                 kth = np.minimum(far[:, k - 1], most)
                 sure = (kth <= border[own]) | (halo >= most)
                 if sure.any():
@@ -157,9 +181,10 @@ def by_tiles(points: DataFrame, k: int, most: float, made: Callable, schema: str
     kinds = dict(narrow.dtypes)
     full = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), schema, "open boolean"])
     rows = written(sent.groupBy(*keys).applyInArrow(handled, full), "tile-rows")
-    drop(levelled)
-    left = rows.where("open").select(*by, "point_id")
-    return rows.where("not open").drop("open"), narrow.drop("_asks").join(left, [*by, "point_id"], "left_semi")
+    if all(side / 2**level / 2 >= most for level, _ in levels):  # no halo had to shrink
+        return rows.drop("open"), None
+    left = rows.where("open").select(*by, "point_id").distinct()
+    return rows.where("not open").drop("open"), join_on(narrow.where("_asks").drop("_asks", "_there"), left, [*by, "point_id"], "left_semi")
 
 
 def _marked(table: pa.Table, open_: bool) -> pa.Table:
@@ -177,10 +202,8 @@ def _arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
     return to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
 
-def adaptive_radius_of(far: np.ndarray, base: float, most: float, nth: int, factor: float, few: bool) -> np.ndarray:
-    """Each point's radius from its distances in order: factor * the nth within [base, most]; ``most`` if there are fewer in reach, ``base`` if fewer exist at all."""
-    if few:
-        return np.full(len(far), base)
+def adaptive_radius_of(far: np.ndarray, base: float, most: float, nth: int, factor: float) -> np.ndarray:
+    """Each point's radius from its distances in order: factor * the nth within [base, most]; ``most`` if there are fewer in reach."""
     at = far[:, nth - 1]
     return np.where(np.isfinite(at), np.minimum(np.maximum(factor * np.where(np.isfinite(at), at, 0.0), base), most), most)
 

@@ -312,45 +312,48 @@ _DENSITY = "k / nullif(4 / 3::DOUBLE * pi() * dist * dist * dist, 0)"
 
 @query(
     "a17_density_vs_range",
-    f"""WITH {VECTORS}, c AS (SELECT *, avg(X) OVER () AS a, avg(Y) OVER () AS b, avg(Z) OVER () AS c FROM v2),
-    r AS (SELECT *, sqrt((X - a) * (X - a) + (Y - b) * (Y - b) + (Z - c) * (Z - c)) AS rng FROM c), g AS (SELECT *, least(floor(rng / 0.1), 3)::INT AS bin FROM r),
-    n AS (SELECT *, count(*) OVER (PARTITION BY bin) AS n, least(50, floor(count(*) OVER (PARTITION BY bin) / 2))::INT AS k, row_number() OVER (PARTITION BY bin ORDER BY point_id) - 1 AS i FROM g),
+    f"""WITH {VECTORS}, w AS (SELECT *, (point_id % 3)::VARCHAR AS scan_id FROM v2), c AS (SELECT *, avg(X) OVER s AS a, avg(Y) OVER s AS b, avg(Z) OVER s AS c FROM w WINDOW s AS (PARTITION BY scan_id)),
+    r AS (SELECT *, sqrt((X - a) * (X - a) + (Y - b) * (Y - b) + (Z - c) * (Z - c)) AS rng FROM c), h AS (SELECT *, max(rng) OVER (PARTITION BY scan_id) AS top, least(floor(rng / 0.1), 3)::INT AS bin FROM r), g AS (SELECT *, scan_id || '|' || bin AS grp FROM h),
+    n AS (SELECT *, count(*) OVER (PARTITION BY grp) AS n, least(50, floor(count(*) OVER (PARTITION BY grp) / 2))::INT AS k, row_number() OVER (PARTITION BY grp ORDER BY point_id) - 1 AS i FROM g),
     q AS (SELECT * FROM n WHERE n >= 10 AND k >= 5), t AS (SELECT * FROM q WHERE i % greatest(1, floor(n / 100)) = 0),
-    e AS ({_NTH.format(g="bin", a="t", b="q")}), f AS (SELECT bin, {_DENSITY} AS density FROM e WHERE rank = k),
-    s AS (SELECT bin, quantile_cont(density, 0.5) AS median, quantile_cont(density, 0.25) AS q25, quantile_cont(density, 0.75) AS q75 FROM f GROUP BY bin),
-    p AS (SELECT bin, count(*) AS points FROM g GROUP BY bin)
-    SELECT p.bin, points, round(median, 4) AS median, round(q25, 4) AS q25, round(q75, 4) AS q75 FROM p LEFT JOIN s ON p.bin = s.bin""",
+    e AS ({_NTH.format(g="grp", a="t", b="q")}), f AS (SELECT grp, {_DENSITY} AS density FROM e WHERE rank = k),
+    s AS (SELECT grp, quantile_cont(density, 0.5) AS median, quantile_cont(density, 0.25) AS q25, quantile_cont(density, 0.75) AS q75 FROM f GROUP BY grp),
+    p AS (SELECT scan_id, bin, grp, count(*) AS points, CASE WHEN bin = 3 THEN (0.3::DOUBLE + max(top)) / 2 ELSE (bin + 0.5::DOUBLE) * 0.1::DOUBLE END AS bin_centre FROM g GROUP BY scan_id, bin, grp)
+    SELECT scan_id, bin, points, round(bin_centre, 6) AS bin_centre, round(median, 4) AS median, round(q25, 4) AS q25, round(q75, 4) AS q75 FROM p LEFT JOIN s USING (grp)""",
 )
 def _a17(s, d):
-    out = profile.density_by_range(views.vectors(s, d), 0.1, 0.3, 0.1)
-    return out.select("bin", "points", *[F.round(c, 4).alias(c) for c in ("median", "q25", "q75")])
+    v = views.vectors(s, d).withColumn("scan_id", (F.col("point_id") % 3).cast("string"))
+    out = profile.density_by_range(v, 0.1, 0.3, 0.1, ("scan_id",))
+    return out.select("scan_id", "bin", "points", *r6("bin_centre"), *[F.round(c, 4).alias(c) for c in ("median", "q25", "q75")])
 
 
 @query(
     "a18_density_across_scans",
     f"""WITH {VECTORS}, w AS (SELECT *, (point_id % 3)::VARCHAR AS scan_id FROM v2), c AS (SELECT *, avg(X) OVER s AS a, avg(Y) OVER s AS b, avg(Z) OVER s AS c FROM w WINDOW s AS (PARTITION BY scan_id)),
-    g AS (SELECT *, least(floor(sqrt((X - a) * (X - a) + (Y - b) * (Y - b) + (Z - c) * (Z - c)) / 0.1), 3)::INT AS bin FROM c), h AS (SELECT *, scan_id || '|' || bin AS grp FROM g),
+    o AS (SELECT *, sqrt((X - a) * (X - a) + (Y - b) * (Y - b) + (Z - c) * (Z - c)) AS rng FROM c), g AS (SELECT *, least(floor(rng / 0.1), 3)::INT AS bin FROM o), h AS (SELECT *, scan_id || '|' || bin AS grp FROM g),
     n AS (SELECT *, count(*) OVER (PARTITION BY grp) AS n, least(50, floor(count(*) OVER (PARTITION BY grp) / 2))::INT AS k, row_number() OVER (PARTITION BY grp ORDER BY point_id) - 1 AS i FROM h),
     q AS (SELECT * FROM n WHERE n >= 10 AND k >= 5), t AS (SELECT * FROM q WHERE i % greatest(1, floor(n / 100)) = 0),
     e AS ({_NTH.format(g="grp", a="t", b="q")}), f AS (SELECT grp, quantile_cont({_DENSITY}, 0.5) AS median FROM e WHERE rank = k GROUP BY 1),
     p AS (SELECT bin, grp, count(*) AS points FROM h GROUP BY 1, 2)
-    SELECT bin, round(quantile_cont(median, 0.5), 4) AS median, round(quantile_cont(median, 0.25), 4) AS q25, round(quantile_cont(median, 0.75), 4) AS q75, quantile_cont(points, 0.5) AS points
+    SELECT bin, round(quantile_cont(median, 0.5), 4) AS median, round(quantile_cont(median, 0.25), 4) AS q25, round(quantile_cont(median, 0.75), 4) AS q75, quantile_cont(points, 0.5) AS points,
+    round(CASE WHEN bin = 3 THEN (0.3::DOUBLE + (SELECT max(rng) FROM o WHERE scan_id = '0')) / 2 ELSE (bin + 0.5::DOUBLE) * 0.1::DOUBLE END, 6) AS bin_centre
     FROM p LEFT JOIN f USING (grp) WHERE bin IN (SELECT bin FROM h WHERE scan_id = '0') GROUP BY 1""",
 )
 def _a18(s, d):
     v = views.vectors(s, d).withColumn("scan_id", (F.col("point_id") % 3).cast("string"))
     out = profile.density_across_scans(profile.density_by_range(v, 0.1, 0.3, 0.1, ("scan_id",)), "0")
-    return out.select("bin", *[F.round(c, 4).alias(c) for c in ("median", "q25", "q75")], "points")
+    return out.select("bin", *[F.round(c, 4).alias(c) for c in ("median", "q25", "q75")], "points", *r6("bin_centre"))
 
 
 @query(
     "a19_vertical_density",
-    f"""WITH {VECTORS}, z AS (SELECT *, min(Z) OVER () AS z0, floor((Z - min(Z) OVER ()) / 0.1)::INT AS bin FROM v2),
-    n AS (SELECT *, count(*) OVER (PARTITION BY bin) AS n, least(50, floor(count(*) OVER (PARTITION BY bin) / 2))::INT AS k FROM z), q AS (SELECT * FROM n WHERE n >= 10 AND k >= 5),
-    e AS ({_NTH.format(g="bin", a="q", b="q")}) SELECT e.bin, e.point_id, round({_DENSITY}, 4) AS density, printf('%.2fm', z0 + e.bin * 0.1) AS label FROM e JOIN (SELECT DISTINCT z0 FROM z) ON true WHERE rank = k""",
+    f"""WITH {VECTORS}, w AS (SELECT *, (point_id % 3)::VARCHAR AS scan_id FROM v2), y AS (SELECT *, min(Z) OVER (PARTITION BY scan_id) AS z0 FROM w), z AS (SELECT *, floor((Z - z0) / 0.1)::INT AS bin, scan_id || '|' || floor((Z - z0) / 0.1)::INT AS grp FROM y),
+    n AS (SELECT *, count(*) OVER (PARTITION BY grp) AS n, least(50, floor(count(*) OVER (PARTITION BY grp) / 2))::INT AS k FROM z), q AS (SELECT * FROM n WHERE n >= 10 AND k >= 5),
+    e AS ({_NTH.format(g="grp", a="q", b="q")}) SELECT z.scan_id, z.bin, e.point_id, round({_DENSITY}, 4) AS density, printf('%.2fm', z0 + z.bin * 0.1) AS label FROM e JOIN z USING (point_id) WHERE rank = k""",
 )
 def _a19(s, d):
-    return profile.density_by_height(views.vectors(s, d), 0.1, 0.1).select("bin", "point_id", F.round("density", 4).alias("density"), "label")
+    v = views.vectors(s, d).withColumn("scan_id", (F.col("point_id") % 3).cast("string"))
+    return profile.density_by_height(v, 0.1, 0.1, ("scan_id",)).select("scan_id", "bin", "point_id", F.round("density", 4).alias("density"), "label")
 
 
 @query(
@@ -482,6 +485,20 @@ def _j6b(s, d):
     return spatial.adaptive_neighbours(views.vectors(s, d), 0.05).groupBy("point_id").agg(F.count("*").alias("n_nbrs"))
 
 
+@query(
+    "j6_adaptive_by_scan",
+    f"""WITH {VECTORS}, s AS (SELECT *, CASE WHEN point_id < 5 THEN 'small' ELSE (point_id % 2)::VARCHAR END AS scan_id FROM v2), o AS (SELECT scan_id, count(*) AS total FROM s GROUP BY 1),
+    p AS (SELECT a.scan_id, a.point_id, b.point_id AS nbr_id, sqrt((a.X-b.X)*(a.X-b.X)+(a.Y-b.Y)*(a.Y-b.Y)+(a.Z-b.Z)*(a.Z-b.Z)) AS dist FROM s a JOIN s b USING (scan_id)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist, nbr_id) AS k FROM p WHERE dist <= 0.2),
+    w AS (SELECT scan_id, point_id, CASE WHEN max(k) < 21 THEN 0.2 ELSE least(greatest(1.5 * max(dist) FILTER (k = 21), 0.05), 0.2) END AS r FROM k GROUP BY ALL)
+    SELECT scan_id, point_id, count(*) AS n_nbrs FROM k JOIN w USING (scan_id, point_id) JOIN o USING (scan_id) WHERE dist <= CASE WHEN total < 21 THEN 0.05 ELSE r END AND k <= 50 GROUP BY ALL""",
+)
+def _j6c(s, d):
+    scan = F.when(F.col("point_id") < 5, "small").otherwise((F.col("point_id") % 2).cast("string"))
+    near = spatial.adaptive_neighbours(views.vectors(s, d).withColumn("scan_id", scan), 0.05, by=("scan_id",))
+    return near.groupBy("scan_id", "point_id").agg(F.count("*").alias("n_nbrs"))
+
+
 @query("j7_knn", f"WITH {VECTORS}, p AS ({_PAIRS}), k AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist, nbr_id) AS rank FROM p) SELECT point_id, rank::INT AS rank, nbr_id, round(dist, 6) AS dist FROM k WHERE rank <= 8")
 def _j7(s, d):
     v = views.vectors(s, d)
@@ -633,10 +650,12 @@ def _f16(s, d):
     "f16_clusters",
     f"""WITH RECURSIVE {VECTORS}, p AS ({_PAIRS}), n AS (SELECT * FROM p WHERE dist <= 0.12), c AS (SELECT point_id FROM n GROUP BY 1 HAVING count(*) >= 10), e AS (SELECT point_id AS a, nbr_id AS b FROM n WHERE point_id IN (FROM c) AND nbr_id IN (FROM c)),
     r AS (SELECT point_id AS a, point_id AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.a), k AS (SELECT a, min(root) AS root FROM r GROUP BY 1),
-    m AS (SELECT point_id, arg_min(nbr_id, (dist, nbr_id)) AS nbr_id FROM n WHERE nbr_id IN (FROM c) GROUP BY 1) SELECT v2.point_id, coalesce(k.root, -1) AS cluster FROM v2 LEFT JOIN m USING (point_id) LEFT JOIN k ON k.a = m.nbr_id""",
+    m AS (SELECT point_id, arg_min(nbr_id, (dist, nbr_id)) AS nbr_id FROM n WHERE nbr_id IN (FROM c) GROUP BY 1), o AS (SELECT v2.point_id, coalesce(k.root, -1) AS cluster FROM v2 LEFT JOIN m USING (point_id) LEFT JOIN k ON k.a = m.nbr_id)
+    SELECT scan_id, point_id, cluster FROM o CROSS JOIN (VALUES ('a'), ('b'), (NULL)) t(scan_id)""",
 )
 def _f16b(s, d):
-    return segments.clusters(views.vectors(s, d), 0.12, 10).select("point_id", "cluster")
+    scans = F.explode(F.array(F.lit("a"), F.lit("b"), F.lit(None).cast("string"))).alias("scan_id")  # the same cloud three times, with the same ids
+    return segments.clusters(views.vectors(s, d).select("*", scans), 0.12, 10, ("scan_id",)).select("scan_id", "point_id", "cluster")
 
 
 @query(
@@ -651,7 +670,13 @@ def _t7(s, d):
 
 @query("f15_scanner_positions")
 def _f15(s, d):
-    return blobs.scanner_positions(views.points(s, d)).select("position_id", *r6("X", "Y"), F.round("sigma", 4).alias("sigma"))
+    """Line items strewn over a plot by their keys, three scans, with the circles under three scanners left out."""
+    share = lambda salt: F.pmod(F.xxhash64(*KEY, F.lit(salt)), F.lit(1 << 20)) / float(1 << 20)
+    strewn = views.points(s, d).select("scan_id", share("x").alias("X"), share("y").alias("Y"))
+    for x, y in ((0.3, 0.25), (0.7, 0.6), (0.2, 0.8)):
+        strewn = strewn.where((F.col("X") - x) * (F.col("X") - x) + (F.col("Y") - y) * (F.col("Y") - y) > 0.07 * 0.07)
+    found = blobs.scanner_positions(strewn, 64, 2.5, 5.0, 6, 0.1, ("scan_id",))
+    return found.select("scan_id", "position_id", *r6("X", "Y"), F.round("sigma", 4).alias("sigma"))
 
 
 @query("f14_plot_rotation")
@@ -699,16 +724,37 @@ def _i13(s, d):
     return raster.resample(seen, 36, 72, 10, 20, ["class_id"]).select("scan_id", "y_pix", "x_pix", "class_id")
 
 
+def _weights(name: str, old: int, new: int) -> str:
+    """SQL for the bilinear filter's weights: place, source, weight."""
+    scale, wide = f"({old} / {new}::DOUBLE)", f"greatest(1, {old} / {new}::DOUBLE)"
+    return f"""{name}0 AS (SELECT i::INT AS place, (i + 0.5::DOUBLE) * {scale} AS c FROM range({new}) t(i)),
+    {name}1 AS (SELECT place, j::INT AS source, greatest(0, 1 - abs((j + 0.5::DOUBLE - c) / {wide})) AS w FROM {name}0, range({old}) u(j) WHERE j >= floor(c - {wide} + 0.5::DOUBLE) AND j < floor(c + {wide} + 0.5::DOUBLE)),
+    {name} AS (SELECT place, source, w / sum(w) OVER (PARTITION BY place) AS weight FROM {name}1)"""
+
+
+@query(
+    "i13_filtered_resize",
+    f"""WITH {pixel_sql()}, p AS (SELECT scan_id, yp, xp, count(*) AS n FROM vp GROUP BY ALL), {_weights("wx", 72, 19)}, {_weights("wy", 36, 49)},
+    h AS (SELECT scan_id, yp, place, sum(n * weight) AS n FROM p JOIN wx ON source = xp GROUP BY ALL), v AS (SELECT scan_id, wy.place AS y_pix, h.place AS x_pix, sum(n * weight) AS n FROM h JOIN wy ON wy.source = h.yp GROUP BY ALL)
+    SELECT scan_id, y::INT AS y_pix, x::INT AS x_pix, round(coalesce(n, 0), 6) AS n FROM (SELECT DISTINCT scan_id FROM v1) CROSS JOIN range(49) s(y) CROSS JOIN range(19) t(x) LEFT JOIN (SELECT scan_id, y_pix AS y, x_pix AS x, n FROM v) USING (scan_id, y, x)""",
+)
+def _i13b(s, d):
+    counts = _pixels(s, d).groupBy(*raster.PIXEL).agg(F.count("*").alias("n"))
+    return raster.resize(raster.densify(counts, 36, 72, {"n": 0}), 36, 72, 49, 19, ["n"]).select("scan_id", "y_pix", "x_pix", *r6("n"))
+
+
 @query(
     "i14_colour_ball",
-    """WITH g AS (SELECT (i % 72) * 5::DOUBLE AS azimuth, (i // 72) * 5::DOUBLE AS zenith FROM range(72 * 37) r(i)),
-    k AS (SELECT azimuth, zenith, least(floor((35 - least(trunc(zenith / 5), 35) + 0.5::DOUBLE) * 25 / 36), 24) * 20 + least(floor((trunc(azimuth / 5) + 0.5::DOUBLE) * 20 / 72), 19) AS id FROM g)
-    SELECT azimuth, zenith, round((v.vec_id % 256) / 255, 6) AS r, round((v.label % 256) / 255, 6) AS g, round((v.vec_id * 7 % 256) / 255, 6) AS b FROM k LEFT JOIN embeddings v ON v.vec_id = k.id""",
+    f"""WITH g AS (SELECT (i % 72) * 5::DOUBLE AS azimuth, (i // 72) * 5::DOUBLE AS zenith FROM range(72 * 37) r(i)), {pixel_sql(18, 36, 10.0)},
+    d AS (SELECT y AS yp, x AS xp, coalesce(r, 0) AS r, coalesce(g, 0) AS g, coalesce(b, 0) AS b FROM range(18) s(y) CROSS JOIN range(36) t(x) LEFT JOIN (SELECT yp AS y, xp AS x, count(*) % 256 AS r, max(class_id) * 32 % 256 AS g, sum(pk) % 256 AS b FROM vp GROUP BY ALL) USING (y, x)),
+    {_weights("wx", 36, 72)}, {_weights("wy", 18, 36)}, h AS (SELECT yp, place AS x, {", ".join(f"floor(sum({c} * weight) + 0.5::DOUBLE) AS {c}" for c in "rgb")} FROM d JOIN wx ON source = xp GROUP BY ALL),
+    v AS (SELECT place AS y, x, {", ".join(f"floor(sum({c} * weight) + 0.5::DOUBLE) / 255 AS {c}" for c in "rgb")} FROM h JOIN wy ON source = yp GROUP BY ALL)
+    SELECT azimuth, zenith, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM g JOIN v ON v.y = 35 - least(trunc(zenith / 5), 35) AND v.x = least(trunc(azimuth / 5), 71)""",
 )
 def _i14(s, d):
-    v = views.read(s, d, "embeddings").select(F.floor(F.col("vec_id") / 20).cast("int").alias("y_pix"), (F.col("vec_id") % 20).cast("int").alias("x_pix"), (F.col("vec_id") % 256).alias("r"), (F.col("label") % 256).alias("g"), (F.col("vec_id") * 7 % 256).alias("b"))
-    out = raster.colour_ball(generate.ball(s), v.where("y_pix < 25"), 25, 20, (0.0, 180.0), 5.0, True)
-    return out.select("azimuth", "zenith", *r6("r", "g", "b"))
+    seen = _pixels(s, d, 18, 36, 10.0).groupBy("y_pix", "x_pix").agg((F.count("*") % 256).alias("r"), (F.max("class_id") * 32 % 256).alias("g"), (F.sum("pk") % 256).alias("b"))
+    image = raster.densify(seen, 18, 36, {"r": 0, "g": 0, "b": 0}, ())
+    return raster.colour_ball(generate.ball(s), image, 18, 36, (0.0, 180.0), 5.0, True).select("azimuth", "zenith", *r6("r", "g", "b"))
 
 
 @query(
@@ -859,7 +905,7 @@ def _w2(s, d):
     return decode.running_azimuth(_encoder(s, d), "event_id").select("event_id", F.round("turned", 4).alias("turned"))
 
 
-@query("w3_adjacent_noise", f"WITH {VECTORS}, p AS (SELECT *, lag(X) OVER (PARTITION BY (point_id / 25)::INT ORDER BY point_id) AS b FROM (SELECT *, point_id // 25 AS yy FROM v2)), q AS (SELECT X - lag(X) OVER (PARTITION BY yy ORDER BY point_id) AS dx FROM p) SELECT count(dx) AS n, round(sum(dx * dx), 6) AS energy FROM q")
+@query("w3_adjacent_noise", f"WITH {VECTORS}, q AS (SELECT X - lag(X) OVER (ORDER BY point_id) AS dx FROM v2) SELECT count(dx) AS n, round(sum(dx * dx), 6) AS energy FROM q")
 def _w3(s, d):
     v = views.vectors(s, d).withColumns({"y_pix": F.floor(F.col("point_id") / 25), "x_pix": F.col("point_id") % 25})
     return image.noise(v, ["X"]).agg(F.count("X").alias("n"), F.round(F.sum(F.col("X") * F.col("X")), 6).alias("energy"))

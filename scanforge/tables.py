@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 import weakref
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -82,6 +83,13 @@ def drop(*tables: DataFrame) -> None:
             remove(table.sparkSession, path)
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on equal keys, where NULL equals NULL; the keys are ``left``'s."""
+    named = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`__r_{k}`")) for k in keys], F.lit(True))
+    return left.join(named, same, how).drop(*[f"__r_{k}" for k in keys])
+
+
 #: Rows of one range where rows are numbered.
 RANGE_ROWS = 200_000
 
