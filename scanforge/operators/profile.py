@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scanforge.functions.geometry import PI
+from scanforge.operators import quantile
 from scanforge.operators.points import range_from_centre, with_stats
-from scanforge.operators.quantile import quantiles
+from scanforge.operators.quantile import known, quantiles, quantiles_of
 from scanforge.operators.spatial import knn_among
 from scanforge.tables import join_on, numbered_within, written
 
@@ -92,22 +93,29 @@ def density_by_height_sampled(df: DataFrame, cell: float, sample: int = 50_000,
 
 def density_summary(df: DataFrame, density: str = "density") -> DataFrame:
     """One row: quartiles and extremes of the values that are there."""
-    known = df.select(F.nanvl(F.col(density).cast("double"), F.lit(None).cast("double")).alias("_d"))
-    spans = known.agg(F.min("_d").alias("lowest"), F.max("_d").alias("highest"))
-    return quantiles(known, {n: (F.col("_d"), p) for n, p in QUARTILES.items()}).crossJoin(spans)  # one row each
+    values = written(df.select(known(F.col(density)).alias("_d")), "densities")
+    spans = values.agg(F.min("_d").alias("lowest"), F.max("_d").alias("highest"))
+    return quantiles_of(values, {n: (F.col("_d"), p) for n, p in QUARTILES.items()}).crossJoin(spans)  # one row each
 
 
 def value_by_label(df: DataFrame, value: str, label: str, scan: str) -> DataFrame:
-    """Quartiles, IQR, p95, valid and NaN counts by label, for each scan and over all scans (NULL scan)."""
-    known = df.select(scan, label, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("_v"), F.isnan(F.col(value).cast("double")).alias("_nan"))
-    wanted = {n: (F.col("_v"), p) for n, p in (QUARTILES | {"p95": 0.95}).items()}
-    out = None
-    for keys in ((scan, label), (label,)):
-        counts = known.groupBy(*keys).agg(F.count("_v").alias("valid"), F.count_if("_nan").alias("nan_count"))
-        q = quantiles(known, wanted, keys)
-        on = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys]
-        both = counts.alias("l").join(q.alias("r"), on, "left")
-        name = F.col("l." + scan).cast("string") if scan in keys else F.lit(None).cast("string")
-        rows = both.select(name.alias(scan), F.col("l." + label).alias(label), "median", (F.col("q75") - F.col("q25")).alias("iqr"), "p95", "q25", "q75", "valid", "nan_count")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Quartiles, IQR, p95, valid and NaN counts by label, for each scan and over all scans (NULL scan).
+
+    The values are written once; if there are few enough for the built-in percentile one aggregate over both groupings gives all, else
+    each grouping narrows its quantiles.
+    """
+    v = F.col(value).cast("double")
+    rows = written(df.select(scan, label, known(v).alias("_v"), F.isnan(v).alias("_nan")), "label-values")
+    shares = QUARTILES | {"p95": 0.95}
+    counts = [F.count("_v").alias("valid"), F.count_if("_nan").alias("nan_count")]
+    if rows.count() <= quantile.DIRECT:
+        exact = [F.percentile("_v", F.lit(p)).alias(k) for k, p in shares.items()]
+        both = rows.groupingSets([[scan, label], [label]], scan, label).agg(*exact, *counts)
+    else:
+        both = None
+        for keys in ((scan, label), (label,)):
+            q = quantiles_of(rows, {k: (F.col("_v"), p) for k, p in shares.items()}, keys)
+            part = join_on(rows.groupBy(*keys).agg(*counts), q, list(keys), "left")
+            part = part if scan in keys else part.withColumn(scan, F.lit(None).cast(dict(df.dtypes)[scan]))
+            both = part if both is None else both.unionByName(part)
+    return both.select(F.col(scan).cast("string").alias(scan), label, "median", (F.col("q75") - F.col("q25")).alias("iqr"), "p95", "q25", "q75", "valid", "nan_count")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanforge.tables import written
+from scanforge.tables import join_on, written
 
 DIRECT = 1_000_000
 BINS = 4096
@@ -20,18 +20,32 @@ BINS = 4096
 def with_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with each of ``wanted`` (name: value, share) as a column: one row of quantiles for each group, joined back."""
     found = quantiles(df, wanted, by)
-    return df.join(found, list(by), "left") if by else df.crossJoin(F.broadcast(found))  # one row
+    return join_on(df, found, list(by), "left") if by else df.crossJoin(F.broadcast(found))  # one row
+
+
+def known(c: Column) -> Column:
+    """A value as a double, NULL for NaN."""
+    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
 
 def quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], by: tuple[str, ...] = ()) -> DataFrame:
-    """(by.., names..): quantiles of values that are neither NULL nor NaN."""
-    clean = lambda c: F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+    """(by.., names..): quantiles of values that are neither NULL nor NaN.  Groups and values are written once; passes read that table."""
+    values = {str(c): c for c, _ in wanted.values()}  # several shares of one value are one column
+    place = {v: f"_v{i}" for i, v in enumerate(values)}
+    narrow = written(df.select(*by, *[known(c).alias(place[v]) for v, c in values.items()]), "quantile-values")
+    return quantiles_of(narrow, {k: (F.col(place[str(c)]), p) for k, (c, p) in wanted.items()}, by)
+
+
+def quantiles_of(df: DataFrame, wanted: dict[str, tuple[Column, float]], by: tuple[str, ...] = ()) -> DataFrame:
+    """``quantiles`` of a written table whose values hold no NaN."""
     names = list(wanted)
-    sizes = df.groupBy(*by).agg(F.count("*").alias("n")) if by else df.agg(F.count("*").alias("n"))
-    if (sizes.agg(F.max("n")).first()[0] or 0) <= DIRECT:
-        exact = [F.percentile(clean(c), F.lit(p)).alias(k) for k, (c, p) in wanted.items()]
+    most = df.count()
+    if most > DIRECT and by:
+        most = df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if most <= DIRECT:
+        exact = [F.percentile(c, F.lit(p)).alias(k) for k, (c, p) in wanted.items()]
         return df.groupBy(*by).agg(*exact) if by else df.agg(*exact)
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(p).alias("share"), clean(c).alias("v")) for k, (c, p) in wanted.items()])).alias("x")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(p).alias("share"), c.alias("v")) for k, (c, p) in wanted.items()])).alias("x")
     rows = df.select(*by, each).select(*by, "x.*").where("v is not null")
     keys = [*by, "name"]
     targets = rows.groupBy(*keys).agg(F.first("share").alias("share"), F.count("*").alias("inside"), F.min("v").alias("lo"), F.max("v").alias("hi"))

@@ -90,34 +90,53 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(named, same, how).drop(*[f"__r_{k}" for k in keys])
 
 
-#: Rows of one range where rows are numbered.
-RANGE_ROWS = 200_000
+#: Rows and bytes (as stored) of one range where rows are numbered, at most; fewer where there are workers to spare, but no fewer than ``LEAST_ROWS``.
+RANGE_ROWS, RANGE_BYTES, LEAST_ROWS = 2_000_000, 32 << 20, 50_000
+
+
+def _stored_bytes(table: DataFrame) -> int:
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_paths[id(table)])
+    return path.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def _offsets(totals: DataFrame, names: list[str]) -> DataFrame:
+    """One row for each ``__range``: sums over the ranges before it, first within blocks of a thousand ranges and then over the blocks."""
+    sums = lambda w: [F.coalesce(F.sum(c).over(w), F.lit(0)).alias(c) for c in names]
+    blocked = totals.withColumn("__block", F.floor(F.col("__range") / 1000))
+    earlier = blocked.groupBy("__block").agg(*[F.sum(c).alias(c) for c in names])
+    earlier = earlier.select("__block", *sums(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)))  # a row for each thousand ranges
+    inside = blocked.select("__block", "__range", *sums(Window.partitionBy("__block").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)))
+    both = inside.join(earlier.withColumnsRenamed({c: f"{c}_" for c in names}), "__block")
+    return both.select("__range", *[(F.col(c) + F.col(f"{c}_")).alias(c) for c in names])
 
 
 def numbered(rows: DataFrame, order: list[str | Column], sums: dict[str, str] | None = None, row: str = "row", deal: list[str | Column] | None = None) -> DataFrame:
     """``rows`` with ``row`` (place in ``order``, from 0) and, for each of ``sums`` (name: column), the column's sum before the row.
 
-    The rows are dealt by range and written; one total for each range becomes the range's offset, so no window
-    holds more than a range.  Equal rows are told apart by their position; names with a leading ``__`` are the function's own.
+    The rows are written (if they aren't a written table), dealt by range and written again; one total for each range becomes the
+    range's offset, so no window holds more than a range.  Equal rows are told apart by their position; names with a leading ``__`` are the function's own.
     ``deal``: what the ranges are cut by, if that is less than the whole order (long texts would go to the driver as bounds);
     it must never decrease along the order.
     """
     sums = sums or {}
-    keys = [*order, F.col("__tie")]
-    tied = rows.withColumn("__tie", F.monotonically_increasing_id())
-    n_parts = max(1, -(-rows.count() // RANGE_ROWS))
+    spark, keys = rows.sparkSession, [*order, F.col("__tie")]
+    held = rows if id(rows) in _paths else written(rows, "to-number")
+    n = held.count()
+    wanted = max(-(-n // RANGE_ROWS), -(-_stored_bytes(held) // RANGE_BYTES))
+    n_parts = max(1, wanted, min(-(-n // LEAST_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    tied = held.withColumn("__tie", F.monotonically_increasing_id())
     ranged = written(tied.repartitionByRange(n_parts, *(deal or keys)).withColumn("__range", F.spark_partition_id()), "ranges")
+    if held is not rows:
+        drop(held)
     totals = ranged.groupBy("__range").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__of_{k}") for k, c in sums.items()])
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    offset = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    totals = totals.select("__range", offset("__n").alias("__n"), *[offset(f"__of_{k}").alias(f"__of_{k}") for k in sums])
+    offsets = written(_offsets(totals, ["__n", *[f"__of_{k}" for k in sums]]), "range-offsets")
     within = Window.partitionBy("__range").orderBy(*keys)
-    placed = ranged.join(F.broadcast(totals), "__range").select(
+    return ranged.join(offsets, "__range").select(
         *[f"`{c}`" for c in rows.columns],
         (F.col("__n") + F.row_number().over(within) - 1).cast("long").alias(row),
         *[(F.col(f"__of_{k}") + F.sum(c).over(within) - F.col(c)).alias(k) for k, c in sums.items()],
     )
-    return placed
 
 
 def numbered_within(rows: DataFrame, by: list[str], order: list[str | Column], sums: dict[str, str] | None = None, row: str = "row") -> DataFrame:
