@@ -106,7 +106,7 @@ def draw(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     if least is None:
         return rows.withColumn("rank", never)
     high = F.col("eligible") & (F.col("score") >= least)
-    placed = numbered(rows.where(high), [F.desc("score"), F.asc_nulls_last("doc_id"), "n_features"], row="rank", deal=[F.desc("score"), F.asc_nulls_last("doc_id"), "n_features", "__tie"])
+    placed = numbered(rows.where(high), [F.desc("score"), F.asc_nulls_last("doc_id"), "n_features"], row="rank")
     placed = placed.withColumn("rank", F.when(F.col("rank") < wanted, F.col("rank") + 1))
     return placed.unionByName(rows.where(~high).withColumn("rank", never))
 

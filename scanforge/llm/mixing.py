@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanforge.llm.common import let, n_words_of, numbered, written
+from scanforge.llm.common import let, n_words_of, numbered, row_hash, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -182,7 +182,7 @@ def _dealt(rows: DataFrame, items: DataFrame) -> DataFrame:
     if items.where("m > 1").isEmpty():
         return once
     again = written(joined.where("m > 1").withColumn("id", F.monotonically_increasing_id()), "mix-repeated")
-    placed = written(numbered(again.select("item", "m", "copies", "id", F.xxhash64("whole").alias("h")), ["item", "h"]), "mix-places")
+    placed = written(numbered(again.select("item", "m", "copies", "id", row_hash(again.schema["whole"].dataType, "whole").alias("h")), ["item", "h"]), "mix-places")
     firsts = placed.groupBy("item").agg(F.min("row").alias("first"))
     extra = F.when(F.col("row") - F.col("first") < F.pmod("copies", "m"), 1).otherwise(0)
     share = placed.join(firsts, "item").select("id", (F.expr("copies div m") + extra).alias("n"))
