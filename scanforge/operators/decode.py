@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scanforge.tables import in_ranges, join_on, numbered_within, written
+
 #: Fixed values of the format.
 RECORD_END = "\x03"
 BLOCKS = r"DIST1|RSSI1|DIST2|RSSI2"
@@ -47,20 +49,39 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 def encoder_steps(df: DataFrame, order: str = "line", by: tuple[str, ...] = ("scan_id",)) -> DataFrame:
     """``increment``: encoder counts since the line before, over the wrap at its top; 0 on the first line.
 
-    In the last five lines a decrease isn't a wrap: the increment before it is repeated.
+    In the last five lines a decrease isn't a wrap: the increment before it is repeated.  ``order`` tells a scan's lines apart.
+
+    The lines' keys and encoders go to ranges; windows run within a range, and one border row of each range carries the last
+    encoder, and then the last increment, on to the next.
     """
-    w = Window.partitionBy(*by).orderBy(order)
-    df = df.withColumns({"_before": F.lag("encoder").over(w), "_n": F.row_number().over(w), "_all": F.count("*").over(Window.partitionBy(*by))})
-    fell, tail = F.col("encoder") < F.col("_before"), F.col("_n") > F.col("_all") - TAIL_ROWS
-    step = F.when(F.col("_before").isNull(), 0).when(fell & tail, None).when(fell, ENCODER_TOP - F.col("_before") + F.col("encoder")).otherwise(F.col("encoder") - F.col("_before"))
-    df = df.withColumn("_step", step.cast("long"))
-    return df.withColumn("increment", F.last("_step", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_before", "_n", "_all", "_step")
+    lines = in_ranges(df.select(*by, order, "encoder"), [*by, order])
+    spot = ["__range", *by]
+    here = Window.partitionBy(*spot).orderBy(order)
+    earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    ends = lines.groupBy(*spot).agg(F.max_by("encoder", order).alias("_end"))
+    carried = ends.select(*spot, F.last("_end").over(earlier).alias("_carried"))
+    backwards = Window.partitionBy(*spot).orderBy(F.desc(order))
+    late = lines.withColumn("_r", F.row_number().over(backwards)).where(F.col("_r") <= TAIL_ROWS)  # five rows a range
+    late = late.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))).where(F.col("_r") <= TAIL_ROWS)
+    tail = late.groupBy(*by).agg(F.min(order).alias("_tail"))
+    rows = join_on(join_on(lines, carried, spot), tail, list(by))
+    before = F.coalesce(F.lag("encoder").over(here), "_carried")
+    rows = rows.withColumn("_before", before)
+    fell = F.col("encoder") < F.col("_before")
+    step = F.when(F.col("_before").isNull(), 0).when(fell & (F.col(order) >= F.col("_tail")), None).when(fell, ENCODER_TOP - F.col("_before") + F.col("encoder")).otherwise(F.col("encoder") - F.col("_before"))
+    steps = written(rows.select(*spot, order, step.cast("long").alias("_step")), "encoder-steps")
+    ends = steps.groupBy(*spot).agg(F.max_by("_step", F.when(F.col("_step").isNotNull(), F.col(order))).alias("_end"))
+    carried = ends.select(*spot, F.last("_end", True).over(earlier).alias("_carried"))
+    own = F.last("_step", True).over(here.rowsBetween(Window.unboundedPreceding, 0))
+    made = join_on(steps.withColumn("_own", own), carried, spot).select(*by, order, F.coalesce("_own", "_carried").alias("increment"))
+    return join_on(df, made, [*by, order])
 
 
 def running_azimuth(df: DataFrame, order: str = "line", by: tuple[str, ...] = ("scan_id",)) -> DataFrame:
-    """Degrees turned so far."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("turned", F.sum("increment").over(w) * DEGREES_PER_COUNT)
+    """Degrees turned so far: prefix sums over ranges of lines."""
+    placed = numbered_within(df.select(*by, order, "increment"), list(by), [order], {"_before": "increment"}, "_place")
+    turned = placed.select(*by, order, ((F.col("_before") + F.col("increment")) * DEGREES_PER_COUNT).alias("turned"))
+    return join_on(df, turned, [*by, order])
 
 
 def pulses(lines: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanforge.tables import join_on
+
 
 def ball(spark: SparkSession, step: int = 5, zenith: tuple[int, int] = (0, 180), line_every: int = 30) -> DataFrame:
     """Unit ball on an angular grid, one point each ``step`` degrees, with red parallels and blue meridians."""
@@ -18,6 +20,24 @@ def ball(spark: SparkSession, step: int = 5, zenith: tuple[int, int] = (0, 180),
     )
 
 
+def balls(points: DataFrame, by: tuple[str, ...] = ("scan_id",), step: int = 5, zenith: tuple[int, int] = (0, 180), line_every: int = 30) -> DataFrame:
+    """by.. and ``ball``'s columns: a ball around each scan's centroid, as far out as the scan's points are on average."""
+    centre = points.groupBy(*by).agg(*[F.avg(a).alias(f"_c{a}") for a in "XYZ"])
+    placed = join_on(points, centre, list(by))
+    far = F.sqrt(sum((F.pow(F.col(a) - F.col(f"_c{a}"), 2) for a in "XYZ"), F.lit(0.0)))
+    spans = placed.groupBy(*by).agg(*[F.first(f"_c{a}").alias(f"_c{a}") for a in "XYZ"], F.avg(far).alias("_far"))  # one row a scan
+    shape = ball(points.sparkSession, step, zenith, line_every)
+    return spans.crossJoin(F.broadcast(shape)).select(*by, "azimuth", "zenith", *[(F.col(f"_c{a}") + F.col("_far") * F.col(a)).alias(a) for a in "XYZ"], "r", "g", "b")  # a fixed grid for each scan
+
+
+def cubes(points: DataFrame, by: tuple[str, ...] = ("scan_id",), samples: int = 10) -> DataFrame:
+    """by.. and ``cube``'s columns: the faces of each scan's bounding box."""
+    box = points.groupBy(*by).agg(*[fn(a).alias(f"_{k}{a}") for a in "XYZ" for k, fn in (("lo", F.min), ("hi", F.max))])  # one row a scan
+    shape = cube(points.sparkSession, samples)
+    middle = lambda a: (F.col(f"_lo{a}") + F.col(f"_hi{a}")) / 2
+    return box.crossJoin(F.broadcast(shape)).select(*by, *[(middle(a) + (F.col(f"_hi{a}") - F.col(f"_lo{a}")) / 2 * F.col(a)).alias(a) for a in "XYZ"], "r", "g", "b")  # fixed faces for each scan
+
+
 FACES = ((0, 1.0, 255, 0, 0), (0, -1.0, 0, 255, 0), (1, 1.0, 0, 0, 255), (1, -1.0, 255, 255, 0), (2, 1.0, 255, 0, 255), (2, -1.0, 0, 255, 255))
 
 

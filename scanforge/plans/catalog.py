@@ -433,11 +433,10 @@ def _a32(s, d):
 # Joins
 
 
-@query("j1_attach_labels", "SELECT doc_id AS point_id, source AS scan_id, n_chars, quality AS label FROM documents JOIN labels USING (doc_id)")
+@query("j1_attach_labels", f"WITH {VECTORS} SELECT point_id, round(X, 6) AS \"X\", label FROM v2 JOIN embeddings ON vec_id = point_id")
 def _j1(s, d):
-    labels = views.read(s, d, "labels").select(F.col("doc_id").alias("point_id"), F.col("quality").alias("label"))
-    frame = views.read(s, d, "documents").select(F.col("doc_id").alias("point_id"), F.col("source").alias("scan_id"), "n_chars")
-    return raster.attach_labels(frame.join(labels, "point_id", "left_semi"), labels, ("point_id",)).select("point_id", "scan_id", "n_chars", "label")
+    labels = views.read(s, d, "embeddings").select(F.col("vec_id").alias("point_id"), "label")
+    return raster.attach_labels(views.vectors(s, d).select("point_id", "X"), labels, ("point_id",)).select("point_id", *r6("X"), "label")
 
 
 @query(
@@ -911,7 +910,7 @@ def _w3(s, d):
     return image.noise(v, ["X"]).agg(F.count("X").alias("n"), F.round(F.sum(F.col("X") * F.col("X")), 6).alias("energy"))
 
 
-_RAW = """e AS (SELECT event_type, event_id // 10 AS ten, event_id, floor(value * 100)::BIGINT AS h FROM events),
+_RAW = """e AS (SELECT event_type || '-' || (event_id // 2000) AS event_type, event_id // 10 AS ten, event_id, floor(value * 100)::BIGINT AS h FROM events),
     l AS (SELECT event_type, ten, count(*) AS n_pulses, ten * 25 % 16384 AS enc, row_number() OVER (PARTITION BY event_type ORDER BY ten) - 1 AS line FROM e GROUP BY 1, 2)"""
 
 
@@ -936,8 +935,9 @@ def _a29(s, d):
 
 
 def _raw_scans(s: SparkSession, d: str) -> DataFrame:
-    """Raw scanner text made of events: ten pulses a line, a file for each event type."""
-    e = views.read(s, d, "events").select("event_type", "event_id", F.hex(F.floor(F.col("value") * 100).cast("long")).alias("h"), (F.floor(F.col("event_id") / 10)).alias("line"))
+    """Raw scanner text made of events: ten pulses a line, for each event type a file of two hundred lines at most."""
+    name = F.concat("event_type", F.lit("-"), F.floor(F.col("event_id") / 2000).cast("string")).alias("event_type")
+    e = views.read(s, d, "events").select(name, "event_id", F.hex(F.floor(F.col("value") * 100).cast("long")).alias("h"), (F.floor(F.col("event_id") / 10)).alias("line"))
     lines = e.groupBy("event_type", "line").agg(F.sort_array(F.collect_list(F.struct("event_id", "h"))).alias("v"))
     values = F.array_join(F.transform("v", lambda x: x["h"]), " ")
     block = lambda name: F.concat(F.lit(f"{name} 3F800000 00000000 0 9C4 A "), values, F.lit(" "))
@@ -1005,21 +1005,29 @@ def _st(s, d):
 # Generators
 
 
+_BALL = """g AS (SELECT (i % 72) * 5::DOUBLE AS azimuth, (i // 72) * 5::DOUBLE AS zenith FROM range(72 * 37) r(i)),
+    b AS (SELECT azimuth, zenith, sin(radians(zenith)) * cos(radians(azimuth)) AS X, sin(radians(zenith)) * sin(radians(azimuth)) AS Y, cos(radians(zenith)) AS Z,
+    CASE WHEN least(zenith % 30, 30 - zenith % 30) <= 0.2 THEN 255 ELSE 0 END AS r, 0 AS g, CASE WHEN least(azimuth % 30, 30 - azimuth % 30) <= 0.2 THEN 255 ELSE 0 END AS b FROM g)"""
+
+
 @query(
     "n1_ball",
-    """WITH g AS (SELECT (i % 72) * 5::DOUBLE AS azimuth, (i // 72) * 5::DOUBLE AS zenith FROM range(72 * 37) r(i))
-    SELECT azimuth, zenith, round(sin(radians(zenith)) * cos(radians(azimuth)), 6) AS \"X\", round(sin(radians(zenith)) * sin(radians(azimuth)), 6) AS \"Y\", round(cos(radians(zenith)), 6) AS \"Z\",
-    CASE WHEN least(zenith % 30, 30 - zenith % 30) <= 0.2 THEN 255 ELSE 0 END AS r, 0 AS g, CASE WHEN least(azimuth % 30, 30 - azimuth % 30) <= 0.2 THEN 255 ELSE 0 END AS b FROM g""",
+    f"""WITH {POINTS}, {_BALL}, c AS (SELECT scan_id, avg(X) AS cx, avg(Y) AS cy, avg(Z) AS cz FROM v1 GROUP BY 1),
+    f AS (SELECT scan_id, any_value(cx) AS cx, any_value(cy) AS cy, any_value(cz) AS cz, avg(sqrt((X - cx) * (X - cx) + (Y - cy) * (Y - cy) + (Z - cz) * (Z - cz))) AS far FROM v1 JOIN c USING (scan_id) GROUP BY 1)
+    SELECT scan_id, azimuth, zenith, round(cx + far * X, 4) AS "X", round(cy + far * Y, 4) AS "Y", round(cz + far * Z, 4) AS "Z", r, g, b FROM f, b""",
 )
 def _n1(s, d):
-    return generate.ball(s).select("azimuth", "zenith", *r6("X", "Y", "Z"), "r", "g", "b")
+    out = generate.balls(views.points(s, d))
+    return out.select("scan_id", "azimuth", "zenith", *[F.round(a, 4).alias(a) for a in "XYZ"], "r", "g", "b")
 
 
 @query(
     "n2_cube",
-    """WITH f(axis, sgn, r, g, b) AS (VALUES (0, 1, 255, 0, 0), (0, -1, 0, 255, 0), (1, 1, 0, 0, 255), (1, -1, 255, 255, 0), (2, 1, 255, 0, 255), (2, -1, 0, 255, 255)),
-    p AS (SELECT -1 + (i % 10) * (2 / 9::DOUBLE) AS u, -1 + (i // 10) * (2 / 9::DOUBLE) AS v FROM range(100) t(i))
-    SELECT round(CASE WHEN axis = 0 THEN sgn ELSE u END, 6) AS \"X\", round(CASE axis WHEN 1 THEN sgn WHEN 0 THEN u ELSE v END, 6) AS \"Y\", round(CASE WHEN axis = 2 THEN sgn ELSE v END, 6) AS \"Z\", r, g, b FROM p, f""",
+    f"""WITH {POINTS}, f(axis, sgn, r, g, b) AS (VALUES (0, 1, 255, 0, 0), (0, -1, 0, 255, 0), (1, 1, 0, 0, 255), (1, -1, 255, 255, 0), (2, 1, 255, 0, 255), (2, -1, 0, 255, 255)),
+    p AS (SELECT -1 + (i % 10) * (2 / 9::DOUBLE) AS u, -1 + (i // 10) * (2 / 9::DOUBLE) AS v FROM range(100) t(i)),
+    c AS (SELECT CASE WHEN axis = 0 THEN sgn ELSE u END AS X, CASE axis WHEN 1 THEN sgn WHEN 0 THEN u ELSE v END AS Y, CASE WHEN axis = 2 THEN sgn ELSE v END AS Z, r, g, b FROM p, f),
+    o AS (SELECT scan_id, (min(X) + max(X)) / 2 AS cx, (max(X) - min(X)) / 2 AS hx, (min(Y) + max(Y)) / 2 AS cy, (max(Y) - min(Y)) / 2 AS hy, (min(Z) + max(Z)) / 2 AS cz, (max(Z) - min(Z)) / 2 AS hz FROM v1 GROUP BY 1)
+    SELECT scan_id, round(cx + hx * X, 4) AS "X", round(cy + hy * Y, 4) AS "Y", round(cz + hz * Z, 4) AS "Z", r, g, b FROM o, c""",
 )
 def _n2(s, d):
-    return generate.cube(s).select(*r6("X", "Y", "Z"), "r", "g", "b")
+    return generate.cubes(views.points(s, d)).select("scan_id", *[F.round(a, 4).alias(a) for a in "XYZ"], "r", "g", "b")

@@ -111,6 +111,19 @@ def _offsets(totals: DataFrame, names: list[str]) -> DataFrame:
     return both.select("__range", *[(F.col(c) + F.col(f"{c}_")).alias(c) for c in names])
 
 
+def in_ranges(rows: DataFrame, order: list[str | Column]) -> DataFrame:
+    """``rows`` written in ranges of ``order``, with ``__range`` and ``__tie``, a number that tells equal rows apart; a range is bounded in rows and bytes."""
+    held = rows if id(rows) in _paths else written(rows, "to-number")
+    n = held.count()
+    wanted = max(-(-n // RANGE_ROWS), -(-_stored_bytes(held) // RANGE_BYTES))
+    n_parts = max(1, wanted, min(-(-n // LEAST_ROWS), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    tied = held.withColumn("__tie", F.monotonically_increasing_id())
+    ranged = written(tied.repartitionByRange(n_parts, *order).withColumn("__range", F.spark_partition_id()), "ranges")
+    if held is not rows:
+        drop(held)
+    return ranged
+
+
 def numbered(rows: DataFrame, order: list[str | Column], sums: dict[str, str] | None = None, row: str = "row", deal: list[str | Column] | None = None) -> DataFrame:
     """``rows`` with ``row`` (place in ``order``, from 0) and, for each of ``sums`` (name: column), the column's sum before the row.
 
@@ -120,15 +133,8 @@ def numbered(rows: DataFrame, order: list[str | Column], sums: dict[str, str] |
     it must never decrease along the order.
     """
     sums = sums or {}
-    spark, keys = rows.sparkSession, [*order, F.col("__tie")]
-    held = rows if id(rows) in _paths else written(rows, "to-number")
-    n = held.count()
-    wanted = max(-(-n // RANGE_ROWS), -(-_stored_bytes(held) // RANGE_BYTES))
-    n_parts = max(1, wanted, min(-(-n // LEAST_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    tied = held.withColumn("__tie", F.monotonically_increasing_id())
-    ranged = written(tied.repartitionByRange(n_parts, *(deal or keys)).withColumn("__range", F.spark_partition_id()), "ranges")
-    if held is not rows:
-        drop(held)
+    keys = [*order, F.col("__tie")]
+    ranged = in_ranges(rows, deal or keys)
     totals = ranged.groupBy("__range").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__of_{k}") for k, c in sums.items()])
     offsets = written(_offsets(totals, ["__n", *[f"__of_{k}" for k in sums]]), "range-offsets")
     within = Window.partitionBy("__range").orderBy(*keys)

@@ -8,7 +8,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from scanforge.operators import blobs, geom, image, points, profile, raster, raster_tiles, refine, segments, spatial, tiles
+from scanforge import tables
+from scanforge.operators import blobs, decode, geom, image, points, profile, raster, raster_tiles, refine, segments, spatial, tiles
 
 
 def rows_of(spark, frame, schema):
@@ -256,3 +257,24 @@ def test_filtered_resize(spark, kind, new):
             assert np.allclose(out, want, atol=1e-9)
     same = raster.resize(df, 12, 17, 12, 17, ["v"]).where("scan_id = 'a' and y_pix = 3 and x_pix = 4").first()
     assert same.v == pytest.approx(images["a"][3, 4], abs=1e-9)
+
+
+def test_encoder_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(tables, "RANGE_ROWS", 7)
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for scan, n in (("a", 60), ("b", 23), (None, 4)):
+        values = np.cumsum(rng.integers(0, 3000, n)) % 16384
+        values[-3:] = values[-3:][::-1]  # a fall in the last lines
+        before, turned = 0, 0
+        for i, v in enumerate(values.tolist()):
+            step = 0 if i == 0 else v - values[i - 1]
+            if step < 0:
+                step = before if i >= n - 5 else 16383 + step
+            before, turned = int(step), turned + int(step)
+            want[scan, i] = (before, turned / 250)
+            rows.append((scan, i, v))
+    df = spark.createDataFrame(rows, "scan_id string, line long, encoder long").repartition(5)
+    got = decode.running_azimuth(decode.encoder_steps(df)).collect()
+    assert {(r.scan_id, r.line): r.increment for r in got} == {k: v[0] for k, v in want.items()}
+    assert all(r.turned == pytest.approx(want[r.scan_id, r.line][1], abs=1e-9) for r in got) and len(got) == len(rows)
