@@ -14,9 +14,8 @@ their counts in the chunk, into parts by key range; each part adds up what all c
 every chunk in the order of its keys.  Round 1 asks for the words, round k for the n-grams of order k; those
 with a shorter n-gram below KEPT cannot reach KEPT themselves and are not asked for.  Of the chunks that hold a
 kept n-gram one is told to own it: it alone adds the n-gram to the sums of its context, which the next round gathers in
-the same way.  Last, each chunk scores its texts from the answers.
-
-``fit`` gathers the same model as one automaton, for small corpora and for tests.
+the same way.  Last, each chunk builds the part of the automaton that its texts can meet from the answers, and scores them by one
+traversal from left to right, which carries the state and takes failure arcs where a state has no arc for the next word.
 
 Defined cases: null or empty texts are the end token alone; a null id hashes as an empty
 string; repeated rows count and are scored each; without training documents every word is
@@ -45,6 +44,8 @@ KEPT = 2
 DISCOUNT = 0.75
 FOLDS, HELD_FOLD = 7, 2
 CHUNK_BYTES = 6 << 20
+#: Long texts are walked in segments of so many tokens, side by side.
+SEGMENT = 128
 PART_TOKENS, LEAST_PARTS, MOST_PARTS = 1_000_000, 32, 1 << 14
 END = np.uint64(xxhash.xxh64_intdigest(b" end of text"))  # no word holds a space
 
@@ -55,42 +56,49 @@ def held_out(doc_id: int | None) -> bool:
 
 @dataclass(frozen=True)
 class Automaton:
-    """States and arcs as sorted arrays.
+    """The states and arcs that a chunk's texts can meet, as sorted arrays; state 0 is the empty context.
 
-    ``words``: ascending hashes of the words seen KEPT times; state of order 1 is a word's place there.
-    ``arcs[k]``: ascending keys (state of order k + 1) * len(words) + word, their shares, and
-    whether the n-gram so reached is a state of order k + 2 (its place in the keys).
-    ``fail[k]``: the mass that each state of order k + 1 leaves to the shorter one.
+    ``keys``: ascending state * n_words + word of each arc, ``to`` the state it leads to, ``logs`` its log10 probability.
+    ``fail`` and ``fail_logs``: each state's next shorter one, and log10 of the mass left to it.  Every word has an arc from state 0.
     """
 
-    words: np.ndarray
-    unknown: float
-    n_tokens: int
-    arcs: tuple[np.ndarray, ...]
-    shares: tuple[np.ndarray, ...]
-    fail: tuple[np.ndarray, ...]
-
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        return np.where(counts > 0, (1 - self.unknown) * counts / max(self.n_tokens, 1), self.unknown)
+    n_words: int
+    keys: np.ndarray
+    to: np.ndarray
+    logs: np.ndarray
+    fail: np.ndarray
+    fail_logs: np.ndarray
+    order: int
 
-    def traverse(self, places: np.ndarray, first: np.ndarray, unigrams: np.ndarray) -> np.ndarray:
-        """log10 probability of each token.
+    def walk(self, words_: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """log10 probability of each token, by one traversal from left to right that carries the state; ``bounds``: the texts' ranges of tokens.
 
-        places: each token's place in ``words`` (-1: not there); first: starts of texts.
+        Texts are walked side by side, long ones in segments: a state depends on the last order - 1 tokens, so a segment begins
+        that many tokens earlier with the empty context.
         """
-        p = unigrams
-        state = np.r_[-1, places[:-1]] if len(places) else places
-        state = np.where(first, -1, state)
-        for k in range(len(self.arcs)):
-            inside = state >= 0
-            if not inside.any() or not len(self.fail[k]):
-                break
-            left = np.where(inside, self.fail[k][np.maximum(state, 0)], 1.0)
-            arc = _place(self.arcs[k], np.where(inside & (places >= 0), state * len(self.words) + places, -1))
-            share = self.shares[k][np.maximum(arc, 0)] if len(self.shares[k]) else 0.0
-            p = left * p + np.where(arc >= 0, share, 0.0)
-            state = np.where(first, -1, np.r_[-1, arc[:-1]])  # the arc taken before leads to the longer state
-        return np.log10(p)
+        parts = -(-np.diff(bounds) // SEGMENT)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        first, last = np.repeat(bounds[:-1], parts) + nth * SEGMENT, np.repeat(bounds[1:], parts)
+        last = np.minimum(first + SEGMENT, last)
+        since = np.maximum(first - (self.order - 1), np.repeat(bounds[:-1], parts))
+        by = np.argsort(since - last, kind="stable")  # longest first
+        first, last, since = first[by], last[by], since[by]
+        sizes, state, out = last - since, np.zeros(len(by), dtype=np.int64), np.zeros(len(words_))
+        for t in range(int(sizes[0]) if len(sizes) else 0):
+            n = int(np.searchsorted(-sizes, -t, side="left"))  # those with more than t tokens
+            at = since[:n] + t
+            word, log, open_ = words_[at], np.zeros(n), np.arange(n)
+            while len(open_):
+                arc = _place(self.keys, state[open_] * self.n_words + word[open_])
+                met = open_[arc >= 0]
+                log[met] += self.logs[arc[arc >= 0]]
+                state[met] = self.to[arc[arc >= 0]]
+                open_ = open_[arc < 0]
+                log[open_] += self.fail_logs[state[open_]]
+                state[open_] = self.fail[state[open_]]
+            own = at >= first[:n]
+            out[at[own]] = log[own]
+        return out
 
 
 def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -163,67 +171,6 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {c: batch.column(c)[i].as_py() for c in batch.schema.names}
 
 
-def _ngram_counts(chunks: DataFrame, words_: np.ndarray, states: np.ndarray | None) -> DataFrame:
-    """(key, n) of the training n-grams that extend a state (order 2 if ``states`` is None) by a word of ``words_``."""
-    shared = chunks.sparkSession.sparkContext.broadcast((words_, states))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_words, own_states = shared.value
-        for batch in batches:
-            for row in _rows(batch):
-                place = _place(own_words, _hashes(row))[_unpack(row["codes"]).astype(np.int64)]
-                bounds = _unpack(row["bounds"]).astype(np.int64)
-                start = np.zeros(len(place), dtype=bool)
-                start[bounds[:-1]] = True
-                train = np.repeat([not held_out(i) for i in row["ids"]], np.diff(bounds))
-                state = np.where(start, -1, np.r_[-1, place[:-1]])
-                if own_states is not None:
-                    arc = _place(own_states, np.where((state >= 0) & (place >= 0), state * len(own_words) + place, -1))
-                    state = np.where(start, -1, np.r_[-1, arc[:-1]])
-                keys, n = np.unique((state * len(own_words) + place)[(state >= 0) & (place >= 0) & train], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
-
-    counted = chunks.select("ids", "bounds", "codes", "hashes").mapInArrow(count, "key long, n long")
-    return counted.groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def fit(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame, Automaton, int]:
-    """(chunks, word counts, automaton, distinct training words); gathers the whole model, see ``score`` for large corpora."""
-    chunks = _chunks(docs)
-
-    def dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in _rows(batch):
-                counts = _unpack(row["counts"]).astype(np.int64)
-                seen = counts > 0
-                yield pa.RecordBatch.from_arrays([pa.array(_hashes(row)[seen].astype(np.int64)), pa.array(counts[seen])], names=["h", "n"])
-
-    counts = written(chunks.select("hashes", "counts").mapInArrow(dictionary, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "lm-counts")
-    one = lambda k: F.coalesce(F.sum(F.when(F.col("c") == k, 1)), F.lit(0)).cast("long")
-    total, distinct, once = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).cast("long"), F.count("*"), one(1)).first()
-    frequent = counts.where(F.col("c") >= KEPT).toArrow()
-    hashes = frequent.column("h").to_numpy().astype(np.uint64)
-    order_of = np.argsort(hashes)
-    hashes, context = hashes[order_of], frequent.column("c").to_numpy()[order_of]
-    arcs, shares, fails = [], [], []
-    states = None
-    for _ in range(order - 1):
-        rows = _ngram_counts(chunks, hashes, states).where(F.col("n") >= KEPT).toArrow()
-        keys = rows.column("key").to_numpy().astype(np.int64)
-        by = np.argsort(keys)
-        keys, n = keys[by], rows.column("n").to_numpy()[by]
-        share = (n - DISCOUNT) / context[keys // max(len(hashes), 1)] if len(keys) else np.empty(0)
-        left = 1.0 - np.bincount(keys // max(len(hashes), 1), weights=share, minlength=len(context)) if len(keys) else np.ones(len(context))
-        arcs.append(keys)
-        shares.append(share)
-        fails.append(left)
-        states, context = keys, n
-        if not len(keys):
-            break
-    unknown = (once + 0.5) / (total + 1)
-    return chunks, counts, Automaton(hashes, float(unknown), int(total), tuple(arcs), tuple(shares), tuple(fails)), int(distinct)
-
-
 #: A question or answer: what it is about, the part that answers, the chunk, keys and two columns of numbers.
 _TALK = "about int, part int, chunk long, keys binary, a binary, b binary"
 _NAMES = ["about", "part", "chunk", "keys", "a", "b"]
@@ -281,11 +228,12 @@ def _answer(questions: pa.Table) -> pa.Table:
 class _Level:
     """The distinct n-grams of one order in a chunk that may be kept, and the answers about them.
 
-    ``place``: the n-gram that ends at each token, -1 if none; ``context``: each n-gram's place in the level before.
+    ``place``: the n-gram that ends at each token, -1 if none; ``context`` and ``shorter``: the places in the level before of each
+    n-gram without its last and without its first word.
     """
 
-    def __init__(self, keys: np.ndarray, place: np.ndarray, context: np.ndarray | None, own: np.ndarray) -> None:
-        self.keys, self.place, self.context, self.own = keys, place, context, own
+    def __init__(self, keys: np.ndarray, place: np.ndarray, context: np.ndarray | None, shorter: np.ndarray | None, own: np.ndarray) -> None:
+        self.keys, self.place, self.context, self.shorter, self.own = keys, place, context, shorter, own
 
     def counted(self, told: np.ndarray) -> None:
         self.n, self.owner = (told >> np.uint64(1)).astype(np.int64), (told & np.uint64(1)).astype(bool)
@@ -318,7 +266,7 @@ class _Chunk:
         rank[by] = np.arange(len(by))
         words_ = rank[tokens]
         own = np.bincount(words_[self.train], minlength=len(by))
-        self.levels = [_Level(hashes[by], words_, None, own)]
+        self.levels = [_Level(hashes[by], words_, None, None, own)]
         while self._counted() and len(self.levels) < order:
             self.levels.append(self._next(words_))
 
@@ -338,7 +286,7 @@ class _Chunk:
         keys, first, place = np.unique(_mix(top.keys[context], self.levels[0].keys[words_[at]]), return_index=True, return_inverse=True)
         places = np.full(len(words_), -1, dtype=np.int32)
         places[at] = place
-        return _Level(keys, places, context[first], np.bincount(place[self.train[at]], minlength=len(keys)))
+        return _Level(keys, places, context[first], top.place[at[first]], np.bincount(place[self.train[at]], minlength=len(keys)))
 
     def leaving(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The numbers and the count sums of the arcs that leave the kept n-grams of order ``k``."""
@@ -359,24 +307,37 @@ class _Chunk:
             rows += _ask(_LEAVING + k - 2, self.chunk, parts, state.keys[state.kept], number[state.kept], total[state.kept])
         return rows
 
-    def logs(self, unknown: float, n_tokens: int) -> np.ndarray:
-        """log10 probability of each token."""
-        words_ = self.levels[0]
-        c = words_.n[words_.place]
-        p = np.where(c > 0, (1 - unknown) * c / max(n_tokens, 1), unknown)
+    def automaton(self, unknown: float, n_tokens: int) -> Automaton:
+        """The automaton of this chunk's kept n-grams: an arc's probability is its context's mass left times the shorter arc's, plus its own discounted share."""
+        order, top = max(len(self.levels), 1), self.levels[0]
+        p = np.where(top.n > 0, (1 - unknown) * top.n / max(n_tokens, 1), unknown)
+        lasts = np.arange(len(top.keys))
+        to, n_states = np.where(top.kept & (order > 1), 1 + np.cumsum(top.kept) - 1, 0), 1 + (int(top.kept.sum()) if order > 1 else 0)
+        keys, tos, logs = [lasts], [to], [np.log10(p)]
+        fail, fail_logs = [np.zeros(n_states, np.int64)], [np.zeros(1)]
         for k in range(1, len(self.levels)):
             state, arc = self.levels[k - 1], self.levels[k]
-            before = np.r_[np.int32(-1), state.place[:-1]]
-            before[self.first] = -1
-            at = np.flatnonzero(before >= 0)
-            at = at[state.kept[before[at]]]
-            held = before[at]
-            p[at] *= state.left(*self.leaving(k))[held]
-            taken = arc.place[at]
-            has = taken >= 0
-            has[has] = arc.kept[taken[has]]
-            p[at[has]] += (arc.n[taken[has]] - DISCOUNT) / state.n[held[has]]
-        return np.log10(p)
+            left = state.left(*self.leaving(k))
+            fail_logs.append(np.log10(left[state.kept]))
+            states, g = to, np.flatnonzero(arc.kept)
+            full = np.zeros(len(arc.keys))
+            context, shorter = arc.context[g], arc.shorter[g]
+            full[g] = left[context] * p[shorter] + (arc.n[g] - DISCOUNT) / state.n[context]
+            lasts = lasts[arc.shorter]
+            to = np.zeros(len(arc.keys), np.int64)
+            if k < order - 1:
+                to[g] = n_states + np.arange(len(g))
+                fail.append(states[shorter])
+                n_states += len(g)
+            else:
+                to[g] = states[shorter]
+            keys.append(states[context] * len(top.keys) + lasts[g])
+            tos.append(to[g])
+            logs.append(np.log10(full[g]))
+            p = full
+        whole = np.concatenate(keys)
+        by = np.argsort(whole)
+        return Automaton(len(top.keys), whole[by], np.concatenate(tos)[by], np.concatenate(logs)[by], np.concatenate(fail), np.concatenate(fail_logs), order)
 
 
 def _round(chunks: DataFrame, answers: DataFrame | None, k: int, order: int, parts: int) -> DataFrame:
@@ -395,8 +356,8 @@ def _round(chunks: DataFrame, answers: DataFrame | None, k: int, order: int, par
     return written(asked.groupBy("about", "part").applyInArrow(_answer, _TALK), f"lm-round-{k}")
 
 
-def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+def answered(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame, int, int, float]:
+    """(chunks, what all rounds answered them, training tokens, distinct training words, probability of an unknown word)."""
     chunks = _chunks(docs)
     tokens = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     parts = min(max(-(-tokens // PART_TOKENS), LEAST_PARTS), MOST_PARTS)
@@ -406,7 +367,12 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     answers = answers.where(F.col("about") != _TOTALS)
     for k in range(2, order + 2 if order > 1 else 2):
         answers = answers.unionAll(_round(chunks, answers, k, order, parts))
-    unknown = (once + 0.5) / (n_tokens + 1)
+    return chunks, answers, n_tokens, distinct, (once + 0.5) / (n_tokens + 1)
+
+
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    chunks, answers, n_tokens, distinct, unknown = answered(docs, order)
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -418,7 +384,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 by_doc = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731, B023
                 out.append(pa.table({
                     "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([held_out(i) for i in ids]), "n_tokens": pa.array(np.diff(bounds)), "n_known": pa.array(by_doc((c > 0).astype(np.int64))),
-                    "train_tokens": pa.array(np.full(len(ids), n_tokens, dtype=np.int64)), "base_score": pa.array(by_doc(np.log10((c + 1) / (n_tokens + distinct + 1)))), "score": pa.array(by_doc(own.logs(unknown, n_tokens))),
+                    "train_tokens": pa.array(np.full(len(ids), n_tokens, dtype=np.int64)), "base_score": pa.array(by_doc(np.log10((c + 1) / (n_tokens + distinct + 1)))), "score": pa.array(by_doc(own.automaton(unknown, n_tokens).walk(words_.place, bounds))),
                 }))
         empty = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         return pa.concat_tables(out) if out else empty.empty_table()

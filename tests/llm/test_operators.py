@@ -329,7 +329,10 @@ def test_cut_joins_to_the_text():
         assert "".join(pieces[c] for c in codes[offsets[i] : offsets[i + 1]]) == (t or "")
 
 
-def test_nearest_neighbours(spark):
+def test_nearest_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)  # several rounds of queries, one chunk at a time
+    monkeypatch.setattr(ann, "QUERY_BYTES", 1)
+    monkeypatch.setattr(ann, "GROUP", 1)
     rng = np.random.default_rng(0)
     v = rng.normal(size=(900, 16)).astype(np.float32)
     v[300:340] = v[300]  # many equal vectors
@@ -420,23 +423,24 @@ def test_scores(docs, empty):
     assert all(math.isfinite(r.score) for r in out) and lm_score.op9(empty).count() == 0
 
 
-def test_automaton_is_a_distribution_and_a_plain_model(spark):
+def test_automaton_is_a_distribution(spark, monkeypatch):
     rng = np.random.default_rng(0)
     vocabulary = list("abcdef")
     rows = [(i, " ".join(rng.choice(vocabulary, 40, p=[0.3, 0.3, 0.1, 0.1, 0.1, 0.1]))) for i in range(60)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    _, counts, model, distinct = lm_score.fit(df)
-    known = {np.uint64(lm_score.xxhash.xxh64_intdigest(w.encode())): w for w in vocabulary} | {lm_score.END: None}
-    c = {known[np.uint64(np.int64(r.h).astype(np.uint64))]: r.c for r in counts.collect()}
-    order = [known[h] for h in model.words]
-    for context in ([], ["a"], ["a", "b"]):
-        total = 0.0
-        for w in order:
-            seq = [*context, w]
-            places = np.array([order.index(x) for x in seq])
-            uni = model.unigram(np.array([c[x] for x in seq]))
-            total += 10 ** model.traverse(places, np.arange(len(seq)) == 0, uni)[-1]
-        assert total + model.unknown * np.prod([1.0]) > 0.999 and total < 1.0 + 1e-9
+    chunks, answers, n_tokens, distinct, unknown = lm_score.answered(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    (row,) = chunks.toArrow().to_pylist()
+    own = lm_score._Chunk(row, answers.toArrow(), lm_score.ORDER)
+    model, n = own.automaton(unknown, n_tokens), len(own.levels[0].keys)
+    assert n == distinct == len(vocabulary) + 1 and len(model.fail) > n + 1  # longer states than single words
+    place = {w: int(np.flatnonzero(own.levels[0].keys == np.uint64(xxhash.xxh64_intdigest(w.encode())))[0]) for w in vocabulary}
+    for context in ("", "a", "ab", "bba", "fedcb"):
+        texts = [[place[c] for c in context] + [w] for w in range(n)]
+        logs = model.walk(np.concatenate(texts), np.arange(n + 1) * (len(context) + 1))
+        assert 1 - unknown - 1e-9 < (10 ** logs.reshape(n, -1)[:, -1]).sum() < 1 + 1e-9  # the rest is for unknown words
+    long = rng.integers(0, n, 2000)
+    whole = model.walk(long, np.array([0, 700, 2000]))
+    monkeypatch.setattr(lm_score, "SEGMENT", 3)
+    assert np.array_equal(whole, model.walk(long, np.array([0, 700, 2000])))  # segments change nothing
 
 
 def brute_scores(rows, held):
