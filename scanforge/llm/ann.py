@@ -10,9 +10,9 @@ Equal vectors: beyond the ``k + 1`` smallest rows of one vector none can be amon
 since ties go to the smaller id, so the index leaves the others out and loses nothing.
 
 Fitting uses at most ``FIT_ROWS`` vectors (those with the smallest row hashes).  The index is a table of
-chunks of codes and the queries are a table of blocks; both are dealt to (block, chunk group) and
-meet there by an equi-join, so plan and broadcasts are as large for any number of queries (the
-codebooks alone are broadcast).  A task holds one block, one chunk and the best of the block so far.
+chunks of codes, which stays where it lies: the queries pass it in rounds of ``QUERY_BYTES``, each round's are
+broadcast, and a task goes through its chunks with one block of them after the other.  So no code is shuffled, what is shuffled are the
+``RERANK`` best of a query and task, and a round's broadcast is bounded however many queries there are.
 Only (query, row) pairs of the best come back to the vectors.
 
 Defined cases: vectors that are null, zero, or hold null, NaN or infinite components take no
@@ -40,8 +40,8 @@ FIT_ROWS = 16_384
 RERANK = 256
 QUERY_BLOCK = 256
 CHUNK = 8192
-#: Chunks that one task goes through for a block.
-GROUP = 128
+#: Chunks that a task holds while the blocks of queries pass, and bytes of query vectors in a round.
+GROUP, QUERY_BYTES = 64, 64 << 20
 
 
 def is_usable(vector: Column) -> Column:
@@ -215,6 +215,50 @@ def _blocks(queries: DataFrame, n_blocks: int, dim: int) -> DataFrame:
     return keyed.groupBy("block").applyInArrow(pack, "block long, q_rows binary, q binary")
 
 
+def _passed(index: Index, held: list[tuple[bytes, bytes]], rerank: int, before: DataFrame | None) -> DataFrame:
+    """(query_row, vec_row, vec_id, estimate): the best of each task for these blocks of queries, after those of ``before``."""
+    shared = index.vectors.sparkSession.sparkContext.broadcast((index.quantizer.books, index.shift, index.scale, held))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books, shift, scale, blocks = shared.value
+        own = AdditiveQuantizer(books)
+        none = (np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.int64), np.empty(0, np.int64))
+        found, chunks = [none] * len(blocks), []
+
+        def meet() -> None:
+            for k, (q_rows, q) in enumerate(blocks):
+                rows_q = np.frombuffer(q_rows, np.int64)
+                tables = own.tables(_scaled(np.frombuffer(q, np.float64).reshape(len(rows_q), -1), shift, scale))
+                for rows, ids, norms, codes in chunks:
+                    estimate = np.repeat(norms[None, :], len(rows_q), 0)
+                    for m in range(codes.shape[1]):
+                        estimate += tables[:, m, :][:, codes[:, m]]
+                    estimate[rows_q[:, None] == rows[None, :]] = np.inf
+                    most = min(len(rows), rerank)
+                    edge = np.partition(estimate, most - 1, axis=1)[:, most - 1 : most]
+                    at, column = np.nonzero((estimate <= edge) & (estimate < np.inf))
+                    f = found[k]
+                    found[k] = _best(np.r_[f[0], at], np.r_[f[1], estimate[at, column]], np.r_[f[2], ids[column]], np.r_[f[3], rows[column]], rerank)
+            chunks.clear()
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows, ids, norms = (np.frombuffer(batch.column(c)[i].as_py(), t) for c, t in (("rows", np.int64), ("ids", np.int64), ("norms", np.float32)))
+                chunks.append((rows, ids, norms, np.frombuffer(batch.column("codes")[i].as_py(), np.uint8).reshape(len(rows), -1)))
+                if len(chunks) >= GROUP:
+                    meet()
+        meet()
+        for (q_rows, _), f in zip(blocks, found, strict=True):
+            columns = [pa.array(np.frombuffer(q_rows, np.int64)[f[0]]), pa.array(f[3]), pa.array(f[2]), pa.array(f[1].astype(np.float64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_row", "vec_row", "vec_id", "estimate"])
+
+    # small tables have few files; one chunk a task is the least
+    n = index.chunks.count()
+    spread = index.chunks.repartition(min(n, int(index.chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))) if n <= 4096 else index.chunks
+    met = written(spread.select("rows", "ids", "codes", "norms").mapInArrow(search, "query_row long, vec_row long, vec_id long, estimate double"), "ann-near", batch=16)
+    return met if before is None else before.unionByName(met)
+
+
 def nearest(index: Index, queries: DataFrame, rerank: int = RERANK) -> DataFrame:
     """query_row, query_id, rank, vec_row, vec_id and score of each query's ``k`` nearest other rows.
 
@@ -225,37 +269,15 @@ def nearest(index: Index, queries: DataFrame, rerank: int = RERANK) -> DataFrame
     if not n_queries:
         return spark.createDataFrame([], "query_row long, query_id long, rank int, vec_row long, vec_id long, score double")
     dim = index.quantizer.books.shape[2]
-    n_blocks, n_groups = math.ceil(n_queries / QUERY_BLOCK), math.ceil(index.chunks.count() / GROUP)
-    upto = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias(name)
-    blocks = written(_blocks(queries, n_blocks, dim), "ann-blocks").select("*", upto(n_groups, "group"))
-    chunks = index.chunks.select("rows", "ids", "codes", "norms", F.pmod("chunk", F.lit(n_groups)).alias("group"), upto(n_blocks, "block"))
-    shared = spark.sparkContext.broadcast((index.quantizer.books, index.shift, index.scale))
-
-    def search(block: pa.Table, part: pa.Table) -> pa.Table:
-        books, shift, scale = shared.value
-        own = AdditiveQuantizer(books)
-        found = (np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.int64), np.empty(0, np.int64))
-        rows_q = np.empty(0, np.int64)
-        if block.num_rows:
-            rows_q = np.frombuffer(block.column("q_rows")[0].as_py(), np.int64)
-            q = _scaled(np.frombuffer(block.column("q")[0].as_py(), np.float64).reshape(len(rows_q), -1), shift, scale)
-            tables = own.tables(q)
-            for chunk in part.to_batches():
-                for i in range(chunk.num_rows):
-                    rows, ids, norms = (np.frombuffer(chunk.column(c)[i].as_buffer(), t) for c, t in (("rows", np.int64), ("ids", np.int64), ("norms", np.float32)))
-                    codes = np.frombuffer(chunk.column("codes")[i].as_buffer(), np.uint8).reshape(len(rows), -1)
-                    estimate = np.repeat(norms[None, :], len(q), 0)
-                    for m in range(codes.shape[1]):
-                        estimate += tables[:, m, :][:, codes[:, m]]
-                    estimate[rows_q[:, None] == rows[None, :]] = np.inf
-                    most = min(len(rows), rerank)
-                    edge = np.partition(estimate, most - 1, axis=1)[:, most - 1 : most]
-                    at, column = np.nonzero((estimate <= edge) & (estimate < np.inf))
-                    found = _best(np.r_[found[0], at], np.r_[found[1], estimate[at, column]], np.r_[found[2], ids[column]], np.r_[found[3], rows[column]], rerank)
-        return pa.table({"query_row": pa.array(rows_q[found[0]]), "vec_row": pa.array(found[3]), "vec_id": pa.array(found[2]), "estimate": pa.array(found[1].astype(np.float64))})
-
-    both = blocks.groupBy("block", "group").cogroup(chunks.groupBy("block", "group"))
-    near = both.applyInArrow(search, "query_row long, vec_row long, vec_id long, estimate double")
+    blocks = written(_blocks(queries, math.ceil(n_queries / QUERY_BLOCK), dim), "ann-blocks")
+    near, held, size = None, [], 0
+    for row in blocks.select("q_rows", "q").toLocalIterator():  # a round at a time
+        held.append((bytes(row["q_rows"]), bytes(row["q"])))
+        size += len(held[-1][1])
+        if size >= QUERY_BYTES:
+            near, held, size = _passed(index, held, rerank, near), [], 0
+    if held:
+        near = _passed(index, held, rerank, near)
     by_estimate = Window.partitionBy("query_row").orderBy("estimate", "vec_id", "vec_row")
     near = near.withColumn("place", F.row_number().over(by_estimate)).where(F.col("place") <= rerank).select("query_row", "vec_row")
     of = lambda name, rows: rows.select(F.col("row").alias(f"{name}_row"), F.col("id").alias(f"{name}_id"), F.col("v").alias(f"{name}_v"))
