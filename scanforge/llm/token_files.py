@@ -20,7 +20,7 @@ added token is encoded whole, so that the library finds the token there as it do
 The files lie in the shared folder and are opened with Arrow, under the scheme that Spark gives the path.
 
 Defined cases: a null or empty text is the end id alone; null ids come first; equal ids are
-ordered by the text's hash and position; an empty table gives an empty result; a very long text is a
+ordered by their position in the input; an empty table gives an empty result; a very long text is a
 slice of its own; further columns don't matter.
 """
 
@@ -247,7 +247,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, len
 
     n_parts = part_count(docs, F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
     keyed = docs.select("doc_id", "text").withColumn("_tie", F.monotonically_increasing_id())
-    order = ["doc_id", F.xxhash64("text"), "_tie"]
+    order = ["doc_id", "_tie"]  # the bounds are sampled without reading a text
     ranged = keyed.repartitionByRange(n_parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest = written(ranged.mapInArrow(encode, "part int, file string, index string, n_docs long, n_tokens long"), "token-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
