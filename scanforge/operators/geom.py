@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanforge.functions import geometry as g
+from scanforge.operators.orient import along_forest
 from scanforge.operators.points import with_stats
 from scanforge.operators.spatial import hybrid_neighbours, neighbour_covariances
 from scanforge.tables import join_on, written
@@ -61,10 +62,20 @@ def hybrid_features(points: DataFrame, radius: float = 0.03, max_neighbours: int
     return features.withColumns({c: F.when(flat, 0.0).otherwise(F.col(c)) for c in ("curvature", "anisotropy", "planarity")})
 
 
-def hybrid_normals(points: DataFrame, radius: float = 0.1, max_neighbours: int = 30, by: tuple[str, ...] = ()) -> DataFrame:
-    """point_id, nx, ny, nz of the nearest ``max_neighbours`` within a radius, the point itself included; turned towards the origin, so any layout of the data gives the same signs."""
-    features = eigen_features(covariances(hybrid_neighbours(points, radius, max_neighbours, least=2, by=by, include_self=True), by))
-    return normals(features, points, by).select(*by, "point_id", "nx", "ny", "nz")
+def hybrid_normals(points: DataFrame, radius: float = 0.1, max_neighbours: int = 30, by: tuple[str, ...] = (), orient: str = "origin") -> DataFrame:
+    """by.., point_id, nx, ny, nz of the nearest ``max_neighbours`` within a radius, the point itself included.
+
+    ``orient``: "origin" turns each normal towards the origin, so any layout of the data gives the same signs; "forest" turns
+    neighbours alike along a minimum spanning forest of the neighbour graph (see ``orient.along_forest``).
+    """
+    edges = hybrid_neighbours(points, radius, max_neighbours, least=2, by=by, include_self=True)
+    if orient == "forest":
+        edges = written(edges, "hybrid-edges")
+    made = normals(eigen_features(covariances(edges, by)), points, by).select(*by, "point_id", "nx", "ny", "nz")
+    if orient != "forest":
+        return made
+    placed = join_on(made, points.select(*by, "point_id", "X", "Y", "Z"), [*by, "point_id"])
+    return along_forest(placed, edges, by).select(*by, "point_id", "nx", "ny", "nz")
 
 
 def population_features(points: DataFrame, radius: float = 0.05, max_radius: float = 0.2, max_neighbours: int = 50, by: tuple[str, ...] = ()) -> DataFrame:

@@ -640,6 +640,11 @@ def _f13(s, d):
     return geom.hybrid_normals(views.vectors(s, d)).select("point_id", *[F.round(c, 5).alias(c) for c in ("nx", "ny", "nz")])
 
 
+@query("f13_forest_normals")
+def _f13b(s, d):
+    return geom.hybrid_normals(views.vectors(s, d), orient="forest").select("point_id", *[F.round(c, 5).alias(c) for c in ("nx", "ny", "nz")])
+
+
 @query("f16_planes")
 def _f16(s, d):
     return segments.planes(views.vectors(s, d), 3, 0.02, 100).groupBy("plane").agg(F.count("*").alias("n"))
