@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import struct
 import urllib.parse
 import uuid
@@ -15,12 +16,14 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.types import StructType
 
 from scanforge.operators.points import with_stats
 from scanforge.sources.text import scan_name
 
-RECORDS_PER_PARTITION = 1_000_000
+#: Bytes of a file that one task reads, and records of one batch.
+RUN_BYTES, RECORDS_PER_BATCH = 32 << 20, 200_000
 
 #: Fixed layout of LAS point records: name, kind, byte offset (formats 0-3, then 6-8).
 LAS_OLD = {"X": ("<i4", 0), "Y": ("<i4", 4), "Z": ("<i4", 8), "Intensity": ("<u2", 12), "flags": ("u1", 14), "class_id": ("u1", 15)}
@@ -41,57 +44,89 @@ def las_header(raw: bytes) -> dict[str, object]:
     minor, start, kind, length, n = raw[25], *struct.unpack_from("<I", raw, 96), raw[104] & 63, *struct.unpack_from("<H", raw, 105), *struct.unpack_from("<I", raw, 107)
     if minor >= 4 and len(raw) >= 255:
         n = struct.unpack_from("<Q", raw, 247)[0] or n
-    return {"start": start, "format": kind, "length": length, "n": n, "scale": struct.unpack_from("<3d", raw, 131), "offset": struct.unpack_from("<3d", raw, 155)}
+    return {"start": start, "format": kind, "length": length, "n": n, "scale": struct.unpack_from("<3d", raw, 131), "offset": struct.unpack_from("<3d", raw, 155), "box": struct.unpack_from("<6d", raw, 179)}
 
 
 class LasPartition(InputPartition):
-    def __init__(self, path: str, name: str, first: int, n: int, header: dict[str, object]) -> None:
-        self.path, self.name, self.first, self.n, self.header = path, name, first, n, header
+    """The records of a file that begin within a range of its bytes."""
+
+    def __init__(self, path: str, name: str, low: int, high: int) -> None:
+        self.path, self.name, self.low, self.high = path, name, low, high
 
 
 class LasReader(DataSourceReader):
-    """A partition for each million records; each task reads its own bytes only."""
+    """A partition for each run of bytes, from a listing of the files alone; its task reads the header and its own records.
+
+    Bounds on X, Y and Z that a query filters by skip files whose header's box is elsewhere, and rows before they leave the task;
+    only the columns asked for are decoded.
+    """
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, columns: list[str]) -> None:
+        self.path, self.columns = path, columns
+        self.box = {a: [-math.inf, math.inf] for a in "XYZ"}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802 - the interface's name
+        for f in filters:
+            axis = getattr(f, "attribute", None)
+            if axis and len(axis) == 1 and axis[0] in self.box and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                bounds, value = self.box[axis[0]], float(f.value)
+                if not isinstance(f, (LessThan, LessThanOrEqual)):
+                    bounds[0] = max(bounds[0], value)
+                if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    bounds[1] = min(bounds[1], value)
+            yield f  # the bounds are only looked at roughly: Spark filters the rows again
 
     def partitions(self) -> list[LasPartition]:
         system, base = _open(self.path)
         info = system.get_file_info(base)
         single = info.type == pafs.FileType.File
-        files = [base] if single else [f.path for f in system.get_file_info(pafs.FileSelector(base, recursive=True)) if f.path.lower().endswith((".las", ".laz"))]
+        files = [info] if single else [f for f in system.get_file_info(pafs.FileSelector(base, recursive=True)) if f.path.lower().endswith((".las", ".laz"))]
         root = base.rsplit("/", 1)[0] if single else base.rstrip("/")
-        out = []
-        for f in sorted(files):
-            with system.open_input_file(f) as source:
-                header = las_header(source.read(375))
-            out += [LasPartition(f, f[len(root) + 1 :], at, min(RECORDS_PER_PARTITION, header["n"] - at), header) for at in range(0, header["n"], RECORDS_PER_PARTITION)]
-        return out
+        return [LasPartition(f.path, f.path[len(root) + 1 :], low, min(low + RUN_BYTES, f.size)) for f in sorted(files, key=lambda f: f.path) for low in range(0, f.size, RUN_BYTES)]
+
+    def _elsewhere(self, header: dict[str, object]) -> bool:
+        """Whether the header's box (greatest and least X, then Y, then Z) misses what is asked for."""
+        box, step = header["box"], header["scale"]  # records are rounded to whole steps
+        if not any(box):  # not filled in
+            return False
+        return any(box[2 * i] + step[i] < low or box[2 * i + 1] - step[i] > high for i, (low, high) in enumerate(self.box.values()))
 
     def read(self, partition: LasPartition) -> Iterator[pa.RecordBatch]:
-        h = partition.header
         system, _ = _open(self.path)
         with system.open_input_file(partition.path) as source:
-            raw = source.read_at(partition.n * h["length"], h["start"] + partition.first * h["length"])
-        layout = LAS_NEW if h["format"] >= 6 else LAS_OLD
-        fields = dict(layout)
+            h = las_header(source.read_at(375, 0))
+            if self._elsewhere(h):
+                return
+            first, last = (min(h["n"], max(0, -(-(at - h["start"]) // h["length"]))) for at in (partition.low, partition.high))
+            for at in range(first, last, RECORDS_PER_BATCH):
+                n = min(RECORDS_PER_BATCH, last - at)
+                yield self._batch(partition.name, h, at, source.read_at(n * h["length"], h["start"] + at * h["length"]))
+
+    def _batch(self, name: str, h: dict[str, object], first: int, raw: bytes) -> pa.RecordBatch:
+        fields = dict(LAS_NEW if h["format"] >= 6 else LAS_OLD)
         if h["format"] in LAS_COLOUR_AT:
             fields |= {c: ("<u2", LAS_COLOUR_AT[h["format"]] + 2 * i) for i, c in enumerate("rgb")}
         kind = np.dtype({"names": list(fields), "formats": [f for f, _ in fields.values()], "offsets": [o for _, o in fields.values()], "itemsize": h["length"]})
-        rows = np.frombuffer(raw, dtype=kind)
-        name = partition.name
-        xyz = [pa.array(rows[c] * s + o) for c, s, o in zip("XYZ", h["scale"], h["offset"], strict=True)]
-        colours = [pa.array(rows[c].astype(np.int32)) if c in fields else pa.nulls(len(rows), pa.int32()) for c in "rgb"]
-        number = rows["flags"] & (15 if h["format"] >= 6 else 7)
-        classes = rows["class_id"] if h["format"] >= 6 else rows["class_id"] & 31
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([name] * len(rows)), pa.array(np.arange(partition.first, partition.first + len(rows))), *xyz, pa.array(rows["Intensity"].astype(np.int32)), pa.array(number.astype(np.int32)), pa.array(classes.astype(np.int32)), *colours],
-            names=["scan_id", "point_id", "X", "Y", "Z", "Intensity", "return_number", "class_id", "r", "g", "b"],
-        )
+        rows, numbers = np.frombuffer(raw, dtype=kind), np.arange(first, first + len(raw) // h["length"])
+        place = {a: (lambda i=i, a=a: rows[a] * h["scale"][i] + h["offset"][i]) for i, a in enumerate("XYZ")}
+        for axis, (low, high) in self.box.items():
+            if low > -math.inf or high < math.inf:
+                inside = (place[axis]() >= low) & (place[axis]() <= high)
+                rows, numbers = rows[inside], numbers[inside]
+        made = {
+            "scan_id": lambda: pa.array([name] * len(rows)),
+            "point_id": lambda: pa.array(numbers),
+            **{a: (lambda a=a: pa.array(place[a]())) for a in "XYZ"},
+            "Intensity": lambda: pa.array(rows["Intensity"].astype(np.int32)),
+            "return_number": lambda: pa.array((rows["flags"] & (15 if h["format"] >= 6 else 7)).astype(np.int32)),
+            "class_id": lambda: pa.array((rows["class_id"] if h["format"] >= 6 else rows["class_id"] & 31).astype(np.int32)),
+            **{c: (lambda c=c: pa.array(rows[c].astype(np.int32)) if c in fields else pa.nulls(len(rows), pa.int32())) for c in "rgb"},
+        }
+        return pa.RecordBatch.from_arrays([made[c]() for c in self.columns], names=self.columns)
 
 
 class LasDataSource(DataSource):
-    """``spark.read.format("las").load(path)``: one file, or the .las files below a folder."""
+    """``spark.read.format("las").load(path)``: one file, or the .las files below a folder; with ``.schema(...)`` some of the columns."""
 
     @classmethod
     def name(cls) -> str:
@@ -100,13 +135,20 @@ class LasDataSource(DataSource):
     def schema(self) -> str:
         return LAS_SCHEMA
 
-    def reader(self, schema) -> LasReader:
-        return LasReader(self.options["path"])
+    def reader(self, schema: StructType) -> LasReader:
+        return LasReader(self.options["path"], schema.names)
+
 
+def read_las(spark: SparkSession, path: str, fill_intensity: bool = True, columns: list[str] | None = None) -> DataFrame:
+    """LAS points; where a file has no intensity at all, the mean colour; colours by their own maxima, if all are there.
 
-def read_las(spark: SparkSession, path: str, fill_intensity: bool = True) -> DataFrame:
-    """LAS points; where a file has no intensity at all, the mean colour; colours by their own maxima, if all are there."""
+    ``columns``: only these, as they are stored.  Filters on X, Y and Z reach the files' headers.
+    """
     spark.dataSource.register(LasDataSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    if columns:
+        kinds = dict(c.split() for c in LAS_SCHEMA.split(", "))
+        return spark.read.format("las").schema(", ".join(f"{c} {kinds[c]}" for c in columns)).load(path)
     df = spark.read.format("las").load(path)
     if not fill_intensity:
         return df
