@@ -713,7 +713,21 @@ def _i2(s, d):
     return image.equalise(views.read(s, d, "events"), "value", by="event_type").select("event_id", *r6("value"))
 
 
-@query("i2_local_equalise")
+@query(
+    "i2_local_equalise",
+    f"""{_NEAREST}, p AS (SELECT scan_id, yp, xp, Intensity FROM r WHERE k = 1), a AS (SELECT s AS scan_id, y::INT AS y_pix, x::INT AS x_pix FROM (SELECT DISTINCT scan_id AS s FROM v1), range(36) u(y), range(72) v(x)),
+    d AS (SELECT a.scan_id, y_pix, x_pix, coalesce(Intensity, 0) AS i FROM a LEFT JOIN p ON p.scan_id = a.scan_id AND yp = y_pix AND xp = x_pix), m AS (SELECT scan_id, min(i) AS lo, max(i) AS hi FROM d WHERE i <> 0 GROUP BY 1),
+    e AS (SELECT d.*, CASE WHEN i <> 0 THEN least(floor((i - lo) / (hi - lo) * 256), 255)::INT END AS b, least(floor(y_pix * 4 / 36), 3)::INT AS ty, least(floor(x_pix * 4 / 72), 3)::INT AS tx,
+      (y_pix + 0.5::DOUBLE) * 4 / 36 - 0.5::DOUBLE AS fy, (x_pix + 0.5::DOUBLE) * 4 / 72 - 0.5::DOUBLE AS fx FROM d LEFT JOIN m USING (scan_id)),
+    h AS (SELECT scan_id, ty, tx, b, count(*) AS n FROM e WHERE b IS NOT NULL GROUP BY ALL), t AS (SELECT scan_id, ty, tx, sum(n) AS al, greatest(1, 0.01::DOUBLE * sum(n)) AS most FROM h GROUP BY ALL),
+    s AS (SELECT scan_id, ty, tx, any_value(al) AS al, any_value(most) AS most, sum(greatest(n - most, 0)) / 256 AS spread FROM h JOIN t USING (scan_id, ty, tx) GROUP BY ALL),
+    g AS (SELECT s.scan_id, s.ty, s.tx, j::INT AS b, (least(coalesce(n, 0), most) + spread) / al AS share FROM s CROSS JOIN range(256) u(j) LEFT JOIN h ON h.scan_id = s.scan_id AND h.ty = s.ty AND h.tx = s.tx AND h.b = j),
+    c AS (SELECT scan_id, ty, tx, b, sum(share) OVER (PARTITION BY scan_id, ty, tx ORDER BY b) AS cdf FROM g),
+    q AS (SELECT scan_id, y_pix, x_pix, b, least(greatest(floor(fy) + dy, 0), 3)::INT AS ty, least(greatest(floor(fx) + dx, 0), 3)::INT AS tx,
+      CASE WHEN dy = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END * CASE WHEN dx = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END AS w FROM e, (VALUES (0), (1)) y(dy), (VALUES (0), (1)) x(dx))
+    SELECT scan_id, y_pix, x_pix, round(CASE WHEN any_value(q.b) IS NULL THEN 0 ELSE coalesce(least(sum(cdf * w) / nullif(sum(CASE WHEN cdf IS NOT NULL THEN w END), 0), 1), 0) END, 6) AS "Intensity"
+    FROM q LEFT JOIN c USING (scan_id, ty, tx, b) GROUP BY scan_id, y_pix, x_pix""",
+)
 def _i2b(s, d):
     dense = raster.densify(raster.nearest_per_pixel(_pixels(s, d), ["Intensity"], KEY).drop("density"), 36, 72, {"Intensity": 0.0})
     return image.local_equalise(dense, "Intensity", 36, 72, 4).select("scan_id", "y_pix", "x_pix", *r6("Intensity"))

@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scanforge.operators.points import add_angles
+from scanforge.operators.points import add_angles, to_float
 from scanforge.operators.raster import attach_labels
 from scanforge.schema import SCHEMAS
 
@@ -189,9 +189,9 @@ def read_points(spark: SparkSession, path: str | list[str], dataset: str) -> Dat
     return df if "zenith" in df.columns else add_angles(df)
 
 
-def write_points(df: DataFrame, path: str) -> None:
-    """Comma-separated with a header, a folder for each scan."""
-    df.write.mode("overwrite").partitionBy("scan_id").option("header", True).csv(path)
+def write_points(df: DataFrame, path: str, single: bool = True) -> None:
+    """Comma-separated with a header, a folder for each scan; measured columns in single precision, unless ``single`` is off."""
+    (to_float(df) if single else df).write.mode("overwrite").partitionBy("scan_id").option("header", True).csv(path)
 
 
 def write_labels(df: DataFrame, path: str, label: str = "label") -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from scanforge.operators.profile import value_by_label
 from scanforge.tables import new_path
 
 
@@ -21,6 +22,27 @@ def running_stats(stream: DataFrame, value: str, label: str) -> DataFrame:
     return stream.groupBy(label).agg(F.count(known).alias("valid"), F.count_if(F.isnan(F.col(value).cast("double"))).alias("nan_count"), F.avg(known).alias("mean"), F.min(known).alias("lowest"), F.max(known).alias("highest"), q.alias("quartiles"))
 
 
+class LabelStatistics:
+    """``profile.value_by_label`` over all scans that have arrived, exact after any order of files and after a restart.
+
+    Each micro-batch adds its narrow rows (scan, label, value) to the state's folder, under its own number: a batch that runs
+    again replaces its rows, and the stream's checkpoint beside them tells a new start which files are in.
+    """
+
+    def __init__(self, stream: DataFrame, value: str, label: str, path: str, scan: str = "scan_id") -> None:
+        self.spark, self.path, self.names = stream.sparkSession, path.rstrip("/"), (value, label, scan)
+        self.rows = stream.select(scan, label, F.col(value).cast("double").alias(value))
+
+    def advance(self) -> None:
+        """Takes in what has arrived since."""
+        keep = lambda batch, number: batch.write.mode("overwrite").parquet(f"{self.path}/rows/batch={number}")
+        self.rows.writeStream.foreachBatch(keep).option("checkpointLocation", f"{self.path}/state").trigger(availableNow=True).start().awaitTermination()
+
+    def result(self) -> DataFrame:
+        value, label, scan = self.names
+        return value_by_label(self.spark.read.schema(self.rows.schema).parquet(f"{self.path}/rows/batch=*"), value, label, scan)
+
+
 def windowed_counts(events: DataFrame, time: str = "ts", width: str = "1 hour", late: str = "10 minutes", by: str = "event_type", value: str = "value") -> DataFrame:
     """Counts and sums in tumbling windows; events later than the watermark are left out."""
     stamped = events.withColumn(time, F.col(time).cast("timestamp"))

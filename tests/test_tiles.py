@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scanforge import tables
 from scanforge.operators import blobs, decode, geom, image, points, profile, raster, raster_tiles, refine, segments, spatial, tiles
+from scanforge.streaming import scans
 
 
 def rows_of(spark, frame, schema):
@@ -278,3 +279,20 @@ def test_encoder_over_many_ranges(spark, monkeypatch):
     got = decode.running_azimuth(decode.encoder_steps(df)).collect()
     assert {(r.scan_id, r.line): r.increment for r in got} == {k: v[0] for k, v in want.items()}
     assert all(r.turned == pytest.approx(want[r.scan_id, r.line][1], abs=1e-9) for r in got) and len(got) == len(rows)
+
+
+def test_label_statistics_of_arriving_scans(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    schema = "scan_id string, label int, v double"
+    rows = [(f"s{k}", int(rng.integers(0, 3)), float("nan") if i % 17 == 0 else float(rng.normal())) for k in range(6) for i in range(80)]
+    want = sorted(map(str, profile.value_by_label(spark.createDataFrame(rows, schema), "v", "label", "scan_id").collect()))
+    source, state = tmp_path / "in", tmp_path / "state"
+    source.mkdir()
+    started = lambda: scans.LabelStatistics(scans.scan_stream(spark, str(source), schema), "v", "label", str(state))
+    for part in ((4, 1), (0, 5, 2, 3)):  # out of order, and a new start between
+        for k in part:
+            (source / f"s{k}.csv").write_text("scan_id,label,v\n" + "".join(f"{s},{c},{'NaN' if np.isnan(v) else repr(v)}\n" for s, c, v in rows if s == f"s{k}"))
+        stats = started()
+        stats.advance()
+    stats.advance()  # nothing new
+    assert sorted(map(str, stats.result().collect())) == want
