@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanforge.operators import blobs, decode, files, generate, geom, histogram, image, points, profile, raster, refine, sample, segments, spatial
+from scanforge.operators import blobs, decode, files, generate, geom, histogram, image, points, profile, raster, refine, sample, segments, sets, spatial
 from scanforge.plans import views
 from scanforge.plans.views import ANGLES, EVENTS, POINTS, VECTORS, pixel_sql
+from scanforge.schema import canvas_size
 from scanforge.streaming import scans
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -430,6 +431,74 @@ def _a32(s, d):
     return histogram.counts_by_kind(views.read(s, d, "documents"), "source", "lang")
 
 
+@query("p5_drop_incomplete", f"WITH {POINTS}, a AS (SELECT *, CASE WHEN ok % 7 = 0 THEN 'NaN'::DOUBLE ELSE X END AS xx, CASE WHEN ok % 11 = 0 THEN NULL ELSE Intensity END AS ii FROM v1) SELECT {KEYS}, round(xx::FLOAT::DOUBLE, 4) AS \"X\", round(ii::FLOAT::DOUBLE, 2) AS \"Intensity\" FROM a WHERE NOT isnan(xx) AND ii IS NOT NULL")
+def _p5(s, d):
+    holes = views.points(s, d).withColumns({"X": F.when(F.col("ok") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("X")), "Intensity": F.when(F.col("ok") % 11 != 0, F.col("Intensity"))})
+    out = points.to_float(points.drop_incomplete(holes))
+    return out.select(*KEY, F.round(F.col("X").cast("double"), 4).alias("X"), F.round(F.col("Intensity").cast("double"), 2).alias("Intensity"))
+
+
+@query("p8_canvas", f"WITH {pixel_sql(170, 360, 1.0)} SELECT scan_id, yp AS y_pix, xp AS x_pix, count(*) AS n FROM vp GROUP BY ALL")
+def _p8(s, d):
+    height, width = canvas_size((5.0, 175.0), (0.0, 360.0), 1.0, 1.0)
+    return _pixels(s, d, height, width, 1.0).groupBy(*raster.PIXEL).agg(F.count("*").alias("n"))
+
+
+def _coloured(s: SparkSession, d: str) -> DataFrame:
+    """Line items with colours from their part, supplier and order."""
+    return views.points(s, d).withColumns({"r": F.col("pk") % 256, "g": F.col("sk") % 256, "b": F.col("ok") % 256})
+
+
+@query("p12_unit_rgb", f"WITH {POINTS} SELECT {KEYS}, round((pk % 256) / 255, 6) AS r, round((sk % 256) / 255, 6) AS g, round((ok % 256) / 255, 6) AS b FROM v1")
+def _p12(s, d):
+    return points.unit_rgb(_coloured(s, d)).select(*KEY, *r6("r", "g", "b"))
+
+
+@query("p19_rename", f"WITH {POINTS} SELECT round(Z, 6) AS height, ok AS beam, ln AS pulse, pk AS part, sk AS station FROM v1")
+def _p19(s, d):
+    renamed = points.rename(views.points(s, d), {"Z": "height", "ok": "beam", "ln": "pulse", "pk": "part", "sk": "station"}, ["height", "beam", "pulse", "part", "station"])
+    return renamed.withColumn("height", F.round("height", 6))
+
+
+@query("p20_channels", f"WITH {pixel_sql()} SELECT scan_id, yp AS y_pix, xp AS x_pix, round(max(Intensity), 6) AS intensity, min(class_id) AS label FROM vp GROUP BY ALL")
+def _p20(s, d):
+    image_ = _pixels(s, d).groupBy(*raster.PIXEL).agg(F.round(F.max("Intensity"), 6).alias("intensity"), F.min("class_id").alias("label"), F.count("*").alias("density"))
+    return points.select_channels(image_, [c for c in points.list_channels(image_) if c != "density"])
+
+
+@query("p21_colour_group", f"WITH {POINTS} SELECT pk % 256 AS r, sk % 256 AS g, ok % 256 AS b, count(*) AS n FROM v1 GROUP BY ALL")
+def _p21(s, d):
+    coloured = _coloured(s, d)
+    return coloured.groupBy(*points.colour_group(coloured, "true_rgb")).agg(F.count("*").alias("n"))
+
+
+@query("p27_required_columns", f"WITH {POINTS} SELECT class_id, count(*) AS n, round(min(Z), 6) AS lowest FROM v1 GROUP BY 1")
+def _p27(s, d):
+    return points.require_columns(views.points(s, d), "class_id", "Z").groupBy("class_id").agg(F.count("*").alias("n"), F.round(F.min("Z"), 6).alias("lowest"))
+
+
+@query("i17_refined_pixels", f"WITH {pixel_sql()} SELECT DISTINCT scan_id, yp AS y_pix, xp AS x_pix, class_id AS label, class_id + 1 AS label_refined FROM vp WHERE pk % 5 = 0")
+def _i17(s, d):
+    refined = _pixels(s, d).withColumns({"label": F.col("class_id"), "label_refined": F.when(F.col("pk") % 5 == 0, F.col("class_id") + 1).otherwise(F.col("class_id"))})
+    return raster.refined_pixels(refined)
+
+
+@query("m4_merge", f"WITH {VECTORS}, a AS (SELECT point_id, class_id AS label, (point_id * 7) % 6 AS vote, (point_id * 5) % 6 AS rf_label, abs(X) * 4 AS c FROM v2) SELECT point_id, CASE WHEN label = 0 OR (c > 0.85 AND label <> rf_label) THEN rf_label ELSE vote END AS label_refined FROM a")
+def _m4(s, d):
+    scored = views.vectors(s, d).select("point_id", F.col("class_id").alias("label"), (F.col("point_id") * 7 % 6).alias("vote"), (F.col("point_id") * 5 % 6).alias("rf_label"), (F.abs("X") * 4).alias("rf_confidence"))
+    return refine.merge(scored).select("point_id", "label_refined")
+
+
+@query(
+    "u6_pixel_columns",
+    f"""WITH {pixel_sql()}, r AS (SELECT scan_id, yp, xp, count(*) AS density, min(class_id) AS least FROM vp WHERE class_id <> 3 GROUP BY ALL) SELECT {KEYS}, coalesce(density, 0) AS density, coalesce(least, -1) AS least FROM vp LEFT JOIN r USING (scan_id, yp, xp)""",
+)
+def _u6(s, d):
+    px = _pixels(s, d)
+    image_ = px.where("class_id <> 3").groupBy(*raster.PIXEL).agg(F.count("*").alias("density"), F.min("class_id").alias("least"))
+    return raster.look_up_pixels(px, image_, {"density": 0, "least": -1}).select(*KEY, "density", "least")
+
+
 # Joins
 
 
@@ -971,18 +1040,17 @@ def _raw_scans(s: SparkSession, d: str) -> DataFrame:
 
 @query("u2_distinct_union", "SELECT doc_id FROM labels UNION SELECT vec_id FROM embeddings")
 def _u2(s, d):
-    return views.read(s, d, "labels").select("doc_id").union(views.read(s, d, "embeddings").select("vec_id")).distinct()
+    return sets.distinct_ids("doc_id", views.read(s, d, "labels").select("doc_id"), views.read(s, d, "embeddings").select("vec_id"))
 
 
 @query("u3_label_domain", "SELECT quality AS label FROM labels UNION SELECT toxic FROM labels")
 def _u3(s, d):
-    lb = views.read(s, d, "labels")
-    return lb.select(F.col("quality").alias("label")).union(lb.select("toxic")).distinct()
+    return sets.label_domain(views.read(s, d, "labels"), ["quality", "toxic"])
 
 
 @query("u4_intersect", "SELECT doc_id FROM labels INTERSECT SELECT vec_id FROM embeddings")
 def _u4(s, d):
-    return views.read(s, d, "labels").select("doc_id").intersect(views.read(s, d, "embeddings").select("vec_id"))
+    return sets.common_values(views.read(s, d, "labels").select("doc_id"), views.read(s, d, "embeddings").select("vec_id"))
 
 
 @query("u7_align_union", f"WITH {POINTS}, {VECTORS} SELECT 255::DOUBLE AS \"Intensity\", class_id, round(X, 6) AS \"X\" FROM v2 UNION ALL SELECT Intensity, class_id, round(X, 6) FROM v1")

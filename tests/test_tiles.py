@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanforge import tables
-from scanforge.operators import blobs, decode, geom, image, points, profile, raster, raster_tiles, refine, segments, spatial, tiles
+from scanforge.operators import blobs, decode, geom, image, points, profile, raster, raster_tiles, refine, segments, sets, spatial, tiles
 from scanforge.streaming import scans
 
 
@@ -296,3 +296,13 @@ def test_label_statistics_of_arriving_scans(spark, tmp_path):
         stats.advance()
     stats.advance()  # nothing new
     assert sorted(map(str, stats.result().collect())) == want
+
+
+def test_sets(spark):
+    a = spark.createDataFrame([(1, 2, "x"), (1, None, "x"), (None, 3, None)], "p int, q int, s string")
+    b = spark.createDataFrame([(3,), (1,), (1,), (None,)], "other int")
+    values = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert values(sets.distinct_ids("id", a.select("p"), a.select("q"), b)) == [(1,), (2,), (3,)]
+    assert values(sets.label_domain(a, ["p", "q"])) == [(1,), (2,), (3,)]
+    assert values(sets.label_domain(a, ["p", "q"], by=("s",))) == sorted([("x", 1), ("x", 2), (None, 3)], key=str)
+    assert values(sets.common_values(a.select("p"), b)) == [(1,), (None,)] and values(sets.common_values(a.select("q"), b)) == [(3,), (None,)]
