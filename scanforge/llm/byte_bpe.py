@@ -137,6 +137,7 @@ class TextEncoder:
 
     def __init__(self, bpe: PrefixBPE, pattern: str) -> None:
         self.bpe, self.find = bpe, regex.compile(pattern).findall
+        self.decimals = [str(i).encode() for i in range(max(bpe.bytes_of, default=-1) + 1)]
         self.texts = PieceEncoder(self.encode_many, limit=500_000, cuts=pattern == CUT_PATTERN)
 
     @classmethod
@@ -172,16 +173,18 @@ class TextEncoder:
         ids, bounds, codes, offsets = self.texts.pieces(column)
         values, ends = ids.tolist(), bounds.tolist()
         spans = list(zip(ends, ends[1:], strict=False))
+        names, parts = list(map(self.decimals.__getitem__, values)), list(map(self.bpe.bytes_of.__getitem__, values))
         decimals = np.empty(len(spans), dtype=object)
-        decimals[:] = [" ".join(map(str, values[a:b])) for a, b in spans]
+        decimals[:] = [b" ".join(names[a:b]) for a, b in spans]
         decoded = np.empty(len(spans), dtype=object)
-        decoded[:] = [self.bpe.decode(values[a:b]) for a, b in spans]
+        decoded[:] = [b"".join(parts[a:b]) for a, b in spans]
+        del names, parts, values
         lengths = np.diff(bounds)[codes]
         upto = np.concatenate([[0], np.cumsum(lengths)])
         hexed = lambda data: hashlib.sha256(data).hexdigest()
         filled = codes[lengths > 0]  # an empty piece must not leave a space
         places = np.concatenate([[0], np.cumsum(lengths > 0)])[offsets].tolist()
-        of_ids = [hexed(" ".join(decimals[filled[a:b]].tolist()).encode()) for a, b in zip(places, places[1:], strict=False)]
+        of_ids = [hexed(b" ".join(decimals[filled[a:b]].tolist())) for a, b in zip(places, places[1:], strict=False)]
         of_bytes = [hexed(b"".join(decoded[filled[a:b]].tolist())) for a, b in zip(places, places[1:], strict=False)]
         return np.diff(upto[offsets]), of_ids, of_bytes, (ids, bounds, codes, lengths, upto[offsets])
 

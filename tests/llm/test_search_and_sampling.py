@@ -14,7 +14,7 @@ import xxhash
 pytest.importorskip("public_tokenizers")
 
 from scanforge import tables  # noqa: E402
-from scanforge.llm import importance, search, simhash  # noqa: E402
+from scanforge.llm import chat, importance, search, simhash, url_filter  # noqa: E402
 
 LONG = "alpha Beta gamma-delta epsilon 42 zeta eta theta iota kappa " * 400
 TEXTS = [None, "", " \n.,", "One two", "one TWO", LONG, LONG, "Ünï çode 漢字 x1 y2", LONG + "tail", "a b c d e f g h i j k l m n o p q r s t u", "rare words only here"]
@@ -188,3 +188,28 @@ def test_links_connect_chains_and_crowds(spark, monkeypatch, homes):
     got = {r["node"]: r["root"] for r in simhash.components(simhash.links(rows)).collect()}
     want = plain_components(unsigned, prints)
     assert [got.get(p, p) for p in prints] == want
+
+
+def test_very_long_urls(spark):
+    deep, far = "a." * 20_000 + "NET", "/es/" + "x/" * 100_000
+    rows = [(1, f"https://{deep}{far}?q#f"), (2, f"http://net/{'y' * 200_000}"), (3, far), (4, f"x://www.example.com/en/{'z' * 100_000}"), (5, f"x://{'w' * 100_000}.example.com/en/"), (6, "://" + "?" * 100_000)]
+    got = {r.page_id: (len(r.host), len(r.path), r.rule, r.verdict) for r in url_filter.op5(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got == {
+        1: (len(deep), len(far), "net/es/", "block"), 2: (3, 200_001, None, "allow"), 3: (0, 0, None, "allow"),
+        4: (15, 100_004, "www.example.com/en/", "allow"), 5: (100_012, 4, "example.com/en/", "block"), 6: (0, 0, None, "allow"),
+    }
+
+
+def test_long_texts_and_clashing_names_in_conversations(spark):
+    long = "word <|im_end|> é\n" * 120_000
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", long), (2, 0, "user", long), (2, 1, "assistant", None)]
+    plain = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    clashing = plain.selectExpr("*", "9 AS tree", "8 AS id", "7 AS key", "6 AS place", "'x' AS parent", "1.5D AS score", "0 AS depth", "map('a', 1) AS total")
+    got = {r.conv_id: r for r in chat.op8(clashing).collect()}
+    assert set(got) == {-1, 1, 2}
+    for conv in (1, 2):
+        turns = "".join(f"{r}\n{t or ''}\n" for c, _, r, t in rows if c == conv)
+        answers = "".join(t or "" for c, _, r, t in rows if c == conv and r == "assistant")
+        assert (got[conv].n_turns, got[conv].turns_sha256) == (2, hashlib.sha256(turns.encode()).hexdigest())
+        assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(answers), hashlib.sha256(answers.encode()).hexdigest())
+    assert sorted(map(str, chat.op8(plain).collect())) == sorted(map(str, got.values()))
