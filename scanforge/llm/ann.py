@@ -252,9 +252,8 @@ def _passed(index: Index, held: list[tuple[bytes, bytes]], rerank: int, before:
             columns = [pa.array(np.frombuffer(q_rows, np.int64)[f[0]]), pa.array(f[3]), pa.array(f[2]), pa.array(f[1].astype(np.float64))]
             yield pa.RecordBatch.from_arrays(columns, names=["query_row", "vec_row", "vec_id", "estimate"])
 
-    # small tables have few files; one chunk a task is the least
-    n = index.chunks.count()
-    spread = index.chunks.repartition(min(n, int(index.chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))) if n <= 4096 else index.chunks
+    # a task gives RERANK rows a query, so none goes through fewer than GROUP chunks
+    spread = index.chunks.coalesce(max(1, math.ceil(index.chunks.count() / GROUP)))
     met = written(spread.select("rows", "ids", "codes", "norms").mapInArrow(search, "query_row long, vec_row long, vec_id long, estimate double"), "ann-near", batch=16)
     return met if before is None else before.unionByName(met)
 
