@@ -59,7 +59,7 @@ NEEDED_BITS = 24
 SMALL = 8
 #: Neighbours in size order are looked for within blocks of so many rows of a tile.
 BLOCK = 64
-#: A member's tile is dealt out by salt, one for about so many documents beyond the usual of its cell (256 salts at most).
+#: A member's tile is dealt out by salt, one for about so many documents beyond the usual of its cell (255 salts at most).
 HOT_ROWS = 2000
 #: Rounds of promising pairs in large tiles before all pairs that are left.
 ROUNDS = 2
@@ -229,7 +229,12 @@ def _sketch(docs: DataFrame) -> tuple[np.ndarray, float]:
 def _salts(levels: np.ndarray, usual: float) -> np.ndarray:
     """The number of salts of members at these levels."""
     excess = (np.exp2(levels / 8) - 1) * math.sqrt(usual)
-    return np.clip(np.ceil(excess / HOT_ROWS), 1, 256).astype(np.int64)
+    return np.clip(np.ceil(excess / HOT_ROWS), 1, 255).astype(np.int64)
+
+
+def dealt(node: int, counts: np.ndarray) -> np.ndarray:
+    """A node's salt for each of its members with so many salts: 0 only for members that aren't salted."""
+    return np.where(counts > 1, 1 + (node & 0x7FFFFFFF) % counts, 0)
 
 
 def band_of(size: int) -> int:
@@ -263,10 +268,11 @@ def _profiles(docs: DataFrame) -> DataFrame:
 
     ``docs`` holds doc_id, text and h, a hash that tells rows apart.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_sketch(docs))  # one byte a cell
+    found, usual = _sketch(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((found, _salts(np.arange(256), usual)))  # one byte a cell, and the salts of each level
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (rare, usual), seen = shared.value, set()
+        (rare, deal), seen = shared.value, set()
         for batch in batches:
             for part in slices(batch, "text", TEXT_BYTES):
                 nodes, sizes, signatures, keys, owns, salts = [], [], [], [], [], []
@@ -281,13 +287,11 @@ def _profiles(docs: DataFrame) -> DataFrame:
                     if len(seen) < 1_000_000:
                         seen.add(node)
                     key, own, levels = tile_keys(members, rare[(members >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])
-                    salt = None
-                    if levels.max() > 8:
-                        salt = (node & 0x7FFFFFFF) % _salts(levels, usual)
+                    salt = dealt(node, deal[levels])
                     signatures.append(signature(members))
                     keys.append(key)
                     owns.append(own)
-                    salts.append(salt.astype(np.uint8).tobytes() if salt is not None and salt.any() else None)
+                    salts.append(salt.astype(np.uint8).tobytes() if salt.any() else None)
                 names = ["doc_id", "h", "n", "node", "sig", "keys", "own", "salts"]
                 columns = [part.column("doc_id").cast(pa.int64()), part.column("h"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signatures, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(owns, pa.int32()), pa.array(salts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)

@@ -545,6 +545,18 @@ def test_links_between_classes_are_complete(spark, monkeypatch):
         assert {i: c for i, c in found.items() if i is not None} == {i: c for i, c in brute_components([r for r in rows if r[0] is not None]).items()}
 
 
+def test_pairs_met_under_different_salts_link(spark, monkeypatch):
+    rows = []
+    for k in range(24):  # pairs that meet only each other, so each node is alone under its salt unless both have the same
+        rows += [(2 * k, " ".join(f"w{k}x{i}" for i in range(40))), (2 * k + 1, " ".join(f"w{k}x{i}" for i in range(41)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for salts in (1, 2, 255):
+        monkeypatch.setattr(jaccard, "_salts", lambda levels, usual, n=salts: np.full(len(levels), n))
+        assert {r.doc_id: r.component_id for r in jaccard.op10(df).collect()} == {i: i // 2 * 2 for i, _ in rows}
+        assert jaccard.links(df)[0].count() == 24
+    assert (jaccard.dealt(510, np.array([1, 2, 255])) == [0, 1, 1]).all()
+
+
 def test_keep_first_keeps_unrelated_texts_and_clashing_columns(spark):
     one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "abc")
     rows = [(1, one, 1), (1, two, 2), (2, three, 3), (3, three + " more", 4), (4, one, 5), (4, one, 5), (None, two + " x", 6), (None, None, 7), (None, None, 7), (5, "", 8)]
