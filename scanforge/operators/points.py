@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scanforge.functions import geometry as g
 from scanforge.operators.quantile import with_quantiles
-from scanforge.tables import join_on
+from scanforge.tables import join_groups
 
 ANGLES = ("azimuth", "zenith", "elevation", "rangemeter")
 
@@ -37,7 +37,7 @@ def with_stats(df: DataFrame, by: str | tuple[str, ...] | None = None, **stats:
     keys = [by] if isinstance(by, str) else list(by or ())
     if not keys:
         return df.crossJoin(F.broadcast(df.agg(*aggs)))  # one row
-    return join_on(df, df.groupBy(*keys).agg(*aggs), keys)
+    return join_groups(df, df.groupBy(*keys).agg(*aggs), keys)
 
 
 def add_angles(df: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanforge.tables import join_on, written
+from scanforge.tables import join_groups, written
 
 DIRECT = 1_000_000
 BINS = 4096
@@ -20,7 +20,7 @@ BINS = 4096
 def with_quantiles(df: DataFrame, wanted: dict[str, tuple[Column, float]], by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with each of ``wanted`` (name: value, share) as a column: one row of quantiles for each group, joined back."""
     found = quantiles(df, wanted, by)
-    return join_on(df, found, list(by), "left") if by else df.crossJoin(F.broadcast(found))  # one row
+    return join_groups(df, found, list(by), "left") if by else df.crossJoin(F.broadcast(found))  # one row
 
 
 def known(c: Column) -> Column:
@@ -53,13 +53,13 @@ def quantiles_of(df: DataFrame, wanted: dict[str, tuple[Column, float]], by: tup
     ends = F.explode(F.array(F.struct(F.lit(0).alias("end"), F.floor(at).alias("place")), F.struct(F.lit(1).alias("end"), F.ceil(at).alias("place")))).alias("t")
     targets = written(targets.select(*keys, "lo", "hi", "inside", (at - F.floor(at)).alias("part"), ends).select(*keys, "lo", "hi", "inside", "part", "t.*"), "quantile-targets")
     while not targets.where(f"inside > {DIRECT} AND lo < hi").isEmpty():
-        inside = rows.drop("share").join(F.broadcast(targets) if not by else targets, keys).where("v BETWEEN lo AND hi")
+        inside = join_groups(rows.drop("share"), targets, keys).where("v BETWEEN lo AND hi")
         bin_ = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BINS), F.lit(BINS - 1))).otherwise(0)
         counts = inside.groupBy(*keys, "end", "part", "place", bin_.alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         upto = Window.partitionBy(*keys, "end").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # BINS rows
         placed = counts.withColumn("upto", F.sum("n").over(upto)).where("place < upto AND place >= upto - n")
         targets = written(placed.select(*keys, "lo", "hi", F.col("n").alias("inside"), "part", "end", (F.col("place") - F.col("upto") + F.col("n")).alias("place")), "quantile-targets")
-    few = rows.drop("share").join(targets.where("lo < hi"), keys).where("v BETWEEN lo AND hi")
+    few = join_groups(rows.drop("share"), targets, keys).where("lo < hi AND v BETWEEN lo AND hi")
     values = few.groupBy(*keys, "end", "part", "place").agg(F.sort_array(F.collect_list("v")).alias("vs"))  # DIRECT values at most
     values = values.select(*keys, "end", "part", F.get("vs", F.col("place").cast("int")).alias("v")).unionByName(targets.where("lo >= hi").select(*keys, "end", "part", F.col("lo").alias("v")))
     left, right = (F.max(F.when(F.col("end") == e, F.col("v"))) for e in (0, 1))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scanforge.operators import raster_tiles
 from scanforge.operators.points import scans_of, with_stats
+from scanforge.tables import join_groups
 
 PIXEL = ("scan_id", "y_pix", "x_pix")
 
@@ -59,7 +60,7 @@ def densify(df: DataFrame, height: int, width: int, fills: dict[str, object], ke
 
 def look_up_pixels(points: DataFrame, raster: DataFrame, values: dict[str, object], keys: tuple[str, ...] = PIXEL) -> DataFrame:
     """Points with their pixel's values, or the given defaults outside the raster."""
-    found = points.join(raster.select(*keys, *values), list(keys), "left")
+    found = join_groups(points, raster.select(*keys, *values), list(keys), "left", nulls=False)
     return found.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in values.items()})
 
 

@@ -90,6 +90,22 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(named, same, how).drop(*[f"__r_{k}" for k in keys])
 
 
+#: Rows and bytes (as stored) of a table that is sent to all tasks, at most.
+SENT_ROWS, SENT_BYTES = 200_000, 8 << 20
+
+
+def join_groups(left: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner", nulls: bool = True) -> DataFrame:
+    """``left`` joined with one row a group, which is written once; NULL is a group unless ``nulls`` is false.
+
+    While the groups are few they are sent to all tasks, so no group of ``left`` becomes one task's; beyond that both
+    sides are dealt by key, and adaptive execution divides a large group.
+    """
+    held = groups if id(groups) in _paths else written(groups, "groups")
+    if held.count() <= SENT_ROWS and _stored_bytes(held) <= SENT_BYTES:
+        held = F.broadcast(held)
+    return join_on(left, held, keys, how) if nulls else left.join(held, keys, how)
+
+
 #: Rows and bytes (as stored) of one range where rows are numbered, at most; fewer where there are workers to spare, but no fewer than ``LEAST_ROWS``.
 RANGE_ROWS, RANGE_BYTES, LEAST_ROWS = 2_000_000, 32 << 20, 50_000
 
@@ -153,9 +169,6 @@ def numbered_within(rows: DataFrame, by: list[str], order: list[str | Column], s
     sums = sums or {}
     placed = written(numbered(rows, [*by, *order], sums, "__place"), "placed")
     totals = placed.groupBy(*by).agg(F.min("__place").alias("__first"), F.count("*").alias(f"{row}_count"), *[F.min_by(k, "__place").alias(f"__from_{k}") for k in sums])
-    on = F.lit(True)
-    for c in by:
-        on &= F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    joined = placed.alias("l").join(totals.alias("r"), on) if by else placed.alias("l").crossJoin(F.broadcast(totals).alias("r"))  # one row
-    names = [F.col(f"l.`{c}`") for c in rows.columns]
-    return joined.select(*names, (F.col("__place") - F.col("__first")).alias(row), f"{row}_count", *[(F.col(f"l.{k}") - F.col(f"__from_{k}")).alias(k) for k in sums])
+    joined = join_groups(placed, totals, by) if by else placed.crossJoin(F.broadcast(totals))  # one row
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    return joined.select(*names, (F.col("__place") - F.col("__first")).alias(row), f"{row}_count", *[(F.col(k) - F.col(f"__from_{k}")).alias(k) for k in sums])
