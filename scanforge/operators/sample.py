@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanforge.operators.quantile import with_quantiles
-from scanforge.tables import numbered_within, written
+from scanforge.tables import join_groups, numbered_within, written
+
+#: Samples of more rows are cut at a draw found by counting; smaller ones are a top-n, in order of draw.
+FEW = 5000
+#: Rows of a group that share the cut's digits and are ranked by one window, at most.
+RANKED = 1_000_000
 
 
 def draw(seed: int, *keys: str) -> Column:
@@ -14,13 +21,37 @@ def draw(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
 
 
+def first_drawn(df: DataFrame, by: list[str], keys: list[str], wanted: Callable[[Column], Column], seed: int = 42) -> DataFrame:
+    """``df`` with ``_first``: whether a row is among the first of its group by draw and keys; ``wanted`` gives their number from the group's rows.
+
+    One count by the draw's first four digits (65 536 rows a group at most) tells at which digits a group is cut; only rows with those digits are ranked.
+    """
+    drawn = df.withColumns({"_u": draw(seed, *keys), "_digits": F.substr(draw(seed, *keys), F.lit(1), F.lit(4))})
+    counts = written(drawn.groupBy(*by, F.col("_digits").alias("_cut")).agg(F.count("*").alias("_n")), "draw-counts")
+    group = Window.partitionBy(*by)
+    upto = group.orderBy("_cut").rowsBetween(Window.unboundedPreceding, 0)
+    cuts = counts.withColumn("_left", wanted(F.sum("_n").over(group)).cast("long") - F.sum("_n").over(upto) + F.col("_n"))
+    # a group of which all or none is wanted is cut after its last digits or before its first
+    cuts = written(cuts.withColumn("_last", F.max("_cut").over(group)).where("_left > 0 AND (_left <= _n OR _cut = _last)").select(*by, "_cut", "_left", "_n"), "draw-cuts")
+    placed = join_groups(drawn, cuts, by, "left")
+    sure = placed.where("_cut IS NULL OR _digits <> _cut").withColumn("_first", F.coalesce(F.col("_digits") < F.col("_cut"), F.lit(False)))
+    open_ = placed.where("_digits = _cut")
+    if (cuts.agg(F.max("_n")).first()[0] or 0) <= RANKED:
+        ranked = open_.withColumn("_first", F.row_number().over(group.orderBy("_u", *keys)) <= F.col("_left"))
+    else:  # many rows of equal keys
+        ranked = numbered_within(open_, by, ["_u", *keys], row="_place").withColumn("_first", F.col("_place") < F.col("_left"))
+    return sure.select(*df.columns, "_first").unionByName(ranked.select(*df.columns, "_first"))
+
+
 def exact_sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
-    """n rows without replacement: a top-n by draw, so no global sort."""
-    return df.withColumn("_u", draw(seed, *keys)).orderBy("_u", *keys).limit(n).drop("_u")
+    """n rows without replacement, the first by draw; no global sort."""
+    if n <= FEW:
+        return df.withColumn("_u", draw(seed, *keys)).orderBy("_u", *keys).limit(n).drop("_u")
+    return first_drawn(df, [], keys, lambda rows: F.least(rows, F.lit(n)), seed).where("_first").drop("_first")
 
 
 def fraction_sample(df: DataFrame, fraction: float, keys: list[str], seed: int = 42) -> DataFrame:
-    return exact_sample(df, int(round(df.count() * fraction)), keys, seed)
+    return first_drawn(df, [], keys, lambda rows: F.bround(rows * F.lit(fraction)), seed).where("_first").drop("_first")
 
 
 def stratified_sample(df: DataFrame, label: str, keep: int, keys: list[str], rare_below: float = 0.05, boost: float = 0.5, seed: int = 42) -> DataFrame:
@@ -34,7 +65,7 @@ def stratified_sample(df: DataFrame, label: str, keep: int, keys: list[str], rar
     ranked = marked.where("_rare").withColumn("_k", F.row_number().over(Window.partitionBy(label).orderBy("_u", *keys)))
     rare = written(ranked.where(F.col("_k") <= quota).select(df.columns), "rare-sample")
     left = max(0, keep - rare.count())
-    return rare.unionByName(marked.where("not _rare").orderBy("_u", *keys).limit(left).select(df.columns))
+    return rare.unionByName(exact_sample(marked.where("not _rare").select(df.columns), left, keys, seed))
 
 
 def stride_sample(df: DataFrame, stride: int, order: list[str], by: list[str]) -> DataFrame:
@@ -69,10 +100,8 @@ def weighted_resample(df: DataFrame, weight: str, value: str, n: int, key: str,
 
 
 def train_split(df: DataFrame, label: str, keys: list[str], share: float = 0.8, seed: int = 42) -> DataFrame:
-    """is_train: the first ``share`` of each class by draw; classes are numbered by range and prefix sums."""
-    drawn = df.withColumn("_u", draw(seed, *keys))
-    placed = numbered_within(drawn, [label], ["_u", *keys], row="_i")
-    return placed.withColumn("is_train", F.col("_i") < F.round(F.col("_i_count") * share)).select(*df.columns, "is_train")
+    """is_train: the first ``share`` of each class by draw."""
+    return first_drawn(df, [label], keys, lambda rows: F.round(rows * F.lit(share)), seed).withColumnRenamed("_first", "is_train")
 
 
 def head(df: DataFrame, n: int = 5) -> DataFrame:

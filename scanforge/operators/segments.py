@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scanforge.operators.graph import components
-from scanforge.operators.sample import exact_sample
+from scanforge.operators.sample import draw, exact_sample
 from scanforge.operators.spatial import AXES, cells, nearest_within
 from scanforge.tables import join_on, written
 
@@ -19,7 +19,7 @@ def fit_plane(points: DataFrame, threshold: float, trials: int = 1000, seed: int
 
     Each trial's plane goes through three drawn points; one pass counts all trials' points.
     """
-    drawn = exact_sample(points.select("point_id", "X", "Y", "Z"), 3 * trials, ["point_id"], seed).collect()  # three points a trial
+    drawn = exact_sample(points.select("point_id", "X", "Y", "Z"), 3 * trials, ["point_id"], seed).orderBy(draw(seed, "point_id"), "point_id").collect()  # three points a trial
     rng = np.random.default_rng(seed)
     planes = []
     for _ in range(trials if len(drawn) >= 3 else 0):
