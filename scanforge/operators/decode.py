@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanforge.tables import in_ranges, join_on, numbered_within, written
+from scanforge.tables import in_ranges, join_groups, join_on, numbered_within, written
 
 #: Fixed values of the format.
 RECORD_END = "\x03"
@@ -13,16 +13,19 @@ BLOCKS = r"DIST1|RSSI1|DIST2|RSSI2"
 ENCODER_TOP = 0x3FFF
 ENCODER_TOKEN, ERROR_TOKENS = 19, (5, 6)
 FIRST_VALUE_TOKEN = 5
-DEGREES_PER_COUNT = 1 / 250
+COUNTS_PER_DEGREE = 250
 TAIL_ROWS = 5
 
 
 def scan_lines(files: DataFrame) -> DataFrame:
-    """(scan_id, line, header, b1 .. b4) of the complete lines of files (scan_id, value).
+    """(scan_id, line, header, b1 .. b4) of the complete lines of files (scan_id, value), or of pieces of them that bring the number of their ``first_line``.
 
     The blocks stand in the order ranges 1, ranges 2, intensities 1, intensities 2; a line without all four is left out.
     """
-    lines = files.select("scan_id", F.posexplode(F.split("value", RECORD_END)).alias("line", "text"))
+    pieces = ["first_line"] if "first_line" in files.columns else []
+    lines = files.select("scan_id", *pieces, F.posexplode(F.split("value", RECORD_END)).alias("line", "text"))
+    if pieces:
+        lines = lines.withColumn("line", F.col("first_line") + F.col("line"))
     parts = lines.withColumn("p", F.split("text", BLOCKS)).where(F.size("p") == 5)
     return parts.select("scan_id", "line", *[F.get("p", i).alias(n) for i, n in enumerate(("header", "b1", "b2", "b3", "b4"))])
 
@@ -64,7 +67,7 @@ def encoder_steps(df: DataFrame, order: str = "line", by: tuple[str, ...] = ("sc
     late = lines.withColumn("_r", F.row_number().over(backwards)).where(F.col("_r") <= TAIL_ROWS)  # five rows a range
     late = late.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))).where(F.col("_r") <= TAIL_ROWS)
     tail = late.groupBy(*by).agg(F.min(order).alias("_tail"))
-    rows = join_on(join_on(lines, carried, spot), tail, list(by))
+    rows = join_groups(join_on(lines, carried, spot), tail, list(by))
     before = F.coalesce(F.lag("encoder").over(here), "_carried")
     rows = rows.withColumn("_before", before)
     fell = F.col("encoder") < F.col("_before")
@@ -80,7 +83,7 @@ def encoder_steps(df: DataFrame, order: str = "line", by: tuple[str, ...] = ("sc
 def running_azimuth(df: DataFrame, order: str = "line", by: tuple[str, ...] = ("scan_id",)) -> DataFrame:
     """Degrees turned so far: prefix sums over ranges of lines."""
     placed = numbered_within(df.select(*by, order, "increment"), list(by), [order], {"_before": "increment"}, "_place")
-    turned = placed.select(*by, order, ((F.col("_before") + F.col("increment")) * DEGREES_PER_COUNT).alias("turned"))
+    turned = placed.select(*by, order, ((F.col("_before") + F.col("increment")) / COUNTS_PER_DEGREE).alias("turned"))
     return join_on(df, turned, [*by, order])
 
 
@@ -97,7 +100,7 @@ VERSIONS = {1: (270, 0.5), 2: (540, 0.25)}
 def pulse_angles(df: DataFrame, version: int = 2) -> DataFrame:
     """Azimuth in [0, 360) and zenith; the scanner turns on while its mirror sweeps, pulses before the middle look backwards."""
     middle, spacing = VERSIONS[version]
-    turned = F.col("turned") + F.col("increment") * DEGREES_PER_COUNT / F.nullif(F.col("n_pulses"), F.lit(0)) * F.col("pulse")
+    turned = F.col("turned") + F.col("increment") / COUNTS_PER_DEGREE / F.nullif(F.col("n_pulses"), F.lit(0)) * F.col("pulse")
     back = F.when(F.col("pulse") < middle, 360).otherwise(180)
     return df.withColumns({"zenith": F.abs(F.col("pulse") - middle) * F.lit(spacing), "azimuth": F.pmod(back - turned, F.lit(360.0))})
 
