@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scanforge.operators.sample import train_split
 from scanforge.operators.spatial import knn_among
+from scanforge.tables import written
 
 
 def vote(points: DataFrame, k: int = 50, threshold: float = 0.8, cell: float = 0.1, label: str = "class_id", by: tuple[str, ...] = ()) -> DataFrame:
@@ -58,5 +59,5 @@ def merge(scored: DataFrame, confidence: float = 0.85) -> DataFrame:
 
 def refine(points: DataFrame, features: list[str], k: int = 50, threshold: float = 0.8, confidence: float = 0.85, cell: float = 0.1, label: str = "class_id", trees: int = 200) -> DataFrame:
     voted = vote(points, k, threshold, cell, label)
-    joined = points.select("point_id", *features).join(voted, "point_id")
+    joined = written(points.select("point_id", *features).join(voted, "point_id"), "voted")  # counted, split, fitted and scored
     return merge(forest(joined, features, trees)[0], confidence)
