@@ -32,6 +32,9 @@ from pyspark.sql import functions as F
 
 from scanforge.llm.pieces import CUT_PATTERN, PieceEncoder, ranges, release, slices
 
+#: What a worker holds: so many pieces, and what a slice of so many bytes is made into (about 280 MB in all).
+REMEMBERED, SLICE_BYTES = 250_000, 2 << 20
+
 
 class PrefixBPE:
     """Encoder and decoder for a vocabulary of byte strings with ranks (which are also the ids)."""
@@ -138,7 +141,7 @@ class TextEncoder:
     def __init__(self, bpe: PrefixBPE, pattern: str) -> None:
         self.bpe, self.find = bpe, regex.compile(pattern).findall
         self.decimals = [str(i).encode() for i in range(max(bpe.bytes_of, default=-1) + 1)]
-        self.texts = PieceEncoder(self.encode_many, limit=500_000, cuts=pattern == CUT_PATTERN)
+        self.texts = PieceEncoder(self.encode_many, limit=REMEMBERED, cuts=pattern == CUT_PATTERN)
 
     @classmethod
     @lru_cache(maxsize=1)
@@ -202,7 +205,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = TextEncoder.load(ranks_path, pattern)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 counts, of_ids, of_bytes, (ids, bounds, codes, lengths, text_bounds) = encoder.digests(part.column("text"))
                 columns = {c: part.column(c) for c in others}
                 columns |= {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(of_ids, pa.string()), "decoded_sha256": pa.array(of_bytes, pa.string())}

@@ -20,6 +20,7 @@ import ctypes
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -112,7 +113,8 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class PieceEncoder:
     """Ids of texts, each distinct fine piece encoded once for as long as it is remembered.
 
-    ``encode``: from pieces to lists of ids.  At most ``limit`` fine pieces are remembered.
+    ``encode``: from pieces to lists of ids.  About ``limit`` fine pieces are remembered; when they are more, those go that were
+    seldom met, for most pieces never come again.
     ``whole``: strings that must not be cut; a text that holds one is a piece of its own and is not remembered.
     """
 
@@ -132,6 +134,21 @@ class PieceEncoder:
     def _clear(self) -> None:
         self.slots: dict[str, int] = {}
         self.ids, self.ends = array("I"), array("q", [0])
+        #: How often each slot was met, halved whenever some are forgotten.
+        self.met = np.zeros(0, dtype=np.int32)
+
+    def _forget(self) -> None:
+        """Keeps the pieces that were met again, of many the more frequent ones: half the limit at most."""
+        least = 2
+        while np.count_nonzero(self.met >= least) > self._limit // 2:
+            least *= 2
+        keep = self.met >= least
+        starts = np.array(self.ends, dtype=np.int64)[:-1][keep]
+        lengths = np.diff(np.array(self.ends, dtype=np.int64))[keep]
+        ids = np.array(self.ids, dtype=np.uint32)[ranges(starts, lengths)]
+        self.slots = {p: k for k, p in enumerate(compress(self.slots, keep.tolist()))}  # slots are numbered as they come
+        self.ids, self.ends = array("I", ids.tobytes()), array("q", np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64).tobytes())
+        self.met = self.met[keep] // 2
 
     def _fresh(self, pieces: list[str]) -> list[str]:
         return [p for p in dict.fromkeys(pieces) if p not in self.slots]
@@ -172,13 +189,16 @@ class PieceEncoder:
                 counts[k] = len(parts)
         fresh = self._fresh(fine)
         if self.slots and len(self.slots) + len(fresh) > self._limit:
-            self._clear()
+            self._forget()
             fresh = self._fresh(fine)
         for p, ids in zip(fresh, self._encode(fresh) if fresh else [], strict=True):
             self.slots[p] = len(self.slots)
             self.ids.extend(ids)
             self.ends.append(len(self.ids))
         slots = np.fromiter(map(self.slots.__getitem__, fine), dtype=np.int64, count=len(fine))
+        met = np.bincount(slots, minlength=len(self.slots)).astype(np.int32)
+        met[: len(self.met)] += self.met
+        self.met = met
         ends = np.frombuffer(self.ends, dtype=np.int64)
         ids = np.frombuffer(self.ids, dtype=np.uint32) if len(self.ids) else np.empty(0, dtype=np.uint32)
         starts, lengths = ends[slots], ends[slots + 1] - ends[slots]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from scanforge.llm import ann, byte_bpe, chat, jaccard, lm_score, mixing, quality, sharding, token_files, url_filter  # noqa: E402
-from scanforge.llm.pieces import cut  # noqa: E402
+from scanforge.llm.pieces import PieceEncoder, cut  # noqa: E402
 
 JSON, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa " * 40
@@ -609,3 +609,20 @@ def test_bitmap_bound_holds():
     for _ in range(50):
         a, b = (np.unique(rng.integers(0, 400, rng.integers(1, 300)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in "ab")
         assert jaccard.overlap_bound(jaccard.signature(a), len(a), jaccard.signature(b), len(b)) >= len(np.intersect1d(a, b))
+
+
+def test_pieces_met_again_are_not_forgotten_with_the_rest():
+    asked = []
+
+    def encode(some):
+        asked.extend(some)
+        return [[len(p), ord(p[-1])] if p else [] for p in some]
+
+    encoder, plain = PieceEncoder(encode, limit=40), PieceEncoder(lambda some: [[len(p), ord(p[-1])] if p else [] for p in some], limit=10**6)
+    for k in range(30):
+        texts = pa.array([f"the cat{k} sat, on\nmat{k} the dog{k}", None, "", f"the  cat{k}"])
+        (ids, bounds), (want, ends) = encoder(texts), plain(texts)
+        assert ids.tolist() == want.tolist() and bounds.tolist() == ends.tolist()
+        assert len(encoder.slots) == len(encoder.met) == len(encoder.ends) - 1 <= 40
+        assert list(encoder.slots.values()) == list(range(len(encoder.slots)))
+    assert asked.count(" sat") == asked.count(" the") == 1 and len(asked) > 80
