@@ -89,7 +89,9 @@ class Automaton:
             at = since[:n] + t
             word, log, open_ = words_[at], np.zeros(n), np.arange(n)
             while len(open_):
-                arc = _place(self.keys, state[open_] * self.n_words + word[open_])
+                arc = word[open_]  # state 0 has an arc for every word, in the words' order
+                deep = np.flatnonzero(state[open_])
+                arc[deep] = _place(self.keys, state[open_[deep]] * self.n_words + arc[deep])
                 met = open_[arc >= 0]
                 log[met] += self.logs[arc[arc >= 0]]
                 state[met] = self.to[arc[arc >= 0]]
@@ -104,8 +106,12 @@ class Automaton:
 def _place(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+    by = np.argsort(wanted)  # ascending searches stay in the processor's caches
+    asked = wanted[by]
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    out = np.empty(len(wanted), dtype=np.int64)
+    out[by] = np.where(keys[at] == asked, at, -1)
+    return out
 
 
 def _chunks(docs: DataFrame) -> DataFrame:

@@ -626,3 +626,19 @@ def test_pieces_met_again_are_not_forgotten_with_the_rest():
         assert len(encoder.slots) == len(encoder.met) == len(encoder.ends) - 1 <= 40
         assert list(encoder.slots.values()) == list(range(len(encoder.slots)))
     assert asked.count(" sat") == asked.count(" the") == 1 and len(asked) > 80
+
+
+def test_walk_searches_no_arc_of_the_empty_context(monkeypatch):
+    rng, n, log = np.random.default_rng(3), 50, lambda size: np.log10(rng.uniform(0.01, 0.9, size))
+    pairs = np.unique(np.concatenate([np.arange(n), n + rng.choice(n * n, 400, replace=False)]))  # states 1 .. n are the words' own
+    to = 1 + pairs % n
+    made = lm_score.Automaton(n, pairs, to, log(len(pairs)), np.zeros(n + 1, np.int64), np.r_[0.0, log(n)], 2)
+    searched, place = [], lm_score._place
+    monkeypatch.setattr(lm_score, "_place", lambda keys, wanted: searched.extend(wanted.tolist()) or place(keys, wanted))
+    words, bounds = rng.integers(0, n, 700).astype(np.int32), np.array([0, 1, 400, 700])
+    got, arcs, want = made.walk(words, bounds), dict(zip(pairs.tolist(), made.logs.tolist(), strict=True)), []
+    for k, w in enumerate(words.tolist()):
+        state = 0 if k in bounds else 1 + int(words[k - 1])
+        want.append(arcs.get(state * n + w) if state * n + w in arcs else made.fail_logs[state] + arcs[w])
+    assert np.allclose(got, want, rtol=0, atol=1e-12)
+    assert searched and min(searched) >= n
