@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scanforge.tables import join_on
+from scanforge.tables import join_groups
 
 
 def ball(spark: SparkSession, step: int = 5, zenith: tuple[int, int] = (0, 180), line_every: int = 30) -> DataFrame:
@@ -23,7 +23,7 @@ def ball(spark: SparkSession, step: int = 5, zenith: tuple[int, int] = (0, 180),
 def balls(points: DataFrame, by: tuple[str, ...] = ("scan_id",), step: int = 5, zenith: tuple[int, int] = (0, 180), line_every: int = 30) -> DataFrame:
     """by.. and ``ball``'s columns: a ball around each scan's centroid, as far out as the scan's points are on average."""
     centre = points.groupBy(*by).agg(*[F.avg(a).alias(f"_c{a}") for a in "XYZ"])
-    placed = join_on(points, centre, list(by))
+    placed = join_groups(points, centre, list(by))
     far = F.sqrt(sum((F.pow(F.col(a) - F.col(f"_c{a}"), 2) for a in "XYZ"), F.lit(0.0)))
     spans = placed.groupBy(*by).agg(*[F.first(f"_c{a}").alias(f"_c{a}") for a in "XYZ"], F.avg(far).alias("_far"))  # one row a scan
     shape = ball(points.sparkSession, step, zenith, line_every)

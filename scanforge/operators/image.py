@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from scanforge.operators.histogram import histogram
 from scanforge.operators.points import scans_of, with_stats
 from scanforge.operators.quantile import with_quantiles
-from scanforge.tables import join_on, written
+from scanforge.tables import join_groups, join_on, written
 
 
 def min_max_scale(df: DataFrame, channels: list[str], by: str | None = "scan_id") -> DataFrame:
@@ -61,7 +61,7 @@ def equalise(df: DataFrame, value: str, void: float = 0.0, bins: int = 256, by:
     running = counts.withColumn("cdf", F.sum("n").over(Window.partitionBy(*keys).orderBy("bin")) / F.sum("n").over(Window.partitionBy(*keys)))  # ``bins`` rows a scan
     shares = running.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "cdf"))), lambda x: x["cdf"]).alias("_cdf"))
     span = seen.groupBy(*keys).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
-    df = df.join(span.join(shares, keys), keys, "left") if keys else df.crossJoin(F.broadcast(span)).crossJoin(F.broadcast(shares))
+    df = join_groups(df, span.join(shares, keys), keys, "left", nulls=False) if keys else df.crossJoin(F.broadcast(span)).crossJoin(F.broadcast(shares))
     width = F.nullif((F.col("_hi") - F.col("_lo")) / bins, F.lit(0.0))
     at = F.coalesce((F.col(value) - F.col("_lo")) / width - 0.5, F.lit(0.0))
     at = F.least(F.greatest(at, F.lit(0.0)), F.lit(bins - 1.0))
@@ -79,7 +79,7 @@ def local_equalise(df: DataFrame, value: str, height: int, width: int, tiles: in
     scan = scans_of(df, by)
     keys = [scan] if scan else []
     seen = F.when(F.col(value) != void, F.col(value).cast("double"))
-    df = with_stats(df, scan, _lo=F.min(seen), _hi=F.max(seen))
+    df = with_stats(written(df, "to-equalise"), scan, _lo=F.min(seen), _hi=F.max(seen))
     level = F.when(seen.isNotNull(), F.least(F.floor((seen - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins), F.lit(bins - 1))).cast("int")
     tile = lambda c, n: F.least(F.floor(F.col(c) * tiles / n), F.lit(tiles - 1)).cast("int")
     df = df.withColumns({"_b": level, "_ty": tile("y_pix", height), "_tx": tile("x_pix", width)})
@@ -94,7 +94,7 @@ def local_equalise(df: DataFrame, value: str, height: int, width: int, tiles: in
     running = F.aggregate(share, F.array().cast("array<double>"), lambda a, x: F.array_append(a, x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0))))
     shares = rows.select(*keys, F.struct("_ty", "_tx").alias("t"), running.alias("cdf"))
     tables = shares.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col("t._ty") * tiles + F.col("t._tx"), "cdf"))).alias("_tables"))  # tiles x tiles rows
-    df = df.join(tables, keys, "left") if keys else df.crossJoin(F.broadcast(tables))  # one row
+    df = join_groups(df, tables, keys, "left", nulls=False) if keys else df.crossJoin(F.broadcast(tables))  # one row
     at = lambda c, n: (F.col(c) + 0.5) * tiles / n - 0.5
     y, x = at("y_pix", height), at("x_pix", width)
     clipped = lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(tiles - 1)).cast("int")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanforge import tables
-from scanforge.operators import points, quantile, sample
+from scanforge.operators import generate, image, points, quantile, sample
 from scanforge.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -34,6 +34,23 @@ def test_statistics_of_few_scans_deal_no_points(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_images_and_balls_of_few_scans_deal_nothing_by_scan(spark):
+    df = spark.range(2 * 24 * 24).select((F.col("id") % 2).alias("scan_id"), (F.floor(F.col("id") / 2) % 24).cast("int").alias("y_pix"), F.floor(F.col("id") / 48).cast("int").alias("x_pix"), (F.col("id") % 97).cast("double").alias("v"))
+    xyz = df.select("scan_id", F.col("x_pix").cast("double").alias("X"), F.col("y_pix").cast("double").alias("Y"), F.col("v").alias("Z"))
+    made = {"tiled": lambda: image.local_equalise(df, "v", 24, 24, 4, 0.02), "whole": lambda: image.equalise(df, "v"), "balls": lambda: generate.balls(xyz, step=90)}
+    want = {k: {tuple(r) for r in f().collect()} for k, f in made.items()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for k, f in made.items():
+            got = f()
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan, k
+            assert {tuple(r) for r in got.collect()} == want[k] and len(want[k]) > 1, k
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_quantiles_of_a_null_group_beyond_the_direct_size(spark, monkeypatch):
     df = spark.range(3000).select(F.nullif(F.col("id") % 2, F.lit(1)).alias("g"), F.col("id").cast("double").alias("v"))
     wanted = {"q": (F.col("v"), 0.25)}
