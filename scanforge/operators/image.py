@@ -153,7 +153,7 @@ def _projected(df: DataFrame, channels: list[str], weights: DataFrame, names: li
             out = out + t
         return out
 
-    return df.join(weights, "_image").withColumns({n: component(k) for k, n in enumerate(names)}).drop("weights")
+    return join_groups(df, weights, ["_image"], nulls=False).withColumns({n: component(k) for k, n in enumerate(names)}).drop("weights")
 
 
 def _principal(cov: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +220,7 @@ def ica(df: DataFrame, channels: list[str], k: int = 3, rounds: int = 200, seed:
             yield pd.DataFrame({"_image": frame["_image"], "unmix": out, "moved": moved})
 
     for _ in range(rounds):
-        mixed = white.select("_image", *names).join(unmix.select("_image", "unmix"), "_image")
+        mixed = join_groups(white.select("_image", *names), unmix, ["_image"], nulls=False)
         outputs = [sum((F.get("unmix", i * k + j) * F.col(names[j]) for j in range(1, k)), F.get("unmix", i * k) * F.col(names[0])) for i in range(k)]
         tanh = [F.tanh(o) for o in outputs]
         moments = F.array(*[F.avg(t * F.col(n)) for t in tanh for n in names], *[F.avg(1 - t * t) for t in tanh])

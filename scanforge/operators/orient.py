@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scanforge.tables import drop, join_on, written
+from scanforge.tables import drop, join_groups, join_on, written
 
 NORMAL = ("nx", "ny", "nz")
 
@@ -76,5 +76,5 @@ def along_forest(normals: DataFrame, neighbours: DataFrame, by: tuple[str, ...]
     placed = own.withColumn("node", node).join(trees, "node", "left").select(*keys, F.coalesce("root", "node").alias("root"), F.coalesce("turned", F.lit(False)).alias("turned"), "Z", "nz")
     looks_down = _differ(F.col("nz") < 0, F.col("turned"))
     seeds = placed.groupBy("root").agg(F.max_by(looks_down, F.struct("Z", -F.col("point_id"))).alias("flip"))
-    signs = placed.join(seeds, "root").select(*keys, _differ(F.col("turned"), F.coalesce("flip", F.lit(False))).alias("_turn"))
+    signs = join_groups(placed, seeds, ["root"], nulls=False).select(*keys, _differ(F.col("turned"), F.coalesce("flip", F.lit(False))).alias("_turn"))
     return join_on(normals, signs, keys).withColumns({n: F.when(F.col("_turn"), -F.col(n)).otherwise(F.col(n)) for n in NORMAL}).drop("_turn")

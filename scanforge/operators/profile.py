@@ -10,7 +10,7 @@ from scanforge.operators import quantile
 from scanforge.operators.points import range_from_centre, with_stats
 from scanforge.operators.quantile import known, quantiles, quantiles_of
 from scanforge.operators.spatial import knn_among
-from scanforge.tables import join_on, numbered_within, written
+from scanforge.tables import join_groups, join_on, numbered_within, written
 
 
 def local_density(k: Column, radius: Column, volumetric: bool = True) -> Column:
@@ -36,7 +36,7 @@ def binned_density(df: DataFrame, groups: tuple[str, ...], cell: float, k: Colum
     ``k`` and ``stride`` are expressions of ``n``, the group's size.  Points are numbered by id within
     their group; those whose number is divisible by the stride are sampled.
     """
-    sized = join_on(df.select(*groups, "point_id", "X", "Y", "Z"), df.groupBy(*groups).agg(F.count("*").alias("n")), list(groups))
+    sized = join_groups(df.select(*groups, "point_id", "X", "Y", "Z"), df.groupBy(*groups).agg(F.count("*").alias("n")), list(groups))
     sized = sized.withColumn("k", k.cast("int")).where((F.col("n") >= least_points) & (F.col("k") >= least_k))
     placed = numbered_within(sized, list(groups), ["point_id"], row="i")
     sampled = F.lit(True) if stride is None else F.col("i") % stride == 0
@@ -81,7 +81,7 @@ def density_by_height(df: DataFrame, width: float, cell: float, by: tuple[str, .
     labels = df.select(*by, "bin", label.alias("label")).distinct()
     n = F.col("n")
     density = binned_density(df, (*by, "bin"), cell, F.least(F.lit(50), F.floor(n / 2)), volumetric=volumetric)
-    return join_on(density, labels, [*by, "bin"])
+    return join_groups(density, labels, [*by, "bin"])
 
 
 def density_by_height_sampled(df: DataFrame, cell: float, sample: int = 50_000, by: tuple[str, ...] = ("scan_id",)) -> DataFrame:

@@ -114,7 +114,7 @@ def fill_from_nearest(pixels: DataFrame, label: str = "class_id", by: tuple[str,
     numbered = lambda df: df.select(*keys, (F.col("y_pix").cast("long") * (1 << 31) + F.col("x_pix")).alias("point_id"), F.col("x_pix").cast("double").alias("X"), F.col("y_pix").cast("double").alias("Y"))
     asked = numbered(open_)
     if keys:  # a scan without any label has nobody to ask
-        asked = asked.join(known.select(*keys).distinct(), keys, "left_semi")
+        asked = join_groups(asked, known.select(*keys).distinct(), keys, "left_semi", nulls=False)
     near = knn(asked, numbered(known), 1, 2.0, tuple(keys), ("X", "Y")).select(*keys, F.col("point_id").alias("_p"), F.col("nbr_id").alias("_n"))
     place = F.col("y_pix").cast("long") * (1 << 31) + F.col("x_pix")
     labels = known.select(*keys, place.alias("_n"), F.col(label).alias("_found"))

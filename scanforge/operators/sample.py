@@ -60,7 +60,7 @@ def stratified_sample(df: DataFrame, label: str, keep: int, keys: list[str], rar
     shares = written(shares.withColumn("_rare", F.col("_n") / F.sum("_n").over(Window.partitionBy()) < rare_below), "class-shares")  # one row a class
     n_rare = shares.where("_rare").count()
     quota = int(keep * boost) // n_rare if n_rare else 0
-    marked = df.join(shares.drop("_n"), label).withColumn("_u", draw(seed, *keys))
+    marked = join_groups(df, shares, [label], nulls=False).withColumn("_u", draw(seed, *keys))
     # a fixed limit, so that each task keeps no more than the quota of a class before rows meet
     ranked = marked.where("_rare").withColumn("_k", F.row_number().over(Window.partitionBy(label).orderBy("_u", *keys)))
     rare = written(ranked.where(F.col("_k") <= quota).select(df.columns), "rare-sample")
@@ -90,7 +90,7 @@ def weighted_resample(df: DataFrame, weight: str, value: str, n: int, key: str,
     cut = written(cut, "weights")
     placed = numbered_within(cut, keys, [key], {"_before": "_w"}, row="_i")
     totals = cut.groupBy(*keys).agg(F.sum("_w").alias("_all")) if by else cut.agg(F.sum("_w").alias("_all"))
-    placed = placed.join(totals, keys) if by else placed.crossJoin(F.broadcast(totals))  # one row
+    placed = join_groups(placed, totals, keys, nulls=False) if by else placed.crossJoin(F.broadcast(totals))  # one row
     last = F.col("_i") == F.col("_i_count") - 1
     placed = placed.withColumns({"_from": F.col("_before") / F.col("_all"), "_to": F.when(last, 1.0).otherwise((F.col("_before") + F.col("_w")) / F.col("_all"))})
     buckets = 1024

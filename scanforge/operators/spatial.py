@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from scanforge.operators import tiles
 from scanforge.operators.points import with_stats
-from scanforge.tables import join_on, written
+from scanforge.tables import join_groups, join_on, written
 
 AXES = ("X", "Y", "Z")
 
@@ -141,7 +141,7 @@ def _by_size(points: DataFrame, nth: int, by: tuple[str, ...]) -> tuple[DataFram
     if most < nth:
         return None, points
     few = written(sizes.where(F.col("n") < nth).drop("n"), "small-groups")
-    return join_on(points, few, list(by), "left_anti"), join_on(points, few, list(by), "left_semi")
+    return join_groups(points, few, list(by), "left_anti"), join_groups(points, few, list(by), "left_semi")
 
 
 def _radius_of(points: DataFrame, edges: DataFrame, base: float, most: float, k: int, nth: int, factor: float, by: tuple[str, ...], cap: str) -> DataFrame:
@@ -149,7 +149,7 @@ def _radius_of(points: DataFrame, edges: DataFrame, base: float, most: float, k:
     group = Window.partitionBy(*by, "point_id")
     total = points.groupBy(*by).agg(F.count("*").alias("_all")) if by else points.agg(F.count("*").alias("_all"))
     near = edges.withColumn("_k", F.row_number().over(group.orderBy("dist", "nbr_id"))).withColumn("_nth", F.max(F.when(F.col("_k") == nth, F.col("dist"))).over(group))
-    near = join_on(near, total, list(by)) if by else near.crossJoin(F.broadcast(total))  # one row
+    near = join_groups(near, total, list(by)) if by else near.crossJoin(F.broadcast(total))  # one row
     radius = F.when(F.col("_all") < nth, F.lit(base)).when(F.col("_nth").isNull(), F.lit(most)).otherwise(F.least(F.greatest(factor * F.col("_nth"), F.lit(base)), F.lit(most)))
     within = near.where(F.col("dist") <= radius)
     rank = F.col("_k") if cap == "distance" else F.row_number().over(group.orderBy("nbr_id"))

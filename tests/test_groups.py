@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanforge import tables
-from scanforge.operators import generate, image, points, quantile, sample
+from scanforge.operators import generate, image, points, profile, quantile, raster, sample, spatial
 from scanforge.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -51,6 +51,49 @@ def test_images_and_balls_of_few_scans_deal_nothing_by_scan(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def plan_without_auto_broadcast(spark, made):
+    """What ``made`` returns, and its plan, while Spark broadcasts nothing by itself."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = made()
+        return got, got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_few_groups_of_other_operators_deal_nothing_by_group(spark):
+    df = spark.range(300).select((F.col("id") % 2).cast("string").alias("scan_id"), F.col("id").alias("point_id"), *[(F.col("id") * p % 61 / 61).alias(a) for a, p in (("X", 7), ("Y", 11), ("Z", 13))])
+    bands = df.select("scan_id", "point_id", (F.col("point_id") / 20).cast("int").alias("y_pix"), (F.col("point_id") % 20).cast("int").alias("x_pix"), "X", "Y", "Z", F.sin("point_id").alias("W"))
+    pixels = bands.select("scan_id", "y_pix", "x_pix", F.when(F.col("point_id") % 5 < 3, F.col("point_id") % 4).alias("class_id"))
+    small = df.where("scan_id = '0' OR point_id < 9")
+    channels = ["X", "Y", "Z", "W"]
+    made = {
+        "components of images": lambda: image.pca(bands, channels),
+        "components of one image": lambda: image.pca(bands, channels, by=None),
+        "classes": lambda: sample.stratified_sample(bands.withColumn("k", F.col("point_id") % 3), "k", 40, ["point_id"]),
+        "weights": lambda: sample.weighted_resample(bands, "X", "X", 20, "point_id", by="scan_id").select("scan_id", "draw", "point_id"),
+        "sizes": lambda: spatial._by_size(small, 20, ("scan_id",))[0].select("point_id"),
+    }
+    joins = {k: plan_without_auto_broadcast(spark, f) for k, f in made.items()}
+    for k, (got, plan) in joins.items():
+        # the draws of a sample meet their bucket, of which there are 1024
+        assert "Broadcast" in plan and "Cartesian" not in plan and plan.count("SortMergeJoin") <= (k == "weights"), k
+        # sums of doubles differ in their last digits from run to run
+        rounded = [F.round(c, 6) if t == "double" else F.col(c) for c, t in got.dtypes]
+        assert {tuple(r) for r in got.select(*rounded).collect()} == {tuple(r) for r in made[k]().select(*rounded).collect()} and got.count() > 0, k
+    calls = {
+        profile: lambda: profile.density_by_height(df, 0.5, 0.2, ("scan_id",)),
+        raster: lambda: raster.fill_from_nearest(pixels),
+    }
+    for module, call in calls.items():
+        seen = []
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(module, "join_groups", lambda *a, **k: seen.append(a[2]) or tables.join_groups(*a, **k))
+            call()
+        assert seen, module.__name__
+
+
 def test_quantiles_of_a_null_group_beyond_the_direct_size(spark, monkeypatch):
     df = spark.range(3000).select(F.nullif(F.col("id") % 2, F.lit(1)).alias("g"), F.col("id").cast("double").alias("v"))
     wanted = {"q": (F.col("v"), 0.25)}
