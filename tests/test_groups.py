@@ -143,3 +143,18 @@ def test_a_scan_is_a_whole_event_type(spark):
     events = spark.read.parquet(f"{DATA}/events.parquet")
     lines = events.groupBy("event_type").agg(F.count_distinct(F.floor(F.col("event_id") / 10)).alias("n")).collect()
     assert {r.scan_id: r.top + 1 for r in out} == {r.event_type: r.n for r in lines}
+
+
+#: Queries whose points meet their scan's statistics or raster.
+OF_SCANS = [
+    "a1_nearest_per_pixel",
+]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", OF_SCANS)
+def test_queries_of_scans_deal_no_points_by_scan(spark, name):
+    query = catalog.queries()[name]
+    got, plan = plan_without_auto_broadcast(spark, lambda: query(spark, DATA))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert got.count() == query(spark, DATA).count() > 0
