@@ -148,6 +148,7 @@ def test_a_scan_is_a_whole_event_type(spark):
 #: Queries whose points meet their scan's statistics or raster.
 OF_SCANS = [
     "a1_nearest_per_pixel",
+    "a2_nearest_and_density",
 ]
 
 
