@@ -149,6 +149,7 @@ def test_a_scan_is_a_whole_event_type(spark):
 OF_SCANS = [
     "a1_nearest_per_pixel",
     "a2_nearest_and_density",
+    "j2_pixel_lookup",
 ]
 
 
