@@ -150,6 +150,7 @@ OF_SCANS = [
     "a1_nearest_per_pixel",
     "a2_nearest_and_density",
     "j2_pixel_lookup",
+    "p7_pixel_map",
 ]
 
 
