@@ -151,6 +151,7 @@ OF_SCANS = [
     "a2_nearest_and_density",
     "j2_pixel_lookup",
     "p7_pixel_map",
+    "u6_pixel_columns",
 ]
 
 
