@@ -153,6 +153,7 @@ OF_SCANS = [
     "p7_pixel_map",
     "u6_pixel_columns",
     "p9_normalise_invert",
+    "p20_channels",
 ]
 
 
