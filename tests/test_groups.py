@@ -154,6 +154,7 @@ OF_SCANS = [
     "u6_pixel_columns",
     "p9_normalise_invert",
     "p20_channels",
+    "a4_pixel_mean",
 ]
 
 
