@@ -155,6 +155,7 @@ OF_SCANS = [
     "p9_normalise_invert",
     "p20_channels",
     "a4_pixel_mean",
+    "a5_wrapped_mean",
 ]
 
 
