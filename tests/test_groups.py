@@ -156,6 +156,7 @@ OF_SCANS = [
     "p20_channels",
     "a4_pixel_mean",
     "a5_wrapped_mean",
+    "i15_median_blur",
 ]
 
 
