@@ -157,6 +157,7 @@ OF_SCANS = [
     "a4_pixel_mean",
     "a5_wrapped_mean",
     "i15_median_blur",
+    "p11_drop_class",
 ]
 
 
