@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scanforge.operators import trees as trees_of
 from scanforge.operators.sample import train_split
 from scanforge.operators.spatial import knn_among
 from scanforge.tables import written
@@ -31,24 +32,24 @@ def forest(voted: DataFrame, features: list[str], trees: int = 200, seed: int =
     """``voted`` with rf_label and rf_confidence, and the accuracy on held-out reliable points.
 
     Reliable points keep their label under the vote and aren't of class 0; classes are weighted
-    equally; a fifth of each class is held out.  Trees grow until leaves are pure, up to ``depth`` levels (30 is the most that
-    Spark ML grows), and split at ``bins`` quantiles of a feature.
+    equally; a fifth of each class is held out.  Trees grow until leaves are pure, up to ``depth`` levels, and split at ``bins``
+    quantiles of a feature.
     """
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    vectors = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(voted)
-    reliable = vectors.where("label <> 0 and label = vote")
-    whole = Window.partitionBy()
-    classes = reliable.groupBy("label").agg(F.count("*").alias("_n"))
-    classes = classes.withColumn("_w", F.sum("_n").over(whole) / (F.count("*").over(whole) * F.col("_n"))).drop("_n")
-    split = train_split(reliable.join(F.broadcast(classes), "label"), "label", ["point_id"], seed=seed)
-    model = RandomForestClassifier(featuresCol="_x", labelCol="label", weightCol="_w", numTrees=trees, seed=seed, maxDepth=depth, maxBins=bins, minInstancesPerNode=1, predictionCol="_p", probabilityCol="_pr", rawPredictionCol="_raw").fit(split.where("is_train"))
-    held = model.transform(split.where("not is_train")).agg(F.avg((F.col("_p") == F.col("label")).cast("double"))).first()[0]
-    scored = model.transform(vectors)
-    out = scored.withColumns({"rf_label": F.col("_p").cast("int"), "rf_confidence": F.array_max(vector_to_array("_pr"))})
-    return out.drop("_x", "_p", "_pr", "_raw"), held
+    rows = written(voted.withColumn("_row", F.monotonically_increasing_id()), "forest-voted")
+    reliable = F.coalesce(F.expr("label <> 0 and label = vote"), F.lit(False))
+    classes = rows.where(reliable).groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()
+    if not classes:
+        raise ValueError("a forest needs reliable points: none has a class but 0 that its vote confirms")
+    labels, weights = [r.label for r in classes], [sum(r.n for r in classes) / (len(classes) * r.n) for r in classes]
+    split = train_split(rows.where(reliable), "label", ["point_id"], seed=seed)
+    split = written(split.unionByName(rows.where(~reliable).withColumn("is_train", F.lit(None).cast("boolean"))), "forest-split")
+    named = F.array(*[F.lit(v) for v in labels])
+    learnt = F.when(F.col("is_train"), F.array_position(named, F.col("label")) - 1).otherwise(-1)
+    best = trees_of.votes(split, features, learnt, F.col("point_id"), weights, trees, seed, depth, bins)
+    best = best.select("_row", F.get(named, F.col("best")).cast("int").alias("rf_label"), F.col("share").alias("rf_confidence"))
+    out = written(split.join(best, "_row"), "forest-scored")
+    held = out.where("not is_train").agg(F.avg((F.col("rf_label") == F.col("label")).cast("double"))).first()[0]
+    return out.select(*[f"`{c}`" for c in voted.columns], "rf_label", "rf_confidence"), held
 
 
 def merge(scored: DataFrame, confidence: float = 0.85) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scanforge import tables
-from scanforge.operators import blobs, decode, geom, image, points, profile, raster, raster_tiles, refine, segments, sets, spatial, tiles
+from scanforge.operators import blobs, decode, geom, image, points, profile, raster, raster_tiles, refine, segments, sets, spatial, tiles, trees
 from scanforge.streaming import scans
 
 
@@ -220,6 +220,86 @@ def test_trees_grow_until_leaves_are_pure(spark):
     assert right(30) > 0.9 * 300 > right(2)
 
 
+def test_deeper_trees_take_no_more_jobs(spark):
+    rng = np.random.default_rng(10)
+    df = spark.createDataFrame([(i, *map(float, x), c, c) for i, (x, c) in enumerate(zip(rng.random((300, 2)), rng.integers(1, 4, 300).tolist(), strict=True))], "point_id long, u double, v double, label int, vote int")
+
+    def jobs(depth):
+        spark.sparkContext.setJobGroup(f"forest-{depth}", "")
+        refine.forest(df, ["u", "v"], 20, depth=depth)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"forest-{depth}"))
+
+    try:
+        assert jobs(30) <= jobs(2)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def plain_tree(bins, cls, n, key, level, depth, weights):
+    """(rows, class counts) of each leaf, one node at a time."""
+    rows = [(key, level, np.arange(len(bins)))]
+    while rows:
+        key, level, at = rows.pop()
+        total = np.array([n[at][cls[at] == c].sum() for c in range(len(weights))])
+        gini = lambda c: ((c * weights) ** 2).sum() / (c * weights).sum()
+        best = (1e-12, None)
+        if level < depth and (total > 0).sum() > 1:
+            for f in trees._asked(key, bins.shape[1])[0]:
+                for cut in range(bins[:, f].max() + 1):
+                    left = np.array([n[at][(cls[at] == c) & (bins[at, f] <= cut)].sum() for c in range(len(weights))])
+                    if 0 < left.sum() < total.sum() and (gain := gini(left) + gini(total - left) - gini(total)) > best[0] + 1e-9:
+                        best = (gain, (f, cut))
+        if best[1] is None:
+            yield at, total
+            continue
+        right = bins[at, best[1][0]] > best[1][1]
+        left_key, right_key = trees._children(key)
+        rows += [(left_key[None], level + 1, at[~right]), (right_key[None], level + 1, at[right])]
+
+
+@pytest.mark.parametrize("depth", [3, 30])
+def test_forest_equals_plain_trees_however_nodes_are_dealt(spark, depth):
+    rng = np.random.default_rng(11)
+    values = np.column_stack([rng.normal(size=400), rng.integers(0, 3, 400), rng.random(400)])
+    values[::17, 0] = np.nan
+    cls = np.where(rng.random(400) < 0.2, -1, (values[:, 1] + (values[:, 2] > 0.5) + (rng.random(400) < 0.3)).astype(int) % 3)
+    df = spark.createDataFrame([(i, *map(float, v), int(c)) for i, (v, c) in enumerate(zip(values, cls, strict=True))], "_row long, a double, b double, c double, cls int")
+    weights = [1.0, 0.5, 3.0]
+
+    def got(local):
+        out = trees.votes(df, ["a", "b", "c"], F.col("cls"), F.col("_row"), weights, 6, 5, depth, 16, local)
+        return sorted(map(tuple, out.collect()))
+
+    whole = got(1000)
+    assert [r[0] for r in whole] == list(range(400))
+    for local in (60, 0):  # some nodes, and all nodes, split by counts over all tasks
+        assert [r[:2] for r in got(local)] == [r[:2] for r in whole]
+        assert np.allclose([r[2] for r in got(local)], [r[2] for r in whole], atol=1e-12)
+
+    cuts = trees.thresholds(df.where("cls >= 0"), ["a", "b", "c"], 16)
+    assert cuts[1].tolist() == [0.5, 1.5]
+    bins = np.column_stack([np.searchsorted(c, values[:, i], "left") for i, c in enumerate(cuts)])
+    hashes = np.array([r[0] for r in df.orderBy("_row").select(F.xxhash64("_row")).collect()]).view(np.uint64)
+    rec = np.zeros(400, np.dtype([("cls", int), ("hash", "<u8")]))
+    rec["cls"], rec["hash"] = cls, hashes
+    shares = np.zeros((400, 3))
+    for t in range(6):
+        n = trees._drawn(rec, 5, t).astype(int)
+        assert n.sum() / (cls >= 0).sum() == pytest.approx(1, abs=0.2)
+        for at, total in plain_tree(bins, cls, n, trees._root(5, t), 0, depth, np.array(weights)):
+            shares[at] += total * weights / (total * weights).sum()
+    assert np.allclose(shares.max(1) / 6, [r[2] for r in whole], atol=1e-12)
+
+
+def test_forest_of_repeated_and_missing_values(spark):
+    rows = [(1, 0.0, None, 1, 1)] * 30 + [(None, 1.0, None, 2, 2)] * 30 + [(3, float("nan"), None, 0, None), (4, None, None, None, None)]
+    df = spark.createDataFrame(rows, "point_id long, u double, v double, label int, vote int")
+    out = refine.forest(df, ["u", "v"], 5)[0].collect()
+    assert len(out) == 62 and all(0 < r.rf_confidence <= 1 for r in out)
+    with pytest.raises(ValueError, match="reliable"):
+        refine.forest(df.where("label = 0"), ["u", "v"], 5)
+
+
 def plain_resize(array, new, kind):
     """Along the first axis."""
     old = len(array)
