@@ -83,7 +83,7 @@ def nearest_by_leaves(xyz: np.ndarray, ids: np.ndarray, asks: np.ndarray, k: int
                 delta = xyz[own][:, None, :] - xyz[others][None, :, :]
                 dist = np.sqrt(delta[..., 0] * delta[..., 0] + delta[..., 1] * delta[..., 1] + delta[..., 2] * delta[..., 2])
                 dist[dist > most] = np.inf
-                kth = np.partition(dist, k - 1, axis=1)[:, k - 1] if len(others) > k else np.full(len(own), np.inf)
+                kth = np.partition(dist, k - 1, axis=1)[:, k - 1] if len(others) >= k else np.full(len(own), np.inf)
                 whole = (kth <= reach) | (reach >= most) | (len(chosen) == len(bounds))
                 if not whole.all():
                     undone.append(own[~whole])

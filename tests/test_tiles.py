@@ -220,6 +220,19 @@ def test_trees_grow_until_leaves_are_pure(spark):
     assert right(30) > 0.9 * 300 > right(2)
 
 
+def test_leaves_of_just_k_points_are_not_compared_with_all(monkeypatch):
+    rng = np.random.default_rng(12)
+    n, k = 12_800, 50  # halved eight times: leaves of 50
+    xyz, ids, real, compared = rng.random((n, 3)), np.arange(n), np.partition, []
+    monkeypatch.setattr(tiles.np, "partition", lambda a, *r, **o: (compared.append(a.size), real(a, *r, **o))[1])
+    got = {int(i): f.tolist() for own, found, _ in tiles.nearest_by_leaves(xyz, ids, ids >= 0, k, 100.0) for i, f in zip(own, found, strict=True)}
+    monkeypatch.undo()
+    assert len(got) == n
+    for i in range(0, n, 99):
+        assert got[i] == np.lexsort((ids, np.sqrt(((xyz - xyz[i]) ** 2).sum(1))))[:k].tolist()
+    assert sum(compared) < n * n / 2
+
+
 def test_deeper_trees_take_no_more_jobs(spark):
     rng = np.random.default_rng(10)
     df = spark.createDataFrame([(i, *map(float, x), c, c) for i, (x, c) in enumerate(zip(rng.random((300, 2)), rng.integers(1, 4, 300).tolist(), strict=True))], "point_id long, u double, v double, label int, vote int")
